@@ -12,8 +12,7 @@ the ``SKETCH`` smallest of the pieces' hashes, so the likeness of two fingerprin
 from them alone: Dice's coefficient of the two sets of pieces, exact up to SKETCH pieces
 and estimated from the smallest hashes of both beyond.
 
-``with_next`` gives each document the head of the next one in descending order of the id.
-Whole texts are dealt once, by ranges of the id with fixed bounds; the first document of a
+``edits`` pairs each document with the next one in descending order of the id. Whole texts are dealt once, by ranges of the id with fixed bounds; the first document of a
 range is also sent to the range before it. No task has more than its range.
 
 Defined cases: a null text is empty; the fingerprint of an empty text has no pieces, and is
@@ -24,7 +23,7 @@ texts; null ids come last; an only document is next to itself; an empty table gi
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,7 +61,7 @@ def tree(data: bytes) -> tuple[bytes, list[tuple[bytes, int, int, list[tuple[byt
     """Root digest and sections: (digest, start, end, leaves), a leaf being (digest, start, end) in bytes."""
     sections, leaves, at = [], [], 0
     digest = lambda parts: hashlib.blake2b(b"".join(parts), digest_size=16).digest()
-    for line in data.splitlines(keepends=True) if b"\r" not in data else [x + b"\n" for x in data.split(b"\n")[:-1]] + ([t] if (t := data.rpartition(b"\n")[2]) else []):
+    for line in re.findall(rb"[^\n]*\n|[^\n]+", data):
         d = hashlib.blake2b(line, digest_size=16).digest()
         leaves.append((d, at, at + len(line)))
         at += len(line)
@@ -128,52 +127,59 @@ def likeness(a: str, b: str) -> float:
     return float(min(1.0, 2 * jaccard / (1 + jaccard)))
 
 
-def with_next(docs: DataFrame, ranges: int, share: int = 3) -> DataFrame:
-    """doc_id, text, head: the first floor(n_chars / ``share``) code points (or all) of the next document in descending order of the id."""
+def dealt_by_range(docs: DataFrame, ranges: int) -> DataFrame:
+    """at, extra, doc_id, text: whole documents in descending order of the id, ``ranges`` ranges in as many partitions.
+
+    A row with ``extra`` ends its range: it is the first document of the range after (of the first one, for the last).
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-    bounds = [int(b) for b in bounds]
-    # Ranges count from 0 for the largest ids; null ids are in the last.
-    place = F.lit(len(bounds)) - F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col("doc_id") > b)), F.lit(0)) if bounds else F.lit(0)
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(place))
-    firsts = rows.groupBy("range").agg(F.max("doc_id").alias("first_id"), F.count("*").alias("n"))
-    starts = {r["range"]: r["first_id"] for r in firsts.collect()}  # one row a range
-    filled = sorted(starts)
-    if not filled:
-        return rows.select("doc_id", "text", F.lit(None).cast("string").alias("head")).limit(0)
-    last = {r: filled[i - 1] for i, r in enumerate(filled)}  # to which range the first document of each also goes; the very first goes to the last
-    to = None
-    for r in filled:
-        hit = (F.col("range") == r) & (F.col("doc_id").eqNullSafe(F.lit(starts[r]).cast("long")))
-        to = F.when(hit, F.lit(last[r])) if to is None else to.when(hit, F.lit(last[r]))
-    own = F.array(F.struct(F.col("range").cast("int").alias("at"), F.lit(False).alias("extra")))
-    more = F.when(to.isNotNull(), F.array(F.struct(to.cast("int").alias("at"), F.lit(True).alias("extra")))).otherwise(F.array().cast("array<struct<at:int,extra:boolean>>"))
-    dealt = rows.select("doc_id", "text", F.explode(F.concat(own, more)).alias("s")).select("s.at", "s.extra", "doc_id", "text")
-    dealt = dealt.repartitionByRange(len(filled), "at").sortWithinPartitions("at", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    bounds = np.array(sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else [], float)
 
-    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the document whose next one has not come
-        for batch in batches:
-            out = []
-            for at, extra, doc_id, text in batch.itertuples(index=False):
-                if held is not None and held[0] == at:
-                    out.append((held[1], held[2], text[: len(held[2]) // share]))
-                    held = None
-                if not extra:
-                    held = (at, None if pd.isna(doc_id) else int(doc_id), text)
-                elif held is not None:
-                    held = None
-            yield pd.DataFrame(out, columns=["doc_id", "text", "head"]).astype({"doc_id": "Int64"})
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.fillna(-np.inf).to_numpy(float))).astype("int32")
+
+    rows = rows.withColumn("at", place("doc_id"))
+    firsts = rows.groupBy("at").agg(F.max("doc_id").alias("first_id")).orderBy("at").collect()  # a row for each range
+    if not firsts:
+        return rows.select("at", F.lit(False).alias("extra"), "doc_id", "text")
+    before = {r["at"]: firsts[i - 1]["at"] for i, r in enumerate(firsts)}
+    first_of = F.create_map(*(F.lit(x) for r in firsts for x in (r["at"], r["first_id"] if r["first_id"] is not None else -1)))
+    range_before = F.create_map(*(F.lit(x) for r, to in before.items() for x in (r, to)))
+    is_first = F.col("doc_id").eqNullSafe(F.element_at(first_of, F.col("at"))) | (F.col("doc_id").isNull() & F.lit(any(r["first_id"] is None for r in firsts)))
+    own = F.struct("at", F.lit(False).alias("extra"))
+    more = F.struct(F.element_at(range_before, F.col("at")).alias("at"), F.lit(True).alias("extra"))
+    both = rows.withColumn("s", F.explode(F.when(is_first, F.array(own, more)).otherwise(F.array(own)))).select("s.at", "s.extra", "doc_id", "text")
+    return both.repartitionByRange(len(firsts), "at").sortWithinPartitions("at", "extra", F.col("doc_id").desc_nulls_last(), "text")
 
-    return dealt.mapInPandas(paired, "doc_id long, text string, head string")
+
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_leaves int"
 
 
 def edits(docs: DataFrame, ranges: int, share: int = 3) -> DataFrame:
-    """Fingerprints of every text, of its edited text, and their likenesses; see ``with_next`` for the edit.
+    """Every text's fingerprint and that of its edited text, whose last floor(n_chars / ``share``) code points are replaced by the first as many (or all) of the next document in descending order of the id.
 
-    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_leaves (bytes of the
-    text's leaves that the edited one has not). The next document's fingerprint comes by a join on the text's
-    neighbour, not by a second reading: a stream of a range has it anyway.
+    ``near_edited`` and ``near_next`` are likenesses of fingerprints; ``edited_leaves`` counts the leaves that the edited text has not.
     """
-    rows = docs.select("doc_id", "text")
-    return rows
+
+    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the document whose next one has not come yet
+        names = [x.split()[0] for x in EDITED.split(", ")]
+        for batch in batches:
+            out = []
+            for at, extra, doc_id, text in batch.itertuples(index=False):
+                if extra and held is None:
+                    continue
+                data = text.encode()
+                own = fingerprint(data)
+                if held is not None and held[0] == at:
+                    _, its_id, its_text, its_data, its = held
+                    n = len(its_text)
+                    edited = (its_text[: n - n // share] + text[: n // share]).encode()
+                    changed = fingerprint(edited)
+                    gone = len(differing(tree(its_data), tree(edited))[0])
+                    out.append((its_id, n, hashlib.sha256(edited).hexdigest(), its, changed, likeness(its, changed), likeness(its, own), gone))
+                held = None if extra else (at, None if pd.isna(doc_id) else int(doc_id), text, data, own)
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+
+    return dealt_by_range(docs, ranges).mapInPandas(paired, EDITED)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, toxicity, warc
+from . import chat_format, merkle, mixing, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,10 @@ FROM f
 """
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edits(table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -102,7 +106,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_chat_format, op5_warc, op9_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op3_chat_format, op5_warc, op6_merkle, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
