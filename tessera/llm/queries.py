@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, merkle, mixing, toxicity, warc
+from . import chat_format, merkle, minhash, mixing, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,8 +105,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_chat_format, op5_warc, op6_merkle, op9_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op3_chat_format, op5_warc, op6_merkle, op9_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
