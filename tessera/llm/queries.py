@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, merkle, minhash, mixing, toxicity, warc
+from . import chat_format, line_dedup, merkle, minhash, mixing, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,17 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.delete_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.col("__lines").cast("long").alias("n_lines"),
+        F.col("__removed").cast("long").alias("n_removed"),
+        F.col("__spans").cast("long").alias("n_spans"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(spark, table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -110,7 +121,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_chat_format, op5_warc, op6_merkle, op9_toxicity, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op3_chat_format, op4_line_dedup, op5_warc, op6_merkle, op9_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
