@@ -109,7 +109,8 @@ def log_odds(counts: DataFrame, prior: float = PRIOR, keep: int = MAX_NODES) ->
     if not root["t"] or not root["c"]:
         return {}
     share = root["t"] / (root["t"] + root["c"])
-    logit = lambda p: F.log(p / (1 - p))
+    held = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))  # noqa: E731  long chains of one class come to 0 or 1
+    logit = lambda p: F.log(held(p) / (1 - held(p)))
     level = None
     for n in PREFIXES:
         sums = counts.filter(F.char_length("word") >= n).groupBy(F.substring("word", 1, n).alias("node")).agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
