@@ -7,9 +7,9 @@ the signatures' equal parts, corrected for chance collisions, estimate the simil
 candidates estimated below ``FLOOR`` (nearly four standard deviations under the limit) go.
 What is left is confirmed on the full sets.
 
-Only as many links as components need are looked at: first every class with the best of
+Only as many links as components need are looked at: first every class with the likeliest of
 the smallest ids of its bands, then, of bands whose members are still in several
-components, all pairs across components. A band's members are compared in blocks of
+components, pairs across components, as full sets that meet in one task. A band's members are compared in blocks of
 ``BLOCK``, a block with itself and each later one, so no group is in one task.
 
 Defined cases: a null text, or one without words, has no shingles and is linked with
@@ -93,7 +93,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n, own (hash of the set), signature, bands."""
+    """doc_id, n, own (hash of the set), signature, tags (16 bits of each band's key), bands."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,26 +101,25 @@ def sketch(docs: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 s = shingles(text)
                 if not len(s):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 least = minima(s)
                 own = f"{len(s)}:{int(s.sum(dtype=np.uint64)):x}:{int((mixed(s) * MIX).sum(dtype=np.uint64)):x}"
-                rows.append((len(s), own, signature(least), band_keys(least)))
-            out = pd.DataFrame(rows, columns=["n", "own", "signature", "bands"])
-            yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())[["doc_id", "n", "own", "signature", "bands"]].astype({"doc_id": "Int64"})
+                keys = band_keys(least)
+                rows.append((len(s), own, signature(least), keys.astype(np.uint16).tobytes(), keys))
+            out = pd.DataFrame(rows, columns=["n", "own", "signature", "tags", "bands"])
+            yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())[["doc_id", "n", "own", "signature", "tags", "bands"]].astype({"doc_id": "Int64"})
 
-    return cut(docs.select("doc_id", "text").mapInPandas(of, "doc_id long, n long, own string, signature binary, bands array<long>"), "sketches")
+    return cut(docs.select("doc_id", "text").mapInPandas(of, "doc_id long, n long, own string, signature binary, tags binary, bands array<long>"), "sketches")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (center, id) whose full sets are similar enough.
 
     A center's members come in groups of about PER_CENTER; its text goes once to each. Texts that no pair needs are
-    left out first, by a broadcast of the ids while they are MAX_BROADCAST at most, else by a shuffled semi-join.
+    left out first.
     """
-    ids = cut(pairs.select(F.col("center").alias("doc_id")).unionByName(pairs.select(F.col("id").alias("doc_id"))).distinct(), "ids")
-    few = ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = picked(docs, pairs.select(F.col("center").alias("doc_id")).unionByName(pairs.select(F.col("id").alias("doc_id"))).distinct())
     many = cut(pairs.groupBy("center").agg(F.ceil(F.count("*") / PER_CENTER).alias("groups")), "centers")
     dealt = cut(pairs.join(many, "center").select("center", "id", F.pmod(F.xxhash64("id"), F.col("groups")).alias("part")), "dealt")
     members = dealt.join(texts, F.col("id") == F.col("doc_id")).select("center", "part", F.lit(1).alias("role"), "id", "text")
@@ -146,9 +145,11 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def best_centers(classes: DataFrame, bands: DataFrame) -> DataFrame:
-    """(center, id): for every class the most similar of the smallest ids of its bands, where one reaches FLOOR."""
+    """(center, id): for every class, of the smallest ids of its bands the one that most of its bands name, if their signatures reach FLOOR."""
     first = cut(bands.groupBy("band").agg(F.min("doc_id").alias("center"), F.count("*").alias("k")).filter("k > 1").select("band", "center"), "centers")
-    pairs = cut(bands.join(first, "band").filter("doc_id <> center").select("doc_id", "center").distinct(), "stars")
+    named = bands.join(first, "band").filter("doc_id <> center").groupBy("doc_id", "center").count()
+    best = named.groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("center")).alias("c"))).alias("best"))
+    pairs = cut(best.select("doc_id", (-F.col("best.c")).alias("center")), "stars")
     own = classes.select("doc_id", "signature")
     with_own = pairs.join(own, "doc_id").join(own.select(F.col("doc_id").alias("center"), F.col("signature").alias("other")), "center")
 
@@ -156,60 +157,116 @@ def best_centers(classes: DataFrame, bands: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("signature", "other"))
-                batch = batch.assign(near=estimate(a, b))
-                yield batch.loc[batch["near"] >= FLOOR, ["doc_id", "center", "near"]]
+                yield batch.loc[estimate(a, b) >= FLOOR, ["center", "doc_id"]].rename(columns={"doc_id": "id"})
 
-    scored = with_own.select("doc_id", "center", "signature", "other").mapInPandas(near, "doc_id long, center long, near double")
-    best = scored.groupBy("doc_id").agg(F.max(F.struct("near", (-F.col("center")).alias("c"))).alias("best"))
-    return cut(best.select((-F.col("best.c")).alias("center"), F.col("doc_id").alias("id")), "best")
+    return cut(with_own.select("doc_id", "center", "signature", "other").mapInPandas(near, "center long, id long"), "best")
 
 
-def across(classes: DataFrame, bands: DataFrame, known: DataFrame) -> DataFrame:
-    """(center, id): pairs of one band, of different components, whose estimate reaches FLOOR."""
-    placed = bands.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    placed = cut(placed, "placed")
-    mixed_bands = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).filter("x <> y")
-    mixed_bands = cut(mixed_bands.select("band", F.ceil(F.col("k") / BLOCK).alias("blocks")), "bands")
-    rows = placed.join(mixed_bands, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    rows = rows.join(classes.select("doc_id", "signature"), "doc_id")
-    # A pair of blocks (i, j), i <= j, gets the rows of both.
-    other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    met = rows.withColumn("with", F.explode(other)).select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc_id", "component", "signature")
-
-    def compared(rows: list) -> Iterator[tuple[int, int]]:
-        ids, comps, blocks = (np.array([r[k] for r in rows]) for k in range(3))
-        own = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        one = blocks.min() == blocks.max()
-        for k in range(len(rows) - 1):
-            ok = comps[k + 1 :] != comps[k]
-            if not one:
-                ok &= blocks[k + 1 :] != blocks[k]
-            if ok.any():
-                hit = np.flatnonzero(ok)
-                for m in hit[estimate(own[k + 1 :][hit], own[k]) >= FLOOR].tolist():
-                    a, b = int(ids[k]), int(ids[k + 1 + m])
-                    yield min(a, b), max(a, b)
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, []
-        for batch in batches:
-            out = []
-            for band, i, j, block, *rest in batch[["band", "i", "j", "block", "doc_id", "component", "signature"]].itertuples(index=False):
-                if (band, i, j) != at:
-                    if i_is_done(at, held):
-                        out += compared(held)
-                    at, held = (band, i, j), []
-                held.append((rest[0], rest[1], block, rest[2]))
-            yield pd.DataFrame(out, columns=["center", "id"], dtype="int64")
-        if i_is_done(at, held):
-            yield pd.DataFrame(list(compared(held)), columns=["center", "id"], dtype="int64")
+MET = "band long, number int, i long, j long, block long, doc_id long, component long, signature binary, tags binary"
+
 
-    def i_is_done(at, held) -> bool:
-        """Whether there is something to compare: two blocks' group needs both."""
-        return len(held) > 1 and (at[1] == at[2] or len({h[2] for h in held}) == 2)
+class Met:
+    """The members of one band in a pair of blocks, and which of them are to be compared: those of different components whose estimate reaches FLOOR, and, of two blocks, one of each.
 
-    made = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(pairs, "center long, id long")
-    return cut(made.distinct(), "pairs")
+    Of the bands that two documents share only the first compares them. Tags are the low 16 bits of all band keys; with
+    the signatures' bits of a band they tell whether it is shared.
+    """
+
+    def __init__(self, rows: list):
+        self.ids, self.components, blocks = (np.array([r[k] for r in rows]) for k in range(3))
+        self.signatures = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        keys = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), -1).astype(np.uint32)
+        self.keys = (keys << np.uint32(16)) | self.signatures.view(np.uint16)
+        self.blocks, self.two = blocks, len(set(blocks.tolist())) == 2
+
+    def partners(self, k: int, number: int) -> np.ndarray:
+        """Rows after row k to compare it with in band ``number``."""
+        later = slice(k + 1, None)
+        ok = self.components[later] != self.components[k]
+        if self.two:
+            ok &= self.blocks[later] != self.blocks[k]
+        found = k + 1 + np.flatnonzero(ok)
+        found = found[estimate(self.signatures[found], self.signatures[k]) >= FLOOR]
+        return found[(self.keys[found] == self.keys[k]).argmax(axis=1) == number]
+
+
+def groups_of(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[tuple, list]]:
+    """(band, number, i, j) and the rows (``columns``) of each group of sorted batches; a group of two blocks only if it has rows of both."""
+    at, held = None, []
+    whole = lambda at, held: len(held) > 1 and (at[2] == at[3] or len({h[2] for h in held}) == 2)
+    for batch in batches:
+        for band, number, i, j, *rest in batch[["band", "number", "i", "j", *columns]].itertuples(index=False):
+            if (band, number, i, j) != at:
+                if whole(at, held):
+                    yield at, held
+                at, held = (band, number, i, j), []
+            held.append(rest)
+    if whole(at, held):
+        yield at, held
+
+
+def across(docs: DataFrame, classes: DataFrame, bands: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): links between members of one band that are in different components; of what the links of a group of members already connect no more are sent.
+
+    A first pass over signatures finds the members that have someone to be compared with, a second one compares full sets.
+    """
+    placed = bands.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "number", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = cut(placed, "placed")
+    several = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).filter("x <> y")
+    several = cut(several.select("band", F.ceil(F.col("k") / BLOCK).alias("blocks")), "several")
+    rows = placed.join(several, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    rows = rows.join(classes.select("doc_id", "signature", "tags"), "doc_id")
+    # A pair of blocks (i, j), i <= j, gets the rows of both.
+    met = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("band", "number", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc_id", "component", "signature", "tags")
+    dealt = lambda df: df.repartition("band", "i", "j").sortWithinPartitions("band", "number", "i", "j")
+    columns = ["doc_id", "component", "block", "signature", "tags"]
+
+    def worth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for at, held in groups_of(batches, columns):
+            group, wanted = Met(held), set()
+            for k in range(len(held) - 1):
+                if len(found := group.partners(k, at[1])):
+                    wanted.add(k)
+                    wanted.update(found.tolist())
+            if wanted:
+                out = pd.DataFrame([held[k] for k in sorted(wanted)], columns=columns)
+                yield out.assign(band=at[0], number=at[1], i=at[2], j=at[3])[[x.split()[0] for x in MET.split(", ")]]
+
+    some = cut(dealt(met).mapInPandas(worth, MET), "worth")
+    texts = picked(docs, some.select("doc_id").distinct())
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for at, held in groups_of(batches, [*columns, "text"]):
+            group, sets, up, out = Met(held), {}, {}, []
+
+            def root(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    x = y
+                return x
+
+            def own(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingles(held[k][5])
+                return sets[k]
+
+            for k in range(len(held) - 1):
+                for m in group.partners(k, at[1]).tolist():
+                    a, b = root(held[k][1]), root(held[m][1])
+                    if a != b and similar(own(k), own(m)):
+                        up[max(a, b)] = min(a, b)
+                        out.append((held[k][0], held[m][0]))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return cut(dealt(some.join(texts, "doc_id")).mapInPandas(linked, "a long, b long"), "links")
+
+
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents of ``ids``, by a broadcast of them while they are MAX_BROADCAST at most, else by a shuffled semi-join."""
+    ids = cut(ids, "ids")
+    few = ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -218,12 +275,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = sketches.filter("own IS NOT NULL AND doc_id IS NOT NULL")
     first = cut(full.groupBy("own").agg(F.min("doc_id").alias("rep")), "reps")
     member = cut(full.select("doc_id", "own").join(first, "own").select("doc_id", "rep").distinct(), "members")
-    classes = full.join(first.select(F.col("rep").alias("doc_id"), "own"), ["doc_id", "own"], "left_semi").select("doc_id", "signature", "bands").dropDuplicates(["doc_id", "signature"])
+    classes = full.join(first.select(F.col("rep").alias("doc_id"), "own"), ["doc_id", "own"], "left_semi").select("doc_id", "signature", "tags", "bands").dropDuplicates(["doc_id", "signature"])
     classes = cut(classes, "classes")
-    bands = cut(classes.select("doc_id", F.explode("bands").alias("band")), "bands")
+    bands = cut(classes.select("doc_id", F.posexplode("bands").alias("number", "band")), "bands")
     stars = best_centers(classes, bands)
     links = confirm(docs, stars)
-    rest = confirm(docs, across(classes, bands, components(links)))
+    rest = across(docs, classes, bands, components(links))
     same = member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     known = components(links.unionByName(rest).unionByName(same))
     joined = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left")
