@@ -35,10 +35,17 @@ TABLES = {
     "prompt": (("conv_id", "prompt", "completion"), {"turns": "array(struct('user' AS role, prompt AS text), struct('assistant' AS role, completion AS text))"}),
     "question": (("conv_id", "question", "response"), {"turns": "array(struct('user' AS role, question AS text), struct('assistant' AS role, response AS text))"}),
 }
+def pairs(*names: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+
 #: What JSON records are read as; each layout uses some of it.
-RECORD = T.StructType.fromDDL(
-    "messages ARRAY<STRUCT<role: STRING, content: STRING>>, conversations ARRAY<STRUCT<from: STRING, value: STRING>>,"
-    " instruction STRING, input STRING, output STRING, prompt STRING, completion STRING, question STRING, response STRING"
+RECORD = T.StructType(
+    [
+        T.StructField("messages", pairs("role", "content")),
+        T.StructField("conversations", pairs("from", "value")),
+        *(T.StructField(n, T.StringType()) for n in ("instruction", "input", "output", "prompt", "completion", "question", "response")),
+    ]
 )
 TURNS = "array<struct<role:string,text:string>>"
 
