@@ -1,9 +1,9 @@
-"""Registered queries over the driver's tables, each with its SQL."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import comment_plans, corpus_plans, funnel_plans, maintenance_plans, matrix_plans, retrieval_plans, source_plans, stream_plans  # noqa: F401  they register themselves
+from .registry import QUERIES, SQL
 
 
 def queries() -> dict:
