@@ -42,7 +42,7 @@ from .storage import cut
 from .suffix_array import previous_factors, sliding_minimum
 
 LENGTH, GRAM = 400, 64
-BLOCK, MANY = 128, 8192
+BLOCK, MANY = 256, 8192
 BUFFER = 1 << 20
 PIECE = 1 << 23
 MAX_BROADCAST = 2_000_000
@@ -101,7 +101,7 @@ def picked(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def fragments(docs: DataFrame, classes: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """fragment (hash), anchor, c1, c2, first, rep, bytes: a row per place of a repeated anchor; the bytes are null where the task has sent them already."""
+    """fragment (hash), anchor, c1, c2, first, rep, starts, bytes: a row per place of a repeated anchor; the bytes are null where the task has sent them already."""
     own = runs(docs, length, gram)
     listed = cut(own.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "anchor")).alias("runs")).join(classes.select(*KEY, "rep"), list(KEY)), "listed")
     # One row of each text: that of its smallest id.
@@ -110,7 +110,7 @@ def fragments(docs: DataFrame, classes: DataFrame, length: int = LENGTH, gram: i
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: set[bytes] = set()
-        names = ["fragment", "anchor", "c1", "c2", "first", "rep", "bytes"]
+        names = ["fragment", "anchor", "c1", "c2", "first", "rep", "starts", "bytes"]
         for batch in batches:
             out, size = [], 0
             for c1, c2, rep, text, found in batch.itertuples(index=False):
@@ -123,7 +123,7 @@ def fragments(docs: DataFrame, classes: DataFrame, length: int = LENGTH, gram: i
                     else:
                         sent.add(key)
                         size += len(part)
-                    out.append((key, r["anchor"], c1, c2, r["first"], rep, part))
+                    out.append((key, r["anchor"], c1, c2, r["first"], rep, r["last"] - r["first"] + 1, part))
                 if size > 1 << 24 or len(out) > 100_000:
                     yield pd.DataFrame(out, columns=names)
                     out, size = [], 0
@@ -131,7 +131,7 @@ def fragments(docs: DataFrame, classes: DataFrame, length: int = LENGTH, gram: i
                     sent.clear()
             yield pd.DataFrame(out, columns=names)
 
-    made = texts.select(*KEY, "rep", "text", "runs").mapInPandas(cut_out, "fragment binary, anchor long, c1 long, c2 long, first int, rep long, bytes binary")
+    made = texts.select(*KEY, "rep", "text", "runs").mapInPandas(cut_out, "fragment binary, anchor long, c1 long, c2 long, first int, rep long, starts int, bytes binary")
     return cut(made, "fragments")
 
 
@@ -144,10 +144,8 @@ def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
 SPANS = "fragment binary, spans array<struct<start:int,end:int>>"
 
 
-def matched(distinct: DataFrame, keep: str, length: int = LENGTH, block: int = BLOCK, many: int = MANY) -> DataFrame:
-    """fragment, spans: the starts of each fragment that match another one (an earlier one, if the first are kept); ``distinct``: fragment, anchor, order, bytes."""
-    counts = cut(distinct.groupBy("anchor").count().filter("count > 1"), "counts")
-    rows = distinct.join(counts, "anchor")
+def matched(rows: DataFrame, keep: str, length: int = LENGTH, block: int = BLOCK, many: int = MANY) -> DataFrame:
+    """fragment, spans: the starts of each fragment that match another one (an earlier one, if the first are kept); ``rows``: fragment, anchor, order, count (of the anchor's fragments), bytes."""
     usual = rows.filter(F.col("count") <= many)
     blocks = F.ceil(F.col("count") / block)
     usual = usual.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fragment"), "blocks"))
@@ -214,19 +212,21 @@ def counted(rows: DataFrame, keep: str, length: int = LENGTH) -> DataFrame:
 def repeats(docs: DataFrame, classes: DataFrame, keep: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """c1, c2, spans: [start, end) in bytes of what is to be removed of each text, as an only copy or the first one; they may overlap."""
     rows = fragments(docs, classes, length, gram)
-    places = cut(rows.select("fragment", *KEY, "first", "rep").distinct(), "places")
+    places = cut(rows.drop("bytes").distinct(), "places")
     order = F.struct("rep", *KEY, "first")
-    counts = places.groupBy("fragment").agg(F.count("*").alias("places"), F.min(order).alias("order"))
-    texts = rows.filter("bytes IS NOT NULL").select("fragment", "anchor", "bytes").dropDuplicates(["fragment"])
-    distinct = cut(texts.join(counts, "fragment"), "distinct")
-    spans = matched(distinct.select("fragment", "anchor", "order", "bytes"), keep, length).groupBy("fragment").agg(F.flatten(F.collect_set("spans")).alias("spans"))
-    starts = F.octet_length("bytes") - length + 1
-    known = distinct.select("fragment", "places", "order", starts.alias("starts")).join(spans, "fragment", "left").filter("places > 1 OR spans IS NOT NULL")
+    info = places.groupBy("fragment", "anchor", "starts").agg(F.count("*").alias("places"), F.min(order).alias("order"))
+    info = cut(info, "info")
+    # What is compared is settled before any bytes are dealt.
+    anchors = cut(info.groupBy("anchor").count().filter("count > 1"), "counts")
+    todo = cut(info.join(anchors, "anchor").select("fragment", "anchor", "order", "count"), "todo")
+    texts = rows.filter("bytes IS NOT NULL").select("fragment", "bytes").join(todo.hint("merge"), "fragment").dropDuplicates(["fragment"])
+    spans = cut(matched(texts, keep, length), "matched").groupBy("fragment").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    known = info.join(spans, "fragment", "left").filter("places > 1 OR spans IS NOT NULL").select("fragment", "places", "order", F.col("starts").alias("n"), "spans")
     known = cut(known, "known")
     again = F.col("places") > 1
     if keep == "first":
         again &= order != F.col("order")
-    both = places.join(known, "fragment").withColumn("spans", F.when(again, F.array(F.struct(F.lit(0).alias("start"), F.col("starts").alias("end")))).otherwise(F.col("spans")))
+    both = places.drop("starts", "anchor").join(known, "fragment").withColumn("spans", F.when(again, F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end")))).otherwise(F.col("spans")))
     moved = F.transform("spans", lambda s: F.struct((F.col("first") + s["start"]).alias("start"), (F.col("first") + s["end"] - 1 + length).alias("end")))
     return cut(both.filter("spans IS NOT NULL").select(*KEY, moved.alias("spans")).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
