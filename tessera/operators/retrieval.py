@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.text import tokens
 
@@ -149,7 +150,7 @@ def hybrid(docs: DataFrame, vectors: DataFrame, target: list[float], match: Matc
     return fuse(near, hits)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hashed_embedding(texts: pd.Series) -> pd.Series:
     """The default embedder, which is deterministic: counts of words hashed to 16 places, to unit length."""
     out = []

@@ -1 +1,337 @@
-"""Queries."""
+"""Queries of comments, thread topics, evidence and community ranking."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import comments as C
+from ..operators import community as Q
+from ..operators import evidence as V
+from ..operators import funnel as P
+from ..sources import tables as T
+from .registry import query
+
+D, CM = T.DOCS_SQL, T.COMMENTS_SQL
+
+
+def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = T.docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("channel"), F.col("doc_id") % 7)).alias("post_author"))
+    c = T.comments(spark, sf_dir).select("doc_id", "comment_id", F.when(F.col("kind") != "other", (F.col("comment_id") % 7).cast("string")).alias("author_id"))
+    return C.by_author(c, posts)
+
+
+SIDED = """s AS (SELECT c.conv_id AS doc_id, turn AS comment_id, CASE WHEN role <> 'system' THEN (turn % 7)::VARCHAR END AS a, CASE WHEN d.doc_id % 5 <> 0 THEN (d.doc_id % 7)::VARCHAR END AS own
+ FROM conversations c JOIN documents d ON d.doc_id = c.conv_id)"""
+
+
+@query(f"WITH {SIDED} SELECT doc_id, comment_id FROM s WHERE a = own")
+def comments_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sided(spark, sf_dir).filter("side = 'author'").select("doc_id", "comment_id")
+
+
+@query(f"WITH {SIDED} SELECT doc_id, comment_id FROM s WHERE own IS NULL OR a <> own")
+def comments_community(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sided(spark, sf_dir).filter("side = 'community'").select("doc_id", "comment_id")
+
+
+@query(f"WITH {CM} SELECT doc_id, count(*) FILTER (kind = 'author') AS author, count(*) FILTER (kind = 'community') AS community, count(*) FILTER (kind = 'other') AS other FROM comments WHERE trim(comment_text) <> '' GROUP BY doc_id")
+def comments_3way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    return T.comments(spark, sf_dir).filter(F.trim("comment_text") != "").groupBy("doc_id").agg(*map(of, ("author", "community", "other")))
+
+
+@query(f"WITH {CM} SELECT doc_id, comment_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE kind WHEN 'author' THEN 0 WHEN 'community' THEN 1 ELSE 2 END, comment_id) AS place FROM comments QUALIFY place <= 3")
+def comment_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.capped(T.comments(spark, sf_dir), 3).select("doc_id", "comment_id", F.col("place").cast("long").alias("place"))
+
+
+def topic_json():
+    n = F.col("vec_id")
+    one = F.concat(F.lit('{"topic":"t'), n, F.lit('","keywords":["k1","k2"],"key_phrases":["p '), n, F.lit('"],"context":"c"}'))
+    return F.when(n % 4 == 0, F.concat(F.lit("["), one, F.lit("]"))).when(n % 4 == 1, F.concat(F.lit('{"drift_topics":['), one, F.lit("]}"))).when(n % 4 == 2, F.concat(F.lit('{"drift_topics":{"drift_topics":['), one, F.lit("]}}"))).otherwise(F.lit("broken"))
+
+
+@query("SELECT vec_id, (vec_id % 4 < 3)::INT AS n_topics, CASE WHEN vec_id % 4 < 3 THEN 't' || vec_id END AS topic FROM embeddings")
+def topics_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.vectors(spark, sf_dir).select("vec_id", C.parsed_topics(topic_json()).alias("t"))
+    return rows.select("vec_id", F.coalesce(F.size("t"), F.lit(0)).alias("n_topics"), F.get("t", F.lit(0)).getField("topic").alias("topic")).select("vec_id", F.greatest("n_topics", F.lit(0)).alias("n_topics"), "topic")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 4 = 2")
+def topics_unnest_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose topics are nested twice, which are rewritten."""
+    inner = F.get_json_object(topic_json(), "$.drift_topics.drift_topics")
+    return T.vectors(spark, sf_dir).filter(inner.isNotNull()).select("vec_id")
+
+
+@query("SELECT vec_id, 't' || vec_id || ' k1 k2 p ' || vec_id || ' c' AS text FROM embeddings WHERE vec_id % 4 < 3")
+def topic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.vectors(spark, sf_dir).select("vec_id", F.explode(C.parsed_topics(topic_json())).alias("t"))
+    return rows.select("vec_id", C.topic_text(F.col("t")).alias("text"))
+
+
+DOT = "list_sum(list_transform(range(1, 65), lambda i: v.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE))"
+
+
+@query(f"""WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 7), s AS (SELECT v.vec_id, label, {DOT} AS similarity FROM embeddings v, q)
+SELECT label, vec_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS r FROM s) WHERE r <= 20 AND similarity >= 0.1""")
+def topic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .retrieval_plans import target
+
+    groups = T.vectors(spark, sf_dir).select(F.col("vec_id").alias("group_id"), F.col("label").alias("source_id"), "embedding")
+    found = C.similar_topics(groups, target(spark, sf_dir), 20, 0.1)
+    return found.select(F.col("source_id").alias("label"), F.col("group_id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT label, bool_and(vec_id % 50 <> 3) AS by_vectors FROM embeddings GROUP BY label")
+def topic_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all groups of a source have vectors (here those of a remainder of 3 have none)."""
+    v = T.vectors(spark, sf_dir).withColumn("embedding", F.when(F.col("vec_id") % 50 != 3, F.col("embedding")))
+    return v.groupBy("label").agg(F.bool_and(F.col("embedding").isNotNull()).alias("by_vectors"))
+
+
+@query("SELECT vec_id, round(CASE WHEN vec_id % 9 = 0 THEN NULL ELSE 1.0 END, 6) AS norm2 FROM embeddings")
+def vec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = T.vectors(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x * (F.col("vec_id") % 9)).alias("e"))
+    return v.select("vec_id", F.round(C.dot(C.normalised(F.col("e")), C.normalised(F.col("e"))), 6).alias("norm2"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE label = 1 AND vec_id % 2 = 0 ORDER BY vec_id LIMIT 10")
+def topics_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.vectors(spark, sf_dir).filter("label = 1 AND vec_id % 2 = 0").orderBy("vec_id").limit(10).select("vec_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'valid' WHEN event_id % 3 = 1 THEN 'fixed' ELSE 'unrecoverable' END AS state FROM events")
+def json_repair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.raw(spark, sf_dir, "events").select("event_id", "props")
+    text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.lit("{k: 1, b: [2]}")).otherwise(F.lit("{k: "))
+    fixed = C.repaired_json(text)
+    return e.select("event_id", F.when(fixed.isNull(), "unrecoverable").when(fixed == text, "valid").otherwise("fixed").alias("state"))
+
+
+@query(f"""WITH {D}, q AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'pending' WHEN doc_id % 4 = 1 THEN 'checked' ELSE 'none' END AS state, 1 AS v FROM docs UNION ALL
+ SELECT doc_id, CASE WHEN doc_id IN (SELECT conv_id FROM conversations) THEN 'checked' ELSE 'no-comments' END, 2 FROM docs WHERE doc_id % 4 = 0) SELECT doc_id, arg_max(state, v) AS state FROM q GROUP BY doc_id""")
+def topic_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending groups are worked on: checked if they have comments, else marked as without; the latest state of each holds."""
+    ids = T.docs(spark, sf_dir).select("doc_id")
+    n = F.col("doc_id") % 4
+    before = ids.select("doc_id", F.when(n == 0, "pending").when(n == 1, "checked").otherwise("none").alias("state"), F.lit(1).alias("v"))
+    has = T.comments(spark, sf_dir).select("doc_id", F.lit(True).alias("has")).distinct()
+    after = before.filter("state = 'pending'").join(has, "doc_id", "left").select("doc_id", F.when(F.col("has"), "checked").otherwise("no-comments").alias("state"), F.lit(2).alias("v"))
+    return C.latest(before.unionByName(after), ["doc_id"], [F.desc("v")]).select("doc_id", "state")
+
+
+# Evidence.
+
+TERMS = {"practitioner": ["ouren", "blethe"], "announcement": ["eral", "released"], "analysis": ["thion", "ction"]}
+LOW = ["thanks", "the"]
+STYPE = f"CASE WHEN {X.any_sql('t', TERMS['practitioner'])} THEN 'practitioner_experience' WHEN {X.any_sql('t', TERMS['announcement'])} THEN 'announcement' WHEN {X.any_sql('t', TERMS['analysis'])} THEN 'analysis' WHEN c > 0 AND c < 360 THEN 'mention' ELSE 'unknown' END"
+EV = f"""x AS (SELECT doc_id, lower(text) AS t, length(trim(text)) AS c, CASE WHEN n >= 2400 THEN 'HIGH' ELSE 'MEDIUM' END AS rel FROM docs),
+cc AS (SELECT doc_id, count(*) FILTER (kind = 'author') AS a, count(*) FILTER (kind = 'community') AS m,
+ avg(CASE WHEN kind = 'community' THEN (len(list_filter(string_split_regex(lower(trim(comment_text)), '\\s+'), lambda w: w <> '')) <= 4 OR {X.any_sql('lower(trim(comment_text))', LOW)})::INT END) AS noise FROM comments GROUP BY doc_id),
+y AS (SELECT x.*, coalesce(a, 0) AS a, coalesce(m, 0) AS m, coalesce(noise, 0) AS noise, {STYPE} AS kind FROM x LEFT JOIN cc USING (doc_id)),
+z AS (SELECT *, CASE WHEN a > 0 AND m > 0 THEN 'mixed' WHEN a > 0 THEN 'author_support' WHEN m > 0 AND noise >= 0.7 THEN 'mostly_noise' WHEN m > 0 THEN 'community_support' ELSE 'none' END AS signal,
+ CASE WHEN kind IN ('announcement', 'mention') THEN 'shallow' WHEN kind = 'practitioner_experience' AND (rel = 'HIGH' OR a > 0 OR c >= 260) THEN 'deep_practical' WHEN kind = 'analysis' AND c >= 700 THEN 'deep_practical'
+ WHEN c >= 450 OR a + m > 0 OR rel = 'HIGH' THEN 'moderate' WHEN c > 0 THEN 'shallow' ELSE 'unknown' END AS depth FROM y)"""
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noise = F.avg(F.when(F.col("kind") == "community", V.is_noise(F.col("comment_text"), LOW).cast("int")))
+    of = lambda k: F.count_if(F.col("kind") == k)
+    c = T.comments(spark, sf_dir).groupBy("doc_id").agg(of("author").alias("a"), of("community").alias("m"), noise.alias("noise"))
+    d = T.docs(spark, sf_dir).select("doc_id", F.lower("text").alias("t"), F.char_length(F.trim("text")).alias("c"), F.when(F.col("n") >= 2400, "HIGH").otherwise("MEDIUM").alias("rel"))
+    rows = d.join(c, "doc_id", "left").fillna(0, ["a", "m", "noise"])
+    rows = rows.withColumn("kind", V.source_type(F.col("t"), F.col("c"), F.lit(0), TERMS)).withColumn("signal", V.comment_signal(F.col("a"), F.col("m"), F.col("noise")))
+    return rows.withColumn("depth", V.depth(F.col("kind"), F.col("rel"), F.col("c"), F.col("a"), F.col("m")))
+
+
+@query(f"""WITH {D}, {CM}, {EV} SELECT doc_id, kind, signal, depth, CASE WHEN depth = 'deep_practical' AND rel = 'HIGH' AND signal IN ('author_support', 'mixed', 'community_support') THEN 'high'
+ WHEN rel = 'HIGH' AND signal IN ('author_support', 'mixed', 'community_support') AND depth <> 'unknown' THEN 'medium' WHEN depth = 'shallow' OR kind IN ('announcement', 'mention') THEN 'low'
+ WHEN rel = 'HIGH' OR depth IN ('deep_practical', 'moderate') THEN 'medium' ELSE 'low' END AS confidence FROM z""")
+def evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return evidence(spark, sf_dir).select("doc_id", "kind", "signal", "depth", V.confidence(c("kind"), c("depth"), c("rel"), c("signal")).alias("confidence"))
+
+
+@query(f"""WITH {D}, {CM}, {EV} SELECT doc_id, array_to_string(list_filter([CASE WHEN depth = 'shallow' THEN 'short or announcement-like source' END, CASE WHEN kind IN ('announcement', 'tool_release') THEN 'announcement/release signal, not deep analysis' END,
+ CASE WHEN signal = 'mostly_noise' THEN 'comments mostly noise' WHEN signal <> 'none' THEN 'comments: ' || signal END], lambda s: s IS NOT NULL), '; ') AS notes FROM z""")
+def evidence_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence(spark, sf_dir).select("doc_id", V.notes(F.col("kind"), F.col("depth"), F.col("signal"), F.lit(0)).alias("notes"))
+
+
+@query(f"WITH {D}, {CM}, {EV} SELECT doc_id FROM z WHERE signal = 'mostly_noise'")
+def comments_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence(spark, sf_dir).filter("signal = 'mostly_noise'").select("doc_id")
+
+
+@query("SELECT page_id AS doc_id, u AS url, label FROM (SELECT page_id, unnest([regexp_replace(url, '[()]', '', 'g'), 'https://example.com/b_(c)']) AS u, unnest(['a page', '']) AS label FROM pages)")
+def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = F.regexp_replace("url", "[()]", "")
+    text = F.concat(F.lit("See [a page]("), clean, F.lit(") and https://example.com/b_(c). Also https://example.com/b_(c), ok"))
+    return V.links_of(T.raw(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), text.alias("text"))).select("doc_id", "url", "label")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'rate_limit' WHEN 'click' THEN 'timeout' WHEN 'view' THEN 'server' ELSE 'unknown' END AS class FROM events")
+def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("event_type")
+    said = F.when(t == "error", "HTTP 429: quota").when(t == "click", "Read timed out").when(t == "view", "503 unavailable").otherwise("odd")
+    return T.raw(spark, sf_dir, "events").select("event_id", V.error_class(said).alias("class"))
+
+
+@query("""WITH c AS (SELECT doc_id AS case_id, unnest([2.0, 1.0, 1.0]) AS weight, unnest([least(length(text) / 2000.0, 1.0), contains(lower(text), 'the')::INT::DOUBLE, contains(text, '.')::INT::DOUBLE]) AS score, unnest([false, true, false]) AS critical FROM documents)
+SELECT case_id, round(sum(weight * score) / sum(weight), 6) AS score, round(sum(weight * score) / sum(weight), 6) >= 0.7 AND NOT bool_or(critical AND score < 0.5) AS passed FROM c GROUP BY case_id""")
+def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = T.docs(spark, sf_dir)
+    one = lambda w, s, critical: F.struct(F.lit(w).alias("weight"), s.cast("double").alias("score"), F.lit(critical).alias("critical"))
+    checks = F.array(one(2.0, F.least(F.col("n") / 2000, F.lit(1.0)), False), one(1.0, F.contains(F.lower("text"), F.lit("the")).cast("int"), True), one(1.0, F.contains("text", F.lit(".")).cast("int"), False))
+    return V.quality(d.select(F.col("doc_id").alias("case_id"), F.explode(checks).alias("c")).select("case_id", "c.*"))
+
+
+@query("SELECT k.doc_id, d.doc_id IS NOT NULL AS found, left(d.text, 50) AS head FROM (VALUES (1), (5), (99999999)) k(doc_id) LEFT JOIN documents d ON d.doc_id = k.doc_id")
+def expand_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.createDataFrame([(1,), (5,), (99999999,)], "doc_id int")
+    d = T.docs(spark, sf_dir).select(F.col("doc_id").alias("k"), F.substring("text", 1, 50).alias("head"))
+    return F.broadcast(keys).join(d, F.col("doc_id") == F.col("k"), "left").select("doc_id", F.col("k").isNotNull().alias("found"), "head")
+
+
+@query(f"WITH {CM} SELECT source AS source_id, count(DISTINCT d.doc_id) AS docs, least(count(c.comment_id), 5) AS kept, greatest(count(c.comment_id) - 5, 0) AS omitted FROM documents d LEFT JOIN comments c USING (doc_id) GROUP BY 1")
+def digest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.docs(spark, sf_dir).select("doc_id", "source_id").join(T.comments(spark, sf_dir).select("doc_id", "comment_id"), "doc_id", "left")
+    n = F.count("comment_id")
+    return rows.groupBy("source_id").agg(F.count_distinct("doc_id").alias("docs"), F.least(n, F.lit(5)).alias("kept"), F.greatest(n - 5, F.lit(0)).alias("omitted"))
+
+
+@query("SELECT doc_id, CASE quality WHEN 1 THEN 'strong' ELSE 'weak' END AS support, 'src0' AS sources FROM labels WHERE toxic = 0")
+def digest_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals with a claim, a known level of support, and known sources only."""
+    s = T.raw(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 0, "claim").otherwise("").alias("claim"), F.when(F.col("quality") == 1, "strong").otherwise("odd").alias("support"), F.array(F.lit("src0"), F.lit("unknown")).alias("sources"))
+    return s.filter("claim <> ''").select("doc_id", F.when(F.col("support").isin("strong", "medium"), F.col("support")).otherwise("weak").alias("support"), F.array_join(F.array_intersect("sources", F.array(F.lit("src0"), F.lit("src1"))), ",").alias("sources"))
+
+
+@query("SELECT doc_id, min(p) AS place FROM (SELECT doc_id, 1 AS p FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 3 FROM labels) GROUP BY doc_id")
+def artifact_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of three lists, each key from the first list that has it."""
+    from ..operators.maintenance import prioritised
+
+    d = T.docs(spark, sf_dir).select("doc_id")
+    parts = [d.filter("doc_id % 2 = 0"), d.filter("doc_id % 3 = 0"), T.raw(spark, sf_dir, "labels").select("doc_id")]
+    return prioritised(parts, "doc_id").select("doc_id", (F.col("priority") + 1).alias("place"))
+
+
+# Community ranking.
+
+POSTS = "ps AS (SELECT doc_id AS post_id, split_part(text, chr(10), 1) AS title, text AS body, doc_id * 13 % 200 AS votes, doc_id * 7 % 60 AS replies, doc_id * 37 % 700 AS age, source AS grp FROM documents)"
+WORDS, ANCHORS, KEYS, FIXES, PROMO = ["the", "thin", "reth"], ["ouren", "bleth"], ["eral", "tion"], ["ing", "solution"], ["buy", "erth"]
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = T.raw(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("post_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), (F.col("doc_id") * 13 % 200).alias("votes"), (F.col("doc_id") * 7 % 60).alias("replies"), (F.col("doc_id") * 37 % 700).alias("age"), F.col("source").alias("grp"))
+
+
+V1 = f"""(CASE WHEN grp = 'src0' THEN 3 ELSE 1 END) * 10 + (CASE WHEN age < 365 THEN 10 * (1 - age / 365.0::DOUBLE) ELSE 0 END) + least(votes / sqrt(greatest(age, 1)) / 10, 30) + least(replies / 5, 10)
+ - {X.n_sql('lower(title)', Q.CLICKBAIT)} * 3 + {X.n_sql('lower(title)', Q.TECHNICAL)} * 2"""
+
+
+@query(f"WITH {POSTS} SELECT post_id, round({V1}, 6) AS score FROM ps")
+def score_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, priority = F.col, F.when(F.col("grp") == "src0", 3).otherwise(1)
+    return posts(spark, sf_dir).select("post_id", F.round(Q.simple_score(c("title"), c("votes"), c("replies"), c("age"), priority), 6).alias("score"))
+
+
+BOTH = "concat_ws(' ', lower(title), lower(body))"
+V2 = f"""greatest(0.0, least(least(({X.n_sql('lower(title)', WORDS)} * 0.65 + {X.n_sql('lower(body)', WORDS)} * 0.30) / 3, 1.0)::DOUBLE * 0.58 + least({X.n_sql(BOTH, KEYS)} * 0.08, 0.24)::DOUBLE
+ + (CASE WHEN {X.any_sql(BOTH, FIXES)} THEN 0.10 ELSE 0 END) + least(ln(1 + votes) / 8, 0.18) + least(ln(1 + replies) / 10, 0.10)
+ - (CASE WHEN {X.n_sql(BOTH, ANCHORS)} = 0 THEN 0.28 WHEN {X.n_sql(BOTH, ANCHORS)} = 1 THEN 0.10 ELSE 0 END) - (CASE WHEN {X.any_sql('lower(title)', PROMO)} THEN 0.35 ELSE 0 END)
+ - (CASE WHEN votes <= 1 AND replies <= 2 AND length(body) < 120 THEN 0.12 ELSE 0 END), 1.4))"""
+
+
+def precise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return posts(spark, sf_dir).withColumn("score", Q.precise_score(c("title"), c("body"), c("votes"), c("replies"), WORDS, ANCHORS, KEYS, FIXES, PROMO))
+
+
+@query(f"WITH {POSTS} SELECT post_id, round({V2}, 6) AS score FROM ps")
+def score_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return precise(spark, sf_dir).select("post_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {POSTS}, s AS (SELECT post_id, grp, round({V2}, 9) AS score FROM ps), w AS (SELECT *, max(score) OVER (PARTITION BY grp) >= 0.52 AS st, row_number() OVER (PARTITION BY grp ORDER BY score DESC, post_id) AS k FROM s) SELECT grp, post_id FROM w WHERE CASE WHEN st THEN score >= 0.52 ELSE score >= 0.44 AND k <= 4 END")
+def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.gated(precise(spark, sf_dir).withColumn("score", F.round("score", 9)), "grp").select("grp", "post_id")
+
+
+NK = X.n_sql("lower(title)", KEYS)
+BOOST = f"((CASE WHEN post_id % 10 = 0 THEN 1.2::DOUBLE ELSE 1 END) * (CASE WHEN {NK} > 0 THEN least(1 + {NK} * 0.5, 3)::DOUBLE ELSE 1 END))"
+
+
+@query(f"WITH {POSTS} SELECT post_id, round(CASE WHEN post_id % 10 = 0 OR {BOOST} > 1.5 THEN (votes + replies * 2) * {BOOST} ELSE (votes + replies * 2) * {BOOST} / power(age * 24 + 2, 1.5) END, 6) AS score FROM ps")
+def hot_score_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return posts(spark, sf_dir).select("post_id", F.round(Q.hot_score(c("title"), c("votes"), c("replies"), c("age") * 24, KEYS, c("post_id") % 10 == 0), 6).alias("score"))
+
+
+@query(f"WITH {POSTS} SELECT post_id, round(coalesce(CASE WHEN post_id % 3 <> 0 THEN (post_id % 10) / 10.0::DOUBLE END, 0.5) * 0.72 + least({V2} / 1.4, 1.0) * 0.23 + least(ln(1 + votes + replies) / 8, 1.0) * 0.05, 6) AS score FROM ps")
+def rerank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ai = F.when(F.col("post_id") % 3 != 0, F.col("post_id") % 10 / 10)
+    return precise(spark, sf_dir).select("post_id", F.round(Q.blended(ai, F.col("score"), F.col("votes") + F.col("replies")), 6).alias("score"))
+
+
+@query(f"WITH {POSTS} SELECT post_id, row_number() OVER (ORDER BY votes + 2 * replies DESC, post_id) AS place FROM ps WHERE votes >= 5 ORDER BY place LIMIT 25")
+def proxy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = posts(spark, sf_dir).filter("votes >= 5").orderBy(F.desc(F.col("votes") + 2 * F.col("replies")), "post_id").limit(25)
+    return best.select("post_id", F.row_number().over(Window.orderBy(F.desc(F.col("votes") + 2 * F.col("replies")), "post_id")).cast("long").alias("place"))
+
+
+@query("SELECT post_id, max(votes) AS votes, string_agg(DISTINCT s, ',' ORDER BY s) AS strategies, arg_min(s, p) AS first_strategy FROM (SELECT doc_id AS post_id, doc_id * 13 % 200 AS votes, 'hot' AS s, doc_id % 5 AS p FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, doc_id * 17 % 90, 'new', 2.5 FROM documents WHERE doc_id % 3 = 0) GROUP BY post_id")
+def multi_strategy_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = posts(spark, sf_dir)
+    hot = p.filter("post_id % 2 = 0").select("post_id", "votes", "replies", "body", F.lit("hot").alias("strategy"), (F.col("post_id") % 5).cast("double").alias("pos"))
+    new = p.filter("post_id % 3 = 0").select("post_id", (F.col("post_id") * 17 % 90).alias("votes"), "replies", "body", F.lit("new").alias("strategy"), F.lit(2.5).alias("pos"))
+    return Q.merged(hot.unionByName(new)).select("post_id", "votes", "strategies", "first_strategy")
+
+
+@query()
+def dedup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.raw(spark, sf_dir, "pages").select(F.col("page_id").alias("post_id"), F.col("page_id").alias("pos"), "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    return Q.fuzzy_unique(p).select("post_id")
+
+
+@query("SELECT item_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')), lambda t: length(t) >= 3 AND t NOT IN ('the', 'and')))::INT AS n FROM benchmark")
+def terms_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.raw(spark, sf_dir, "benchmark").select("item_id", F.size(Q.terms(F.col("text"), ["the", "and"])).alias("n"))
+
+
+@query("SELECT '(llm OR \"large language model\") memory' AS expression")
+def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(Q.expanded("llm memory", {"llm": "large language model"}),)], "expression string")
+
+
+@query(f"WITH {POSTS}, r AS (SELECT grp, count(*) FILTER (contains(lower(body), 'reth')) AS hits FROM ps GROUP BY grp) SELECT grp, hits FROM r QUALIFY row_number() OVER (ORDER BY hits DESC, grp) <= 5")
+def subreddit_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five groups with the most posts for a keyword."""
+    by = posts(spark, sf_dir).groupBy("grp").agg(F.count_if(F.contains(F.lower("body"), F.lit("reth"))).alias("hits"))
+    return by.orderBy(F.desc("hits"), "grp").limit(5)
+
+
+@query("SELECT item_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS clean FROM benchmark")
+def text_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.raw(spark, sf_dir, "benchmark").select("item_id", F.trim(Q.sanitized(F.col("text"))).alias("clean"))
+
+
+@query("SELECT conv_id AS post_id, count(*) AS n, bool_or(role = 'assistant' AND contains(lower(text), 'the')) AS verified, max(least(turn, 3)) AS depth FROM conversations WHERE text <> '' GROUP BY conv_id")
+def comment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = T.raw(spark, sf_dir, "conversations").filter("text <> ''")
+    return c.groupBy(F.col("conv_id").alias("post_id")).agg(F.count("*").alias("n"), F.bool_or((F.col("role") == "assistant") & F.contains(F.lower("text"), F.lit("the"))).alias("verified"), F.max(F.least("turn", F.lit(3))).alias("depth"))
+
+
+@query("SELECT doc_id, CASE WHEN n >= 2400 THEN left(text, 500) WHEN n >= 600 OR lang IN (SELECT lang FROM documents WHERE length(text) >= 2400) THEN left(text, 100) END AS shown FROM (SELECT *, length(text) AS n FROM documents)")
+def video_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of high relevance in full, those of medium relevance or of a topic of a high one (here: the language) in short."""
+    d = P.with_relevance(T.docs(spark, sf_dir))
+    topics = d.filter("relevance = 'HIGH'").select("lang", F.lit(True).alias("hit")).distinct()
+    rows = d.join(topics, "lang", "left")
+    shown = F.when(F.col("relevance") == "HIGH", F.substring("text", 1, 500)).when((F.col("relevance") == "MEDIUM") | F.col("hit"), F.substring("text", 1, 100))
+    return rows.select("doc_id", shown.alias("shown"))
