@@ -1 +1,79 @@
-"""Queries."""
+"""Queries of sync, retention and integrity."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import maintenance as M
+from ..operators.comments import latest
+from ..sources import tables as T
+from .registry import query
+
+D, L = T.DOCS_SQL, T.LINKS_SQL
+CUT = "2025-01-01 00:00:00"
+BUCKET = f"""WITH {D}, {L}, nw AS (SELECT doc_id FROM docs WHERE created_at >= TIMESTAMP '{CUT}'), ti AS (SELECT dst AS doc_id FROM links WHERE src IN (SELECT doc_id FROM nw) UNION SELECT src FROM links WHERE dst IN (SELECT doc_id FROM nw)),
+bk AS (SELECT doc_id, source_id, created_at, CASE WHEN created_at >= TIMESTAMP '{CUT}' THEN 'new' WHEN doc_id IN (SELECT doc_id FROM ti) THEN 'linked' ELSE 'delete' END AS bucket FROM docs)"""
+
+
+def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.prune_buckets(T.docs(spark, sf_dir).select("doc_id", "source_id", "created_at"), T.links(spark, sf_dir), CUT)
+
+
+@query(f"{BUCKET} SELECT doc_id, bucket FROM bk")
+def prune_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets(spark, sf_dir).select("doc_id", "bucket")
+
+
+@query(f"{BUCKET} SELECT (SELECT count(*) FROM bk WHERE bucket = 'delete') AS docs, (SELECT count(*) FROM conversations WHERE conv_id IN (SELECT doc_id FROM bk WHERE bucket = 'delete')) AS comments, (SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM bk WHERE bucket = 'delete')) AS vectors")
+def prune_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = buckets(spark, sf_dir).filter("bucket = 'delete'").select("doc_id")
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    vectors = T.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"))
+    return n(gone, "docs").crossJoin(n(T.comments(spark, sf_dir).join(gone, "doc_id", "left_semi"), "comments")).crossJoin(n(vectors.join(gone, "doc_id", "left_semi"), "vectors"))
+
+
+@query(f"{BUCKET} SELECT conv_id AS doc_id, turn AS comment_id FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM bk WHERE bucket = 'delete')")
+def prune_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = buckets(spark, sf_dir).filter("bucket = 'delete'").select("doc_id")
+    return T.comments(spark, sf_dir).join(gone, "doc_id", "left_anti").select("doc_id", "comment_id")
+
+
+@query(f"{BUCKET} SELECT source_id, count(*) AS n, strftime(min(created_at), '%Y-%m-%d') AS first, strftime(max(created_at), '%Y-%m-%d') AS last FROM bk WHERE created_at < TIMESTAMP '{CUT}' GROUP BY 1")
+def prune_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    old = T.docs(spark, sf_dir).filter(F.col("created_at") < F.lit(CUT).cast("timestamp_ntz"))
+    return old.groupBy("source_id").agg(F.count("*").alias("n"), day(F.min("created_at")).alias("first"), day(F.max("created_at")).alias("last"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.orphans(T.vectors(spark, sf_dir).select("vec_id"), "vec_id", T.raw(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(f"{BUCKET} SELECT source_id, count(*) AS before, count(*) FILTER (bucket <> 'delete') AS after, count(*) FILTER (bucket = 'delete') AS removed FROM bk GROUP BY 1 HAVING removed > 0")
+def diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = buckets(spark, sf_dir)
+    return M.diff_counts(b, b.filter("bucket <> 'delete'"), "source_id")
+
+
+@query("SELECT conv_id AS doc_id, role AS author, arg_max(turn, turn) AS comment_id FROM conversations GROUP BY ALL")
+def comment_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One comment per document and author, the last one."""
+    c = T.comments(spark, sf_dir).select("doc_id", F.col("role").alias("author"), "comment_id")
+    return latest(c, ["doc_id", "author"], [F.desc("comment_id")])
+
+
+@query("SELECT DISTINCT source AS source_id FROM documents UNION SELECT 'src-new'")
+def add_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources with a new one, which must not be there yet."""
+    known = T.docs(spark, sf_dir).select("source_id").distinct()
+    new = spark.createDataFrame([("src-new",)], "source_id string").join(known, "source_id", "left_anti")
+    return known.unionByName(new)
+
+
+@query("SELECT doc_id, min(priority)::INT AS priority FROM (SELECT doc_id, 0 AS priority FROM labels WHERE toxic = 1 UNION ALL SELECT conv_id, 1 FROM conversations UNION ALL SELECT vec_id, 2 FROM embeddings) GROUP BY 1")
+def topics_dedupe_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lists one after another, each key from the first list that has it."""
+    parts = [T.raw(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), T.comments(spark, sf_dir).select("doc_id"), T.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"))]
+    return M.prioritised(parts, "doc_id").select("doc_id", "priority")

@@ -1 +1,171 @@
-"""Queries."""
+"""Queries of the knowledge matrix and candidate evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import matrix as X
+from ..sources import tables as T
+from .registry import query
+
+#: Contributions of nations (sources) to cells of segment, priority and status, scored from 0 to 5 by bounded aggregates.
+BASE = """base AS (SELECT n_name AS source_id, c_mktsegment AS domain, o_orderpriority AS subdomain, o_orderstatus AS intent, count(*) AS k, avg(o_totalprice) AS price, max(o_orderkey) % 100 AS h
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 5 = 0 GROUP BY ALL),
+con AS (SELECT source_id, domain, CASE subdomain WHEN '4-NOT SPECIFIED' THEN '5-LOW' ELSE subdomain END AS subdomain, intent, CASE WHEN k >= 2 AND h >= 30 THEN 'primary' WHEN h < 5 THEN 'weak' ELSE 'secondary' END AS role,
+ least(5.0, 2 + k)::DOUBLE AS utility, least(5.0, 1 + h / 20)::DOUBLE AS evidence, (h % 5 + 1)::DOUBLE AS depth, least(5.0, 3 + k / 2)::DOUBLE AS practicality, least(5.0, round(price / 100000))::DOUBLE AS novelty, (h % 11) / 10.0::DOUBLE AS confidence, h % 4 AS refs FROM base),
+sc AS (SELECT *, domain || '/' || subdomain || '/' || intent AS cell_id, round((utility * 1.3::DOUBLE + evidence * 1.2::DOUBLE + depth + practicality + novelty * 0.8::DOUBLE) / 5.3::DOUBLE, 3) AS score FROM con),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY cell_id, source_id ORDER BY score DESC, role = 'primary' DESC, confidence DESC, cell_id, intent) = 1)"""
+COVER = "CASE WHEN sources = 0 THEN 'none' WHEN primary_sources >= 2 AND best >= 4.3 THEN 'strong_multi_source' WHEN primary_sources >= 1 AND best >= 4.3 THEN 'strong_single_source' WHEN best >= 3.5 THEN 'moderate' ELSE 'thin' END"
+RED = "CASE WHEN strong >= 4 THEN 'high' WHEN strong = 3 THEN 'medium' WHEN strong = 2 THEN 'low' WHEN sources > 0 THEN 'single_source' ELSE 'none' END"
+CELLS = f"cells AS (SELECT cell_id, count(*) AS sources, count(*) FILTER (role = 'primary') AS primary_sources, max(score) AS best, count(*) FILTER (score >= 4.0) AS strong FROM best GROUP BY cell_id), cl AS (SELECT *, {COVER} AS coverage, {RED} AS redundancy FROM cells)"
+
+
+def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = lambda n: T.raw(spark, sf_dir, n)
+    o = raw("orders").filter("o_orderkey % 5 = 0").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    joined = o.join(raw("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(raw("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    base = joined.groupBy(F.col("n_name").alias("source_id"), F.col("c_mktsegment").alias("domain"), F.col("o_orderpriority").alias("subdomain"), F.col("o_orderstatus").alias("intent")).agg(
+        F.count("*").alias("k"), F.avg("o_totalprice").alias("price"), (F.max("o_orderkey") % 100).alias("h")
+    )
+    k, h, five = F.col("k"), F.col("h"), F.lit(5.0)
+    role = F.when((k >= 2) & (h >= 30), "primary").when(h < 5, "weak").otherwise("secondary")
+    cells = base.select(
+        "source_id", "domain", "subdomain", "intent", role.alias("role"), F.least(five, 2.0 + k).alias("utility"), F.least(five, 1 + h / 20).alias("evidence"), (h % 5 + 1).cast("double").alias("depth"),
+        F.least(five, 3 + k / 2).alias("practicality"), F.least(five, F.round(F.col("price") / 100000)).alias("novelty"), (h % 11 / 10).alias("confidence"), (h % 4).alias("refs"), F.array("intent").alias("intents"),
+    )
+    aliases = spark.createDataFrame([("subdomain", "4-NOT SPECIFIED", "5-LOW")], "kind string, name string, canonical string")
+    rows = X.normalised(cells, aliases)
+    return rows.withColumn("cell_id", F.concat_ws("/", "domain", "subdomain", "intent")).withColumn("score", X.weighted_score())
+
+
+@query(f"WITH {BASE} SELECT source_id, cell_id, role, score FROM sc")
+def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contributions(spark, sf_dir).select("source_id", "cell_id", "role", "score")
+
+
+@query(f"WITH {BASE} SELECT source_id, cell_id, score FROM best")
+def best_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.best_per_source(contributions(spark, sf_dir), ["cell_id"]).select("source_id", "cell_id", "score")
+
+
+@query(f"WITH {BASE} SELECT cell_id, source_id, score, row_number() OVER (PARTITION BY cell_id ORDER BY score DESC, confidence DESC, source_id) AS rank FROM best QUALIFY rank <= 5")
+def best_sources_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.retrieval import top
+
+    best = X.best_per_source(contributions(spark, sf_dir), ["cell_id"])
+    return top(best, 5, [F.desc("score"), F.desc("confidence"), F.col("source_id")], by="cell_id").select("cell_id", "source_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {BASE} SELECT cell_id, metric, round(avg(v), 3) AS mean, max(v) AS most FROM (UNPIVOT (SELECT cell_id, utility, evidence, depth, practicality, novelty FROM best) ON utility, evidence, depth, practicality, novelty INTO NAME metric VALUE v) GROUP BY ALL")
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = X.best_per_source(contributions(spark, sf_dir), ["cell_id"]).select("cell_id", *X.METRICS)
+    return best.unpivot("cell_id", list(X.METRICS), "metric", "v").groupBy("cell_id", "metric").agg(F.round(F.avg("v"), 3).alias("mean"), F.max("v").alias("most"))
+
+
+@query(f"WITH {BASE}, {CELLS} SELECT cell_id, sources, primary_sources, best, coverage, redundancy FROM cl")
+def matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.cells_of(contributions(spark, sf_dir)).select("cell_id", "sources", "primary_sources", "best", "coverage", "redundancy")
+
+
+ROLL = f"""k AS (SELECT *, 'domain' AS kind, domain AS rollup_id FROM sc UNION ALL SELECT *, 'domain_intent', domain || '/' || intent FROM sc UNION ALL SELECT *, 'intent', intent FROM sc),
+kb AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY kind, rollup_id, source_id ORDER BY score DESC, role = 'primary' DESC, confidence DESC, cell_id, intent) = 1),
+ra AS (SELECT kind, rollup_id, count(DISTINCT source_id) AS sources, count(DISTINCT cell_id) AS cells, count(*) AS contributions FROM k GROUP BY ALL),
+rb AS (SELECT kind, rollup_id, max(score) AS best, count(*) FILTER (role = 'primary') AS primary_sources, count(*) FILTER (score >= 4.0) AS strong FROM kb GROUP BY ALL),
+ro AS (SELECT *, {COVER} AS coverage, {RED} AS redundancy, CASE WHEN cells > 1 AND sources > 1 THEN 'related_multi_source' WHEN cells = 1 AND sources > 1 THEN 'exact_multi_source' WHEN cells > 1 AND sources = 1 THEN 'single_expert_multi_cell' WHEN sources > 0 THEN 'single_source' ELSE 'none' END AS overlap FROM ra JOIN rb USING (kind, rollup_id))"""
+
+
+@query(f"WITH {BASE}, {ROLL} SELECT kind, rollup_id, sources, cells, contributions, best, coverage, redundancy FROM ro")
+def matrix_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.rollups(contributions(spark, sf_dir)).select("kind", "rollup_id", "sources", "cells", "contributions", "best", "coverage", "redundancy")
+
+
+@query(f"WITH {BASE}, {ROLL} SELECT kind, rollup_id, overlap FROM ro")
+def rollup_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.rollups(contributions(spark, sf_dir)).select("kind", "rollup_id", "overlap")
+
+
+@query(f"WITH {BASE} SELECT DISTINCT 'subdomain' AS kind, subdomain AS value, cell_id FROM sc WHERE subdomain NOT IN ('1-URGENT', '2-HIGH')")
+def taxonomy_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    core = spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "subdomain string")
+    return contributions(spark, sf_dir).join(F.broadcast(core), "subdomain", "left_anti").select(F.lit("subdomain").alias("kind"), F.col("subdomain").alias("value"), "cell_id").distinct()
+
+
+@query(f"WITH {BASE}, {CELLS} SELECT count(*) AS cells, count(*) FILTER (coverage = 'strong_multi_source') AS strong_multi, count(*) FILTER (coverage = 'moderate') AS moderate, count(*) FILTER (coverage = 'thin') AS thin, count(*) FILTER (redundancy = 'high') AS redundant FROM cl")
+def matrix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda c, v: F.count_if(F.col(c) == v)
+    return X.cells_of(contributions(spark, sf_dir)).agg(
+        F.count("*").alias("cells"), of("coverage", "strong_multi_source").alias("strong_multi"), of("coverage", "moderate").alias("moderate"), of("coverage", "thin").alias("thin"), of("redundancy", "high").alias("redundant")
+    )
+
+
+LOO = """oth AS (SELECT b.*, (SELECT count(*) FROM best x WHERE x.cell_id = b.cell_id AND x.source_id <> b.source_id) AS n_oth, coalesce((SELECT max(score) FROM best x WHERE x.cell_id = b.cell_id AND x.source_id <> b.source_id), 0) AS best_oth,
+ (SELECT count(*) FROM best x WHERE x.cell_id = b.cell_id AND x.source_id <> b.source_id AND x.role = 'primary') AS p_oth, (SELECT count(DISTINCT source_id) FROM best x WHERE x.domain = b.domain AND x.intent = b.intent) AS area FROM best b),
+im AS (SELECT *, CASE WHEN n_oth = 0 THEN 'none' WHEN p_oth >= 2 AND best_oth >= 4.3 THEN 'strong_multi_source' WHEN p_oth >= 1 AND best_oth >= 4.3 THEN 'strong_single_source' WHEN best_oth >= 3.5 THEN 'moderate' ELSE 'thin' END AS cov FROM oth),
+ic AS (SELECT *, CASE WHEN role IN ('weak', 'avoid') OR score < 3.3 THEN 'noise_risk' WHEN round(confidence * 5, 3) < 3 THEN 'needs_probe' WHEN refs = 0 THEN 'needs_probe' WHEN subdomain = '3-MEDIUM' THEN 'taxonomy_extension'
+ WHEN n_oth > 0 AND (cov IN ('thin', 'moderate') OR score >= best_oth + 0.25) THEN 'deepens_existing_cell' WHEN n_oth > 0 THEN 'likely_duplicate' WHEN area > 1 AND role = 'primary' AND score >= 4.0 THEN 'adds_adjacent_viewpoint'
+ WHEN area > 1 THEN 'needs_probe' WHEN role = 'primary' AND score >= 4.0 THEN 'fills_gap' ELSE 'needs_probe' END AS class FROM im)"""
+
+
+def impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as a candidate against all others."""
+    rows = X.against_others(contributions(spark, sf_dir)).withColumn("flags", (F.col("subdomain") == "3-MEDIUM").cast("int"))
+    return rows.withColumn("class", X.impact(rows))
+
+
+@query(f"WITH {BASE}, {LOO} SELECT source_id, cell_id, class FROM ic")
+def candidate_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts(spark, sf_dir).select("source_id", "cell_id", "class")
+
+
+SUMMARY = """sm AS (SELECT source_id, count(*) AS total, count(*) FILTER (class IN ('fills_gap', 'adds_adjacent_viewpoint', 'deepens_existing_cell')) AS positive, count(*) FILTER (class = 'likely_duplicate') AS duplicate,
+ count(*) FILTER (class = 'needs_probe') AS probe, count(*) FILTER (class = 'taxonomy_extension') AS taxonomy, count(*) FILTER (class = 'noise_risk') AS noise, round(count(*) FILTER (n_oth > 0 OR area > 1) / count(*), 3) AS overlap_share FROM ic GROUP BY 1)"""
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda *names: F.count_if(F.col("class").isin(*names))
+    return impacts(spark, sf_dir).groupBy("source_id").agg(
+        F.count("*").alias("total"), of(*X.POSITIVE).alias("positive"), of("likely_duplicate").alias("duplicate"), of("needs_probe").alias("probe"), of("taxonomy_extension").alias("taxonomy"), of("noise_risk").alias("noise"),
+        F.round(F.count_if(F.col("exact") | F.col("related")) / F.count("*"), 3).alias("overlap_share"),
+    )
+
+
+@query(f"WITH {BASE}, {LOO}, {SUMMARY} SELECT * FROM sm")
+def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(spark, sf_dir)
+
+
+@query(f"WITH {BASE}, {LOO}, {SUMMARY} SELECT source_id, overlap_share, overlap_share >= 0.5 AND (duplicate > 0 OR positive >= 2) AS caveat FROM sm")
+def density_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return summary(spark, sf_dir).select("source_id", "overlap_share", ((c("overlap_share") >= 0.5) & ((c("duplicate") > 0) | (c("positive") >= 2))).alias("caveat"))
+
+
+@query(f"""WITH {BASE}, {LOO}, {SUMMARY} SELECT source_id, CASE WHEN total = 0 THEN 'insufficient_passport_data' WHEN overlap_share >= 0.5 AND (duplicate > 0 OR positive >= 2) AND positive >= 1 AND noise = 0 THEN 'overlap_heavy_needs_stronger_review'
+ WHEN positive >= 2 AND duplicate <= positive AND noise = 0 THEN 'promising_needs_human_review' WHEN positive >= 1 AND (probe > 0 OR taxonomy > 0) THEN 'promising_but_probe_or_taxonomy_review' WHEN duplicate = total THEN 'likely_duplicate_or_low_increment'
+ WHEN taxonomy > 0 THEN 'taxonomy_review_needed' WHEN noise > 0 AND positive = 0 THEN 'weak_or_noisy' ELSE 'probe_needed' END AS recommendation FROM sm""")
+def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    caveat = (c("overlap_share") >= 0.5) & ((c("duplicate") > 0) | (c("positive") >= 2))
+    return summary(spark, sf_dir).select("source_id", X.recommendation(c("total"), c("positive"), c("duplicate"), c("probe"), c("taxonomy"), c("noise"), caveat).alias("recommendation"))
+
+
+@query(f"WITH {BASE}, c AS (SELECT DISTINCT cell_id FROM best WHERE source_id = 'NATION_3') SELECT source_id, count(*) AS matches, max(score) AS best FROM best JOIN c USING (cell_id) WHERE source_id <> 'NATION_3' GROUP BY 1")
+def closest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = X.best_per_source(contributions(spark, sf_dir), ["cell_id"])
+    own = best.filter("source_id = 'NATION_3'").select("cell_id").distinct()
+    return best.filter("source_id <> 'NATION_3'").join(own, "cell_id").groupBy("source_id").agg(F.count("*").alias("matches"), F.max("score").alias("best"))
+
+
+@query(f"WITH {BASE} SELECT source_id, bool_and(score IS NOT NULL AND refs > 0) AS valid, count(*) FILTER (refs = 0) AS unknown_refs FROM sc GROUP BY 1")
+def passport_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contributions(spark, sf_dir).groupBy("source_id").agg(F.bool_and(F.col("score").isNotNull() & (F.col("refs") > 0)).alias("valid"), F.count_if(F.col("refs") == 0).alias("unknown_refs"))
+
+
+@query(f"WITH {BASE}, d AS (SELECT DISTINCT source_id, domain FROM sc), m AS (SELECT s.source_id, g.domain FROM (SELECT DISTINCT source_id FROM sc) s, (SELECT DISTINCT domain FROM sc) g) SELECT source_id, domain FROM m ANTI JOIN d USING (source_id, domain) UNION ALL SELECT source_id, domain FROM d")
+def passport_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with the domains of the fixed vocabulary that they lack added."""
+    rows = contributions(spark, sf_dir).select("source_id", "domain").distinct()
+    vocabulary = F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
+    missing = rows.select("source_id").distinct().select("source_id", F.explode(vocabulary).alias("domain")).join(rows, ["source_id", "domain"], "left_anti")
+    return rows.unionByName(missing)

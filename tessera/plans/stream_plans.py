@@ -1 +1,71 @@
-"""Queries."""
+"""Queries of streaming and stateful operators, over the events table as far as it has come."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import maintenance as M
+from ..sources import tables as T
+from ..sources.shared import shared_path
+from ..streaming import jobs
+from .registry import query
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The events as a stream of files, and the folder of the job."""
+    folder = shared_path(spark, "stream")
+    e = T.raw(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp"), "user_id", "event_type", "value")
+    e.write.parquet(f"{folder}/in")
+    return jobs.event_stream(spark, f"{folder}/in"), folder
+
+
+@query("SELECT event_id FROM events")
+def idempotent_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, folder = streamed(spark, sf_dir)
+    return jobs.run_once(jobs.once(events.select("event_id", "ts")), "once", folder).select("event_id")
+
+
+@query()
+def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, folder = streamed(spark, sf_dir)
+    return jobs.run_once(jobs.breaker(events.select("user_id", "event_id", "ts", "event_type")), "breaker", folder)
+
+
+@query()
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that the watermark has closed."""
+    events, folder = streamed(spark, sf_dir)
+    return jobs.run_once(jobs.windowed_counts(events.select("ts", "event_type")), "counts", folder)
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS n FROM events")
+def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events of a user come in the hour up to each."""
+    e = T.raw(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
+    return e.select("event_id", M.within(F.col("s"), 3600, "user_id").alias("n"))
+
+
+PRIORITY = "CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END"
+
+
+@query(f"SELECT event_id, max({PRIORITY}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS phase FROM events")
+def monotone_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The furthest phase of a user so far; phases never go back."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return T.raw(spark, sf_dir, "events").select("event_id", F.max(F.expr(PRIORITY)).over(w).alias("phase"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+def ttl_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What isn't strictly older than the cutoff stays."""
+    return T.raw(spark, sf_dir, "events").filter(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")).select("event_id")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE conv_id > (SELECT max(conv_id) - 10 FROM conversations)")
+def rescan_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of the last ten documents, read again and each taken once."""
+    c = T.raw(spark, sf_dir, "conversations").select("conv_id", "turn")
+    last = c.agg((F.max("conv_id") - 10).alias("mark"))
+    again = c.join(F.broadcast(last), F.col("conv_id") > F.col("mark")).select("conv_id", "turn")
+    return again.unionByName(again).dropDuplicates(["conv_id", "turn"])
