@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 MIN_WORDS = 30
+MAX_BROADCAST = 2_000_000
 KEYS = ("doc_id", "own")
 
 
@@ -83,10 +84,17 @@ def repeated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 def delete_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any columns) with the repeated lines deleted, and ``__lines``, ``__removed``, ``__spans``; ``n_chars`` is made anew where there is one."""
-    runs = repeated(docs, least).select(*(F.col(k).alias(f"__{k}") for k in KEYS), "runs")
+    runs = repeated(docs, least)
     own = keyed(docs)
-    joined = own.join(runs, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("own") == F.col("__own")), "left")
-    joined = joined.select(*docs.columns, F.col("runs").alias("__runs"))
+    there = runs.select(*(F.col(k).alias(f"__{k}") for k in KEYS))
+    few = there.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    there = F.broadcast(there) if few else there
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("own") == F.col("__own"))
+    # Only texts with something to delete are dealt anew; the others stay in the tasks that read them.
+    left = own.join(there, same, "left_anti").select(*docs.columns, *(F.lit(None).cast(t).alias(c) for c, t in (("__runs", runs.schema["runs"].dataType.simpleString()),)))
+    named = runs.select(*(F.col(k).alias(f"__{k}") for k in KEYS), F.col("runs").alias("__runs")).hint("merge")
+    some = own.join(there, same, "left_semi").join(named, same).select(*docs.columns, "__runs")
+    joined = left.unionByName(some)
 
     def deleted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
