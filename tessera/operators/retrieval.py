@@ -99,7 +99,7 @@ def top(df: DataFrame, k: int, order: list[Column], by: str = "source_id", name:
 
 def age_days(created: Column, as_of: str) -> Column:
     """Whole days since then, 0 at least; 365 where the time isn't known."""
-    return F.coalesce(F.greatest(F.datediff(F.lit(as_of).cast("timestamp_ntz"), created), F.lit(0)), F.lit(365))
+    return F.when(created.isNull(), 365).otherwise(F.greatest(F.datediff(F.lit(as_of).cast("timestamp_ntz"), created), F.lit(0)))
 
 
 def freshness(created: Column, as_of: str, floor: float = 0.7, year: float = 365.0) -> Column:
