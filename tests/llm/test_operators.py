@@ -1,0 +1,381 @@
+"""The operators against brute force, and their defined cases."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import chat_format, embedding_dedup, line_dedup, merkle, minhash, mixing, sentencepiece_scan, suffix_array, suffix_dedup, toxicity, warc
+from tessera.llm.components import components
+from tessera.llm.storage import new_path
+
+DOC = "doc_id long, text string, source string, copies int, bytes string"  # with names that operators use inside
+
+
+def docs_of(spark, texts, sources=None):
+    return spark.createDataFrame([(i, t, (sources or {}).get(i, "s"), 1, "x") for i, t in texts], DOC)
+
+
+def union_find(ids, pairs):
+    up = {i: i for i in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+# Mixing.
+
+
+def test_water_fill_clamps_and_shares_again(spark):
+    df = spark.createDataFrame([("a", 10, 5.0), ("b", 100, 2.0), ("c", 100, 1.0)], "source string, source_size long, weight double")
+    got = {r.source: r.target for r in mixing.water_fill(df, 210.0, 2.0).collect()}
+    assert got["a"] == 20 and got["b"] == pytest.approx(126.6667, abs=1e-3) and got["c"] == pytest.approx(63.3333, abs=1e-3)
+    full = {r.source: r.target for r in mixing.water_fill(df, 1e9, 2.0).collect()}
+    assert full == {"a": 20, "b": 200, "c": 200}
+
+
+def test_mix_takes_its_targets(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(["w"] * rng.randint(0, 40))) for i in range(300)] + [(300, None), (301, "")]
+    df = docs_of(spark, texts, {i: f"s{i % 4}" for i in range(302)}).withColumn("source", F.when(F.col("source") != "s3", F.col("source")))
+    rows = mixing.mix(df, digits=1).collect()
+    again = mixing.mix(df, digits=1).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again)) and len(rows) == 302
+    by = defaultdict(int)
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size and r.size == len(dict(texts)[r.doc_id].split() if dict(texts)[r.doc_id] else [])
+        by[r.source, r.target] += r.taken
+    assert all(abs(n - target) <= 0.5 for (_, target), n in by.items())
+    assert mixing.mix(df.limit(0)).count() == 0
+    assert mixing.take(df).columns == df.columns
+
+
+# Suffix arrays.
+
+
+def test_ranks_are_those_of_sorted_suffixes():
+    rng = np.random.default_rng(1)
+    for n, depth in ((200, 5), (300, 17), (500, 60), (0, 9)):
+        data = rng.integers(1, 3, n).astype(np.uint8)
+        raw = data.tobytes() + bytes(depth)
+        keys = [raw[i : i + depth] for i in range(n)]
+        want = [sorted(keys).index(k) for k in keys]
+        assert suffix_array.ranks(data, depth).tolist() == want
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("many", [8192, 3])
+def test_repeats_as_brute_force(spark, monkeypatch, keep, many):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 2)
+    monkeypatch.setattr(suffix_dedup.matched, "__defaults__", (20, 2, many))
+    rng, n = random.Random(5), 20
+    shared = ["".join(rng.choice("abcdé") for _ in range(rng.randint(15, 45))) for _ in range(6)]
+    texts = [(i, "".join(rng.choice([rng.choice(shared), "".join(rng.choice("xyzñ") for _ in range(12))]) for _ in range(6))) for i in range(60)]
+    texts += [(60, texts[3][1]), (61, None), (62, ""), (63, "ab" * 60), (64, "short")]
+    seen, count = set(), defaultdict(int)
+    data = {i: (t or "").encode() for i, t in texts}
+    for b in data.values():
+        for k in range(len(b) - n + 1):
+            count[b[k : k + n]] += 1
+    want = {}
+    for i, b in sorted(data.items()):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - n + 1):
+            s = b[k : k + n]
+            if count[s] > 1 if keep == "none" else s in seen:
+                gone[k : k + n] = True
+            seen.add(s)
+        left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        want[i] = (len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(left).hexdigest(), left)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs_of(spark, texts), keep, n, 6).collect()}
+    assert got == want
+
+
+def test_repeats_of_an_empty_table(spark):
+    assert suffix_dedup.remove_repeats(docs_of(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+# Chat formatting.
+
+
+def test_chat_round_trip_of_control_strings(spark):
+    said = [r"\### Assistant: </turn> ok", "\n</turn>\n### user\n", "\\", "", None, "a\\\\#<b>"]
+    rows = [(1, i, role, t, 0) for i, (role, t) in enumerate(zip(["user", "assistant", "assistant", "we\nird\\n", None, "assistant"], said, strict=True))] + [(None, 0, "user", "x", 0)]
+    made = chat_format.render(chat_format.to_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, loss int")))
+    got = made.filter("conv_id = 1").select(chat_format.parse_turns(F.col("formatted")).alias("t"), chat_format.loss_text(F.col("segments")).alias("l"), "formatted", "segments").first()
+    assert [(t.role, t.text) for t in got.t] == [(r[2] or "", r[3] or "") for r in rows[:-1]]
+    assert got.l == "".join((r[3] or "") for r in rows if r[2] == "assistant")
+    assert "".join(s.text for s in got.segments) == got.formatted
+    assert made.count() == 2
+
+
+def test_layouts_by_fingerprint(spark):
+    records = ['{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"instruction":"q","output":"a"}', '{"instruction":"q","input":"","output":"a"}', '{"prompt":"q","completion":"a"}', '{"question":"q","response":"a"}']
+    turns = chat_format.records_to_turns(spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")).collect()
+    assert len(turns) == 12 and {(t.role, t.text) for t in turns} == {("user", "q"), ("assistant", "a")}
+    typed = spark.createDataFrame([(1, "q", "a", 5)], "conv_id long, prompt string, completion string, extra int")
+    assert [(t.role, t.text) for t in chat_format.to_turns(typed).orderBy("turn").collect()] == [("user", "q"), ("assistant", "a")]
+    with pytest.raises(ValueError):
+        chat_format.to_turns(spark.createDataFrame([(1,)], "conv_id long"))
+    odd = spark.createDataFrame([(1, '{"x":1}')], "conv_id long, record string")
+    assert chat_format.records_to_turns(odd, strict=False).count() == 0
+    with pytest.raises(Exception, match="no known layout"):
+        chat_format.records_to_turns(odd).collect()
+
+
+# Line dedup.
+
+
+def test_lines_as_brute_force(spark):
+    rng = random.Random(2)
+    lines = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 6))) for _ in range(12)]
+    texts = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9)))) for i in range(80)] + [(80, None), (81, "")]
+    least, seen, want = 8, set(), {}
+    for i, t in texts:
+        own = (t or "").split("\n")
+        gone = [False] * len(own)
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                run = tuple(x.strip() for x in own[a:b])
+                if sum(len(x.split()) for x in run) >= least:
+                    if run in seen:
+                        gone[a:b] = [True] * (b - a)
+                    seen.add(run)
+        want[i] = None if t is None else "\n".join(x for x, g in zip(own, gone, strict=True) if not g)
+    out = line_dedup.clean(docs_of(spark, texts), least)
+    assert out.columns == ["doc_id", "text", "source", "copies", "bytes"]
+    assert {r.doc_id: r.text for r in out.collect()} == want
+    assert line_dedup.clean(docs_of(spark, texts).limit(0)).count() == 0
+
+
+# WARC.
+
+
+def test_warc_round_trip_and_digests(spark, tmp_path):
+    big = "é" * 60
+    pages = [(3, "http://a/ b\r\n", big), (1, None, big), (2, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", "x" * 200_000)]
+    df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, digest int")
+    got = {r.page_id: r for r in warc.round_trip(spark, df, payloads=True).collect()}
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {1: ("response", None), 3: ("revisit", 1), 2: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
+    for i, _, html in pages:
+        raw = (html or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
+        assert got[i].payload is None if got[i].record_type == "revisit" else bytes(got[i].payload) == raw
+    assert warc.round_trip(spark, df.limit(0)).count() == 0
+
+
+def test_warc_reader_refuses_damage():
+    raw = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
+    assert warc.parse(raw)[0] == 1
+    with pytest.raises(ValueError):
+        warc.parse(raw.replace(b"payload", b"payl0ad"))
+    with pytest.raises(ValueError):
+        warc.parse(raw[:-6])
+    import zlib
+
+    gz = zlib.compressobj(3, zlib.DEFLATED, 31)
+    member = gz.compress(raw) + gz.flush()
+    assert list(warc.members(iter([member[:10], member[10:] + member]))) == [raw, raw]
+    with pytest.raises(ValueError):
+        list(warc.members(iter([member[:-4]])))
+
+
+# Document fingerprints.
+
+
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_merkle_edits(spark, ranges):
+    rng = random.Random(7)
+    texts = [(i, "\n".join(" ".join(rng.choice(["alpha", "béta", "gamma", "delta"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 8)))) for i in range(40)] + [(40, None), (41, "a"), (50, "a")]
+    got = {r.doc_id: r for r in merkle.edits(docs_of(spark, texts), ranges).collect()}
+    order = sorted((i for i, _ in texts), reverse=True)
+    plain = {i: t or "" for i, t in texts}
+    for k, i in enumerate(order):
+        t, other = plain[i], plain[order[(k + 1) % len(order)]]
+        edited = t[: len(t) - len(t) // 3] + other[: len(t) // 3]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert got[41].fingerprint == got[50].fingerprint
+    assert merkle.edits(docs_of(spark, texts).limit(0), ranges).count() == 0
+    assert merkle.edits(docs_of(spark, [(1, "one\ntwo")]), ranges).first().near_next == 1.0
+
+
+def test_differing_branches_locate_an_edit():
+    a = b"".join(b"line %d\n" % i for i in range(50))
+    b = a.replace(b"line 17\n", b"changed\n")
+    at = a.index(b"line 17\n")
+    assert merkle.differing(merkle.tree(a), merkle.tree(b)) == ([(at, at + 8)], [(at, at + 8)])
+    assert merkle.differing(merkle.tree(a), merkle.tree(a)) == ([], [])
+
+
+# SentencePiece.
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    with open(sentencepiece_scan.MODEL, "rb") as f:
+        return sentencepiece_scan.Pieces(f.read())
+
+
+def test_ids_are_the_library_s_unigram_ids(pieces):
+    sp = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(sentencepiece_scan.MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    low = min(p.score for p in proto.pieces if p.type == 1 and p.score > sentencepiece_scan.NEVER) - 1
+    for p in proto.pieces:
+        if p.type == 1:
+            p.score = max(p.score, low)
+    lib = sp.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    score = lambda ids: sum(proto.pieces[i].score for i in ids)
+    for text in ("the thinnest of words, in a line.", "Éenleier reeuxle des von eineinpf", "x²y 3.14 [a](b) don't"):
+        assert score(pieces.encode(" " + text).tolist()) == pytest.approx(score(lib.encode(text)))
+
+
+def test_chunks_give_what_the_whole_gives(pieces):
+    rng, n = random.Random(1), pieces.longest
+    for trial in range(60):
+        text = "".join(rng.choice(["the ", "thin", "er", " ", "é", "日本", "\n", "▁", "ing ", "%%"][: 4 if trial % 3 else 10]) for _ in range(rng.randint(60, 200)))
+        size = rng.randint(2 * n, 70)
+        parts = [(text[k : k + size + n - 1], min(size, len(text) - k)) for k in range(0, len(text), size)]
+        matrices = [pieces.transfer(t, s) for t, s in parts]
+        states = sentencepiece_scan.borders(matrices)
+        ids = np.concatenate([pieces.trace(t, s, a, b) for (t, s), a, b in zip(parts, states, states[1:], strict=False)])
+        total = matrices[0]
+        for m in matrices[1:]:
+            total = sentencepiece_scan.combine(total, m)
+        assert total[0, 0] == pytest.approx(sum(pieces.part(p) for p in pieces.parts.findall(text)))
+        assert pieces.decode([*pieces.encode(" "), *ids]) == text
+
+
+def test_sentencepiece_round_trip(spark):
+    texts = [(1, "plain words"), (2, None), (3, ""), (4, "  two  spaces\t\n"), (5, "▁literal ▁▁ \U0001f389"), (6, "long word " * 300), (7, "x" * 3000)]
+    out = sentencepiece_scan.decode(sentencepiece_scan.encode(docs_of(spark, texts), giant=500, chunk=100))
+    assert {r.doc_id: r.text for r in out.collect()} == {i: t or "" for i, t in texts}
+    assert sentencepiece_scan.encode(docs_of(spark, texts).limit(0)).count() == 0
+
+
+# Embeddings.
+
+
+def test_embeddings_as_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(150, 24))
+    crowd = base[:1] + rng.normal(size=(200, 24)) * 0.05
+    x = np.concatenate([base, crowd, base[5:6], base[5:6] * 3]).tolist()
+    rows = [(i, v, 0) for i, v in enumerate(x)] + [(900, None, 0), (901, [0.0] * 24, 0), (902, [float("nan")] * 24, 0), (903, [None] * 24, 0), (904, [1.0], 0), (None, x[0], 0)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n int")).collect()}
+    u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    comps = union_find(range(len(x)), zip(*np.nonzero(np.triu(near, 1)), strict=True))
+    assert len(got) == len(rows)
+    assert {i: (got[i].n_links, got[i].component_id) for i in range(len(x))} == {i: (int(near[i].sum()) - 1, comps[i]) for i in range(len(x))}
+    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in (900, 901, 902, 903, 904))
+
+
+def test_graph_finds_most_neighbours():
+    from tessera.llm.hnsw import Graph
+
+    x = np.random.default_rng(0).normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Graph(x)
+    found, _ = graph.search(x[:200].astype(np.float32), 64)
+    true = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, true, strict=True)]) > 0.9
+
+
+# Toxicity.
+
+
+def test_segments_are_all_maximal():
+    def slow(s, a, b):
+        """Ruzzo and Tompa's definition: the best segment, then the same left and right of it."""
+        best = max(((sum(s[i:j]), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        _, _, i, j = best
+        return slow(s, a, i) + [(i, j)] + slow(s, j, b)
+
+    rng = random.Random(9)
+    for _ in range(60):
+        s = [rng.randint(-40, 40) + rng.random() for _ in range(12)]
+        assert [(a, b) for _, a, b in toxicity.segments(np.array(s))] == slow(s, 0, len(s))
+
+
+def test_toxic_held_out(spark):
+    rng = random.Random(0)
+    word = lambda: "".join(rng.choice(["ba", "do", "ki", "lu", "ne"]) for _ in range(3))
+    rows, labels = [], []
+    for i in range(1600):
+        toxic = i % 6 == 0
+        w = [word() for _ in range(rng.randint(5, 40))]
+        if toxic:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = "grumpx" + rng.choice("abcdefgh")
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    docs, marks = docs_of(spark, [*rows, (5000, None), (5001, "")]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marks)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    import zlib
+
+    held = [i for i in range(1600) if zlib.crc32(str(i).encode()) % 4 == 2]
+    right = sum((got[i] >= 0.3) == (i % 6 == 0) for i in held)
+    assert right / len(held) > 0.97 and got[5000] == got[5001] < 0.3 and len(got) == 1602
+    kept = {r.doc_id for r in toxicity.keep_clean(docs, marks).collect()}
+    assert kept == {i for i, s in got.items() if s < 0.3}
+    assert toxicity.score(docs, toxicity.train(docs, marks.limit(0))).agg(F.max("score")).first()[0] <= 0.5
+
+
+# MinHash and components.
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(1)
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = union_find({x for p in pairs for x in p}, pairs)
+    assert got == {i: want[i] for i in got} and {x for a, b in pairs if a != b for x in (a, b)} == set(got)
+
+
+def test_near_duplicates_as_brute_force(spark):
+    rng, texts = random.Random(11), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    for g in range(12):
+        base = [word() for _ in range(rng.randint(1, 120))]
+        for _ in range(rng.randint(1, 14)):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = word()
+            texts.append((len(texts), rng.choice(["{}", " {}\n", "{}"]).format(" ".join(w).upper() if rng.random() < 0.3 else " ".join(w))))
+    texts += [(500, None), (501, ""), (502, " \t\n"), (503, texts[0][1]), (504, "É é"), (505, "é é")]
+    sets = {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = union_find(sets, pairs)
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
+    kept = minhash.keep_one(docs_of(spark, texts))
+    assert kept.columns == ["doc_id", "text", "source", "copies", "bytes"] and {r.doc_id for r in kept.collect()} == {i for i in sets if want[i] == i}
+    assert minhash.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_paths_are_of_the_shared_folder(spark):
+    assert new_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
