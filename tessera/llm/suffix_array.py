@@ -14,6 +14,8 @@ def ranks(data: np.ndarray, depth: int) -> np.ndarray:
     n = len(data)
     if n >= 1 << 21:
         raise ValueError("too long for one suffix order")
+    if not n:
+        return np.zeros(0, np.int64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(8):

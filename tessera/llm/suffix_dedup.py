@@ -168,23 +168,27 @@ def matched(rows: DataFrame, keep: str, length: int = LENGTH, block: int = BLOCK
             if found := spans_of(flags[a:b]):
                 yield key, [{"start": x, "end": y} for x, y in found]
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, group, size = None, [], [], 0
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[bytes, bytes]]]]:
+        at, group = None, []
         for batch in batches:
-            out = []
             for anchor, i, j, key, data in batch[["anchor", "i", "j", "fragment", "bytes"]].itertuples(index=False):
                 if (anchor, i, j) != at:
                     if len(group) > 1:
-                        held += group
-                        size += sum(len(b) for _, b in group)
+                        yield at[0], group
                     at, group = (anchor, i, j), []
-                    if size > BUFFER // 2:
-                        out += solved(held)
-                        held, size = [], 0
                 group.append((key, data))
-            yield pd.DataFrame(out, columns=["fragment", "spans"])
         if len(group) > 1:
+            yield at[0], group
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups are put in order together, up to BUFFER bytes; but not two of one anchor, which may have fragments in common."""
+        held, size, last = [], 0, None
+        for anchor, group in groups(batches):
+            if held and (anchor == last or size > BUFFER // 2):
+                yield pd.DataFrame(list(solved(held)), columns=["fragment", "spans"])
+                held, size = [], 0
             held += group
+            size, last = size + sum(len(b) for _, b in group), anchor
         if held:
             yield pd.DataFrame(list(solved(held)), columns=["fragment", "spans"])
 
