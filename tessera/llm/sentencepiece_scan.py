@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a max-plus scan.
 
 A text's best segmentation into pieces maximises the sum of their scores. Where no piece
-can cross, the sum falls apart: before a run of spaces, and around characters that are in
-no piece. Parts between such places are solved once and remembered.
+can cross, the sum falls apart: before a run of spaces, around characters that are in no
+piece, and between letters and other characters if no piece has both. Parts between such places are solved once and remembered.
 
 Giant texts are cut into chunks of fixed length, wherever that is. What a chunk has to know
 of the text before it is how many of its first characters the last piece from there covers,
@@ -35,16 +35,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import bound_batches, cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 GIANT, CHUNK = 1 << 16, 1 << 14
 LOW = -np.inf
+#: Latin, Greek and Cyrillic letters.
+LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u052f]"
 #: Scores up to this stand for "last of all" and count as one less than the lowest other score; as they are, sums in single precision would drown in them.
 NEVER = -1e8
 
 
+class Memo(dict):
+    """What ``solve`` gives, remembered for the first parts of up to 64 characters that come; common ones come early."""
+
+    def __init__(self, solve, most: int = 700_000):
+        self.solve, self.most = solve, most
+
+    def __missing__(self, part: str):
+        found = self.solve(part)
+        if len(self) < self.most and len(part) <= 64:
+            self[part] = found
+        return found
+
+
 class Pieces:
     """The pieces of a model, and encoding by them."""
 
@@ -67,8 +82,13 @@ class Pieces:
         self.bare = sorted({c for c in "\n\t\r" if not any(c in p for p in self.pieces)})
         apart = re.escape("".join(self.bare)) + SPACE
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
-        self.parts = re.compile(f"[{apart}]|[^{apart}]+" if crossing else f"[{apart}]| *[^ {apart}]+| +")
-        self.memo: dict[str, tuple[float, np.ndarray]] = {}
+        between = any(re.search(f"{LETTER}[^{SPACE}](?<!{LETTER})|[^{SPACE}](?<!{LETTER}){LETTER}", p) for p in self.pieces)
+        rest = rf"(?:(?!{LETTER})[^ {apart}])+"
+        kinds = [f"[^{apart}]+"] if crossing else [f" *[^ {apart}]+", " +"] if between else [f" *{LETTER}+", f" *{rest}", " +"]
+        self.parts = re.compile("|".join([f"[{apart}]", *kinds]))
+        # Each piece with its id and score, and each beginning of a piece that is none.
+        self.heads: dict[str, tuple[int, float] | tuple[()]] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
+        self.memo = Memo(self.solve)
 
     def spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()]
@@ -99,21 +119,39 @@ class Pieces:
             out.append(ids)
         return [i for ids in reversed(out) for i in ids]
 
-    def part(self, text: str) -> tuple[float, np.ndarray]:
-        """Sum and ids of a part that no piece leaves."""
-        if (known := self.memo.get(text)) is None:
-            if len(self.memo) > 400_000:
-                self.memo.clear()
-            best, last = self.reach(text, 0, len(text), len(text))
-            known = best[-1], np.array(self.traced(last, 0, len(text)), np.int32)
-            if len(text) <= 64:
-                self.memo[text] = known
-        return known
+    def solve(self, text: str) -> tuple[float, bytes]:
+        """Sum and ids (32 bits each) of a part that no piece leaves."""
+        if text == SPACE:
+            return self.unknown, np.array(self.spell(text), np.int32).tobytes()
+        spaced, heads, longest = text.replace(" ", SPACE), self.heads, self.longest
+        n = len(text)
+        best, begin, piece = [LOW] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            now, j, single = best[i], i + 1, False
+            most = min(n, i + longest)
+            while j <= most and (hit := heads.get(spaced[i:j])) is not None:
+                if hit:
+                    single |= j == i + 1
+                    if (s := now + hit[1]) > best[j]:
+                        best[j], begin[j], piece[j] = s, i, hit[0]
+                j += 1
+            if not single and (s := now + self.unknown) > best[i + 1]:
+                best[i + 1], begin[i + 1], piece[i + 1] = s, i, -1
+        out, end = [], n
+        while end > 0:
+            i = begin[end]
+            out += [piece[end]] if piece[end] >= 0 else reversed(self.spell(text[i]))
+            end = i
+        return best[n], np.array(out[::-1], np.int32).tobytes()
+
+    def part(self, text: str) -> float:
+        return self.memo[text][0]
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text, which has the model's prefix already if it has one."""
-        found = [self.part(p)[1] for p in self.parts.findall(text or "")]
-        return np.concatenate(found) if found else np.empty(0, np.int32)
+        memo = self.memo
+        return np.frombuffer(b"".join([memo[p][1] for p in self.parts.findall(text or "")]), np.int32)
 
     def decode(self, ids) -> str:
         out, raw, text = [], bytearray(), self.text
@@ -137,7 +175,7 @@ class Pieces:
     def middle(self, chunk: str, size: int) -> tuple[list[int], np.ndarray, int]:
         """Places that no piece crosses, the sums of the parts up to each, and from which place on the last part reaches over the border."""
         at = [c for c in self.cuts(chunk) if c <= size]
-        sums = np.concatenate(([0.0], np.cumsum([self.part(chunk[a:b])[0] for a, b in zip(at, at[1:], strict=False)]))) if at else np.zeros(0)
+        sums = np.concatenate(([0.0], np.cumsum([self.part(chunk[a:b]) for a, b in zip(at, at[1:], strict=False)]))) if at else np.zeros(0)
         return at, sums, at[-1] if at else 0
 
     def transfer(self, chunk: str, size: int) -> np.ndarray:
@@ -164,7 +202,7 @@ class Pieces:
         return out
 
     def part_between(self, chunk: str, a: int, b: int) -> float:
-        return sum(self.part(p)[0] for p in self.parts.findall(chunk[a:b]))
+        return sum(self.part(p) for p in self.parts.findall(chunk[a:b]))
 
     def trace(self, chunk: str, size: int, entry: int, leaving: int) -> np.ndarray:
         """The ids of a chunk's own pieces on the best way from ``entry`` to exit state ``leaving``."""
@@ -204,7 +242,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk:
         model = f.read()
     longest, prefix = loaded(model).longest, loaded(model).prefix
     chunk = max(chunk, 2 * longest)
-    rows = docs.select("doc_id", F.when(F.col("text") != "", F.concat(F.lit(prefix), "text")).otherwise(F.lit("")).alias("text"))
+    rows = bound_batches(docs).select("doc_id", F.when(F.col("text") != "", F.concat(F.lit(prefix), "text")).otherwise(F.lit("")).alias("text"))
 
     def lists(ids: list[np.ndarray]) -> pa.Array:
         offsets = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
@@ -262,4 +300,4 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text], names=["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(texts, f"doc_id {kind}, ids array<int>, text string")
+    return bound_batches(encoded).select("doc_id", "ids").mapInArrow(texts, f"doc_id {kind}, ids array<int>, text string")
