@@ -15,7 +15,7 @@ DOCS_SQL = """docs AS (SELECT doc_id, text, lang, source AS source_id, TIMESTAMP
   length(text) AS n, doc_id * 7 % 50 AS views, doc_id * 3 % 11 AS forwards FROM documents)"""
 COMMENTS_SQL = """comments AS (SELECT conv_id AS doc_id, turn AS comment_id, role, text AS comment_text,
   CASE role WHEN 'assistant' THEN 'author' WHEN 'user' THEN 'community' ELSE 'other' END AS kind FROM conversations)"""
-LINKS_SQL = """n AS (SELECT count(*) AS n FROM documents), links AS (SELECT doc_id AS src, (doc_id * 7 + 3) % n AS dst,
+LINKS_SQL = """n AS (SELECT count(*) AS n FROM documents), links AS (SELECT doc_id AS src, (doc_id + 20 * (doc_id % 7 + 1)) % n AS dst,
   CASE doc_id % 3 WHEN 0 THEN 'reply' WHEN 1 THEN 'forward' ELSE 'mention' END AS kind FROM documents, n)"""
 
 
@@ -43,7 +43,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = raw(spark, sf_dir, "documents").select("doc_id")
     n = ids.agg(F.count("*").alias("n"))
     kind = F.when(F.col("doc_id") % 3 == 0, "reply").when(F.col("doc_id") % 3 == 1, "forward").otherwise("mention")
-    return ids.crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("src"), ((F.col("doc_id") * 7 + 3) % F.col("n")).alias("dst"), kind.alias("kind"))
+    return ids.crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("src"), ((F.col("doc_id") + 20 * (F.col("doc_id") % 7 + 1)) % F.col("n")).alias("dst"), kind.alias("kind"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
