@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BACK, BASE, TABLE, mixed, powers
+from .storage import bound_batches
 
 SECTION = 16
 PIECE_BITS = 5
@@ -163,4 +164,4 @@ def edits(docs: DataFrame, ranges: int, share: int = 3) -> DataFrame:
                 held = None if extra else (at, None if pd.isna(doc_id) else int(doc_id), text, data, own)
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return dealt_by_range(docs, ranges).mapInPandas(paired, EDITED)
+    return bound_batches(dealt_by_range(docs, ranges)).mapInPandas(paired, EDITED)

@@ -50,7 +50,7 @@ NEVER = -1e8
 class Memo(dict):
     """What ``solve`` gives, remembered for the first parts of up to 64 characters that come; common ones come early."""
 
-    def __init__(self, solve, most: int = 700_000):
+    def __init__(self, solve, most: int):
         self.solve, self.most = solve, most
 
     def __missing__(self, part: str):
@@ -71,9 +71,9 @@ class Pieces:
         floor = min(p.score for p in proto.pieces if p.type == 1 and p.score > NEVER) - 1
         self.pieces = {p.piece: (i, max(p.score, floor)) for i, p in enumerate(proto.pieces) if p.type in (1, 4)}
         self.bytes = [0] * 256
-        self.text: list[str | int] = []
+        self.raw: list[bytes] = []
         for i, p in enumerate(proto.pieces):
-            self.text.append(int(p.piece[3:5], 16) if p.type == 6 else p.piece.replace(SPACE, " ") if p.type in (1, 4) else "")
+            self.raw.append(bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(SPACE, " ").encode() if p.type in (1, 4) else b"")
             if p.type == 6:
                 self.bytes[int(p.piece[3:5], 16)] = i
         self.prefix = " " if proto.normalizer_spec.add_dummy_prefix else ""
@@ -88,7 +88,8 @@ class Pieces:
         self.parts = re.compile("|".join([f"[{apart}]", *kinds]))
         # Each piece with its id and score, and each beginning of a piece that is none.
         self.heads: dict[str, tuple[int, float] | tuple[()]] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
-        self.memo = Memo(self.solve)
+        self.ids = Memo(lambda part: self.solve(part)[1], 900_000)
+        self.sums = Memo(lambda part: self.solve(part)[0], 100_000)
 
     def spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()]
@@ -146,26 +147,15 @@ class Pieces:
         return best[n], np.array(out[::-1], np.int32).tobytes()
 
     def part(self, text: str) -> float:
-        return self.memo[text][0]
+        return self.sums[text]
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text, which has the model's prefix already if it has one."""
-        memo = self.memo
-        return np.frombuffer(b"".join([memo[p][1] for p in self.parts.findall(text or "")]), np.int32)
-
-    def decode(self, ids) -> str:
-        out, raw, text = [], bytearray(), self.text
-        for i in ids:
-            if isinstance(x := text[i], int):
-                raw.append(x)
-            else:
-                if raw:
-                    out.append(raw.decode("utf-8", "replace"))
-                    raw.clear()
-                out.append(x)
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).removeprefix(self.prefix)
+        ids = self.ids
+        return np.frombuffer(b"".join([ids[p] for p in self.parts.findall(text or "")]), np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(self.prefix)
 
     def cuts(self, chunk: str) -> list[int]:
         """Places within a chunk that no piece crosses."""
@@ -296,7 +286,9 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
-                text = pa.array([own.decode(x) for x in part.column(1).to_pylist()], pa.string())
+                lists = part.column(1)
+                values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                text = pa.array([own.decode(values[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text], names=["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()

@@ -22,8 +22,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+ROWS_PER_BATCH = 1000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands Python tasks batches of ROWS_PER_BATCH rows at most, since rows here are whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= ROWS_PER_BATCH:
+        df.sparkSession.conf.set(key, str(ROWS_PER_BATCH))
+    return df
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later jobs neither recompute it nor lose it with an executor, and joins get its true size."""
-    spark = df.sparkSession
+    spark = bound_batches(df).sparkSession
     df.write.parquet(path := new_path(spark, name))
     return spark.read.schema(df.schema).parquet(path)

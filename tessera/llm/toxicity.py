@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import bound_batches, cut
 
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 8)
@@ -84,6 +84,8 @@ def node_counts(rows: DataFrame) -> DataFrame:
         def out():
             for c in (False, True):
                 frame = pd.DataFrame({"word": list(of[c, 0].keys() | of[c, 1].keys())})
+                if not len(frame):
+                    continue
                 yield frame.assign(counts=c, toxic=[of[c, 1][w] for w in frame["word"]], clean=[of[c, 0][w] for w in frame["word"]])
             for x in of.values():
                 x.clear()
@@ -91,7 +93,7 @@ def node_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic, c in zip(batch["text"], batch["toxic"], batch["counts"], strict=True):
                 of[bool(c), int(toxic > 0)].update(set(words(text)))
-            if sum(map(len, of.values())) > 400_000:
+            if sum(map(len, of.values())) > 200_000:
                 yield from out()
         yield from out()
 
@@ -151,7 +153,7 @@ def scorer(nodes: dict[str, float]):
         return -DRIFT
 
     def of(found: list[str]) -> np.ndarray:
-        if len(memo) > 1_000_000:
+        if len(memo) > 200_000:
             memo.clear()
         for w in set(found):
             if w not in memo:
@@ -254,7 +256,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 passages.append([{"start": a, "end": b, "evidence": float(model.lam * s - space)} for s, a, b in found if model.lam * s - space > -math.log(SIGNIFICANT)])
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": out, "passages": passages})
 
-    return docs.select("doc_id", "text").mapInPandas(scored, "doc_id long, score double, passages array<struct<start:int,end:int,evidence:double>>")
+    return bound_batches(docs).select("doc_id", "text").mapInPandas(scored, "doc_id long, score double, passages array<struct<start:int,end:int,evidence:double>>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -268,4 +270,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             z = np.array([float(np.dot(features(f, n, model), link)) for f, n in found])
             yield batch[1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold] if len(batch) else batch
 
-    return docs.mapInPandas(kept, docs.schema)
+    return bound_batches(docs).mapInPandas(kept, docs.schema)
