@@ -41,6 +41,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 GIANT, CHUNK = 1 << 16, 1 << 14
 LOW = -np.inf
+#: How many parts a Python worker remembers, of about 150 bytes each. More save time, fewer memory.
+REMEMBERED = 900_000
 #: Latin, Greek and Cyrillic letters.
 LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u052f]"
 #: Scores up to this stand for "last of all" and count as one less than the lowest other score; as they are, sums in single precision would drown in them.
@@ -63,7 +65,7 @@ class Memo(dict):
 class Pieces:
     """The pieces of a model, and encoding by them."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, remembered: int = REMEMBERED):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -88,8 +90,8 @@ class Pieces:
         self.parts = re.compile("|".join([f"[{apart}]", *kinds]))
         # Each piece with its id and score, and each beginning of a piece that is none.
         self.heads: dict[str, tuple[int, float] | tuple[()]] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
-        self.ids = Memo(lambda part: self.solve(part)[1], 900_000)
-        self.sums = Memo(lambda part: self.solve(part)[0], 100_000)
+        self.ids = Memo(lambda part: self.solve(part)[1], remembered)
+        self.sums = Memo(lambda part: self.solve(part)[0], min(remembered, 100_000))
 
     def spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()]
@@ -221,16 +223,16 @@ def borders(matrices: list[np.ndarray]) -> list[int]:
     return [*states, 0]
 
 
-@lru_cache(maxsize=2)
-def loaded(model: bytes) -> Pieces:
-    return Pieces(model)
+@lru_cache(maxsize=1)
+def loaded(model: bytes, remembered: int = REMEMBERED) -> Pieces:
+    return Pieces(model, remembered)
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, ids of every whole text of ``docs`` (doc_id, text)."""
+def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, ids of every whole text of ``docs`` (doc_id, text). ``remembered`` bounds a worker's memory and changes no result."""
     with open(model_path, "rb") as f:
         model = f.read()
-    longest, prefix = loaded(model).longest, loaded(model).prefix
+    longest, prefix = loaded(model, remembered).longest, loaded(model, remembered).prefix
     chunk = max(chunk, 2 * longest)
     rows = bound_batches(docs).select("doc_id", F.when(F.col("text") != "", F.concat(F.lit(prefix), "text")).otherwise(F.lit("")).alias("text"))
 
@@ -239,7 +241,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded(model)
+        own = loaded(model, remembered)
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
@@ -254,7 +256,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk:
     chunks = cut(chunks.select("uid", "c.k", F.least(F.lit(chunk), F.col("n") - F.col("c.k") * chunk).cast("int").alias("size"), "c.text").repartition("uid", "k"), "chunks")
 
     def transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = loaded(model)
+        own = loaded(model, remembered)
         for batch in batches:
             yield pd.DataFrame({"uid": batch["uid"], "k": batch["k"], "m": [own.transfer(t, n).ravel() for t, n in zip(batch["text"], batch["size"], strict=True)]})
 
@@ -264,7 +266,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk:
         return pd.DataFrame({"uid": one["uid"], "k": one["k"], "entry": states[:-1], "leaving": states[1:]})
 
     def traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = loaded(model)
+        own = loaded(model, remembered)
         for batch in batches:
             ids = [own.trace(t, n, a, b) for t, n, a, b in batch[["text", "size", "entry", "leaving"]].itertuples(index=False)]
             yield pd.DataFrame({"uid": batch["uid"], "k": batch["k"], "ids": ids})
@@ -282,7 +284,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
         model = f.read()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded(model)
+        own = loaded(model, REMEMBERED)
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
