@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each written as Parquet and read again by the next one.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
-columns of ``documents``. What language the stages speak: toxic documents go; lines of
+columns of ``documents``. In turn: toxic documents go; lines of
 passages that were there before go from a text; one document of each group of
 near-duplicates stays; sources are mixed to their targets, a document being there as often
 as it is taken; what is left is encoded, one row for each taken document.
@@ -32,9 +32,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.take(docs, share=1.5, max_epochs=2.0)
 
 
+#: Fewer than by default: here a Python worker still holds what the stages before it loaded.
+REMEMBERED = 250_000
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of each document."""
-    return sentencepiece_scan.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return sentencepiece_scan.encode(docs, remembered=REMEMBERED).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
