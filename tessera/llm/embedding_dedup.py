@@ -4,8 +4,12 @@ Equal vectors are one class from the start. The classes are dealt over shards by
 of their id; a shard's task builds its graph, audits it, and then streams the vectors of
 all shards through it. A search is repeated with a beam four times as wide while its worst
 result still reaches the limit, at last over the whole shard, so crowds come whole. The
-audit compares ``AUDIT`` of the shard's own vectors with all of the shard, and doubles the
-beam until it finds ``RECALL`` of the links. Found pairs are verified in double precision.
+audit compares vectors of all shards with the whole shard until ``AUDIT`` of them have a
+few links there, ``SAMPLE`` at most; what is then missing of ``AUDIT`` are vectors of the
+shard without links, moved until they only just link with where they were. The beam is
+doubled until ``RECALL`` of a vector's links are found on average, both over those with
+few links and over those in crowds; a vector's hit on itself is no link. Found pairs are
+verified in double precision.
 
 A task doesn't send pairs: it counts each query's links, merges what is linked in a
 union-find over its shard, and sends for each query one link to its part. Components of
@@ -20,6 +24,7 @@ link; rows alike count as different vectors of equal direction; an empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,7 @@ LIMIT = 0.9
 SHARDS, SHARD_ROWS = 8, 500_000
 EF = 24
 AUDIT, RECALL = 128, 0.98
+SAMPLE = 1 << 14
 QUERIES = 512
 SLACK = 1e-4
 
@@ -53,14 +59,57 @@ def unit(vectors) -> np.ndarray:
 class Shard:
     """The vectors of a shard with their ids and counts, and what queries have linked."""
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, limit: float):
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, limit: float, others: np.ndarray | None = None):
         self.ids, self.counts, self.vectors, self.limit = ids, counts, vectors, limit
         self.graph = Graph(vectors)
         self.part = np.arange(len(ids))
         self.ef = EF
-        sample = vectors[:: max(1, len(ids) // AUDIT)][:AUDIT]
-        true = (sample @ vectors.T >= limit).sum()
-        while self.ef < len(ids) and sum(len(h) for _, h in self.hits(sample)) < RECALL * true:
+        self.audit(vectors[:0] if others is None else others)
+
+    def audit(self, others: np.ndarray) -> None:
+        """Double the beam until it finds enough links of own vectors and of ``others``, vectors of other shards."""
+        n, rng = len(self.ids), np.random.default_rng(7)
+        own = rng.permutation(n)[: max(AUDIT, SAMPLE - len(others))]
+        q, at = np.concatenate([self.vectors[own], others]), np.concatenate([own, np.full(len(others), -1)])
+        by = rng.permutation(len(q))
+        step = max(1, min(AUDIT, (1 << 24) // max(1, n)))
+        sample, selves, links, lonely, few = [], [], [], [], 0
+
+        def compared(x: np.ndarray, self_at: np.ndarray) -> np.ndarray:
+            near = x @ self.vectors.T >= self.limit
+            rows = np.flatnonzero(self_at >= 0)
+            near[rows, self_at[rows]] = False
+            true = near.sum(1)
+            crowded = true >= EF
+            kept = (true > 0) & (~crowded | (np.cumsum(crowded) + sum((t >= EF).sum() for t in links) <= AUDIT))  # AUDIT of crowds tell enough
+            sample.append(x[kept])
+            selves.append(self_at[kept])
+            links.append(true[kept])
+            return true
+
+        for i in range(0, len(by), step):
+            rows = by[i : i + step]
+            true = compared(q[rows], at[rows])
+            few += ((true > 0) & (true < EF)).sum()
+            lonely.extend(at[rows][(true == 0) & (at[rows] >= 0)].tolist())
+            if few >= AUDIT:
+                break
+        moved = self.vectors[lonely[: max(0, AUDIT - few)]]
+        if self.vectors.shape[1] > 1:
+            for i in range(0, len(moved), step):
+                v = moved[i : i + step]
+                away = rng.normal(size=v.shape)
+                away -= (away * v).sum(axis=1, keepdims=True) * v
+                share = min(1.0, self.limit + 1e-3)
+                compared(share * v + math.sqrt(1 - share**2) * away / np.linalg.norm(away, axis=1, keepdims=True), np.full(len(v), -1))
+        sample, selves, true = np.concatenate(sample), np.concatenate(selves), np.concatenate(links)
+        kinds = [kind for kind in (true < EF, true >= EF) if kind.any()]
+        while self.ef < n and kinds:
+            found = np.zeros(len(sample))
+            for row, hits in self.hits(sample):
+                found[row] = (hits != selves[row]).sum()
+            if all((found / true)[kind].mean() >= RECALL for kind in kinds):
+                break
             self.ef *= 2
 
     def hits(self, q: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -104,11 +153,13 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     shards = max(SHARDS, -(-total // SHARD_ROWS))
     home = F.pmod(F.xxhash64("id"), F.lit(shards))
     dealt = classes.select("id", "n", "embedding", F.size("embedding").alias("width"), home.alias("home"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    dealt = dealt.select("width", "shard", (F.col("home") != F.col("shard")).cast("int").alias("query"), "id", "n", "embedding")
+    audited = F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, total)))
+    kind = F.when(F.col("home") == F.col("shard"), 0).when(audited, 1).otherwise(2)  # a shard's own come first, then those of others that it is audited with
+    dealt = dealt.select("width", "shard", kind.alias("query"), "id", "n", "embedding")
     dealt = dealt.repartitionByRange(shards, "shard", "width").sortWithinPartitions("shard", "width", "query")
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, shard = None, [], None
+        at, held, asked, shard = None, [], [], None
         names = ["id", "links", "other"]
 
         def answers(ids: np.ndarray, q: np.ndarray, own: bool) -> pd.DataFrame:
@@ -122,10 +173,14 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
         def built() -> Iterator[pd.DataFrame]:
             nonlocal shard
             ids, counts = (np.concatenate([h[c].to_numpy(np.int64) for h in held]) for c in ("id", "n"))
-            shard = Shard(ids, counts, unit([v for h in held for v in h["embedding"]]), limit)
+            others = [unit(a["embedding"]) for a in asked]
+            shard = Shard(ids, counts, unit([v for h in held for v in h["embedding"]]), limit, np.concatenate(others) if others else None)
             held.clear()
             for i in range(0, len(ids), 1 << 14):
                 yield answers(ids[i : i + (1 << 14)], shard.vectors[i : i + (1 << 14)], True)
+            for a, q in zip(asked, others, strict=True):
+                yield answers(a["id"].to_numpy(np.int64), q, False)
+            asked.clear()
 
         def ended() -> Iterator[pd.DataFrame]:
             if held:
@@ -139,9 +194,12 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
                 if (s, w) != at:
                     yield from ended()
                     at, shard = (s, w), None
-                members, queries = group[group["query"] == 0], group[group["query"] == 1]
+                    asked.clear()
+                members, audits, queries = (group[group["query"] == k] for k in range(3))
                 if len(members):
                     held.append(members)
+                if len(audits) and held:
+                    asked.append(audits)
                 if len(queries):
                     if held:
                         yield from built()

@@ -288,6 +288,47 @@ def test_embeddings_as_brute_force(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in (900, 901, 902, 903, 904))
 
 
+def test_sparse_pairs_of_large_shards(spark):
+    """Shards of over 256 vectors, where the graph is searched: rare pairs at the limit, beside a crowd whose links are many more."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3500, 48))
+    far = rng.normal(size=(300, 48))
+    x[:300] /= np.linalg.norm(x[:300], axis=1, keepdims=True)
+    far -= (far * x[:300]).sum(1, keepdims=True) * x[:300]
+    pairs = 0.905 * x[:300] + np.sqrt(1 - 0.905**2) * far / np.linalg.norm(far, axis=1, keepdims=True)
+    x = np.concatenate([x, pairs, x[3499:] + rng.normal(size=(500, 48)) * 0.05])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.9).sum(1) - 1
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = np.array([n for _, n in sorted((r.vec_id, r.n_links) for r in embedding_dedup.near_duplicates(rows).collect())])
+    assert (got <= true).all()
+    assert np.mean((got / np.maximum(true, 1))[(true > 0) & (true < 24)]) >= 0.97
+    assert np.mean((got / np.maximum(true, 1))[true >= 24]) >= 0.97
+
+
+@pytest.mark.parametrize("crowd,pairs,others", [(0, 1, 0), (0, 0, 0), (400, 30, 0), (0, 0, 40)])
+def test_audit_widens_beams_that_lose_rare_links(monkeypatch, crowd, pairs, others):
+    """A narrow beam that finds each vector itself and its crowd, but no rare link."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 32))
+    x = np.concatenate([x, x[:1] + rng.normal(size=(crowd, 32)) * 0.02, x[1 : 1 + pairs] + rng.normal(size=(pairs, 32)) * 0.2])
+    x = embedding_dedup.unit(x.tolist())
+    asked = embedding_dedup.unit((x[100 : 100 + others] + rng.normal(size=(others, 32)) * 0.03).tolist()) if others else None
+
+    def search(self, q, ef):
+        s = q @ self.vectors.T
+        if ef < 96:
+            rare = (s >= 0.9).sum(1) < 24
+            s[rare] = np.where(s[rare] > 0.99999, s[rare], -1)
+        ids = np.argsort(-s, axis=1)[:, :ef]
+        return ids, np.take_along_axis(s, ids, 1)
+
+    monkeypatch.setattr(embedding_dedup.Graph, "search", search)
+    ids = np.arange(len(x))
+    shard = embedding_dedup.Shard(ids, np.ones(len(x), np.int64), x, 0.9, *([asked] if others else []))
+    assert shard.ef >= 96
+
+
 def test_graph_finds_most_neighbours():
     from tessera.llm.hnsw import Graph
 
