@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+
 
 def linked_to(ids: DataFrame, links: DataFrame) -> DataFrame:
     """doc_id of everything that a link of either direction ties to one of ``ids``."""
@@ -27,19 +29,27 @@ def orphans(child: DataFrame, key: str, parents: DataFrame, parent_key: str) ->
     return child.join(parents.select(F.col(parent_key).alias("__p")), F.col(key) == F.col("__p"), "left_anti")
 
 
-def roots(messages: DataFrame, links: int = 64) -> DataFrame:
-    """id, root of messages (id, parent, is_text): the nearest ancestor, or the message itself, that is a text; a cycle or a missing parent ends the way at what was last there.
+def roots(messages: DataFrame) -> DataFrame:
+    """id, root of messages (id, parent, is_text): the nearest ancestor, or the message itself, that is a text; a missing parent ends the way at what was last there, and a message whose way runs into a cycle is its own root.
 
-    Pointers are doubled until nothing moves, so a chain of n messages takes log2(n) joins; rounds are bounded by ``links``.
+    Pointers are doubled until every way has ended or a round ends no more of them (what is left then runs into
+    cycles), so a chain of n messages takes log2(n) joins; each round's pointers are written.
     """
-    state = messages.select("id", F.when(F.col("is_text") | F.col("parent").isNull(), F.col("id")).otherwise(F.col("parent")).alias("at"))
+
+    def written(df: DataFrame) -> tuple[DataFrame, int]:
+        df.write.parquet(path := shared_path(df.sparkSession, "roots"))
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
+        return df, df.filter("NOT ended").select(F.count_distinct("id")).first()[0]
+
+    state = messages.select("id", F.when(F.col("is_text") | F.col("parent").isNull(), F.lit(None)).otherwise(F.col("parent")).alias("up"))
     known = messages.select(F.col("id").alias("k"))
-    state = state.join(known, F.col("at") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("at"))
-    steps = max(1, links.bit_length())
-    for _ in range(steps):
-        up = state.select(F.col("id").alias("m"), F.col("at").alias("next"))
-        state = state.join(up, F.col("at") == F.col("m")).select("id", F.col("next").alias("at"))
-    return state.select("id", F.col("at").alias("root"))
+    state = state.join(known, F.col("up") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("at"), F.col("k").isNull().alias("ended"))
+    (state, left), before = written(state), None
+    while left and left != before:
+        up = state.select(F.col("id").alias("m"), F.col("at").alias("next"), F.col("ended").alias("end"))
+        before = left
+        state, left = written(state.join(up, F.col("at") == F.col("m")).select("id", F.col("next").alias("at"), F.col("end").alias("ended")))
+    return state.select("id", F.when(F.col("ended"), F.col("at")).otherwise(F.col("id")).alias("root"))
 
 
 def prioritised(parts: list[DataFrame], key: str) -> DataFrame:

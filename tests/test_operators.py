@@ -28,6 +28,13 @@ def test_roots_end_at_texts_cycles_and_missing_parents(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
 
 
+def test_roots_of_long_chains_and_ways_into_cycles(spark):
+    chain = [(i, i - 1 if i else None, i == 0) for i in range(300)]
+    cycles = [(1000, 1001, False), (1001, 1000, False), (1002, 1000, False), (1003, 1003, False), (1004, 1003, False)]
+    got = {r.id: r.root for r in M.roots(spark.createDataFrame(chain + cycles, "id long, parent long, is_text boolean")).collect()}
+    assert got == {i: 0 for i in range(300)} | {i: i for i in range(1000, 1005)}
+
+
 def test_orphans_keep_null_keys(spark):
     child, parent = spark.createDataFrame([(1,), (2,), (None,)], "k long"), spark.createDataFrame([(1,), (None,)], "p long")
     assert {r.k for r in M.orphans(child, "k", parent, "p").collect()} == {2, None}
