@@ -5,13 +5,12 @@
    prefixes, so an inflected form that was never seen is scored by its stem.
 2. ``log_odds``: Dirichlet priors along the chain root, 3 to 8 letters, word: each node's
    toxic share has its parent's share as prior, of ``PRIOR`` observations. Only nodes that
-   differ from their parent are kept, the ``MAX_NODES`` strongest at most; that is what
-   tasks get.
+   differ from their parent are kept, and all of these; that is what tasks get.
 3. ``segments``: a word scores its log-odds less ``DRIFT``; one pass over a text finds all
    maximal scoring segments (Ruzzo and Tompa).
 4. ``calibrate``: extreme-value parameters from the best segments of clean rows of the
    calibration part, and a logistic link from (best and second E-value, number of
-   significant segments) to the label, over ``MAX_SAMPLE`` rows at most.
+   significant segments) to the label, over about ``MAX_SAMPLE`` rows at most.
 5. ``score``: every whole text by 3 and 4.
 
 The training rows are dealt by crc32(doc_id): remainder 2 of 4 is held out, 3 calibrates,
@@ -43,7 +42,6 @@ WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 8)
 PRIOR = 4.0
 DRIFT = 1.0
-MAX_NODES = 50_000
 MAX_SAMPLE = 20_000
 MAX_LABELS = 4_000_000
 SIGNIFICANT = 0.05
@@ -101,7 +99,7 @@ def node_counts(rows: DataFrame) -> DataFrame:
     return made.groupBy("word", "counts").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(counts: DataFrame, prior: float = PRIOR, keep: int = MAX_NODES) -> dict[str, float]:
+def log_odds(counts: DataFrame, prior: float = PRIOR) -> dict[str, float]:
     """Kept nodes with their log-odds against the root; a prefix's key ends with ``*``.
 
     The prefix counts are sums of word counts, each level joined with the next: the levels are dealt by their
@@ -136,8 +134,8 @@ def log_odds(counts: DataFrame, prior: float = PRIOR, keep: int = MAX_NODES) ->
     own = chain.select(F.col("word").alias("node"), ((F.col("toxic") + prior * F.col("prior")) / (F.col("toxic") + F.col("clean") + prior)).alias("share"), "prior", (F.col("toxic") + F.col("clean")).alias("n"))
     moved = F.abs(logit(F.col("share")) - logit(F.col("prior")))
     best = every.unionByName(own).filter(moved > 0.7).filter((F.col("n") >= 3) | (F.col("share") < F.col("prior")))
-    best = best.select("node", (logit(F.col("share")) - math.log(share / (1 - share))).alias("score"), (moved * F.log1p("n")).alias("weight"))
-    return {r["node"]: r["score"] for r in best.orderBy(F.desc("weight"), "node").limit(keep).collect()}
+    best = best.select("node", (logit(F.col("share")) - math.log(share / (1 - share))).alias("score")).toArrow()
+    return dict(zip(best["node"].to_pylist(), best["score"].to_pylist(), strict=True))
 
 
 def scorer(nodes: dict[str, float]):
@@ -207,27 +205,34 @@ def fit_link(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def calibrate(rows: DataFrame, nodes: dict[str, float], most: int = MAX_SAMPLE) -> Model:
-    """Extreme-value parameters and the link from ``most`` rows (text, toxic) at most, those of the smallest hashes."""
+    """Extreme-value parameters and the link from about ``most`` rows (text, toxic) at most, chosen by hash."""
+    model = Model(nodes)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = scorer(nodes)
         for batch in batches:
             found = [(segments(of(w)), len(w)) for w in map(words, batch["text"])]
-            yield pd.DataFrame({"toxic": batch["toxic"], "n": [n for _, n in found], "best": [[float(s) for s, _, _ in sorted(f, reverse=True)[:64]] for f, _ in found]})
+            yield pd.DataFrame({"n": [n for _, n in found], "top": [float(max((s for s, _, _ in f), default=0.0)) for f, _ in found]})
+
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = scorer(nodes)
+        for batch in batches:
+            x = [features(segments(of(w)), len(w), model) for w in map(words, batch["text"])]
+            yield pd.DataFrame({"toxic": batch["toxic"], "x": [list(map(float, v)) for v in x]})
 
     sample = rows.select("text", "toxic", F.xxhash64("doc_id").alias("h"))
     total = sample.count()
     if total > most:
         sample = sample.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * most / total))
-    got = sample.mapInPandas(scored, "toxic int, n long, best array<double>").limit(most).toPandas()
-    model = Model(nodes)
-    clean = got[(got["toxic"] == 0) & (got["n"] > 0)]
+    sample = cut(sample.select("text", "toxic"), "sample")
+    clean = sample.filter("toxic = 0").mapInPandas(tops, "n long, top double").filter("n > 0").toPandas()
     if len(clean) > 1:
-        top = np.array([b[0] if len(b) else 0.0 for b in clean["best"]])
+        top = clean["top"].to_numpy(float)
         log_n = np.log(clean["n"].to_numpy(float))
         model.lam = min(5.0, max(0.2, math.pi / math.sqrt(6) / max(top.std(), 1e-6)))
         model.log_k = float(np.mean(model.lam * top - log_n)) - 0.5772156649
-    x = np.array([features([(s, 0, 0) for s in b], n, model) for b, n in zip(got["best"], got["n"], strict=True)]).reshape(-1, 4)
+    got = sample.mapInPandas(described, "toxic int, x array<double>").toPandas()
+    x = np.array([list(v) for v in got["x"]], float).reshape(-1, 4)
     model.link = fit_link(x, (got["toxic"].to_numpy() > 0).astype(float))
     return model
 

@@ -383,6 +383,22 @@ def test_toxic_held_out(spark):
     assert toxicity.score(docs, toxicity.train(docs, marks.limit(0))).agg(F.max("score")).first()[0] <= 0.5
 
 
+def test_rare_toxic_words_stay_among_many_clean_ones(spark):
+    many = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("word"), F.lit(0).cast("long").alias("toxic"), F.lit(20).cast("long").alias("clean"))
+    counts = many.unionByName(spark.createDataFrame([("zzgrump", 3, 0), ("to", 130_000, 0)], "word string, toxic long, clean long"))
+    nodes = toxicity.log_odds(counts)
+    assert nodes["zzg*"] > 0 and len(nodes) > 60_000
+
+
+def test_calibration_counts_all_segments(spark):
+    text = lambda k: " ".join((["bad"] + ["ok"] * 10) * k + ["ok"] * 11 * (140 - k))
+    rows = [(i, text(140 if i < 50 else 70 if i < 100 else 0), int(i < 50)) for i in range(400)]
+    model = toxicity.calibrate(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), {"bad": 10.0})
+    of = toxicity.scorer(model.nodes)
+    z = [float(np.dot(toxicity.features(toxicity.segments(of(toxicity.words(text(k)))), 1540, model), model.link)) for k in (140, 70, 0)]
+    assert z[0] > 1 > -1 > z[1] and z[2] < -1
+
+
 # MinHash and components.
 
 
