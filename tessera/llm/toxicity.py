@@ -5,7 +5,8 @@
    prefixes, so an inflected form that was never seen is scored by its stem.
 2. ``log_odds``: Dirichlet priors along the chain root, 3 to 8 letters, word: each node's
    toxic share has its parent's share as prior, of ``PRIOR`` observations. Only nodes that
-   differ from their parent are kept, and all of these; that is what tasks get.
+   differ from their parent are kept, and all of these; that is what tasks get, as a sorted
+   array of hashes and one of scores, 12 bytes a node.
 3. ``segments``: a word scores its log-odds less ``DRIFT``; one pass over a text finds all
    maximal scoring segments (Ruzzo and Tompa).
 4. ``calibrate``: extreme-value parameters from the best segments of clean rows of the
@@ -33,6 +34,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +46,39 @@ PREFIXES = (3, 4, 5, 6, 8)
 PRIOR = 4.0
 DRIFT = 1.0
 MAX_SAMPLE = 20_000
-MAX_LABELS = 4_000_000
+#: Labelled rows that are broadcast, of about 30 bytes each; beyond, both sides are shuffled.
+MAX_LABELS = 1_000_000
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
 
 
+PARTS = ("first", "all")
+COUNTS = [f"{kind}_{p}" for p in PARTS for kind in ("toxic", "clean")]
+
+
+@dataclass
+class Nodes:
+    """Kept nodes: hashes in order, and their log-odds against the root."""
+
+    keys: np.ndarray
+    scores: np.ndarray
+
+    @staticmethod
+    def of(keys, scores) -> Nodes:
+        keys = np.asarray(keys, np.int64)
+        order = np.argsort(keys)
+        return Nodes(keys[order], np.asarray(scores, np.float32)[order])
+
+
+def node_key(node: str) -> int:
+    """Spark's xxhash64 of a node: a word, or a prefix with ``*`` after it."""
+    h = xxhash.xxh64_intdigest(node.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 @dataclass
 class Model:
-    nodes: dict[str, float]
+    nodes: Nodes
     lam: float = 1.0
     log_k: float = 0.0
     link: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
@@ -66,27 +94,37 @@ def part(doc_id) -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, part) of the labelled training rows. The labels are broadcast while they are MAX_LABELS at most, else both sides are shuffled."""
+    """doc_id, h (hash of the text), toxic, part of the labelled training rows."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(part(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = cut(known, "labels")
-    small = known.limit(MAX_LABELS + 1).count() <= MAX_LABELS
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known) if small else known, "doc_id").select("doc_id", "text", "toxic", part(F.col("doc_id")).alias("part"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    return cut(own.join(bounded(known), "doc_id").select("doc_id", "h", "toxic", part(F.col("doc_id")).alias("part")).distinct(), "marks")
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows`` (written already), marked for a broadcast while they are MAX_LABELS at most."""
+    return F.broadcast(rows) if rows.limit(MAX_LABELS + 1).count() <= MAX_LABELS else rows
+
+
+def texts_of(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``marks`` (doc_id, h and others) with the texts."""
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
+    return own.join(bounded(marks), ["doc_id", "h"]).drop("h")
 
 
 def node_counts(rows: DataFrame) -> DataFrame:
-    """word, counts, toxic, clean: in how many of ``rows`` (text, toxic, counts) of either class and part the word is."""
+    """word and COUNTS: in how many of ``rows`` (text, toxic, counts) of either class the word is; of those that count before the calibration, and of all."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = {(c, t): Counter() for c in (False, True) for t in (0, 1)}
 
         def out():
-            for c in (False, True):
-                frame = pd.DataFrame({"word": list(of[c, 0].keys() | of[c, 1].keys())})
-                if not len(frame):
-                    continue
-                yield frame.assign(counts=c, toxic=[of[c, 1][w] for w in frame["word"]], clean=[of[c, 0][w] for w in frame["word"]])
+            found = list(set().union(*of.values()))
+            at = {k: np.fromiter((x[w] for w in found), np.int64, len(found)) for k, x in of.items()}
             for x in of.values():
                 x.clear()
+            if found:
+                yield pd.DataFrame({"word": found, "toxic_first": at[True, 1], "clean_first": at[True, 0], "toxic_all": at[True, 1] + at[False, 1], "clean_all": at[True, 0] + at[False, 0]})
 
         for batch in batches:
             for text, toxic, c in zip(batch["text"], batch["toxic"], batch["counts"], strict=True):
@@ -95,67 +133,85 @@ def node_counts(rows: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    made = rows.select("text", "toxic", "counts").mapInPandas(counted, "word string, counts boolean, toxic long, clean long")
-    return made.groupBy("word", "counts").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    made = rows.select("text", "toxic", "counts").mapInPandas(counted, "word string, toxic_first long, clean_first long, toxic_all long, clean_all long")
+    return made.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
-def log_odds(counts: DataFrame, prior: float = PRIOR) -> dict[str, float]:
-    """Kept nodes with their log-odds against the root; a prefix's key ends with ``*``.
+def log_odds(counts: DataFrame, prior: float = PRIOR) -> dict[str, Nodes]:
+    """Kept nodes of ``counts`` (word, COUNTS) for each of PARTS; none of a part that lacks a class.
 
-    The prefix counts are sums of word counts, each level joined with the next: the levels are dealt by their
-    own prefixes, so the short ones are summed before they are sent.
+    All prefixes are summed at once. Then each length takes its priors from the one before, and words from their longest prefix; both parts go together.
     """
-    root = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
-    if not root["t"] or not root["c"]:
-        return {}
-    share = root["t"] / (root["t"] + root["c"])
+    whole = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS)).first()
+    root = {p: whole[f"toxic_{p}"] / max(1, whole[f"toxic_{p}"] + whole[f"clean_{p}"]) for p in PARTS}
+    use = [p for p in PARTS if 0 < root[p] < 1]
+    if not use:
+        return {p: Nodes.of([], []) for p in PARTS}
+    length = F.char_length("word")
+    heads = F.array_compact(F.array(*(F.when(length >= n, F.substring("word", 1, n)) for n in PREFIXES)))
+    prefixes = cut(counts.select(F.explode(heads).alias("node"), *COUNTS).groupBy("node").agg(*(F.sum(c).alias(c) for c in COUNTS)), "prefixes")
+
     held = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))  # noqa: E731  long chains of one class come to 0 or 1
     logit = lambda p: F.log(held(p) / (1 - held(p)))
-    level = None
-    for n in PREFIXES:
-        sums = counts.filter(F.char_length("word") >= n).groupBy(F.substring("word", 1, n).alias("node")).agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-        if level is None:
-            up = sums.withColumn("prior", F.lit(share))
-        else:
-            up = sums.withColumn("up", F.substring("node", 1, last)).join(level.select(F.col("node").alias("up"), F.col("share").alias("prior")), "up")  # noqa: F821
-        level = cut(up.select("node", "prior", ((F.col("t") + prior * F.col("prior")) / (F.col("t") + F.col("c") + prior)).alias("share"), (F.col("t") + F.col("c")).alias("n")), "level")
-        kept = level.select(F.concat("node", F.lit("*")).alias("node"), "share", "prior", "n")
-        every = kept if n == PREFIXES[0] else every.unionByName(kept)  # noqa: F821
-        last = n
-    up = F.substring("word", 1, PREFIXES[-1])
-    chain = None
-    for n in reversed(PREFIXES):
-        these = every.filter(F.col("node").endswith("*") & (F.char_length("node") == n + 1)).select(F.expr(f"substring(node, 1, {n})").alias("up"), F.col("share").alias("prior"))
-        of = counts.filter(F.char_length("word") >= n) if n == PREFIXES[-1] else counts.filter((F.char_length("word") >= n) & (F.char_length("word") < above))  # noqa: F821
-        got = of.withColumn("up", F.substring("word", 1, n)).join(these, "up").select("word", "toxic", "clean", "prior")
-        chain = got if chain is None else chain.unionByName(got)
-        above = n
-    chain = chain.unionByName(counts.filter(F.char_length("word") < PREFIXES[0]).select("word", "toxic", "clean", F.lit(share).alias("prior")))
-    own = chain.select(F.col("word").alias("node"), ((F.col("toxic") + prior * F.col("prior")) / (F.col("toxic") + F.col("clean") + prior)).alias("share"), "prior", (F.col("toxic") + F.col("clean")).alias("n"))
-    moved = F.abs(logit(F.col("share")) - logit(F.col("prior")))
-    best = every.unionByName(own).filter(moved > 0.7).filter((F.col("n") >= 3) | (F.col("share") < F.col("prior")))
-    best = best.select("node", (logit(F.col("share")) - math.log(share / (1 - share))).alias("score")).toArrow()
-    return dict(zip(best["node"].to_pylist(), best["score"].to_pylist(), strict=True))
-
-
-def scorer(nodes: dict[str, float]):
-    """A function from words to their scores, which remembers words."""
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """node, key, and of each part prior_, share_ and score_ (null if it isn't kept); ``rows``: node, key, COUNTS, prior_."""
+        n = {p: F.col(f"toxic_{p}") + F.col(f"clean_{p}") for p in use}
+        rows = rows.withColumns({f"share_{p}": (F.col(f"toxic_{p}") + prior * F.col(f"prior_{p}")) / (n[p] + prior) for p in use})
+        moved = {p: (F.abs(logit(F.col(f"share_{p}")) - logit(F.col(f"prior_{p}"))) > 0.7) & ((n[p] >= 3) | (F.col(f"share_{p}") < F.col(f"prior_{p}"))) for p in use}
+        scores = [F.when(moved[p], logit(F.col(f"share_{p}")) - math.log(root[p] / (1 - root[p]))).cast("float").alias(f"score_{p}") for p in use]
+        return rows.select("node", F.xxhash64("key").alias("key"), *(f"share_{p}" for p in use), *scores)
+
+    def under(rows: DataFrame, up: DataFrame) -> DataFrame:
+        return rows.join(up.select(F.col("node").alias("up"), *(F.col(f"share_{p}").alias(f"prior_{p}") for p in use)), "up")
+
+    from_root = [F.lit(root[p]).alias(f"prior_{p}") for p in use]
+    star = F.concat("node", F.lit("*")).alias("key")
+    levels = []
+    for k, n in enumerate(PREFIXES):
+        rows = prefixes.filter(F.char_length("node") == n).select("*", star)
+        rows = under(rows.withColumn("up", F.substring("node", 1, PREFIXES[k - 1])), levels[-1]) if k else rows.select("*", *from_root)
+        levels.append(cut(shared(rows), "level"))
+    every = levels[0]
+    for x in levels[1:]:
+        every = every.unionByName(x)
+    nearest = F.coalesce(*(F.when(length >= n, F.substring("word", 1, n)) for n in reversed(PREFIXES)))
+    own = counts.select(F.col("word").alias("node"), F.col("word").alias("key"), nearest.alias("up"), *COUNTS)
+    own = under(own.filter("up IS NOT NULL"), every).unionByName(own.filter("up IS NULL").select("*", *from_root))
+    scores = [f"score_{p}" for p in use]
+    kept = every.unionByName(shared(own)).select("key", *scores).filter(F.coalesce(*scores).isNotNull()).toArrow()
+    keys, out = kept["key"].to_numpy(), {p: Nodes.of([], []) for p in PARTS}
+    for p in use:
+        of = kept[f"score_{p}"].to_numpy()
+        out[p] = Nodes.of(keys[~np.isnan(of)], of[~np.isnan(of)])
+    return out
+
+
+def scorer(nodes: Nodes):
+    """A function from words to their scores, which remembers words. A word that is no node has the score of its longest prefix that is one."""
     memo: dict[str, float] = {}
 
-    def one(word: str) -> float:
-        if word in nodes:
-            return nodes[word] - DRIFT
-        for n in reversed(PREFIXES):
-            if len(word) >= n and (s := nodes.get(word[:n] + "*")) is not None:
-                return s - DRIFT
-        return -DRIFT
+    def look_up(new: list[str]) -> None:
+        keys = np.zeros((len(new), len(PREFIXES) + 1), np.int64)
+        known = np.zeros(keys.shape, bool)
+        for i, w in enumerate(new):
+            keys[i, 0], known[i, 0] = node_key(w), True
+            for k, n in enumerate(reversed(PREFIXES), 1):
+                if len(w) >= n:
+                    keys[i, k], known[i, k] = node_key(w[:n] + "*"), True
+        at = np.minimum(np.searchsorted(nodes.keys, keys), len(nodes.keys) - 1)
+        known &= nodes.keys[at] == keys
+        first = known.argmax(axis=1)
+        score = np.where(known.any(axis=1), nodes.scores[at[np.arange(len(new)), first]], 0.0) - DRIFT
+        memo.update(zip(new, score.tolist(), strict=True))
 
     def of(found: list[str]) -> np.ndarray:
+        if not len(nodes.keys):
+            return np.full(len(found), -DRIFT)
         if len(memo) > 200_000:
             memo.clear()
-        for w in set(found):
-            if w not in memo:
-                memo[w] = one(w)
+        if new := [w for w in set(found) if w not in memo]:
+            look_up(new)
         return np.fromiter((memo[w] for w in found), float, len(found))
 
     return of
@@ -204,8 +260,8 @@ def fit_link(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(w)
 
 
-def calibrate(rows: DataFrame, nodes: dict[str, float], most: int = MAX_SAMPLE) -> Model:
-    """Extreme-value parameters and the link from about ``most`` rows (text, toxic) at most, chosen by hash."""
+def calibrate(sample: DataFrame, nodes: Nodes) -> Model:
+    """Extreme-value parameters and the link from ``sample`` (text, toxic), which is read twice; the driver gets four numbers, and four of each row."""
     model = Model(nodes)
 
     def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,46 +273,52 @@ def calibrate(rows: DataFrame, nodes: dict[str, float], most: int = MAX_SAMPLE)
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = scorer(nodes)
         for batch in batches:
-            x = [features(segments(of(w)), len(w), model) for w in map(words, batch["text"])]
-            yield pd.DataFrame({"toxic": batch["toxic"], "x": [list(map(float, v)) for v in x]})
+            x = np.array([features(segments(of(w)), len(w), model) for w in map(words, batch["text"])], float).reshape(-1, 4)
+            yield pd.DataFrame({"toxic": (batch["toxic"] > 0).astype(float), "best": x[:, 1], "second": x[:, 2], "count": x[:, 3]})
+
+    best = sample.filter("toxic = 0").mapInPandas(tops, "n long, top double").filter("n > 0")
+    n, spread, top, log_n = best.agg(F.count("*"), F.stddev_pop("top"), F.avg("top"), F.avg(F.log("n"))).first()
+    if n > 1:
+        model.lam = min(5.0, max(0.2, math.pi / math.sqrt(6) / max(spread, 1e-6)))
+        model.log_k = model.lam * top - log_n - 0.5772156649
+    got = sample.mapInPandas(described, "toxic double, best double, second double, count double").toArrow()
+    x = np.column_stack([np.ones(len(got)), *(got[c].to_numpy() for c in ("best", "second", "count"))])
+    order = np.lexsort((*x.T, y := got["toxic"].to_numpy()))  # sums in one order, however the tasks end
+    model.link = fit_link(x[order], y[order])
+    return model
+
 
-    sample = rows.select("text", "toxic", F.xxhash64("doc_id").alias("h"))
-    total = sample.count()
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Model:
+    """The model of all labelled training rows, calibrated with about ``most`` of them at most, chosen by a hash of the id."""
+    marks = labelled(docs, labels)
+    one = F.max(F.struct((F.col("part") <= 1).alias("counts"), "toxic", "doc_id")).alias("r")
+    counts = cut(node_counts(texts_of(docs, cut(marks.groupBy("h").agg(one).select("h", "r.*"), "chosen"))), "words")
+    nodes = log_odds(counts)
+    third = marks.filter("part = 3").select("doc_id", "h", "toxic")
+    total = third.count()
     if total > most:
-        sample = sample.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * most / total))
-    sample = cut(sample.select("text", "toxic"), "sample")
-    clean = sample.filter("toxic = 0").mapInPandas(tops, "n long, top double").filter("n > 0").toPandas()
-    if len(clean) > 1:
-        top = clean["top"].to_numpy(float)
-        log_n = np.log(clean["n"].to_numpy(float))
-        model.lam = min(5.0, max(0.2, math.pi / math.sqrt(6) / max(top.std(), 1e-6)))
-        model.log_k = float(np.mean(model.lam * top - log_n)) - 0.5772156649
-    got = sample.mapInPandas(described, "toxic int, x array<double>").toPandas()
-    x = np.array([list(v) for v in got["x"]], float).reshape(-1, 4)
-    model.link = fit_link(x, (got["toxic"].to_numpy() > 0).astype(float))
+        third = third.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / total))
+    model = calibrate(cut(texts_of(docs, cut(third, "third")).select("text", "toxic"), "sample"), nodes["first"])
+    model.nodes = nodes["all"]
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = labelled(docs, labels)
-    first = rows.select(F.sha2("text", 256).alias("h"), "text", "toxic", (F.col("part") <= 1).alias("counts")).groupBy("h").agg(F.max(F.struct("counts", "toxic", "text")).alias("r")).select("r.*")
-    counts = cut(node_counts(first), "words")
-    model = calibrate(rows.filter("part = 3"), log_odds(counts.filter("counts").drop("counts")))
-    model.nodes = log_odds(counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    return model
+def probability(found: list[tuple[float, int, int]], n: int, model: Model) -> float:
+    z = float(np.dot(features(found, n, model), model.link))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, score, passages (start and end word, minus the log E-value) of the significant segments."""
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, link = scorer(model.nodes), np.array(model.link)
+        of = scorer(model.nodes)
         for batch in batches:
             out, passages = [], []
             for text in batch["text"]:
                 w = words(text)
                 found = segments(of(w))
-                out.append(float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(features(found, len(w), model), link))))))))
+                out.append(probability(found, len(w), model))
                 space = model.log_k + math.log(max(len(w), 1))
                 passages.append([{"start": a, "end": b, "evidence": float(model.lam * s - space)} for s, a, b in found if model.lam * s - space > -math.log(SIGNIFICANT)])
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": out, "passages": passages})
@@ -266,13 +328,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents scored at ``threshold`` or above, with its own columns."""
-    model = train(docs, labels)
+    model, at = train(docs, labels), docs.columns.index("text")
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, link = scorer(model.nodes), np.array(model.link)
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scorer(model.nodes)
         for batch in batches:
-            found = [(segments(of(w)), len(w)) for w in map(words, batch["text"])]
-            z = np.array([float(np.dot(features(f, n, model), link)) for f, n in found])
-            yield batch[1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold] if len(batch) else batch
+            found = [(segments(of(w)), len(w)) for w in map(words, batch.column(at).to_pylist())]
+            yield batch.filter(pa.array([probability(f, n, model) < threshold for f, n in found], pa.bool_()))
 
-    return bound_batches(docs).mapInPandas(kept, docs.schema)
+    return bound_batches(docs).mapInArrow(kept, docs.schema)
