@@ -4,12 +4,21 @@ A text's best segmentation into pieces maximises the sum of their scores. Where
 can cross, the sum falls apart: before a run of spaces, around characters that are in no
 piece, and between letters and other characters if no piece has both. Parts between such places are solved once and remembered.
 
-Giant texts are cut into chunks of fixed length, wherever that is. What a chunk has to know
-of the text before it is how many of its first characters the last piece from there covers,
-its entry state; its exit state is how far its own last piece reaches into the next chunk.
-``transfer`` gives a chunk's best score for each pair of states. Such matrices combine
-associatively in the (max, +) algebra; a text's chain of small matrices gives the states at
-all borders, and then every chunk is traced back by itself.
+Giant texts are cut into chunks of fixed length, wherever that is, and scanned in the
+(max, +) algebra:
+
+1. ``transfer``: a chunk's matrix has the best sum for each pair of states at its borders. A
+   state is how many of the first characters after a border the last piece before it covers.
+2. ``combine``, the product of matrices, is associative: neighbouring chunks are multiplied in
+   groups of ``GROUP``, the groups' products give the best sums up to each group, and these,
+   within a group, those up to each chunk.
+3. ``entries``: with the sums up to its border, a chunk tells for each state that it may leave
+   in the one that it was entered in. These maps compose, from the end of a text to its start.
+4. ``trace``: each chunk by itself gives the ids of its pieces.
+
+Sums are exact, since scores are rounded to multiples of ``1 / EXACT``, and of several best
+last pieces at a place the longest is taken, on both ways. So a text has the same ids whole or
+in chunks, whatever their lengths; ``giant`` and ``chunk`` only bound what a task works on.
 
 ``Pieces`` reads a SentencePiece model file and takes its pieces' scores as those of a
 unigram model. The ids are what the sentencepiece library gives for the same file with the
@@ -19,8 +28,8 @@ so these are not the ids of that type; see the README.
 Characters in no piece are spelled as the byte pieces of their UTF-8. A literal U+2581,
 which the format uses for the space, is spelled so too, so ``decode`` gives back every text
 exactly. Defined cases: a null or empty text has no ids; repeated rows have equal ids; of
-segmentations with equal sums the one with the longer last piece is taken; an empty table
-gives no rows.
+segmentations with equal sums the one with the longer last piece is taken, and so on before
+it; an empty table gives no rows; columns other than doc_id and text don't matter.
 """
 
 from __future__ import annotations
@@ -39,7 +48,7 @@ from .storage import bound_batches, cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-GIANT, CHUNK = 1 << 16, 1 << 14
+GIANT, CHUNK, GROUP = 1 << 14, 1 << 12, 32
 LOW = -np.inf
 #: How many parts a Python worker remembers, of about 150 bytes each. More save time, fewer memory.
 REMEMBERED = 900_000
@@ -47,6 +56,8 @@ REMEMBERED = 900_000
 LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u052f]"
 #: Scores up to this stand for "last of all" and count as one less than the lowest other score; as they are, sums in single precision would drown in them.
 NEVER = -1e8
+#: Scores are multiples of one by this; sums of up to 2 ** 53 of them are exact.
+EXACT = 1 << 20
 
 
 class Memo(dict):
@@ -71,7 +82,7 @@ class Pieces:
         proto = pb.ModelProto()
         proto.ParseFromString(model)
         floor = min(p.score for p in proto.pieces if p.type == 1 and p.score > NEVER) - 1
-        self.pieces = {p.piece: (i, max(p.score, floor)) for i, p in enumerate(proto.pieces) if p.type in (1, 4)}
+        self.pieces = {p.piece: (i, round(max(p.score, floor) * EXACT) / EXACT) for i, p in enumerate(proto.pieces) if p.type in (1, 4)}
         self.bytes = [0] * 256
         self.raw: list[bytes] = []
         for i, p in enumerate(proto.pieces):
@@ -96,31 +107,33 @@ class Pieces:
     def spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()]
 
-    def reach(self, text: str, begin: int, upto: int, starts: int) -> tuple[list[float], list[tuple[int, tuple[int, ...]]]]:
-        """Best sums of segmentations of text[begin:i] for i up to ``upto``, whose pieces start before ``starts``; and each one's last piece (its begin, its ids)."""
-        best, last, pieces, longest = [LOW] * (upto + 1), [(-1, ())] * (upto + 1), self.pieces, self.longest
-        best[begin] = 0.0
+    def reach(self, text: str, upto: int, starts: int, entry: list[float]) -> tuple[list[float], list[tuple[int, tuple[int, ...]]]]:
+        """Best sums up to each place of ``text`` till ``upto``, given those of its first places, of pieces that start before ``starts``; and each one's last piece (its begin, its ids; begin -1: none)."""
+        best, last, heads, longest = [LOW] * (upto + 1), [(-1, ())] * (upto + 1), self.heads, self.longest
+        for i, x in enumerate(entry[: upto + 1]):
+            best[i] = x
         spaced = text.replace(" ", SPACE)
-        for i in range(begin, min(starts, upto)):
+        for i in range(min(starts, upto)):
             if (now := best[i]) == LOW:
                 continue
-            single = False
-            for j in range(i + 1, min(upto, i + longest) + 1):
-                hit = pieces.get(spaced[i:j]) if text[i] != SPACE else None
-                if hit is not None and SPACE not in text[i:j]:
+            single, j, most = False, i + 1, min(upto, i + longest)
+            while j <= most and text[j - 1] != SPACE and (hit := heads.get(spaced[i:j])) is not None:
+                if hit:
                     single |= j == i + 1
                     if now + hit[1] > best[j]:
                         best[j], last[j] = now + hit[1], (i, (hit[0],))
+                j += 1
             if not single and now + self.unknown > best[i + 1]:
                 best[i + 1], last[i + 1] = now + self.unknown, (i, tuple(self.spell(text[i])))
         return best, last
 
-    def traced(self, last: list, begin: int, end: int) -> list[int]:
+    def traced(self, last: list, end: int) -> tuple[int, list[int]]:
+        """Where the best way to ``end`` was entered, and its ids."""
         out = []
-        while end > begin:
+        while last[end][0] >= 0:
             end, ids = last[end]
             out.append(ids)
-        return [i for ids in reversed(out) for i in ids]
+        return end, [i for ids in reversed(out) for i in ids]
 
     def solve(self, text: str) -> tuple[float, bytes]:
         """Sum and ids (32 bits each) of a part that no piece leaves."""
@@ -177,7 +190,7 @@ class Pieces:
         at, sums, end = self.middle(chunk, size)
 
         def exits(begin: int) -> np.ndarray:
-            best, _ = self.reach(chunk[begin:], 0, min(len(chunk), size + n - 1) - begin, size - begin)
+            best, _ = self.reach(chunk[begin:], min(len(chunk), size + n - 1) - begin, size - begin, [0.0])
             got = np.full(n, LOW)
             tail = best[size - begin :]
             got[: len(tail)] = tail
@@ -196,14 +209,26 @@ class Pieces:
     def part_between(self, chunk: str, a: int, b: int) -> float:
         return sum(self.part(p) for p in self.parts.findall(chunk[a:b]))
 
-    def trace(self, chunk: str, size: int, entry: int, leaving: int) -> np.ndarray:
-        """The ids of a chunk's own pieces on the best way from ``entry`` to exit state ``leaving``."""
-        at, _, _ = self.middle(chunk, size)
-        rest = [c for c in at if c >= entry]
-        end = rest[-1] if rest else entry
-        _, last = self.reach(chunk[end:], 0, size + leaving - end, size - end)
-        tail = np.array(self.traced(last, 0, size + leaving - end), np.int32)
-        return np.concatenate([self.encode(chunk[entry:end]), tail])
+    def entries(self, chunk: str, size: int, sums: list[float]) -> list[int]:
+        """For each state that the chunk may be left in, the one that it is entered in on the best way, given the best ``sums`` up to its first places."""
+        n = self.longest
+        first = next((m.end() for m in self.parts.finditer(chunk)), size + 1)
+        if first <= size and first < len(chunk):
+            _, last = self.reach(chunk, first, first, sums)
+            return [self.traced(last, first)[0]] * n
+        upto = min(len(chunk), size + n - 1)
+        best, last = self.reach(chunk, upto, size, sums)
+        return [self.traced(last, size + e)[0] if size + e <= upto and best[size + e] > LOW else 0 for e in range(n)]
+
+    def trace(self, chunk: str, size: int, sums: list[float], leaving: int) -> np.ndarray:
+        """The ids of a chunk's own pieces on the best way that leaves it in state ``leaving``."""
+        at = [c for c in self.cuts(chunk) if c <= size]
+        if not at:
+            return np.array(self.traced(self.reach(chunk, size + leaving, size, sums)[1], size + leaving)[1], np.int32)
+        first, end = at[0], at[-1]
+        _, head = self.traced(self.reach(chunk, first, first, sums)[1], first)
+        _, tail = self.traced(self.reach(chunk[end:], size + leaving - end, size - end, [0.0])[1], size + leaving - end)
+        return np.concatenate([np.array(head, np.int32), self.encode(chunk[first:end]), np.array(tail, np.int32)])
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -211,16 +236,14 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def borders(matrices: list[np.ndarray]) -> list[int]:
-    """The states at all borders of a text, first and last 0, on its best way."""
-    after = [None] * len(matrices)
-    after[-1] = matrices[-1][:, 0]
-    for k in range(len(matrices) - 2, -1, -1):
-        after[k] = (matrices[k] + after[k + 1][None, :]).max(axis=1)
-    states = [0]
-    for k in range(len(matrices) - 1):
-        states.append(int(np.argmax(matrices[k][states[-1]] + after[k + 1])))
-    return [*states, 0]
+def forward(matrices: list[np.ndarray], sums: np.ndarray) -> list[np.ndarray]:
+    """The best sums up to the states at each matrix's own first border, from those at the first one's; less their largest, which changes no way."""
+    out = []
+    for m in matrices:
+        out.append(sums)
+        sums = (sums[:, None] + m).max(axis=0)
+        sums = sums - sums.max()
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -248,34 +271,70 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk:
                 ids = [own.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), lists(ids)], names=["doc_id", "ids"])
 
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each chunk: its text goes on with what may follow in the next one."""
+        for batch in batches:
+            for i in range(len(batch)):
+                text = batch.column(2)[i].as_py()
+                for j in range(0, len(text), 1024 * chunk):
+                    starts = range(j, min(len(text), j + 1024 * chunk), chunk)
+                    taken = pa.array([i] * len(starts))
+                    own = [pa.array([k // chunk for k in starts], pa.int32()), pa.array([min(chunk, len(text) - k) for k in starts], pa.int32()), pa.array([text[k : k + chunk + longest - 1] for k in starts])]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *own], names=["uid", "doc_id", "k", "size", "text"])
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     small = rows.filter(F.char_length("text") <= giant).mapInArrow(whole, f"doc_id {kind}, ids array<int>")
-    large = cut(rows.filter(F.char_length("text") > giant).withColumn("uid", F.monotonically_increasing_id()), "giants")
-    starts = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / chunk).cast("int"))
-    chunks = large.select("uid", F.char_length("text").alias("n"), F.explode(F.transform(starts, lambda k: F.struct(k.alias("k"), F.substr("text", k * chunk + 1, F.lit(chunk + longest - 1)).alias("text")))).alias("c"))
-    chunks = cut(chunks.select("uid", "c.k", F.least(F.lit(chunk), F.col("n") - F.col("c.k") * chunk).cast("int").alias("size"), "c.text").repartition("uid", "k"), "chunks")
+    large = rows.filter(F.char_length("text") > giant).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    chunks = cut(large.mapInArrow(pieces_of, f"uid long, doc_id {kind}, k int, size int, text string").repartition("uid", "k"), "chunks")
 
     def transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = loaded(model, remembered)
         for batch in batches:
-            yield pd.DataFrame({"uid": batch["uid"], "k": batch["k"], "m": [own.transfer(t, n).ravel() for t, n in zip(batch["text"], batch["size"], strict=True)]})
+            yield pd.DataFrame({"uid": batch["uid"], "k": batch["k"], "g": batch["k"] // GROUP, "m": [own.transfer(t, n).ravel() for t, n in zip(batch["text"], batch["size"], strict=True)]})
+
+    square = lambda column: [np.asarray(m, float).reshape(longest, longest) for m in column]
 
-    def scanned(one: pd.DataFrame) -> pd.DataFrame:
+    def multiplied(one: pd.DataFrame) -> pd.DataFrame:
+        product, *rest = square(one.sort_values("k")["m"])
+        for m in rest:
+            product = combine(product, m)
+        return pd.DataFrame({"uid": one["uid"].iloc[:1], "g": one["g"].iloc[0], "m": [product.ravel()]})
+
+    def up_to_groups(one: pd.DataFrame) -> pd.DataFrame:
+        one = one.sort_values("g")
+        return pd.DataFrame({"uid": one["uid"], "g": one["g"], "sums": forward(square(one["m"]), np.array([0.0] + [LOW] * (longest - 1)))})
+
+    def up_to_chunks(one: pd.DataFrame) -> pd.DataFrame:
         one = one.sort_values("k")
-        states = borders([m.reshape(longest, longest) for m in one["m"]])
-        return pd.DataFrame({"uid": one["uid"], "k": one["k"], "entry": states[:-1], "leaving": states[1:]})
+        return pd.DataFrame({"uid": one["uid"], "k": one["k"], "sums": forward(square(one["m"]), np.asarray(one["sums"].iloc[0], float))})
+
+    def entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = loaded(model, remembered)
+        for batch in batches:
+            yield pd.DataFrame({"uid": batch["uid"], "k": batch["k"], "entry": [own.entries(t, n, list(f)) for t, n, f in zip(batch["text"], batch["size"], batch["sums"], strict=True)]})
+
+    def left(one: pd.DataFrame) -> pd.DataFrame:
+        one, states = one.sort_values("k", ascending=False), [0]
+        for entry in one["entry"]:
+            states.append(int(entry[states[-1]]))
+        return pd.DataFrame({"uid": one["uid"], "k": one["k"], "leaving": states[:-1]})
 
     def traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = loaded(model, remembered)
         for batch in batches:
-            ids = [own.trace(t, n, a, b) for t, n, a, b in batch[["text", "size", "entry", "leaving"]].itertuples(index=False)]
-            yield pd.DataFrame({"uid": batch["uid"], "k": batch["k"], "ids": ids})
-
-    matrices = chunks.mapInPandas(transfers, "uid long, k int, m array<double>")
-    states = cut(matrices.groupBy("uid").applyInPandas(scanned, "uid long, k int, entry int, leaving int"), "states")
-    traced = chunks.join(states, ["uid", "k"]).mapInPandas(traces, "uid long, k int, ids array<int>")
-    joined = traced.groupBy("uid").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.unionByName(large.select("uid", "doc_id").join(joined, "uid").select("doc_id", "ids"))
+            ids = [own.trace(t, n, list(f), e) for t, n, f, e in zip(batch["text"], batch["size"], batch["sums"], batch["leaving"], strict=True)]
+            yield pd.DataFrame({"uid": batch["uid"], "k": batch["k"], "doc_id": batch["doc_id"], "ids": ids})
+
+    matrices = cut(chunks.mapInPandas(transfers, "uid long, k int, g int, m array<double>"), "matrices")
+    products = matrices.groupBy("uid", "g").applyInPandas(multiplied, "uid long, g int, m array<double>")
+    starts = cut(products.groupBy("uid").applyInPandas(up_to_groups, "uid long, g int, sums array<double>"), "starts")
+    sums = cut(matrices.join(starts, ["uid", "g"]).groupBy("uid", "g").applyInPandas(up_to_chunks, "uid long, k int, sums array<double>"), "sums")
+    # A text's maps are 16 numbers a chunk, much less than the text, which is one row.
+    states = chunks.select("uid", "k", "size", "text").join(sums, ["uid", "k"]).mapInPandas(entered, "uid long, k int, entry array<int>")
+    leaving = cut(states.groupBy("uid").applyInPandas(left, "uid long, k int, leaving int"), "leaving")
+    traced = chunks.join(sums, ["uid", "k"]).join(leaving, ["uid", "k"]).mapInPandas(traces, f"uid long, k int, doc_id {kind}, ids array<int>")
+    joined = traced.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return small.unionByName(joined.select("doc_id", "ids"))
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:

@@ -160,6 +160,51 @@ def test_lines_as_brute_force(spark):
     assert line_dedup.clean(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_lines_of_odd_tables(spark):
+    """Columns with names used inside, null and repeated ids and rows, large ids beside null ones."""
+    run = "\n".join(" ".join(f"w{i}x{j}" for j in range(8)) for i in range(6))
+    rows = [(5, run, "a", 1 << 60), (5, run, "b", None), (None, "top\n" + run, "c", 3), (7, run + "\nend", "d", 4), (5, "other\n" + run, "e", 5), (8, None, "f", 6), (9, "", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string, line long").withColumn("runs", F.array(F.struct(F.lit(1).alias("start")))).withColumn("d", F.lit("d"))
+    got = line_dedup.clean(docs)
+    assert got.schema == docs.schema
+    by = {(r.doc_id, r.own): (r.text, r.line) for r in got.collect()}
+    # Which of the two texts of id 5 is first is by the text's hash.
+    firsts = {k: v for k, v in by.items() if k[0] == 5}
+    kept = sorted(t for t, _ in firsts.values())
+    assert kept in (sorted([run, run, "other"]), sorted(["", "", "other\n" + run]))
+    assert by[None, "c"] == ("top", 3) and by[7, "d"] == ("end", 4) and by[8, "f"] == (None, 6) and by[9, None] == ("", 7) and by[5, "a"][1] == 1 << 60
+
+
+def test_lines_of_very_long_texts(spark):
+    import time
+
+    began = time.time()
+    blank = "\n" * 100_000 + "word " * 40
+    assert line_dedup.outline(blank) is not None and line_dedup.outline("\n" * 300_000 + "x\n" * 29) is None
+    assert time.time() - began < 10
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) + str(rng.randint(0, 999)) for _ in range(12)) for _ in range(20_000)]
+    texts = [(1, "\n".join(lines)), (2, "\n".join(["new", *lines[5000:5010], "more"])), (3, blank), (4, "before " * 31 + blank)]
+    got = {r.doc_id: r.text for r in line_dedup.clean(docs_of(spark, texts)).collect()}
+    assert got[1] == texts[0][1] and got[2] == "new\nmore" and got[3] == blank
+    assert got[4] == "before " * 31
+
+
+def test_windows_are_winnowed_and_matches_extended_both_ways():
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "\n".join(" ".join("x" * rng.randint(1, 2) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 20)))
+        o = line_dedup.outline(text, 6)
+        if o is None:
+            continue
+        digests, starts, ends, minima, _, _ = o
+        assert minima.tolist() == [min(range(a, b), key=lambda j: (digests[j], -j)) for a, b in zip(starts, ends, strict=True)]
+        assert (np.diff(minima) >= 0).all() and (np.diff(ends) >= 0).all()
+    a, b = np.array([9, 1, 2, 3, 4, 5, 8]), np.array([7, 1, 2, 3, 4, 5, 6])
+    assert line_dedup.extended(np.array([13]), np.array([14]), 10, a, 3, b, 7) == [(11, 16)]
+    assert line_dedup.extended(np.array([10, 13]), np.array([11, 17]), 10, a, 3, b, 7) == []
+
+
 # WARC.
 
 
@@ -247,29 +292,72 @@ def test_ids_are_the_library_s_unigram_ids(pieces):
         assert score(pieces.encode(" " + text).tolist()) == pytest.approx(score(lib.encode(text)))
 
 
+def scanned(pieces, text, size):
+    """Ids and sum of a text by the scan, in chunks of ``size``."""
+    n = pieces.longest
+    parts = [(text[k : k + size + n - 1], min(size, len(text) - k)) for k in range(0, len(text), size)]
+    matrices = [pieces.transfer(t, s) for t, s in parts]
+    sums = sentencepiece_scan.forward(matrices, np.array([0.0] + [-np.inf] * (n - 1)))
+    leaving = [0]
+    for (t, s), f in list(zip(parts, sums, strict=True))[::-1]:
+        leaving.append(pieces.entries(t, s, list(f))[leaving[-1]])
+    assert leaving.pop() == 0
+    total = matrices[0]
+    for m in matrices[1:]:
+        total = sentencepiece_scan.combine(total, m)
+    return np.concatenate([pieces.trace(t, s, list(f), e) for (t, s), f, e in zip(parts, sums, leaving[::-1], strict=True)]).tolist(), total[0, 0]
+
+
 def test_chunks_give_what_the_whole_gives(pieces):
-    rng, n = random.Random(1), pieces.longest
-    for trial in range(60):
+    rng = random.Random(1)
+    for trial in range(200):
         text = "".join(rng.choice(["the ", "thin", "er", " ", "é", "日本", "\n", "▁", "ing ", "%%"][: 4 if trial % 3 else 10]) for _ in range(rng.randint(60, 200)))
-        size = rng.randint(2 * n, 70)
-        parts = [(text[k : k + size + n - 1], min(size, len(text) - k)) for k in range(0, len(text), size)]
-        matrices = [pieces.transfer(t, s) for t, s in parts]
-        states = sentencepiece_scan.borders(matrices)
-        ids = np.concatenate([pieces.trace(t, s, a, b) for (t, s), a, b in zip(parts, states, states[1:], strict=False)])
-        total = matrices[0]
-        for m in matrices[1:]:
-            total = sentencepiece_scan.combine(total, m)
-        assert total[0, 0] == pytest.approx(sum(pieces.part(p) for p in pieces.parts.findall(text)))
-        assert pieces.decode(np.concatenate([pieces.encode(" "), ids])) == text
+        if trial % 5 == 4:
+            text = "".join(rng.choice("aeinrst") for _ in range(200))  # no place that a piece could not cross
+        ids, total = scanned(pieces, text, rng.randint(2 * pieces.longest, 70))
+        assert ids == pieces.encode(text).tolist()
+        assert total == sum(pieces.part(p) for p in pieces.parts.findall(text))
+        assert pieces.decode(np.concatenate([pieces.encode(" "), np.array(ids, np.int32)])) == text
+
+
+def test_sums_are_the_best_of_all_segmentations(pieces):
+    """Viterbi in its plainest form, with the tie rule: the longest last piece, and so on before it."""
+    rng = random.Random(2)
+    for _ in range(60):
+        text = "".join(rng.choice(["the ", "a", "in", "er", " ", "é", "日", "\n", "▁", "s"]) for _ in range(rng.randint(1, 40)))
+        spaced, n = text.replace(" ", "\0"), len(text)
+        best, way = [0.0] + [-np.inf] * n, [[]] + [None] * n
+        for j in range(1, n + 1):
+            for i in range(j):  # from the longest last piece on
+                hit = None if "▁" in text[i:j] else pieces.pieces.get(spaced[i:j].replace("\0", "▁"))
+                if hit is None and j == i + 1:
+                    hit = (None, pieces.unknown)
+                if hit is not None and best[i] + hit[1] > best[j]:
+                    best[j], way[j] = best[i] + hit[1], way[i] + ([hit[0]] if hit[0] is not None else pieces.spell(text[i]))
+        assert pieces.encode(text).tolist() == way[n]
+
+
+def test_ids_do_not_depend_on_chunks(spark):
+    """Real texts, and others, as a whole and by the scan of the operator, with several groups of chunks a text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 6000).alias("text"))
+    ids = lambda **options: {r.doc_id: r.ids for r in sentencepiece_scan.encode(docs, **options).collect()}
+    want = ids()
+    assert ids(giant=200, chunk=100) == want and ids(giant=1000, chunk=333) == want
 
 
 def test_sentencepiece_round_trip(spark):
-    texts = [(1, "plain words"), (2, None), (3, ""), (4, "  two  spaces\t\n"), (5, "▁literal ▁▁ \U0001f389"), (6, "long word " * 300), (7, "x" * 3000)]
-    out = sentencepiece_scan.decode(sentencepiece_scan.encode(docs_of(spark, texts), giant=500, chunk=100))
-    assert {r.doc_id: r.text for r in out.collect()} == {i: t or "" for i, t in texts}
+    texts = [(1, "plain words"), (2, None), (3, ""), (4, "  two  spaces\t\n"), (5, "▁literal ▁▁ \U0001f389"), (6, "long word " * 300), (7, "x" * 3000), (7, "x" * 3000), (None, "y z " * 400)]
+    out = sentencepiece_scan.decode(sentencepiece_scan.encode(docs_of(spark, texts).withColumn("ids", F.lit(1)).withColumn("k", F.lit("k")), giant=500, chunk=100))
+    assert sorted([(r.doc_id or -1, r.text) for r in out.collect()]) == sorted([(i or -1, t or "") for i, t in texts])
     assert sentencepiece_scan.encode(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_sentencepiece_of_a_very_long_text(spark):
+    text = "the quick brown fox, " * 60_000
+    r = sentencepiece_scan.decode(sentencepiece_scan.encode(docs_of(spark, [(1, text)]))).first()
+    assert r.text == text
+
+
 # Embeddings.
 
 
@@ -384,16 +472,95 @@ def test_toxic_held_out(spark):
 
 
 def test_rare_toxic_words_stay_among_many_clean_ones(spark):
-    many = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("word"), F.lit(0).cast("long").alias("toxic"), F.lit(20).cast("long").alias("clean"))
-    counts = many.unionByName(spark.createDataFrame([("zzgrump", 3, 0), ("to", 130_000, 0)], "word string, toxic long, clean long"))
-    nodes = toxicity.log_odds(counts)
-    assert nodes["zzg*"] > 0 and len(nodes) > 60_000
+    many = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("word"), F.lit(0).cast("long").alias("toxic_all"), F.lit(20).cast("long").alias("clean_all"))
+    counts = many.unionByName(spark.createDataFrame([("zzgrump", 3, 0), ("to", 130_000, 0)], "word string, toxic_all long, clean_all long"))
+    nodes = toxicity.log_odds(counts.withColumns({"toxic_first": F.col("toxic_all"), "clean_first": F.col("clean_all")}))["all"]
+    assert nodes.scores[np.searchsorted(nodes.keys, toxicity.node_key("zzg*"))] > 0 and len(nodes.keys) > 60_000
+
+
+def test_log_odds_and_scores_as_brute_force(spark):
+    """Counts, the Dirichlet chain, the nodes kept and a text's score, each made again in plain Python."""
+    import math
+
+    rng = random.Random(5)
+    bits = ["ba", "do", "ki", "é", "n"]
+    vocabulary = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    texts = [(" ".join(rng.choice(vocabulary[: 60 if i % 3 else 15]) for _ in range(rng.randint(0, 12))), int(i % 3 == 0), i % 4 < 3) for i in range(240)]
+    rows = spark.createDataFrame(texts, "text string, toxic int, counts boolean")
+    counts = toxicity.node_counts(rows)
+    got = toxicity.log_odds(counts)
+    for p, use in (("first", [t for t in texts if t[2]]), ("all", texts)):
+        of = defaultdict(lambda: [0, 0])
+        for text, toxic, _ in use:
+            for w in set(toxicity.words(text)):
+                of[w][toxic] += 1
+        root = sum(t for _, t in of.values()) / sum(map(sum, of.values()))
+        logit = lambda q: math.log(min(max(q, 1e-6), 1 - 1e-6) / (1 - min(max(q, 1e-6), 1 - 1e-6)))
+        sums = defaultdict(lambda: [0, 0])
+        for w, (c, t) in of.items():
+            for node in {w[:n] + "*" for n in toxicity.PREFIXES if len(w) >= n} | {w}:
+                sums[node][0] += c
+                sums[node][1] += t
+
+        def share(node):
+            s = node.rstrip("*")
+            above = [s[:n] + "*" for n in toxicity.PREFIXES if (n < len(s) if node != s else n <= len(s))]
+            prior = share(above[-1])[0] if above else root
+            c, t = sums[node]
+            return (t + toxicity.PRIOR * prior) / (c + t + toxicity.PRIOR), prior, c + t
+
+        want = {}
+        for node in sums:
+            own, prior, n = share(node)
+            if abs(logit(own) - logit(prior)) > 0.7 and (n >= 3 or own < prior):
+                want[toxicity.node_key(node)] = logit(own) - logit(root)
+        assert got[p].keys.tolist() == sorted(want) and np.allclose(got[p].scores, [want[k] for k in sorted(want)], atol=1e-5)
+        # Every word by itself, as long as its node or a prefix's was kept.
+        scored = toxicity.scorer(got[p])
+        for w in [*vocabulary, "kikikikikiq", "q", "doq"]:
+            chain = [w, *(w[:n] + "*" for n in reversed(toxicity.PREFIXES) if len(w) >= n)]
+            best = next((want[k] for k in map(toxicity.node_key, chain) if k in want), 0.0) - toxicity.DRIFT
+            assert scored([w])[0] == pytest.approx(best, abs=1e-5)
+    model = toxicity.Model(got["all"], 1.3, -0.5, (-2.0, 0.7, 0.2, 0.4))
+    of = toxicity.scorer(model.nodes)
+    docs = spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in toxicity.score(docs, model).collect():
+        s = of(toxicity.words(texts[r.doc_id][0])).tolist()
+        found, todo = [], [(0, len(s))]
+        while todo:
+            a, b = todo.pop()
+            best = max(((sum(s[i:j]), i - j, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+            if best[0] > 1e-9:
+                found.append(best[0])
+                todo += [(a, best[2]), (best[3], b)]
+        e = sorted((1.3 * x + 0.5 - math.log(max(len(s), 1)) for x in found), reverse=True)
+        top = [min(30, max(0, x)) for x in e[:2]] + [0, 0]
+        z = -2 + 0.7 * top[0] + 0.2 * top[1] + 0.4 * math.log1p(sum(x > -math.log(0.05) for x in e))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_hashes_are_spark_s(spark):
+    some = ["", "a", "né*", "x" * 100, "日本語"]
+    assert [r.h for r in spark.createDataFrame([(w,) for w in some], "w string").select(F.xxhash64("w").alias("h")).collect()] == [toxicity.node_key(w) for w in some]
+
+
+def test_toxicity_of_odd_tables(spark):
+    """Null ids and texts, repeated rows and ids, clashing names, a long text, empty tables."""
+    rows = [(None, "bad bad", "a", "x"), (1, "ok words", "b", "y"), (1, "ok words", "b", "y"), (1, "other text", None, None), (2, None, "c", "z"), (3, "ok bad " * 100_000, "d", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, h string").withColumn("toxic", F.lit(9)).withColumn("part", F.array(F.lit(None).cast("int")))
+    marks = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1), (3, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.keep_clean(docs, marks, threshold=1.1).schema == docs.schema and toxicity.keep_clean(docs, marks, threshold=1.1).count() == 6
+    assert toxicity.keep_clean(docs, marks, threshold=0.0).count() == 0
+    assert toxicity.keep_clean(docs.limit(0), marks).count() == 0 and toxicity.keep_clean(docs, marks.limit(0), threshold=1.1).count() == 6
 
 
 def test_calibration_counts_all_segments(spark):
     text = lambda k: " ".join((["bad"] + ["ok"] * 10) * k + ["ok"] * 11 * (140 - k))
     rows = [(i, text(140 if i < 50 else 70 if i < 100 else 0), int(i < 50)) for i in range(400)]
-    model = toxicity.calibrate(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), {"bad": 10.0})
+    model = toxicity.calibrate(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), toxicity.Nodes.of([toxicity.node_key("bad")], [10.0]))
     of = toxicity.scorer(model.nodes)
     z = [float(np.dot(toxicity.features(toxicity.segments(of(toxicity.words(text(k)))), 1540, model), model.link)) for k in (140, 70, 0)]
     assert z[0] > 1 > -1 > z[1] and z[2] < -1
