@@ -9,6 +9,8 @@ Giant texts are cut into chunks of fixed length, wherever that is, and scanned i
 
 1. ``transfer``: a chunk's matrix has the best sum for each pair of states at its borders. A
    state is how many of the first characters after a border the last piece before it covers.
+   Between the first and the last place in a chunk that no piece can cross all ways are one;
+   its sum is left out, since only differences within a matrix matter.
 2. ``combine``, the product of matrices, is associative: neighbouring chunks are multiplied in
    groups of ``GROUP``, the groups' products give the best sums up to each group, and these,
    within a group, those up to each chunk.
@@ -49,6 +51,8 @@ from .storage import bound_batches, cut
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 GIANT, CHUNK, GROUP = 1 << 14, 1 << 12, 32
+#: Chunks whose ways are broadcast, of about 200 bytes each; beyond, both sides are shuffled.
+MAX_WAYS = 300_000
 LOW = -np.inf
 #: How many parts a Python worker remembers, of about 150 bytes each. More save time, fewer memory.
 REMEMBERED = 900_000
@@ -172,22 +176,27 @@ class Pieces:
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(self.prefix)
 
-    def cuts(self, chunk: str) -> list[int]:
-        """Places within a chunk that no piece crosses."""
-        ends = [m.end() for m in self.parts.finditer(chunk)]
-        return ends[:-1]
-
-    def middle(self, chunk: str, size: int) -> tuple[list[int], np.ndarray, int]:
-        """Places that no piece crosses, the sums of the parts up to each, and from which place on the last part reaches over the border."""
-        at = [c for c in self.cuts(chunk) if c <= size]
-        sums = np.concatenate(([0.0], np.cumsum([self.part(chunk[a:b]) for a, b in zip(at, at[1:], strict=False)]))) if at else np.zeros(0)
-        return at, sums, at[-1] if at else 0
+    def first_cut(self, chunk: str, size: int) -> int:
+        """The first place within a chunk that no piece can cross; -1 if there is none."""
+        end = next((m.end() for m in self.parts.finditer(chunk)), 0)
+        return end if 0 < end <= size and end < len(chunk) else -1
+
+    def last_cut(self, chunk: str, size: int) -> int:
+        """The last such place; parts are looked for from a place near the end, farther back while there is none."""
+        back = 64
+        while True:
+            ends = [m.end() for m in self.parts.finditer(chunk, max(0, size - back))]
+            if found := [e for e in ends if e <= size and e < len(chunk)]:
+                return found[-1]
+            if back >= size:
+                return -1
+            back *= 4
 
     def transfer(self, chunk: str, size: int) -> np.ndarray:
-        """[entry, exit]: the best sum of a chunk of ``size`` characters; ``chunk`` goes on with what may follow in the next one."""
+        """[entry, exit]: the best sum of a chunk of ``size`` characters, less what all ways have in common; ``chunk`` goes on with what may follow in the next one."""
         n = self.longest
         out = np.full((n, n), LOW)
-        at, sums, end = self.middle(chunk, size)
+        first = self.first_cut(chunk, size)
 
         def exits(begin: int) -> np.ndarray:
             best, _ = self.reach(chunk[begin:], min(len(chunk), size + n - 1) - begin, size - begin, [0.0])
@@ -196,41 +205,40 @@ class Pieces:
             got[: len(tail)] = tail
             return got
 
-        tail = exits(end) if at else None
-        for s in range(min(n, size + 1)):
-            nxt = int(np.searchsorted(at, s))
-            if nxt == len(at):
+        if first < 0:
+            for s in range(min(n, size + 1)):
                 out[s] = exits(s)
-            else:
-                head = 0.0 if at[nxt] == s else self.part_between(chunk, s, at[nxt])
-                out[s] = head + (sums[-1] - sums[nxt]) + tail
+            return out
+        tail = exits(self.last_cut(chunk, size))
+        for s in range(min(n, first + 1)):
+            out[s] = sum(self.part(p) for p in self.parts.findall(chunk[s:first])) + tail
         return out
 
-    def part_between(self, chunk: str, a: int, b: int) -> float:
-        return sum(self.part(p) for p in self.parts.findall(chunk[a:b]))
-
-    def entries(self, chunk: str, size: int, sums: list[float]) -> list[int]:
-        """For each state that the chunk may be left in, the one that it is entered in on the best way, given the best ``sums`` up to its first places."""
+    def entries(self, chunk: str, size: int, first: int, sums: list[float]) -> list[int]:
+        """For each state that the chunk may be left in, the one that it is entered in on the best way, given the best ``sums`` up to its first places; up to its ``first_cut``, if it has one, is enough of the chunk."""
         n = self.longest
-        first = next((m.end() for m in self.parts.finditer(chunk)), size + 1)
-        if first <= size and first < len(chunk):
-            _, last = self.reach(chunk, first, first, sums)
-            return [self.traced(last, first)[0]] * n
+        if first >= 0:
+            return [self.traced(self.reach(chunk, first, first, sums)[1], first)[0]] * n
         upto = min(len(chunk), size + n - 1)
         best, last = self.reach(chunk, upto, size, sums)
         return [self.traced(last, size + e)[0] if size + e <= upto and best[size + e] > LOW else 0 for e in range(n)]
 
     def trace(self, chunk: str, size: int, sums: list[float], leaving: int) -> np.ndarray:
         """The ids of a chunk's own pieces on the best way that leaves it in state ``leaving``."""
-        at = [c for c in self.cuts(chunk) if c <= size]
-        if not at:
+        first = self.first_cut(chunk, size)
+        if first < 0:
             return np.array(self.traced(self.reach(chunk, size + leaving, size, sums)[1], size + leaving)[1], np.int32)
-        first, end = at[0], at[-1]
+        end = self.last_cut(chunk, size)
         _, head = self.traced(self.reach(chunk, first, first, sums)[1], first)
         _, tail = self.traced(self.reach(chunk[end:], size + leaving - end, size - end, [0.0])[1], size + leaving - end)
         return np.concatenate([np.array(head, np.int32), self.encode(chunk[first:end]), np.array(tail, np.int32)])
 
 
+@lru_cache(maxsize=1)
+def loaded(model: bytes, remembered: int = REMEMBERED) -> Pieces:
+    return Pieces(model, remembered)
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The product of two transfer matrices in the (max, +) algebra; it is associative."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -246,11 +254,6 @@ def forward(matrices: list[np.ndarray], sums: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=1)
-def loaded(model: bytes, remembered: int = REMEMBERED) -> Pieces:
-    return Pieces(model, remembered)
-
-
 def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, ids of every whole text of ``docs`` (doc_id, text). ``remembered`` bounds a worker's memory and changes no result."""
     with open(model_path, "rb") as f:
@@ -285,12 +288,14 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk:
     kind = docs.schema["doc_id"].dataType.simpleString()
     small = rows.filter(F.char_length("text") <= giant).mapInArrow(whole, f"doc_id {kind}, ids array<int>")
     large = rows.filter(F.char_length("text") > giant).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    chunks = cut(large.mapInArrow(pieces_of, f"uid long, doc_id {kind}, k int, size int, text string").repartition("uid", "k"), "chunks")
+    chunks = cut(large.mapInArrow(pieces_of, f"uid long, doc_id {kind}, k int, size int, text string"), "chunks")
 
     def transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = loaded(model, remembered)
         for batch in batches:
-            yield pd.DataFrame({"uid": batch["uid"], "k": batch["k"], "g": batch["k"] // GROUP, "m": [own.transfer(t, n).ravel() for t, n in zip(batch["text"], batch["size"], strict=True)]})
+            first = [own.first_cut(t, n) for t, n in zip(batch["text"], batch["size"], strict=True)]
+            head = [t[:f] if f >= 0 else t for t, f in zip(batch["text"], first, strict=True)]
+            yield batch[["uid", "k", "size"]].assign(g=batch["k"] // GROUP, first=first, head=head, m=[own.transfer(t, n).ravel() for t, n in zip(batch["text"], batch["size"], strict=True)])
 
     square = lambda column: [np.asarray(m, float).reshape(longest, longest) for m in column]
 
@@ -305,36 +310,42 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk:
         return pd.DataFrame({"uid": one["uid"], "g": one["g"], "sums": forward(square(one["m"]), np.array([0.0] + [LOW] * (longest - 1)))})
 
     def up_to_chunks(one: pd.DataFrame) -> pd.DataFrame:
-        one = one.sort_values("k")
-        return pd.DataFrame({"uid": one["uid"], "k": one["k"], "sums": forward(square(one["m"]), np.asarray(one["sums"].iloc[0], float))})
-
-    def entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = loaded(model, remembered)
-        for batch in batches:
-            yield pd.DataFrame({"uid": batch["uid"], "k": batch["k"], "entry": [own.entries(t, n, list(f)) for t, n, f in zip(batch["text"], batch["size"], batch["sums"], strict=True)]})
+        own, one = loaded(model, remembered), one.sort_values("k")
+        sums = forward(square(one["m"]), np.asarray(one["sums"].iloc[0], float))
+        entry = [own.entries(t, n, c, f.tolist()) for t, n, c, f in zip(one["head"], one["size"], one["first"], sums, strict=True)]
+        return pd.DataFrame({"uid": one["uid"], "k": one["k"], "sums": sums, "entry": entry})
 
     def left(one: pd.DataFrame) -> pd.DataFrame:
         one, states = one.sort_values("k", ascending=False), [0]
         for entry in one["entry"]:
             states.append(int(entry[states[-1]]))
-        return pd.DataFrame({"uid": one["uid"], "k": one["k"], "leaving": states[:-1]})
+        return one[["uid", "k", "sums"]].assign(leaving=states[:-1])
+
+    width = np.uint16 if max(loaded(model, remembered).bytes + [i for i, _ in loaded(model, remembered).pieces.values()]) < 1 << 16 else np.int32
 
     def traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = loaded(model, remembered)
         for batch in batches:
-            ids = [own.trace(t, n, list(f), e) for t, n, f, e in zip(batch["text"], batch["size"], batch["sums"], batch["leaving"], strict=True)]
-            yield pd.DataFrame({"uid": batch["uid"], "k": batch["k"], "doc_id": batch["doc_id"], "ids": ids})
+            ids = [own.trace(t, n, list(f), e).astype(width).tobytes() for t, n, f, e in zip(batch["text"], batch["size"], batch["sums"], batch["leaving"], strict=True)]
+            yield batch[["uid", "k", "doc_id"]].assign(ids=ids)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ids = np.frombuffer(b"".join(batch.column(1)[i].as_py()), width).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), lists([ids])], names=["doc_id", "ids"])
 
-    matrices = cut(chunks.mapInPandas(transfers, "uid long, k int, g int, m array<double>"), "matrices")
-    products = matrices.groupBy("uid", "g").applyInPandas(multiplied, "uid long, g int, m array<double>")
+    made = "uid long, k int, size int, g int, first int, head string, m array<double>"
+    matrices = cut(chunks.select("uid", "k", "size", "text").mapInPandas(transfers, made), "matrices")
+    products = matrices.select("uid", "g", "k", "m").groupBy("uid", "g").applyInPandas(multiplied, "uid long, g int, m array<double>")
     starts = cut(products.groupBy("uid").applyInPandas(up_to_groups, "uid long, g int, sums array<double>"), "starts")
-    sums = cut(matrices.join(starts, ["uid", "g"]).groupBy("uid", "g").applyInPandas(up_to_chunks, "uid long, k int, sums array<double>"), "sums")
-    # A text's maps are 16 numbers a chunk, much less than the text, which is one row.
-    states = chunks.select("uid", "k", "size", "text").join(sums, ["uid", "k"]).mapInPandas(entered, "uid long, k int, entry array<int>")
-    leaving = cut(states.groupBy("uid").applyInPandas(left, "uid long, k int, leaving int"), "leaving")
-    traced = chunks.join(sums, ["uid", "k"]).join(leaving, ["uid", "k"]).mapInPandas(traces, f"uid long, k int, doc_id {kind}, ids array<int>")
-    joined = traced.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.unionByName(joined.select("doc_id", "ids"))
+    entered = matrices.join(starts, ["uid", "g"]).groupBy("uid", "g").applyInPandas(up_to_chunks, "uid long, k int, sums array<double>, entry array<int>")
+    # A text's sums and maps are some 200 bytes a chunk, much less than the text, which is one row.
+    ways = cut(entered.groupBy("uid").applyInPandas(left, "uid long, k int, sums array<double>, leaving int"), "ways")
+    few = ways.limit(MAX_WAYS + 1).count() <= MAX_WAYS
+    traced = chunks.join(F.broadcast(ways) if few else ways, ["uid", "k"]).mapInPandas(traces, f"uid long, k int, doc_id {kind}, ids binary")
+    joined = traced.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("ids"))
+    return small.unionByName(joined.select("doc_id", "ids").mapInArrow(unpacked, f"doc_id {kind}, ids array<int>"))
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
