@@ -9,24 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (a single machine, as in tests) a temporary one, which is then set."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one is set on a local master, as in tests; on a cluster that is an error, since executors don't see the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables in the shared one."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the folder of this application that nothing else uses."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this application has cut lineages with: for the end of a run, when its results are written. No DataFrame made by an operator can be read after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 ROWS_PER_BATCH = 1000
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """``df``; from now on its session hands Python tasks batches of ROWS_PER_BATCH rows at most, since rows here are whole texts."""
+    """``df``; from now on its session hands Python tasks batches of ROWS_PER_BATCH rows at most, since rows here are whole texts. A smaller number that the session has stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= ROWS_PER_BATCH:
         df.sparkSession.conf.set(key, str(ROWS_PER_BATCH))
