@@ -57,7 +57,8 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def repaired_json(text: Column) -> Column:
-    """The JSON text as it is if it parses, else with bare keys quoted if that parses, else null."""
-    quoted = F.regexp_replace(text, r"([{,]\s*)([A-Za-z_][A-Za-z0-9_]*)\s*:", '$1"$2":')
+    """The JSON text as it is if it parses, else without a code fence around it and with bare keys quoted if that parses, else null."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"^\s*```[a-z]*\s*", ""), r"\s*```\s*$", "")
+    quoted = F.regexp_replace(bare, r"([{,]\s*)([A-Za-z_][A-Za-z0-9_]*)\s*:", '$1"$2":')
     valid = lambda t: F.try_parse_json(t).isNotNull()
-    return F.when(valid(text), text).when(valid(quoted), quoted)
+    return F.when(valid(text), text).when(valid(bare), bare).when(valid(quoted), quoted)

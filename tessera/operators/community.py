@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, n_of
+from ..sources.shared import written
 
 #: Title words that count for or against a post.
 CLICKBAIT = ["wow", "insane", "crazy", "shocking", "!!!", "must watch"]
+#: Words of no weight in a title.
+STOPWORDS = ["a", "an", "and", "are", "best", "for", "from", "how", "i", "in", "is", "it", "my", "of", "on", "or", "the", "to", "vs", "what", "with", "why", "workflow", "guide", "setup", "issue", "problem", "help", "using"]
 TECHNICAL = ["guide", "tutorial", "how to", "setup", "install", "configure", "comparison", "benchmark", "performance"]
 
 
-def expanded(question: str, acronyms: dict[str, str]) -> str:
+def expanded(question: Column, acronyms: dict[str, str]) -> Column:
     """Acronyms as alternatives with their long forms, unless the question has boolean words already."""
-    if re.search(r"\b(AND|OR|NOT)\b", question):
-        return question
-    return " ".join(f'({w} OR "{acronyms[w.lower()]}")' if w.lower() in acronyms else w for w in question.split())
+    long = F.create_map(*(F.lit(x) for kv in acronyms.items() for x in kv))
+    known = lambda w: F.lower(w).isin(list(acronyms))
+    one = lambda w: F.when(known(w), F.concat(F.lit("("), w, F.lit(' OR "'), F.element_at(long, F.lower(w)), F.lit('")'))).otherwise(w)
+    words = F.filter(F.split(question, r"\s+"), lambda w: w != "")
+    return F.when(question.rlike(r"\b(AND|OR|NOT)\b"), question).otherwise(F.array_join(F.transform(words, one), " "))
 
 
 def terms(text: Column, stopwords: list[str], least: int = 3) -> Column:
@@ -34,18 +37,29 @@ def merged(hits: DataFrame) -> DataFrame:
     )
 
 
-def fuzzy_unique(posts: DataFrame) -> DataFrame:
-    """Posts without those that share a URL (without query and end slash), a title (letters and digits), or the title's first eight words with a better placed one.
+def fuzzy_unique(posts: DataFrame, stopwords: list[str] = STOPWORDS) -> DataFrame:
+    """``posts`` (post_id, pos, url, title, any others) without those that share a key with a better placed one that stays.
 
-    Each key drops what isn't first of it, one after the other; a post that only shares a key with one that is dropped
-    by another key is dropped too, unlike in a scan that keeps what it has not met.
+    Keys are the URL (without query and end slashes), the title's letters a to z and digits, and its first eight words
+    of two characters and more that are no stopwords (if it has any). That is what a scan in order of ``pos`` keeps. Here it goes in rounds: posts that
+    are first of all their keys stay, those that share a key with one of them go, and the rest is looked at again.
     """
-    url = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "/+$", "")
-    title = F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", "")
-    head = F.array_join(F.slice(F.split(F.lower("title"), r"\s+"), 1, 8), " ")
-    for key in (url, title, head):
-        posts = posts.withColumn("__k", key).withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy("pos", "post_id"))).filter("__n = 1").drop("__k", "__n")
-    return posts
+    url = F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^?]*", 0), "/+$", "")
+    low = F.lower(F.coalesce("title", F.lit("")))
+    words = F.filter(F.regexp_extract_all(low, F.lit(r"[a-z0-9_+#.-]{2,}"), 0), lambda w: ~w.isin(stopwords) if stopwords else F.lit(True))
+    head = F.array_join(F.slice(words, 1, 8), " ")
+    keys = F.array_compact(F.array(F.concat(F.lit("u "), url), F.concat(F.lit("t "), F.regexp_replace(low, "[^a-z0-9]", "")), F.when(head != "", F.concat(F.lit("s "), head))))
+    left = written(posts.select("post_id", "pos", F.explode(keys).alias("key")), "keys")
+    kept = None
+    while not left.isEmpty():
+        place = F.struct("pos", "post_id")
+        firsts = left.groupBy("key").agg(F.min(place).alias("first"))
+        now = written(left.join(firsts, "key").groupBy("post_id").agg(F.bool_and(place == F.col("first")).alias("stays")).filter("stays").select("post_id"), "kept")
+        kept = now if kept is None else kept.unionByName(now)
+        taken = left.join(now, "post_id", "left_semi").select("key").distinct()
+        gone = left.join(taken, "key", "left_semi").select("post_id").distinct()
+        left = written(left.join(gone, "post_id", "left_anti"), "keys")
+    return posts.limit(0) if kept is None else posts.join(kept, "post_id", "left_semi")
 
 
 def simple_score(title: Column, votes: Column, replies: Column, age_days: Column, priority: Column, urgent: bool = False) -> Column:
@@ -94,3 +108,40 @@ def sanitized(text: Column) -> Column:
     """Without combining marks; white space collapsed outside code fences, which stay as they are."""
     parts = F.split(F.regexp_replace(text, r"\p{Mn}+", ""), "```")
     return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, r"[ \t\r\n]+", " ")).otherwise(p)), "```")
+
+
+#: What an author says where an answer helped.
+THANKS = ["worked", "thanks", "thank you", "solved", "fixed", "сработало", "спасибо", "решил"]
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def tree_lines(comments: DataFrame, thanks: list[str] = THANKS, deepest: int = 3, longest: int = 2000) -> DataFrame:
+    """post_id, path, depth, verified, line of the comments (post_id, comment_id, parent_id, author, body, score, post_author) that hang on a post by at most ``deepest`` replies.
+
+    A comment is verified if the post's author thanks in a reply to it. Comments without a body go, with all that hangs
+    on them. The path is of places among siblings; each level is one join with the level above, so a cycle is never reached.
+    """
+    body = F.coalesce("body", F.lit(""))
+    for entity, char in ENTITIES.items():
+        body = F.replace(body, F.lit(entity), F.lit(char))
+    own = comments.withColumn("body", body).withColumn("place", F.row_number().over(Window.partitionBy("post_id", "parent_id").orderBy("comment_id")))
+    thanked = own.filter((F.col("author") == F.col("post_author")) & any_of(F.lower("body"), thanks)).select(F.col("post_id").alias("p"), F.col("parent_id").alias("c")).distinct()
+    own = own.filter("body <> ''").join(thanked, (F.col("post_id") == F.col("p")) & (F.col("comment_id") == F.col("c")), "left").withColumn("verified", F.col("c").isNotNull()).drop("p", "c")
+    level = own.filter("parent_id IS NULL").withColumn("path", F.array("place"))
+    out = level.withColumn("depth", F.lit(0))
+    for depth in range(1, deepest + 1):
+        above = level.select(F.col("post_id").alias("p"), F.col("comment_id").alias("c"), F.col("path").alias("up"))
+        level = own.join(above, (F.col("post_id") == F.col("p")) & (F.col("parent_id") == F.col("c"))).withColumn("path", F.concat("up", F.array("place"))).drop("p", "c", "up")
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+    indent = F.repeat(F.lit("  "), F.col("depth") + 1)
+    text = F.when(F.char_length("body") > longest, F.concat(F.substring("body", 1, longest), F.lit("... (truncated)"))).otherwise(F.col("body"))
+    tags = F.concat(F.when(F.lower("author") == F.lower("post_author"), "[OP] ").otherwise(""), F.when(F.col("verified"), "[VERIFIED] ").otherwise(""))
+    head = F.concat(indent, F.when(F.col("depth") > 0, "└─ ").otherwise(F.concat("place", F.lit(". "))), tags, F.lit("["), "author", F.lit(" | Score: "), "score", F.lit("]: "))
+    line = F.concat(head, F.replace(text, F.lit("\n"), F.concat(F.lit("\n"), indent, F.lit("   "))))
+    return out.select("post_id", "path", "depth", "verified", line.alias("line"))
+
+
+def rendered(lines: DataFrame) -> DataFrame:
+    """post_id, n, depth, verified (numbers of comments, levels below the first, verified ones), tree (the lines in order of the tree)."""
+    tree = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy("post_id").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.count_if("verified").alias("verified"), tree.alias("tree"))

@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, tokens
+from .numbering import numbered
 
 
 def area_labels(text: Column, rules: dict[str, list[str]], generic: str | None = None) -> Column:
     """The areas whose terms a text has: single ASCII words match whole tokens, other terms any part; ``generic`` goes if there are others."""
-    low, found = F.lower(text), tokens(text)
 
-    def hit(terms: list[str]) -> Column:
+    def hit(one: Column, terms: list[str]) -> Column:
         words = [t for t in terms if t.isascii() and t.isalnum()]
         parts = [t for t in terms if t not in words]
-        in_words = F.arrays_overlap(found, F.array(*map(F.lit, words))) if words else F.lit(False)
-        return in_words | any_of(low, parts)
+        in_words = F.arrays_overlap(one["tokens"], F.array(*map(F.lit, words))) if words else F.lit(False)
+        return in_words | any_of(one["low"], parts)
 
-    labels = F.array_compact(F.array(*(F.when(hit(terms), F.lit(area)) for area, terms in rules.items())))
-    return labels if generic is None else F.when(F.size(labels) > 1, F.array_remove(labels, generic)).otherwise(labels)
+    # Variables of functions, so that a text is split once and not for each rule.
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    labels = once(F.struct(tokens(text).alias("tokens"), F.lower(text).alias("low")), lambda one: F.array_compact(F.array(*(F.when(hit(one, terms), F.lit(area)) for area, terms in rules.items()))))
+    return labels if generic is None else once(labels, lambda found: F.when(F.size(found) > 1, F.array_remove(found, generic)).otherwise(found))
 
 
 def depth_label(text: Column, rules: dict[str, list[str]], short: int = 220) -> Column:
@@ -100,8 +102,7 @@ def representatives(labelled: DataFrame, k: int = 6) -> DataFrame:
     return candidates.select("source_id", "doc_id", "labels", "place").groupBy("source_id").applyInPandas(choose, "source_id string, doc_id long, pos int")
 
 
-def spread(df: DataFrame, k: int, by: str, order: list[Column]) -> DataFrame:
-    """About k rows of each group, evenly spread over its order."""
-    w = Window.partitionBy(by)
-    placed = df.withColumn("pos", F.row_number().over(w.orderBy(*order)) - 1).withColumn("step", F.greatest(F.lit(1), F.floor(F.count("*").over(w) / k)))
-    return placed.filter((F.pmod("pos", "step") == 0) & (F.floor(F.col("pos") / F.col("step")) < k))
+def spread(df: DataFrame, k: int, by: str, order: list[Column], bucket: Column) -> DataFrame:
+    """About k rows of each group, evenly spread over its order; ``bucket`` as in ``numbered``."""
+    placed = numbered(df, by, order, bucket, "pos", "size").withColumn("pos", F.col("pos") - 1).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("size") / k)))
+    return placed.filter((F.pmod("pos", "step") == 0) & (F.floor(F.col("pos") / F.col("step")) < k)).drop("size")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of
+from ..functions.text import any_of, clip, squeeze
 
 
 def source_type(text: Column, chars: Column, n_links: Column, terms: dict[str, list[str]]) -> Column:
@@ -94,3 +94,12 @@ def quality(checks: DataFrame) -> DataFrame:
     """case_id, score, passed of checks (case_id, weight, score, critical): the weighted mean; it passes at 0.7 unless a critical check scores below 0.5."""
     out = checks.groupBy("case_id").agg(F.round(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 6).alias("score"), F.bool_or(F.col("critical") & (F.col("score") < 0.5)).alias("blocked"))
     return out.select("case_id", "score", ((F.col("score") >= 0.7) & ~F.col("blocked")).alias("passed"))
+
+
+def expanded(keys: DataFrame, docs: DataFrame, comments: DataFrame, chars: int, most: int) -> DataFrame:
+    """doc_id, found, content (clipped), cut, comments (the first ids), omitted for each of ``keys`` (doc_id); a key that isn't known is a row too."""
+    wanted = docs.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("k"), clip(F.col("text"), chars).alias("content"), (F.char_length(squeeze(F.col("text"))) > chars).alias("cut"))
+    own = comments.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("comment_id")))
+    listed = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("r") <= most, F.col("comment_id")))).cast("array<string>"), ",").alias("comments"))
+    rows = keys.join(wanted, F.col("doc_id") == F.col("k"), "left").join(listed.withColumnRenamed("doc_id", "c"), F.col("k") == F.col("c"), "left")
+    return rows.select("doc_id", F.col("k").isNotNull().alias("found"), "content", "cut", F.coalesce("comments", F.lit("")).alias("comments"), F.greatest(F.coalesce("n", F.lit(0)) - most, F.lit(0)).alias("omitted"))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
+#: Ids of a bucket where rows are numbered in order of the id.
+IDS = 100_000
 RELEVANCE = {"HIGH": 0, "MEDIUM": 1, "LOW": 2, "CONTEXT": 3}
 
 
@@ -20,20 +25,30 @@ def relevance_rank(column: str = "relevance") -> Column:
 
 def chunks(docs: DataFrame, size: int = 50) -> DataFrame:
     """``docs`` with ``chunk``: fixed numbers of a source's documents, newest first."""
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("created_at"), "doc_id")) - 1
-    return docs.withColumn("chunk", F.floor(place / size).cast("long"))
+    newest = -F.datediff("created_at", F.lit("2000-01-01"))  # a day is a bucket; the unknown come last
+    rows = numbered(docs, "source_id", [F.desc("created_at"), F.col("doc_id")], F.coalesce(newest, F.lit(1 << 30)), "__place")
+    return rows.withColumn("chunk", F.floor((F.col("__place") - 1) / size).cast("long")).drop("__place")
 
 
-def map_scores(docs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """doc_id, relevance, reason of each document by a model that sees batches; a batch that fails gives nulls and an error, and nothing else is lost."""
+def map_scores(docs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], size: int = 50, tries: int = 2) -> DataFrame:
+    """doc_id, relevance, reason of each document by a model that sees chunks of ``size`` rows of what a task has.
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    A chunk that fails is tried again, ``tries`` times in all; then it gives nulls and an error, and nothing else is lost.
+    """
+
+    def answer(chunk: pd.DataFrame) -> pd.DataFrame:
+        said = ""
+        for _ in range(tries):
             try:
-                out = scorer(batch).assign(error=None)
+                return scorer(chunk).assign(error=None)
             except Exception as e:  # the model's failure is a result
-                out = pd.DataFrame({"doc_id": batch["doc_id"], "relevance": None, "reason": None, "error": str(e)[:200]})
-            yield out[["doc_id", "relevance", "reason", "error"]]
+                said = str(e)[:200]
+        return pd.DataFrame({"doc_id": chunk["doc_id"], "relevance": None, "reason": None, "error": said})
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), size):
+                yield answer(batch.iloc[a : a + size])[["doc_id", "relevance", "reason", "error"]]
 
     return docs.mapInPandas(scored, "doc_id long, relevance string, reason string, error string")
 
@@ -52,7 +67,7 @@ def with_relevance(docs: DataFrame) -> DataFrame:
 
 
 def ranked_by_relevance(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy(relevance_rank(), "doc_id")))
+    return numbered(docs, "source_id", [relevance_rank(), F.col("doc_id")], F.struct(relevance_rank().alias("r"), F.floor(F.col("doc_id") / IDS).alias("i")), "place")
 
 
 def parsed_scores(answers: DataFrame, docs: DataFrame) -> DataFrame:
@@ -113,3 +128,20 @@ def same_fact(a: Column, b: Column, least: float = 0.8) -> Column:
     x, y = (F.array_distinct(F.split(F.lower(c), r"\s+")) for c in (a, b))
     like = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
     return F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a)) | (like >= least)
+
+
+class Synthesizer(Protocol):
+    """Writes a source's answer from its documents: a column from an ordered array of (place, doc_id, excerpt)."""
+
+    def __call__(self, source: Column, documents: Column) -> Column: ...
+
+
+def listing(source: Column, documents: Column) -> Column:
+    """The default synthesizer, which is deterministic: the source, then each document's citation and excerpt."""
+    return F.concat(source, F.lit(": "), F.array_join(F.transform(documents, lambda d: F.concat(F.lit("[post:"), d["doc_id"], F.lit("] "), d["excerpt"])), "; "))
+
+
+def synthesized(best: DataFrame, synthesizer: Synthesizer = listing) -> DataFrame:
+    """source_id, answer from ``best`` (source_id, doc_id, place, excerpt): the few documents of each source that a context limit has left."""
+    grouped = best.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "excerpt"))).alias("documents"))
+    return grouped.select("source_id", synthesizer(F.col("source_id"), F.col("documents")).alias("answer"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_path
+from ..sources.shared import written
+from .numbering import numbered
 
 
 def linked_to(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -30,26 +31,24 @@ def orphans(child: DataFrame, key: str, parents: DataFrame, parent_key: str) ->
 
 
 def roots(messages: DataFrame) -> DataFrame:
-    """id, root of messages (id, parent, is_text): the nearest ancestor, or the message itself, that is a text; a missing parent ends the way at what was last there, and a message whose way runs into a cycle is its own root.
+    """id, root of messages (id, parent, is_text): the message that the chain of parents ends with, if that is a text; the message itself if it isn't, if a parent is missing, or if the chain runs into a cycle.
 
     Pointers are doubled until every way has ended or a round ends no more of them (what is left then runs into
     cycles), so a chain of n messages takes log2(n) joins; each round's pointers are written.
     """
 
-    def written(df: DataFrame) -> tuple[DataFrame, int]:
-        df.write.parquet(path := shared_path(df.sparkSession, "roots"))
-        df = df.sparkSession.read.schema(df.schema).parquet(path)
-        return df, df.filter("NOT ended").select(F.count_distinct("id")).first()[0]
+    def left(state: DataFrame) -> int:
+        return state.filter("NOT ended").select(F.count_distinct("id")).first()[0]
 
-    state = messages.select("id", F.when(F.col("is_text") | F.col("parent").isNull(), F.lit(None)).otherwise(F.col("parent")).alias("up"))
     known = messages.select(F.col("id").alias("k"))
-    state = state.join(known, F.col("up") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("at"), F.col("k").isNull().alias("ended"))
-    (state, left), before = written(state), None
-    while left and left != before:
-        up = state.select(F.col("id").alias("m"), F.col("at").alias("next"), F.col("ended").alias("end"))
-        before = left
-        state, left = written(state.join(up, F.col("at") == F.col("m")).select("id", F.col("next").alias("at"), F.col("end").alias("ended")))
-    return state.select("id", F.when(F.col("ended"), F.col("at")).otherwise(F.col("id")).alias("root"))
+    first = messages.join(known, F.col("parent") == F.col("k"), "left")
+    state = written(first.select("id", F.coalesce("k", "id").alias("at"), F.col("k").isNull().alias("ended"), (F.col("parent").isNull() & F.coalesce("is_text", F.lit(False))).alias("good")), "roots")
+    open_ways, before = left(state), None
+    while open_ways and open_ways != before:
+        up = state.select(F.col("id").alias("m"), F.col("at").alias("next"), F.col("ended").alias("end"), F.col("good").alias("fine"))
+        state = written(state.join(up, F.col("at") == F.col("m")).select("id", F.col("next").alias("at"), F.col("end").alias("ended"), F.col("fine").alias("good")), "roots")
+        before, open_ways = open_ways, left(state)
+    return state.select("id", F.when(F.col("ended") & F.col("good"), F.col("at")).otherwise(F.col("id")).alias("root"))
 
 
 def prioritised(parts: list[DataFrame], key: str) -> DataFrame:
@@ -70,3 +69,29 @@ def diff_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def within(seconds: Column, window: int, by: str) -> Column:
     """How many rows of the key come in the ``window`` seconds up to each, itself included."""
     return F.count("*").over(Window.partitionBy(by).orderBy(seconds).rangeBetween(-window + 1, 0))
+
+
+def above(docs: DataFrame, marks: DataFrame, size: int) -> DataFrame:
+    """``docs`` (doc_id, source_id) above the marks (source_id, mark) of their sources, with ``batch``: oldest first, ``size`` a batch. A source without a mark is all new."""
+    known = marks.select("source_id", "mark")
+    new = docs.join(known, "source_id", "left").filter("mark IS NULL OR doc_id > mark").drop("mark")
+    placed = numbered(new, "source_id", [F.col("doc_id")], F.floor(F.col("doc_id") / 100_000), "__place")
+    return placed.withColumn("batch", F.floor((F.col("__place") - 1) / size).cast("long")).drop("__place")
+
+
+def advanced(marks: DataFrame | None, new: DataFrame) -> DataFrame:
+    """source_id, mark, total after ``new`` (doc_id, source_id) has been taken in; marks never go back."""
+    seen = new.groupBy("source_id").agg(F.max("doc_id").alias("mark"), F.count("*").alias("total"))
+    both = seen if marks is None else seen.unionByName(marks.select("source_id", "mark", "total"))
+    return both.groupBy("source_id").agg(F.max("mark").alias("mark"), F.sum("total").alias("total"))
+
+
+def cascaded(gone: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Rows of the tables (each with its columns that name documents) that don't hang on any of ``gone`` (doc_id), with ``name``: a delete by rewriting."""
+    out = None
+    for name, (rows, keys) in tables.items():
+        for key in keys:
+            rows = rows.join(gone.select(F.col("doc_id").alias("__gone")), F.col(key) == F.col("__gone"), "left_anti")
+        one = rows.select(F.lit(name).alias("name"), *rows.columns)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -129,3 +129,21 @@ def against_others(contributions: DataFrame) -> DataFrame:
     rows = rows.withColumn("exact", F.col("n") > 1).withColumn("exact_best", F.coalesce(others_best, F.lit(0.0))).withColumn("related", F.col("area_sources") > 1)
     others_primary = F.col("p") - (F.col("role") == "primary").cast("long")
     return rows.withColumn("exact_coverage", coverage_class(F.col("n") - 1, others_primary, F.col("exact_best")))
+
+
+def outside(contributions: DataFrame, core: dict[str, list[str]]) -> DataFrame:
+    """kind, value, cell_id of each value that isn't in the core vocabulary of its kind."""
+    values = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"), F.col(k).isin(known).alias("known")) for k, known in core.items()))
+    return contributions.select("cell_id", F.explode(values).alias("v")).filter("NOT v.known").select("v.kind", "v.value", "cell_id").distinct()
+
+
+def closest(best: DataFrame, source: str) -> DataFrame:
+    """source_id, exact, related, cells, rollups, best of every other source: its cells that ``source`` has too, or else of a domain and intent that it has. A cell counts once."""
+    own = best.filter(F.col("source_id") == source)
+    cells = own.select("cell_id", F.lit(True).alias("same")).distinct()
+    areas = own.select("domain", "intent").distinct()
+    rows = best.filter(F.col("source_id") != source).join(cells, "cell_id", "left").join(areas, ["domain", "intent"], "left_semi")
+    same = F.coalesce("same", F.lit(False))
+    return rows.groupBy("source_id").agg(
+        F.count_if(same).alias("exact"), F.count_if(~same).alias("related"), F.count_distinct("cell_id").alias("cells"), F.count_distinct(F.concat_ws("/", "domain", "intent")).alias("rollups"), F.max("score").alias("best")
+    )

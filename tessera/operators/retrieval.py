@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.text import tokens
+from .numbering import numbered
 
 K1, B = 1.2, 0.75
 MIN_LENGTH = 30
@@ -72,18 +69,66 @@ def _count_prefix(found: Column, prefix: str) -> Column:
     return F.size(F.filter(found, lambda x: x.startswith(prefix)))
 
 
-def bm25(docs: DataFrame, match: Match) -> DataFrame:
+@dataclass
+class Index:
+    """A stored inverted index: ``postings`` (term, doc_id, source_id, created_at, dl, at) and ``sizes``, a row of N and avgdl."""
+
+    postings: DataFrame
+    sizes: DataFrame
+
+
+def build_index(docs: DataFrame, folder: str) -> Index:
+    """Write the index of all eligible documents under ``folder``.
+
+    Postings are ranges of terms in order, so a search for a term or a prefix reads the few row groups that can have it.
+    """
+    rows = eligible(docs).select("doc_id", "source_id", "created_at", tokens(F.col("text")).alias("t"))
+    places = rows.select("doc_id", "source_id", "created_at", F.size("t").alias("dl"), F.posexplode("t").alias("at", "term"))
+    postings = places.groupBy("term", "doc_id", "source_id", "created_at", "dl").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
+    rows.agg(F.count("*").alias("N"), F.avg(F.size("t")).alias("avgdl")).write.parquet(f"{folder}/sizes")
+    return Index(docs.sparkSession.read.parquet(f"{folder}/postings"), docs.sparkSession.read.parquet(f"{folder}/sizes"))
+
+
+def counted_by_index(index: Index, match: Match, names: list[str]) -> DataFrame:
+    """doc_id, source_id, created_at, dl and how often each word, phrase and prefix is in it, of the documents that have any of their words."""
+    term, n = F.col("term"), F.size("at")
+    words = [*match.words, *(w for p in match.phrases for w in p)]
+    wanted = term.isin(words) if words else F.lit(False)
+    for p in match.prefixes:
+        wanted = wanted | term.startswith(p)
+    once = [F.coalesce(F.sum(F.when(term == w, n)), F.lit(0)) for w in match.words]
+    starts = [F.coalesce(F.sum(F.when(term.startswith(p), n)), F.lit(0)) for p in match.prefixes]
+    places = [F.coalesce(F.max(F.when(term == w, F.col("at"))), F.expr("array()").cast("array<int>")).alias(f"at{i}_{k}") for i, p in enumerate(match.phrases) for k, w in enumerate(p)]
+    middle = [f"once{i}" for i in range(len(once))], [f"starts{i}" for i in range(len(starts))]
+    grouped = index.postings.filter(wanted).groupBy("doc_id", "source_id", "created_at", "dl").agg(*(c.alias(x) for c, x in zip(once + starts, middle[0] + middle[1], strict=True)), *places)
+
+    def phrase(i: int, size: int) -> Column:
+        follows = lambda at: F.forall(F.array(*(F.array_contains(f"at{i}_{k}", at + k) for k in range(1, size))), lambda x: x)
+        return F.size(F.filter(f"at{i}_0", follows)) if size > 1 else F.size(f"at{i}_0")
+
+    found = [F.col(x) for x in middle[0]] + [phrase(i, len(p)) for i, p in enumerate(match.phrases)] + [F.col(x) for x in middle[1]]
+    return grouped.select("doc_id", "source_id", "created_at", "dl", *(c.alias(x) for c, x in zip(found, names, strict=True)))
+
+
+def bm25(docs: DataFrame, match: Match, index: Index | None = None) -> DataFrame:
     """Eligible documents that match, with ``score`` (below 0, the less the better).
 
     Numbers of documents, document frequencies and the mean length are of all eligible documents, whatever is looked
-    at later. They are one row of sums, joined to the matches; texts are read twice and never shuffled.
+    at later. They are one row of sums, joined to the matches. With an ``index`` only the postings of the match's terms
+    are read; without one, texts are read twice and never shuffled.
     """
     names = [f"tf{i}" for i in range(len(match.words) + len(match.phrases) + len(match.prefixes))]
     # The tokens are the variable of a function here: as a column they would be made anew for each count.
     per_text = lambda t: F.struct(F.size(t).alias("dl"), *(c.alias(n) for c, n in zip(counts_of(t, match), names, strict=True)))
     counts = F.element_at(F.transform(F.array(tokens(F.col("text"))), per_text), 1)
-    counted = eligible(docs).select("doc_id", "source_id", "created_at", F.explode(F.array(counts)).alias("c")).select("doc_id", "source_id", "created_at", "c.*")
-    stats = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(n) > 0).alias(f"df_{n}") for n in names))
+    frequencies = [F.count_if(F.col(n) > 0).alias(f"df_{n}") for n in names]
+    if index is None:
+        counted = eligible(docs).select("doc_id", "source_id", "created_at", F.explode(F.array(counts)).alias("c")).select("doc_id", "source_id", "created_at", "c.*")
+        stats = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *frequencies)
+    else:
+        counted = counted_by_index(index, match, names)
+        stats = counted.agg(*frequencies).crossJoin(F.broadcast(index.sizes))
     score = F.lit(0.0)
     for n in names:
         idf = F.log((F.col("N") - F.col(f"df_{n}") + 0.5) / (F.col(f"df_{n}") + 0.5))
@@ -136,8 +181,8 @@ def fuse(first: DataFrame, second: DataFrame, k: int = 60) -> DataFrame:
     return both.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy(*order)))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, target: list[float], match: Match, as_of: str, k_vectors: int = 150, k_matches: int = 100) -> DataFrame:
-    """Documents of every source by fused ranks of both searches; a source without vectors gives all its documents, newest first.
+def hybrid(docs: DataFrame, vectors: DataFrame, target: list[float], match: Match, as_of: str, k_vectors: int = 150, k_matches: int = 100, index: Index | None = None) -> DataFrame:
+    """Documents of every source by fused ranks of both searches; a source without vectors gives all its documents, newest first, without ranks and ``rrf``.
 
     ``vectors``: vec_id (a document's id), embedding.
     """
@@ -145,19 +190,35 @@ def hybrid(docs: DataFrame, vectors: DataFrame, target: list[float], match: Matc
     embedded = vectors.join(usable, F.col("vec_id") == F.col("doc_id")).select("vec_id", "embedding", "doc_id", "source_id", "created_at")
     near = rescored_vectors(knn(embedded, target, k_vectors, ["source_id"]).select("doc_id", "source_id", "created_at", "distance", F.col("rank").alias("knn")), as_of)
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy(F.round("final", 12).desc(), "knn")))
-    hits = top(bm25(docs, match), k_matches, [F.round("score", 12), F.col("doc_id")], name="fts")
+    hits = top(bm25(docs, match, index), k_matches, [F.round("score", 12), F.col("doc_id")], name="fts")
     hits = rescored_matches(hits, as_of).withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy(F.round("final", 12).desc(), "fts")))
-    return fuse(near, hits)
+    fused = fuse(near, hits)
+    searched = F.broadcast(embedded.select("source_id").distinct())  # one row a source
+    rest = usable.join(searched, "source_id", "left_anti")
+    newest = F.coalesce(-F.datediff("created_at", F.lit("2000-01-01")), F.lit(1 << 30))
+    rest = numbered(rest, "source_id", [F.desc("created_at"), F.col("doc_id")], newest, "place")
+    empty = [F.lit(None).cast(fused.schema[c].dataType).alias(c) for c in ("r1", "r2", "rrf")]
+    return fused.join(searched, "source_id", "left_semi").select("source_id", "doc_id", "r1", "r2", "rrf", F.col("place").cast("long").alias("place")).unionByName(rest.select("source_id", "doc_id", *empty, "place"))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def hashed_embedding(texts: pd.Series) -> pd.Series:
-    """The default embedder, which is deterministic: counts of words hashed to 16 places, to unit length."""
-    out = []
-    for text in texts.fillna(""):
-        v = np.bincount([zlib.crc32(w.encode()) % 16 for w in re.findall(r"\w+", text.lower())], minlength=16).astype(float)
-        out.append(v / max(np.linalg.norm(v), 1.0))
-    return pd.Series(out)
+def per_text(f, kind: str = "string"):
+    """A function of one short text as an expression: Arrow batches, null for null."""
+    return F.pandas_udf(lambda texts: texts.map(f, na_action="ignore").astype("object"), kind)
+
+
+def hashed_embedding(text: Column) -> Column:
+    """The default embedder, which is deterministic: counts of words hashed to 16 places (the last digit of their md5), to unit length; zeros without words."""
+
+    def counts(found: Column) -> Column:
+        return F.transform(F.split(F.lit("0123456789abcdef"), ""), lambda digit: F.size(F.filter(found, lambda w: F.right(F.md5(w.cast("binary")), F.lit(1)) == digit)).cast("double"))
+
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return F.transform(v, lambda x: x / F.greatest(norm, F.lit(1.0)))
+
+    # Variables of functions, so that a text is split once.
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    return once(once(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda w: w), counts), unit)
 
 
 #: Words that have a meaning in a match expression.

@@ -10,6 +10,7 @@ from ..operators import comments as C
 from ..operators import community as Q
 from ..operators import evidence as V
 from ..operators import funnel as P
+from ..operators import video as H
 from ..sources import tables as T
 from .registry import query
 
@@ -98,17 +99,22 @@ def vec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.round(C.dot(C.normalised(F.col("e")), C.normalised(F.col("e"))), 6).alias("norm2"))
 
 
-@query("SELECT vec_id FROM embeddings WHERE label = 1 AND vec_id % 2 = 0 ORDER BY vec_id LIMIT 10")
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations WHERE text <> '' AND conv_id NOT IN (SELECT vec_id * 3 FROM embeddings)) QUALIFY place <= 10")
 def topics_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.vectors(spark, sf_dir).filter("label = 1 AND vec_id % 2 = 0").orderBy("vec_id").limit(10).select("vec_id")
+    """The next batch of groups that have comments and no vector yet (here only those of ids divisible by three have one), in order of the id."""
+    groups = T.comments(spark, sf_dir).filter("comment_text <> ''").select("doc_id").distinct()
+    batch = groups.join(T.vectors(spark, sf_dir), F.col("doc_id") == F.col("vec_id") * 3, "left_anti").orderBy("doc_id").limit(10)
+    return batch.select("doc_id", F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("place"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'valid' WHEN event_id % 3 = 1 THEN 'fixed' ELSE 'unrecoverable' END AS state FROM events")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'fixed' WHEN 2 THEN 'fixed' ELSE 'unrecoverable' END AS state,
+ CASE event_id % 4 WHEN 3 THEN NULL ELSE regexp_replace(props, '[^0-9]', '', 'g')::BIGINT END AS k FROM events""")
 def json_repair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T.raw(spark, sf_dir, "events").select("event_id", "props")
-    text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.lit("{k: 1, b: [2]}")).otherwise(F.lit("{k: "))
+    """Properties as they are, with bare keys, in a code fence, and cut off."""
+    e, n = T.raw(spark, sf_dir, "events").select("event_id", "props"), F.col("event_id") % 4
+    text = F.when(n == 0, F.col("props")).when(n == 1, F.regexp_replace("props", '"k"', "k")).when(n == 2, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.regexp_replace("props", "[}]", ""))
     fixed = C.repaired_json(text)
-    return e.select("event_id", F.when(fixed.isNull(), "unrecoverable").when(fixed == text, "valid").otherwise("fixed").alias("state"))
+    return e.select("event_id", F.when(fixed.isNull(), "unrecoverable").when(fixed == text, "valid").otherwise("fixed").alias("state"), F.get_json_object(fixed, "$.k").cast("long").alias("k"))
 
 
 @query(f"""WITH {D}, q AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'pending' WHEN doc_id % 4 = 1 THEN 'checked' ELSE 'none' END AS state, 1 AS v FROM docs UNION ALL
@@ -166,18 +172,25 @@ def comments_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence(spark, sf_dir).filter("signal = 'mostly_noise'").select("doc_id")
 
 
-@query("SELECT page_id AS doc_id, u AS url, label FROM (SELECT page_id, unnest([regexp_replace(url, '[()]', '', 'g'), 'https://example.com/b_(c)']) AS u, unnest(['a page', '']) AS label FROM pages)")
+URLS = "list_distinct(list_transform(regexp_extract_all(regexp_replace(html, '\\[([^\\]]*)\\]\\((https?://[^\\s()]*(?:\\([^\\s()]*\\)[^\\s()]*)*)\\)', ' ', 'g'), 'https?://[^\\s<>\"''\\]]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', '')))"
+
+
+@query(f"SELECT doc_id, u AS url, CASE WHEN ends_with(u, ')') AND NOT contains(u, '(') THEN 1 ELSE 0 END AS open FROM (SELECT page_id AS doc_id, unnest({URLS}) AS u FROM pages) WHERE open = 0 UNION ALL SELECT page_id, url, 2 FROM pages")
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = F.regexp_replace("url", "[()]", "")
-    text = F.concat(F.lit("See [a page]("), clean, F.lit(") and https://example.com/b_(c). Also https://example.com/b_(c), ok"))
-    return V.links_of(T.raw(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), text.alias("text"))).select("doc_id", "url", "label")
+    """The URLs in each page's source; and each page's own one, found in a note about it."""
+    pages = T.raw(spark, sf_dir, "pages")
+    inside = V.links_of(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))).select("doc_id", "url", F.lit(0).alias("open"))
+    noted = V.links_of(pages.select(F.col("page_id").alias("doc_id"), F.concat(F.lit("See <"), "url", F.lit(">, or elsewhere.")).alias("text")))
+    return inside.unionByName(noted.select("doc_id", "url", F.lit(2).alias("open")))
+
 
+ERROR = "event_type || CASE event_id % 6 WHEN 0 THEN ': HTTP 429' WHEN 1 THEN ' Unauthorized' WHEN 2 THEN ': read timed out' WHEN 3 THEN ' 503' WHEN 4 THEN ' over quota, 401' ELSE '' END"
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'rate_limit' WHEN 'click' THEN 'timeout' WHEN 'view' THEN 'server' ELSE 'unknown' END AS class FROM events")
+
+@query(f"""SELECT event_id, CASE WHEN regexp_matches(m, '429|rate limit|quota') THEN 'rate_limit' WHEN regexp_matches(m, '401|403|unauthorized|forbidden') THEN 'auth' WHEN regexp_matches(m, 'timeout|timed out') THEN 'timeout' WHEN regexp_matches(m, '50[0-9]|unavailable') THEN 'server' ELSE 'unknown' END AS class
+ FROM (SELECT event_id, lower({ERROR}) AS m FROM events)""")
 def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("event_type")
-    said = F.when(t == "error", "HTTP 429: quota").when(t == "click", "Read timed out").when(t == "view", "503 unavailable").otherwise("odd")
-    return T.raw(spark, sf_dir, "events").select("event_id", V.error_class(said).alias("class"))
+    return T.raw(spark, sf_dir, "events").select("event_id", V.error_class(F.expr(ERROR)).alias("class"))
 
 
 @query("""WITH c AS (SELECT doc_id AS case_id, unnest([2.0, 1.0, 1.0]) AS weight, unnest([least(length(text) / 2000.0, 1.0), contains(lower(text), 'the')::INT::DOUBLE, contains(text, '.')::INT::DOUBLE]) AS score, unnest([false, true, false]) AS critical FROM documents)
@@ -189,11 +202,15 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.quality(d.select(F.col("doc_id").alias("case_id"), F.explode(checks).alias("c")).select("case_id", "c.*"))
 
 
-@query("SELECT k.doc_id, d.doc_id IS NOT NULL AS found, left(d.text, 50) AS head FROM (VALUES (1), (5), (99999999)) k(doc_id) LEFT JOIN documents d ON d.doc_id = k.doc_id")
+EXPAND = "trim(regexp_replace(d.text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+
+
+@query(f"""WITH k AS (SELECT vec_id * 3 AS doc_id FROM embeddings), c AS (SELECT conv_id AS doc_id, count(*) AS n, string_agg(turn, ',' ORDER BY turn) FILTER (r <= 3) AS turns FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1)
+SELECT k.doc_id, d.doc_id IS NOT NULL AS found, CASE WHEN length({EXPAND}) > 200 THEN rtrim(left({EXPAND}, 197)) || '...' ELSE {EXPAND} END AS content, length({EXPAND}) > 200 AS cut, coalesce(turns, '') AS comments, greatest(coalesce(n, 0) - 3, 0) AS omitted FROM k LEFT JOIN documents d ON d.doc_id = k.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""")
 def expand_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = spark.createDataFrame([(1,), (5,), (99999999,)], "doc_id int")
-    d = T.docs(spark, sf_dir).select(F.col("doc_id").alias("k"), F.substring("text", 1, 50).alias("head"))
-    return F.broadcast(keys).join(d, F.col("doc_id") == F.col("k"), "left").select("doc_id", F.col("k").isNotNull().alias("found"), "head")
+    """Keys with their clipped contents, first comments and what is left out; keys that aren't known are told so."""
+    keys = T.vectors(spark, sf_dir).select((F.col("vec_id") * 3).alias("doc_id"))
+    return V.expanded(keys, T.docs(spark, sf_dir), T.comments(spark, sf_dir), 200, 3)
 
 
 @query(f"WITH {CM} SELECT source AS source_id, count(DISTINCT d.doc_id) AS docs, least(count(c.comment_id), 5) AS kept, greatest(count(c.comment_id) - 5, 0) AS omitted FROM documents d LEFT JOIN comments c USING (doc_id) GROUP BY 1")
@@ -220,6 +237,8 @@ def artifact_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prioritised(parts, "doc_id").select("doc_id", (F.col("priority") + 1).alias("place"))
 
 
+X_CLIP = "trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+
 # Community ranking.
 
 POSTS = "ps AS (SELECT doc_id AS post_id, split_part(text, chr(10), 1) AS title, text AS body, doc_id * 13 % 200 AS votes, doc_id * 7 % 60 AS replies, doc_id * 37 % 700 AS age, source AS grp FROM documents)"
@@ -304,9 +323,18 @@ def terms_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.raw(spark, sf_dir, "benchmark").select("item_id", F.size(Q.terms(F.col("text"), ["the", "and"])).alias("n"))
 
 
-@query("SELECT '(llm OR \"large language model\") memory' AS expression")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '(llm OR "large language model") ' || source WHEN 1 THEN source || ' (RAG OR "retrieval augmented generation") d' || doc_id ELSE 'llm OR ' || source END AS expression FROM documents""")
 def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(Q.expanded("llm memory", {"llm": "large language model"}),)], "expression string")
+    n = F.col("doc_id") % 3
+    question = F.when(n == 0, F.concat(F.lit("llm  "), "source_id")).when(n == 1, F.concat("source_id", F.lit(" RAG d"), "doc_id")).otherwise(F.concat(F.lit("llm OR "), "source_id"))
+    return T.docs(spark, sf_dir).select("doc_id", Q.expanded(question, {"llm": "large language model", "rag": "retrieval augmented generation"}).alias("expression"))
+
+
+@query("SELECT item_id, array_to_string(list_slice(list_filter(list_distinct_in_order, lambda t: length(t) >= 4 AND t NOT IN ('from', 'that')), 1, 3), ' ') AS anchors FROM (SELECT item_id, list_filter(x, lambda t, i: list_position(x, t) = i) AS list_distinct_in_order FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS x FROM benchmark))")
+def anchor_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three terms of a question that tell it from others: of four letters and more, without generic words."""
+    found = Q.terms(F.col("text"), ["from", "that"], 4)
+    return T.raw(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(found, 1, 3), " ").alias("anchors"))
 
 
 @query(f"WITH {POSTS}, r AS (SELECT grp, count(*) FILTER (contains(lower(body), 'reth')) AS hits FROM ps GROUP BY grp) SELECT grp, hits FROM r QUALIFY row_number() OVER (ORDER BY hits DESC, grp) <= 5")
@@ -321,17 +349,53 @@ def text_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.raw(spark, sf_dir, "benchmark").select("item_id", F.trim(Q.sanitized(F.col("text"))).alias("clean"))
 
 
-@query("SELECT conv_id AS post_id, count(*) AS n, bool_or(role = 'assistant' AND contains(lower(text), 'the')) AS verified, max(least(turn, 3)) AS depth FROM conversations WHERE text <> '' GROUP BY conv_id")
+KEYWORDS = ["the", "thin"]
+PLAIN = "replace(replace(replace(replace(replace(coalesce(text, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id AS post_id, turn AS id, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, role AS author, {PLAIN} AS body, turn * 3 AS score FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY post_id, parent ORDER BY id) AS i FROM c),
+t AS (SELECT o.*, 0 AS depth, [i] AS path FROM o WHERE parent IS NULL AND body <> '' UNION ALL SELECT o.*, t.depth + 1, list_append(t.path, o.i) FROM t JOIN o ON o.post_id = t.post_id AND o.parent = t.id WHERE t.depth < 3 AND o.body <> ''),
+v AS (SELECT DISTINCT post_id, parent AS id FROM c WHERE author = 'user' AND {X.any_sql('lower(body)', KEYWORDS)}),
+s AS (SELECT t.*, v.id IS NOT NULL AS verified, repeat('  ', depth + 1) AS indent, CASE WHEN length(body) > 2000 THEN left(body, 2000) || '... (truncated)' ELSE body END AS b FROM t LEFT JOIN v ON v.post_id = t.post_id AND v.id = t.id),
+l AS (SELECT *, indent || CASE WHEN depth > 0 THEN '└─ ' ELSE i || '. ' END || CASE WHEN author = 'user' THEN '[OP] ' ELSE '' END || CASE WHEN verified THEN '[VERIFIED] ' ELSE '' END || '[' || author || ' | Score: ' || score || ']: ' || replace(b, chr(10), chr(10) || indent || '   ') AS line FROM s)
+SELECT post_id, count(*) AS n, max(depth) AS depth, count(*) FILTER (verified) AS verified, md5(string_agg(line, chr(10) ORDER BY path)) AS tree_md5 FROM l GROUP BY 1""")
 def comment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = T.raw(spark, sf_dir, "conversations").filter("text <> ''")
-    return c.groupBy(F.col("conv_id").alias("post_id")).agg(F.count("*").alias("n"), F.bool_or((F.col("role") == "assistant") & F.contains(F.lower("text"), F.lit("the"))).alias("verified"), F.max(F.least("turn", F.lit(3))).alias("depth"))
+    """Comments as trees of depth 3 at most, each post's rendered; replies hang on the turn of half their number."""
+    turn = F.col("turn")
+    c = T.raw(spark, sf_dir, "conversations").select(F.col("conv_id").alias("post_id"), turn.alias("comment_id"), F.when(turn > 0, F.floor((turn - 1) / 2)).alias("parent_id"), F.col("role").alias("author"), F.col("text").alias("body"), (turn * 3).alias("score"), F.lit("user").alias("post_author"))
+    lines = Q.tree_lines(c, KEYWORDS)
+    return Q.rendered(lines).select("post_id", "n", "depth", "verified", F.md5(F.col("tree").cast("binary")).alias("tree_md5"))
 
 
-@query("SELECT doc_id, CASE WHEN n >= 2400 THEN left(text, 500) WHEN n >= 600 OR lang IN (SELECT lang FROM documents WHERE length(text) >= 2400) THEN left(text, 100) END AS shown FROM (SELECT *, length(text) AS n FROM documents)")
+# Video segments.
+
+VIDEO = "v AS (SELECT doc_id, source AS video_id, lang AS topic, doc_id * 37 % 700 AS seconds, text, split_part(text, chr(10), 1) AS summary FROM documents)"
+MAPPED = "m AS (SELECT *, CASE WHEN length(summary) >= 400 THEN 'HIGH' WHEN length(summary) >= 120 THEN 'MEDIUM' ELSE 'LOW' END AS relevance FROM v)"
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = T.docs(spark, sf_dir)
+    return d.select("doc_id", F.col("source_id").alias("video_id"), F.col("lang").alias("topic"), (F.col("doc_id") * 37 % 700).alias("seconds"), "text", F.substring_index("text", "\n", 1).alias("summary"))
+
+
+@query(f"WITH {VIDEO}, {MAPPED} SELECT doc_id, relevance FROM m")
+def video_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relevance of each segment by a model that sees its summary."""
+    return H.mapped(segments(spark, sf_dir)).select("doc_id", "relevance")
+
+
+@query(f"""WITH {VIDEO}, {MAPPED}, w AS (SELECT DISTINCT video_id, topic FROM m WHERE relevance = 'HIGH'), r AS (SELECT m.video_id, doc_id, seconds, CASE WHEN relevance = 'HIGH' THEN 'HIGH' ELSE 'MEDIUM' END AS shown, CASE WHEN relevance = 'HIGH' THEN text ELSE summary END AS content
+ FROM m LEFT JOIN w ON w.video_id = m.video_id AND w.topic = m.topic WHERE relevance IN ('HIGH', 'MEDIUM') OR w.topic IS NOT NULL) SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY seconds, doc_id) AS place, doc_id, shown AS relevance, length(content)::BIGINT AS chars, md5(content) AS content_md5 FROM r""")
 def video_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of high relevance in full, those of medium relevance or of a topic of a high one (here: the language) in short."""
-    d = P.with_relevance(T.docs(spark, sf_dir))
-    topics = d.filter("relevance = 'HIGH'").select("lang", F.lit(True).alias("hit")).distinct()
-    rows = d.join(topics, "lang", "left")
-    shown = F.when(F.col("relevance") == "HIGH", F.substring("text", 1, 500)).when((F.col("relevance") == "MEDIUM") | F.col("hit"), F.substring("text", 1, 100))
-    return rows.select("doc_id", shown.alias("shown"))
+    """Segments of high relevance in full, those of medium relevance or of a topic of a high one by their summary, in order of time."""
+    out = H.resolved(H.mapped(segments(spark, sf_dir)))
+    return out.select("video_id", F.col("place").cast("long").alias("place"), "doc_id", "relevance", F.char_length("content").cast("long").alias("chars"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"""WITH {D}, k AS (SELECT source_id, doc_id, created_at, left({X_CLIP}, 60) AS head FROM docs WHERE n >= 2400 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, doc_id) <= 3)
+SELECT source_id, source_id || ': ' || string_agg('[post:' || doc_id || '] ' || head, '; ' ORDER BY created_at DESC, doc_id) AS answer FROM k GROUP BY source_id""")
+def synthesize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each source from its three newest documents of high relevance, by the default synthesizer."""
+    best = P.limited(P.with_relevance(T.docs(spark, sf_dir)).filter("relevance = 'HIGH'"), 3)
+    return P.synthesized(best.select("source_id", "doc_id", "place", F.substring(X.squeeze(F.col("text")), 1, 60).alias("excerpt")))

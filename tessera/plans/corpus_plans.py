@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as K
 from ..operators import retrieval as R
+from ..operators.funnel import IDS
+from ..operators.numbering import numbered
 from ..sources import tables as T
 from .registry import query
 
@@ -30,8 +32,11 @@ COUNTS = f"WITH {D}, {LABELLED}, ac AS (SELECT source_id, area, count(*) AS coun
 STATUS = "CASE WHEN total = 0 OR sources = 0 THEN 'gap' WHEN sources < 2 OR total < 10 THEN 'thin' WHEN sources < 4 OR total < 40 THEN 'medium' ELSE 'strong' END"
 
 
+STATUS_SQL = f"ar AS (SELECT unnest({list(AREAS)}) AS area), aa AS (SELECT area, coalesce(sum(count), 0) AS total, count(source_id) AS sources FROM ar LEFT JOIN ac USING (area) GROUP BY area), am AS (SELECT *, {STATUS} AS status FROM aa)"
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = R.eligible(T.docs(spark, sf_dir))
+    d = R.eligible(T.dealt(T.docs(spark, sf_dir)))
     return d.select("doc_id", "source_id", "n", K.area_labels(F.col("text"), AREAS, "news").alias("labels"))
 
 
@@ -112,10 +117,37 @@ def warnings_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passports(spark, sf_dir).select("source_id", F.array_join(K.warnings(c("posts"), c("texts"), c("metadata"), c("embedded"), c("texts")), "; ").alias("warnings"))
 
 
-@query(f"{PASS} SELECT count(*) FILTER (metadata = 0 AND texts > 0) AS without_metadata, count(*) FILTER (texts > 0 AND embedded / texts < 0.8) AS embedding_gaps FROM p")
+@query(f"{COUNTS}, {STATUS_SQL} SELECT 'area' AS kind, area AS name, status AS what FROM am WHERE status IN ('gap', 'thin') UNION ALL SELECT * FROM ({PASS} SELECT 'source', source_id, 'no metadata' FROM p WHERE metadata = 0 AND texts > 0 UNION ALL SELECT 'source', source_id, 'embedding gap' FROM p WHERE texts > 0 AND embedded / texts < 0.8)")
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    return passports(spark, sf_dir).agg(F.count_if((c("metadata") == 0) & (c("texts") > 0)).alias("without_metadata"), F.count_if((c("texts") > 0) & (c("embedded") / c("texts") < 0.8)).alias("embedding_gaps"))
+    """Areas that are thin or missing (also those that no text has), and sources without metadata or with embeddings of less than 0.8 of their texts."""
+    c, p = F.col, passports(spark, sf_dir)
+    found = K.coverage_map(K.area_counts(labelled(spark, sf_dir))).select("area", "status")
+    every = spark.createDataFrame([(a,) for a in AREAS], "area string")
+    areas = every.join(found, "area", "left").select(F.lit("area").alias("kind"), F.col("area").alias("name"), F.coalesce("status", F.lit("gap")).alias("what")).filter("what IN ('gap', 'thin')")
+    said = F.array_compact(F.array(F.when((c("metadata") == 0) & (c("texts") > 0), "no metadata"), F.when((c("texts") > 0) & (c("embedded") / c("texts") < 0.8), "embedding gap")))
+    return areas.unionByName(p.select(F.lit("source").alias("kind"), F.col("source_id").alias("name"), F.explode(said).alias("what")))
+
+
+PROFILE = f"""{PASS}, dp AS (SELECT source AS source_id, {DEPTH} AS depth, lang FROM documents), hi AS (SELECT source_id, string_agg(depth || ':' || n, ',' ORDER BY depth) AS depths FROM (SELECT source_id, depth, count(*) AS n FROM dp GROUP BY ALL) GROUP BY 1),
+tl AS (SELECT source_id, string_agg(lang || ':' || n, ',' ORDER BY n DESC, lang) AS langs FROM (SELECT source_id, lang, count(*) AS n FROM dp GROUP BY source_id, lang QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY n DESC, lang) <= 3) GROUP BY 1)"""
+
+
+@query(f"{PROFILE} SELECT source_id, round(texts / posts, 4) AS text_ratio, CASE WHEN texts > 0 THEN round(metadata / texts, 4) ELSE 0 END AS metadata_ratio, CASE WHEN texts > 0 THEN round(embedded / texts, 4) ELSE 0 END AS embedded_ratio, texts > 0 AND embedded / texts >= 0.8 AS ready, depths, langs FROM p JOIN hi USING (source_id) JOIN tl USING (source_id)")
+def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios, readiness, numbers of documents by depth and the three most frequent languages of each source."""
+    c, d = F.col, T.docs(spark, sf_dir)
+    depths = d.select("source_id", K.depth_label(c("text"), DEPTHS).alias("name")).groupBy("source_id", "name").count()
+    langs = R.top(d.groupBy("source_id", c("lang").alias("name")).count(), 3, [F.desc("count"), c("name")])
+    listed = lambda df, out, key: df.groupBy("source_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), "name", "count"))), lambda x: F.concat_ws(":", x["name"], x["count"])), ",").alias(out))
+    of = passports(spark, sf_dir).join(listed(depths, "depths", c("name")), "source_id").join(listed(langs, "langs", c("rank")), "source_id")
+    return of.select("source_id", K.ratio(c("texts"), c("posts")).alias("text_ratio"), K.ratio(c("metadata"), c("texts")).alias("metadata_ratio"), K.ratio(c("embedded"), c("texts")).alias("embedded_ratio"), ((c("texts") > 0) & (c("embedded") / c("texts") >= 0.8)).alias("ready"), "depths", "langs")
+
+
+@query(f"WITH {D} SELECT source_id, doc_id FROM docs WHERE length(text) > 30 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, doc_id) <= 18")
+def early_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source the newest candidates, three times as many as representatives are wanted."""
+    d = R.eligible(T.docs(spark, sf_dir)).select("source_id", "doc_id", "created_at")
+    return R.top(d, 3 * 6, [F.desc("created_at"), F.col("doc_id")]).select("source_id", "doc_id")
 
 
 @query()
@@ -126,7 +158,7 @@ def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT doc_id, source AS source_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, greatest(1, count(*) OVER (PARTITION BY source) // 5) AS step FROM documents)
 SELECT source_id, doc_id FROM p WHERE pos % step = 0 AND pos // step < 5""")
 def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.spread(T.docs(spark, sf_dir).select("doc_id", "source_id"), 5, "source_id", [F.col("doc_id")]).select("source_id", "doc_id")
+    return K.spread(T.docs(spark, sf_dir).select("doc_id", "source_id"), 5, "source_id", [F.col("doc_id")], F.floor(F.col("doc_id") / IDS)).select("source_id", "doc_id")
 
 
 @query("SELECT s.source_id, s.docs, coalesce(c.comments, 0) AS comments FROM (SELECT source AS source_id, count(*) AS docs FROM documents GROUP BY 1) s LEFT JOIN (SELECT source AS source_id, count(*) AS comments FROM conversations JOIN documents ON conv_id = doc_id GROUP BY 1) c USING (source_id)")
@@ -163,12 +195,16 @@ def cond_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.raw(spark, sf_dir, "labels").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"))
 
 
-@query("""WITH r AS (SELECT doc_id, quality = 1 AS relevant, doc_id % 3 <> 0 AS retrieved, doc_id % 4 <> 0 AS mapped FROM labels)
+@query("""WITH r AS (SELECT l.doc_id, quality = 1 AS relevant, contains(lower(text), 'the') AS retrieved, length(text) >= 600 AS mapped FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l JOIN documents USING (doc_id))
 SELECT count(*) FILTER (relevant AND retrieved AND mapped) AS found, count(*) FILTER (relevant AND NOT retrieved) AS lost_by_retrieval, count(*) FILTER (relevant AND retrieved AND NOT mapped) AS lost_by_map,
  count(*) FILTER (NOT relevant AND retrieved AND mapped) AS new_only, round(count(*) FILTER (relevant AND retrieved AND mapped) / count(*) FILTER (relevant), 6) AS recall FROM r""")
 def relevant_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = T.raw(spark, sf_dir, "labels")
-    rel, got, mapped = F.col("quality") == 1, F.col("doc_id") % 3 != 0, F.col("doc_id") % 4 != 0
+    """Of the documents that are relevant (by label), what a search for a word and then the model's relevance leave."""
+    from ..operators.funnel import with_relevance
+
+    l = T.raw(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    r = with_relevance(T.docs(spark, sf_dir)).join(l, "doc_id")
+    rel, got, mapped = F.col("quality") == 1, F.contains(F.lower("text"), F.lit("the")), F.col("relevance") != "LOW"
     return r.agg(
         F.count_if(rel & got & mapped).alias("found"), F.count_if(rel & ~got).alias("lost_by_retrieval"), F.count_if(rel & got & ~mapped).alias("lost_by_map"),
         F.count_if(~rel & got & mapped).alias("new_only"), F.round(F.try_divide(F.count_if(rel & got & mapped), F.count_if(rel)), 6).alias("recall"),
@@ -199,11 +235,12 @@ def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.raw(spark, sf_dir, "events").select("event_id", F.round(F.avg("value").over(w) + 1e-9, 4).alias("mean"))
 
 
-@query("SELECT user_id, event_type AS phase, date_diff('second', min(ts), max(ts)) AS seconds FROM events GROUP BY ALL")
+@query("SELECT user_id, coalesce(event_type, 'total') AS phase, date_diff('second', min(ts), max(ts)) AS seconds FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id), ())")
 def phase_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first to the last event of each user and phase, of each user in all, and of all users together (a null user)."""
     whole = lambda c: F.date_trunc("second", c).cast("timestamp_ntz")
     seconds = F.timestamp_diff("SECOND", whole(F.min("ts")), whole(F.max("ts")))
-    return T.raw(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("phase")).agg(seconds.alias("seconds"))
+    return T.raw(spark, sf_dir, "events").rollup("user_id", "event_type").agg(seconds.alias("seconds")).select("user_id", F.coalesce("event_type", F.lit("total")).alias("phase"), "seconds")
 
 
 @query("SELECT count(*) AS docs, max(length(text)) AS longest, count(DISTINCT source) AS sources FROM documents")
@@ -221,7 +258,7 @@ def phase_state_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH p AS (SELECT doc_id, source AS source_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) SELECT 'P' || lpad(p.r::VARCHAR, 4, '0') || '.C' || lpad((row_number() OVER (PARTITION BY p.doc_id ORDER BY turn))::VARCHAR, 4, '0') AS ref, p.doc_id, turn FROM p JOIN conversations ON conv_id = p.doc_id QUALIFY row_number() OVER (PARTITION BY p.doc_id ORDER BY turn) <= 5")
 def ordinal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordinals of documents in their source and of comments in their document, five of each at most."""
-    d = T.docs(spark, sf_dir).select("doc_id", F.row_number().over(Window.partitionBy("source_id").orderBy("doc_id")).alias("p"))
+    d = numbered(T.docs(spark, sf_dir).select("doc_id", "source_id"), "source_id", [F.col("doc_id")], F.floor(F.col("doc_id") / IDS), "p").drop("source_id")
     c = T.comments(spark, sf_dir).select("doc_id", F.col("comment_id").alias("turn"), F.row_number().over(Window.partitionBy("doc_id").orderBy("comment_id")).alias("c")).filter("c <= 5")
     pad = lambda n: F.lpad(F.col(n).cast("string"), 4, "0")
     return d.join(c, "doc_id").select(F.concat(F.lit("P"), pad("p"), F.lit(".C"), pad("c")).alias("ref"), "doc_id", "turn")

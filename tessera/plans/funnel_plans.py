@@ -128,10 +128,12 @@ def cite_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited.select("answer_id", F.array_join(P.reconciled(main, F.col("cited")).cast("array<string>"), ",").alias("sources"))
 
 
-@query(f"WITH {CITED} SELECT answer_id, count(DISTINCT doc_id) FILTER (doc_id % 2 = 0) AS valid, count(DISTINCT doc_id) FILTER (doc_id % 2 <> 0) AS invalid FROM cit GROUP BY answer_id")
+@query(f"WITH {CITED} SELECT answer_id, count(DISTINCT c.doc_id) FILTER (d.doc_id IS NOT NULL) AS valid, count(DISTINCT c.doc_id) FILTER (d.doc_id IS NULL) AS invalid FROM cit c LEFT JOIN documents d ON d.doc_id = c.doc_id GROUP BY answer_id")
 def cite_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = P.citations(answers(spark, sf_dir)).select("answer_id", "doc_id").distinct()
-    return cited.groupBy("answer_id").agg(F.count_if(F.col("doc_id") % 2 == 0).alias("valid"), F.count_if(F.col("doc_id") % 2 != 0).alias("invalid"))
+    known = T.docs(spark, sf_dir).select("doc_id", F.lit(True).alias("known"))
+    joined = cited.join(known, "doc_id", "left")
+    return joined.groupBy("answer_id").agg(F.count_if(F.col("known").isNotNull()).alias("valid"), F.count_if(F.col("known").isNull()).alias("invalid"))
 
 
 @query(f"WITH {D} SELECT source_id, strftime(min(created_at), '%Y-%m-%d') AS first, strftime(max(created_at), '%Y-%m-%d') AS last, count(DISTINCT strftime(created_at, '%Y-%m')) AS months, count(*) AS docs FROM docs GROUP BY 1")
@@ -148,14 +150,13 @@ def period_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS = "list_distinct(string_split_regex(lower({0}), '[ \\t\\n\\r\\f\\v]+'))"
-PAIRS = "SELECT a.item_id, left(a.text, 60) AS x, left(b.text, 60) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id - a.item_id % 2"
+PAIRS = "SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id - a.item_id % 2"
 
 
 @query(f"WITH p AS ({PAIRS}) SELECT item_id, contains(lower(x), lower(y)) OR contains(lower(y), lower(x)) OR len(list_intersect({WORDS.format('x')}, {WORDS.format('y')})) / len(list_distinct(list_concat({WORDS.format('x')}, {WORDS.format('y')}))) >= 0.8 AS same FROM p")
 def jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = T.raw(spark, sf_dir, "benchmark")
-    head = lambda c: F.substring(c, 1, 60)
-    pairs = b.select("item_id", head("text").alias("x"), (F.col("item_id") - F.col("item_id") % 2).alias("o")).join(b.select(F.col("item_id").alias("o"), head("text").alias("y")), "o")
+    pairs = b.select("item_id", F.col("text").alias("x"), (F.col("item_id") - F.col("item_id") % 2).alias("o")).join(b.select(F.col("item_id").alias("o"), F.col("text").alias("y")), "o")
     return pairs.select("item_id", P.same_fact(F.col("x"), F.col("y")).alias("same"))
 
 
@@ -228,10 +229,11 @@ def join_array_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(wanted), "i").groupBy("i").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE m AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent, role <> 'user' AS is_text FROM conversations WHERE turn < 60),
-w AS (SELECT id, id AS cur FROM m UNION ALL SELECT w.id, m.parent FROM w JOIN m ON m.id = w.cur WHERE NOT m.is_text AND m.parent IS NOT NULL AND m.parent IN (SELECT id FROM m))
-SELECT id, min(cur) AS root FROM w GROUP BY id""")
+@query("""WITH RECURSIVE m AS (SELECT conv_id || '/' || turn AS id, CASE WHEN turn > 0 THEN conv_id || '/' || (turn - 1) END AS parent, role <> 'user' AS is_text FROM conversations),
+w AS (SELECT id, id AS cur FROM m UNION ALL SELECT w.id, m.parent FROM w JOIN m ON m.id = w.cur WHERE m.parent IN (SELECT id FROM m)),
+e AS (SELECT w.id, w.cur FROM w JOIN m ON m.id = w.cur WHERE m.parent IS NULL AND m.is_text)
+SELECT id, coalesce(cur, id) AS root FROM m LEFT JOIN e USING (id)""")
 def reply_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = T.raw(spark, sf_dir, "conversations").filter("turn < 60")
-    own = F.col("conv_id") * 1000 + F.col("turn")
-    return M.roots(c.select(own.alias("id"), F.when(F.col("turn") > 0, own - 1).alias("parent"), (F.col("role") != "user").alias("is_text")))
+    key = lambda turn: F.concat_ws("/", "conv_id", turn)
+    turn = F.col("turn")
+    return M.roots(T.raw(spark, sf_dir, "conversations").select(key(turn).alias("id"), F.when(turn > 0, key(turn - 1)).alias("parent"), (F.col("role") != "user").alias("is_text")))

@@ -33,22 +33,46 @@ def prune_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n(gone, "docs").crossJoin(n(T.comments(spark, sf_dir).join(gone, "doc_id", "left_semi"), "comments")).crossJoin(n(vectors.join(gone, "doc_id", "left_semi"), "vectors"))
 
 
-@query(f"{BUCKET} SELECT conv_id AS doc_id, turn AS comment_id FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM bk WHERE bucket = 'delete')")
+@query(f"""{BUCKET}, gone AS (SELECT doc_id FROM bk WHERE bucket = 'delete') SELECT 'documents' AS name, doc_id, NULL::BIGINT AS other FROM bk WHERE bucket <> 'delete'
+ UNION ALL SELECT 'comments', conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT 'links', src, dst FROM links WHERE src NOT IN (SELECT doc_id FROM gone) AND dst NOT IN (SELECT doc_id FROM gone)
+ UNION ALL SELECT 'labels', doc_id, NULL FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT 'vectors', vec_id, NULL FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM gone)""")
 def prune_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = buckets(spark, sf_dir).filter("bucket = 'delete'").select("doc_id")
-    return T.comments(spark, sf_dir).join(gone, "doc_id", "left_anti").select("doc_id", "comment_id")
+    """What is left of the documents and of all tables that hang on them, once the old ones are gone."""
+    b = buckets(spark, sf_dir)
+    dependent = {
+        "comments": (T.comments(spark, sf_dir).select("doc_id", F.col("comment_id").alias("other")), ["doc_id"]), "links": (T.links(spark, sf_dir).select(F.col("src").alias("doc_id"), F.col("dst").alias("other")), ["doc_id", "other"]),
+        "labels": (T.raw(spark, sf_dir, "labels").select("doc_id", F.lit(None).cast("long").alias("other")), ["doc_id"]), "vectors": (T.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.lit(None).cast("long").alias("other")), ["doc_id"]),
+    }
+    left = M.cascaded(b.filter("bucket = 'delete'").select("doc_id"), dependent)
+    return b.filter("bucket <> 'delete'").select(F.lit("documents").alias("name"), "doc_id", F.lit(None).cast("long").alias("other")).unionByName(left)
 
 
-@query(f"{BUCKET} SELECT source_id, count(*) AS n, strftime(min(created_at), '%Y-%m-%d') AS first, strftime(max(created_at), '%Y-%m-%d') AS last FROM bk WHERE created_at < TIMESTAMP '{CUT}' GROUP BY 1")
+@query(f"""{BUCKET}, old AS (SELECT doc_id, source_id, created_at FROM bk WHERE created_at < TIMESTAMP '{CUT}'), cc AS (SELECT source_id, count(*) AS comments FROM conversations JOIN old ON conv_id = doc_id GROUP BY 1), ll AS (SELECT source_id, count(*) AS n_links FROM links JOIN old ON src = doc_id GROUP BY 1)
+SELECT source_id, count(*) AS n, strftime(min(created_at), '%Y-%m-%d') AS first, strftime(max(created_at), '%Y-%m-%d') AS last, coalesce(max(comments), 0) AS comments, coalesce(max(n_links), 0) AS links FROM old LEFT JOIN cc USING (source_id) LEFT JOIN ll USING (source_id) GROUP BY 1""")
 def prune_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    old = T.docs(spark, sf_dir).filter(F.col("created_at") < F.lit(CUT).cast("timestamp_ntz"))
-    return old.groupBy("source_id").agg(F.count("*").alias("n"), day(F.min("created_at")).alias("first"), day(F.max("created_at")).alias("last"))
+    old = T.docs(spark, sf_dir).filter(F.col("created_at") < F.lit(CUT).cast("timestamp_ntz")).select("doc_id", "source_id", "created_at")
+    of = lambda rows, name: rows.join(old, "doc_id").groupBy("source_id").agg(F.count("*").alias(name))
+    comments = of(T.comments(spark, sf_dir).select("doc_id"), "comments")
+    links = of(T.links(spark, sf_dir).select(F.col("src").alias("doc_id")), "links")
+    by = old.groupBy("source_id").agg(F.count("*").alias("n"), day(F.min("created_at")).alias("first"), day(F.max("created_at")).alias("last"))
+    return by.join(comments, "source_id", "left").join(links, "source_id", "left").fillna(0, ["comments", "links"])
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
+@query(f"""WITH {L}, t AS (SELECT doc_id FROM labels) SELECT 'vectors' AS name, vec_id AS key FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM t) UNION ALL SELECT 'comments', conv_id FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM t)
+ UNION ALL SELECT 'documents', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t) UNION ALL SELECT 'link source', src FROM links WHERE src NOT IN (SELECT doc_id FROM t) UNION ALL SELECT 'link target', dst FROM links WHERE dst NOT IN (SELECT doc_id FROM t)""")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.orphans(T.vectors(spark, sf_dir).select("vec_id"), "vec_id", T.raw(spark, sf_dir, "labels"), "doc_id")
+    """Rows of three tables and either end of links that no row of the labels stands for."""
+    links, labels = T.links(spark, sf_dir), T.raw(spark, sf_dir, "labels").select("doc_id")
+    children = {
+        "vectors": T.vectors(spark, sf_dir).select(F.col("vec_id").alias("key")), "comments": T.comments(spark, sf_dir).select(F.col("doc_id").alias("key")), "documents": T.raw(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")),
+        "link source": links.select(F.col("src").alias("key")), "link target": links.select(F.col("dst").alias("key")),
+    }
+    out = None
+    for name, child in children.items():
+        one = M.orphans(child, "key", labels, "doc_id").select(F.lit(name).alias("name"), "key")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"{BUCKET} SELECT source_id, count(*) AS before, count(*) FILTER (bucket <> 'delete') AS after, count(*) FILTER (bucket = 'delete') AS removed FROM bk GROUP BY 1 HAVING removed > 0")

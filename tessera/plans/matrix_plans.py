@@ -11,9 +11,9 @@ from .registry import query
 
 #: Contributions of nations (sources) to cells of segment, priority and status, scored from 0 to 5 by bounded aggregates.
 BASE = """base AS (SELECT n_name AS source_id, c_mktsegment AS domain, o_orderpriority AS subdomain, o_orderstatus AS intent, count(*) AS k, avg(o_totalprice) AS price, max(o_orderkey) % 100 AS h
- FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 5 = 0 GROUP BY ALL),
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
 con AS (SELECT source_id, domain, CASE subdomain WHEN '4-NOT SPECIFIED' THEN '5-LOW' ELSE subdomain END AS subdomain, intent, CASE WHEN k >= 2 AND h >= 30 THEN 'primary' WHEN h < 5 THEN 'weak' ELSE 'secondary' END AS role,
- least(5.0, 2 + k)::DOUBLE AS utility, least(5.0, 1 + h / 20)::DOUBLE AS evidence, (h % 5 + 1)::DOUBLE AS depth, least(5.0, 3 + k / 2)::DOUBLE AS practicality, least(5.0, round(price / 100000))::DOUBLE AS novelty, (h % 11) / 10.0::DOUBLE AS confidence, h % 4 AS refs FROM base),
+ (2 + k % 4)::DOUBLE AS utility, least(5.0, 1 + h / 20)::DOUBLE AS evidence, (h % 5 + 1)::DOUBLE AS depth, (3 + (k % 5) / 2)::DOUBLE AS practicality, least(5.0, round(price / 100000))::DOUBLE AS novelty, (h % 11) / 10.0::DOUBLE AS confidence, h % 4 AS refs FROM base),
 sc AS (SELECT *, domain || '/' || subdomain || '/' || intent AS cell_id, round((utility * 1.3::DOUBLE + evidence * 1.2::DOUBLE + depth + practicality + novelty * 0.8::DOUBLE) / 5.3::DOUBLE, 3) AS score FROM con),
 best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY cell_id, source_id ORDER BY score DESC, role = 'primary' DESC, confidence DESC, cell_id, intent) = 1)"""
 COVER = "CASE WHEN sources = 0 THEN 'none' WHEN primary_sources >= 2 AND best >= 4.3 THEN 'strong_multi_source' WHEN primary_sources >= 1 AND best >= 4.3 THEN 'strong_single_source' WHEN best >= 3.5 THEN 'moderate' ELSE 'thin' END"
@@ -23,7 +23,7 @@ CELLS = f"cells AS (SELECT cell_id, count(*) AS sources, count(*) FILTER (role =
 
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = lambda n: T.raw(spark, sf_dir, n)
-    o = raw("orders").filter("o_orderkey % 5 = 0").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    o = raw("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
     joined = o.join(raw("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(raw("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
     base = joined.groupBy(F.col("n_name").alias("source_id"), F.col("c_mktsegment").alias("domain"), F.col("o_orderpriority").alias("subdomain"), F.col("o_orderstatus").alias("intent")).agg(
         F.count("*").alias("k"), F.avg("o_totalprice").alias("price"), (F.max("o_orderkey") % 100).alias("h")
@@ -31,8 +31,8 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, h, five = F.col("k"), F.col("h"), F.lit(5.0)
     role = F.when((k >= 2) & (h >= 30), "primary").when(h < 5, "weak").otherwise("secondary")
     cells = base.select(
-        "source_id", "domain", "subdomain", "intent", role.alias("role"), F.least(five, 2.0 + k).alias("utility"), F.least(five, 1 + h / 20).alias("evidence"), (h % 5 + 1).cast("double").alias("depth"),
-        F.least(five, 3 + k / 2).alias("practicality"), F.least(five, F.round(F.col("price") / 100000)).alias("novelty"), (h % 11 / 10).alias("confidence"), (h % 4).alias("refs"), F.array("intent").alias("intents"),
+        "source_id", "domain", "subdomain", "intent", role.alias("role"), (2.0 + k % 4).alias("utility"), F.least(five, 1 + h / 20).alias("evidence"), (h % 5 + 1).cast("double").alias("depth"),
+        (3 + k % 5 / 2).alias("practicality"), F.least(five, F.round(F.col("price") / 100000)).alias("novelty"), (h % 11 / 10).alias("confidence"), (h % 4).alias("refs"), F.array("intent").alias("intents"),
     )
     aliases = spark.createDataFrame([("subdomain", "4-NOT SPECIFIED", "5-LOW")], "kind string, name string, canonical string")
     rows = X.normalised(cells, aliases)
@@ -57,10 +57,14 @@ def best_sources_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(best, 5, [F.desc("score"), F.desc("confidence"), F.col("source_id")], by="cell_id").select("cell_id", "source_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {BASE} SELECT cell_id, metric, round(avg(v), 3) AS mean, max(v) AS most FROM (UNPIVOT (SELECT cell_id, utility, evidence, depth, practicality, novelty FROM best) ON utility, evidence, depth, practicality, novelty INTO NAME metric VALUE v) GROUP BY ALL")
+SUMMED = "utility, evidence, depth, practicality, novelty, confidence, score"
+
+
+@query(f"WITH {BASE} SELECT cell_id, metric, round(avg(v) + 1e-9, 3) AS mean, max(v) AS most FROM (UNPIVOT (SELECT cell_id, {SUMMED} FROM best) ON {SUMMED} INTO NAME metric VALUE v) GROUP BY ALL")
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = X.best_per_source(contributions(spark, sf_dir), ["cell_id"]).select("cell_id", *X.METRICS)
-    return best.unpivot("cell_id", list(X.METRICS), "metric", "v").groupBy("cell_id", "metric").agg(F.round(F.avg("v"), 3).alias("mean"), F.max("v").alias("most"))
+    metrics = SUMMED.split(", ")
+    best = X.best_per_source(contributions(spark, sf_dir), ["cell_id"]).select("cell_id", *(F.coalesce(m, F.lit(0.0)).alias(m) for m in metrics))
+    return best.unpivot("cell_id", metrics, "metric", "v").groupBy("cell_id", "metric").agg(F.round(F.avg("v") + 1e-9, 3).alias("mean"), F.max("v").alias("most"))
 
 
 @query(f"WITH {BASE}, {CELLS} SELECT cell_id, sources, primary_sources, best, coverage, redundancy FROM cl")
@@ -85,18 +89,26 @@ def rollup_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.rollups(contributions(spark, sf_dir)).select("kind", "rollup_id", "overlap")
 
 
-@query(f"WITH {BASE} SELECT DISTINCT 'subdomain' AS kind, subdomain AS value, cell_id FROM sc WHERE subdomain NOT IN ('1-URGENT', '2-HIGH')")
+@query(f"""WITH {BASE} SELECT DISTINCT kind, value, cell_id FROM (SELECT 'subdomain' AS kind, subdomain AS value, cell_id FROM sc WHERE subdomain NOT IN ('1-URGENT', '2-HIGH')
+ UNION ALL SELECT 'domain', domain, cell_id FROM sc WHERE domain NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') UNION ALL SELECT 'intent', intent, cell_id FROM sc WHERE intent NOT IN ('O', 'F'))""")
 def taxonomy_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    core = spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "subdomain string")
-    return contributions(spark, sf_dir).join(F.broadcast(core), "subdomain", "left_anti").select(F.lit("subdomain").alias("kind"), F.col("subdomain").alias("value"), "cell_id").distinct()
+    """Values of each kind that are outside of the core vocabulary, by cell."""
+    core = {"subdomain": ["1-URGENT", "2-HIGH"], "domain": ["AUTOMOBILE", "BUILDING", "FURNITURE"], "intent": ["O", "F"]}
+    return X.outside(contributions(spark, sf_dir), core)
 
 
-@query(f"WITH {BASE}, {CELLS} SELECT count(*) AS cells, count(*) FILTER (coverage = 'strong_multi_source') AS strong_multi, count(*) FILTER (coverage = 'moderate') AS moderate, count(*) FILTER (coverage = 'thin') AS thin, count(*) FILTER (redundancy = 'high') AS redundant FROM cl")
+@query(f"""WITH {BASE}, {CELLS}, {ROLL} SELECT count(*) AS cells, count(*) FILTER (coverage = 'strong_multi_source') AS strong_multi, count(*) FILTER (coverage = 'strong_single_source') AS strong_single, count(*) FILTER (coverage = 'moderate') AS moderate, count(*) FILTER (coverage = 'thin') AS thin,
+ count(*) FILTER (redundancy = 'high') AS redundant, count(*) FILTER (redundancy = 'single_source') AS single_source, (SELECT count(DISTINCT source_id) FROM sc) AS sources, (SELECT count(*) FROM sc) AS contributions, (SELECT count(*) FROM ro WHERE kind = 'domain') AS domains,
+ (SELECT count(*) FROM ro WHERE kind = 'domain_intent') AS domain_intents, (SELECT count(*) FROM ro WHERE kind = 'intent') AS intents, (SELECT count(*) FROM ro WHERE overlap = 'related_multi_source') AS related, (SELECT count(*) FROM ro WHERE overlap = 'exact_multi_source') AS exact FROM cl""")
 def matrix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda c, v: F.count_if(F.col(c) == v)
-    return X.cells_of(contributions(spark, sf_dir)).agg(
-        F.count("*").alias("cells"), of("coverage", "strong_multi_source").alias("strong_multi"), of("coverage", "moderate").alias("moderate"), of("coverage", "thin").alias("thin"), of("redundancy", "high").alias("redundant")
-    )
+    rows = contributions(spark, sf_dir)
+    of = lambda c, v, name: F.count_if(F.col(c) == v).alias(name)
+    cells = X.cells_of(rows).agg(
+        F.count("*").alias("cells"), of("coverage", "strong_multi_source", "strong_multi"), of("coverage", "strong_single_source", "strong_single"), of("coverage", "moderate", "moderate"), of("coverage", "thin", "thin"),
+        of("redundancy", "high", "redundant"), of("redundancy", "single_source", "single_source"),
+    )
+    levels = X.rollups(rows).agg(of("kind", "domain", "domains"), of("kind", "domain_intent", "domain_intents"), of("kind", "intent", "intents"), of("overlap", "related_multi_source", "related"), of("overlap", "exact_multi_source", "exact"))
+    return cells.crossJoin(levels).crossJoin(rows.agg(F.count_distinct("source_id").alias("sources"), F.count("*").alias("contributions")))
 
 
 LOO = """oth AS (SELECT b.*, (SELECT count(*) FROM best x WHERE x.cell_id = b.cell_id AND x.source_id <> b.source_id) AS n_oth, coalesce((SELECT max(score) FROM best x WHERE x.cell_id = b.cell_id AND x.source_id <> b.source_id), 0) AS best_oth,
@@ -150,11 +162,12 @@ def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(spark, sf_dir).select("source_id", X.recommendation(c("total"), c("positive"), c("duplicate"), c("probe"), c("taxonomy"), c("noise"), caveat).alias("recommendation"))
 
 
-@query(f"WITH {BASE}, c AS (SELECT DISTINCT cell_id FROM best WHERE source_id = 'NATION_3') SELECT source_id, count(*) AS matches, max(score) AS best FROM best JOIN c USING (cell_id) WHERE source_id <> 'NATION_3' GROUP BY 1")
+@query(f"""WITH {BASE}, own AS (SELECT DISTINCT cell_id, domain, intent FROM best WHERE source_id = 'NATION_3'), ex AS (SELECT b.source_id, b.cell_id, b.domain, b.intent, b.score FROM best b JOIN own USING (cell_id) WHERE b.source_id <> 'NATION_3'),
+re AS (SELECT b.source_id, b.cell_id, b.domain, b.intent, b.score FROM best b WHERE b.source_id <> 'NATION_3' AND b.cell_id NOT IN (SELECT cell_id FROM own) AND EXISTS (SELECT 1 FROM own o WHERE o.domain = b.domain AND o.intent = b.intent))
+SELECT source_id, count(*) FILTER (k = 'exact') AS exact, count(*) FILTER (k = 'related') AS related, count(DISTINCT cell_id) AS cells, count(DISTINCT domain || '/' || intent) AS rollups, max(score) AS best FROM (SELECT 'exact' AS k, * FROM ex UNION ALL SELECT 'related', * FROM re) GROUP BY 1""")
 def closest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = X.best_per_source(contributions(spark, sf_dir), ["cell_id"])
-    own = best.filter("source_id = 'NATION_3'").select("cell_id").distinct()
-    return best.filter("source_id <> 'NATION_3'").join(own, "cell_id").groupBy("source_id").agg(F.count("*").alias("matches"), F.max("score").alias("best"))
+    """Other sources by what they have of one source's cells, or else of its domains and intents."""
+    return X.closest(X.best_per_source(contributions(spark, sf_dir), ["cell_id"]), "NATION_3")
 
 
 @query(f"WITH {BASE} SELECT source_id, bool_and(score IS NOT NULL AND refs > 0) AS valid, count(*) FILTER (refs = 0) AS unknown_refs FROM sc GROUP BY 1")

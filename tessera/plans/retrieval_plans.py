@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens, tokens_sql
 from ..operators import retrieval as R
 from ..sources import tables as T
+from ..sources.shared import shared_path
 from .registry import query
 
 #: What the queries search for, words of the synthetic corpus.
@@ -32,7 +33,8 @@ TOP = "fh AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY round
 FTS = f"fr AS (SELECT *, (abs(score) / max(abs(score)) OVER (PARTITION BY source_id) * 0.7 + 0.3) * {FRESH} AS final FROM fh), f2 AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY round(final, 12) DESC, fts) AS rank FROM fr)"
 RRF = """rr AS (SELECT coalesce(v2.source_id, f2.source_id) AS source_id, coalesce(v2.doc_id, f2.doc_id) AS doc_id, v2.rank AS r1, f2.rank AS r2,
   coalesce(1 / (60 + v2.rank), 0) + coalesce(1 / (60 + f2.rank), 0) AS rrf FROM v2 FULL JOIN f2 ON v2.source_id = f2.source_id AND v2.doc_id = f2.doc_id),
-pl AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY round(rrf, 12) DESC, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS place FROM rr)"""
+pl AS (SELECT source_id, doc_id, r1, r2, rrf, row_number() OVER (PARTITION BY source_id ORDER BY round(rrf, 12) DESC, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS place FROM rr WHERE source_id IN (SELECT source_id FROM nn)
+  UNION ALL SELECT source_id, doc_id, NULL, NULL, NULL, row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, doc_id) FROM e WHERE source_id NOT IN (SELECT source_id FROM nn))"""
 ALL = f"{TEXT_SEARCH}, {NEAR}, {KNN}, {VECTORS}, {TOP}, {FTS}, {RRF}"
 
 
@@ -50,8 +52,29 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.knn(embedded(spark, sf_dir), target(spark, sf_dir), 150, ["source_id"])
 
 
+#: Indexes that this application has built, by the files of the table.
+INDEXES: dict[tuple, R.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> R.Index:
+    """The stored index of the documents, built when it is first asked for and again when the table has other files."""
+    docs = T.dealt(T.docs(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(docs.inputFiles()))
+    if key not in INDEXES:
+        INDEXES[key] = R.build_index(docs, shared_path(spark, "index"))
+    return INDEXES[key]
+
+
+def found_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.bm25(T.docs(spark, sf_dir), MATCH, index(spark, sf_dir))
+
+
+def found_by_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.hybrid(T.docs(spark, sf_dir), T.vectors(spark, sf_dir), target(spark, sf_dir), MATCH, T.AS_OF, index=index(spark, sf_dir))
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top(R.bm25(T.docs(spark, sf_dir), MATCH), 100, [F.round("score", 12), F.col("doc_id")], name="fts")
+    return R.top(found_by_text(spark, sf_dir), 100, [F.round("score", 12), F.col("doc_id")], name="fts")
 
 
 @query(f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 7), nn AS (SELECT label, vec_id, {L2} AS distance FROM embeddings v, q) SELECT label, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM nn QUALIFY rank <= 5")
@@ -65,53 +88,73 @@ def fts_match_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select("source_id", "doc_id", F.round("score", 6).alias("score"), F.col("fts").cast("long").alias("fts"))
 
 
+@query(f"WITH {TEXT_SEARCH}, {TOP} SELECT source_id, doc_id, round(score, 6) AS score, fts FROM fh")
+def fts_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search without an index."""
+    found = R.top(R.bm25(T.dealt(T.docs(spark, sf_dir)), MATCH), 100, [F.round("score", 12), F.col("doc_id")], name="fts")
+    return found.select("source_id", "doc_id", F.round("score", 6).alias("score"), F.col("fts").cast("long").alias("fts"))
+
+
+@query(f"WITH {D}, {ELIGIBLE}, {TOK}, x AS (SELECT doc_id, unnest(t) AS term FROM tk) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM x GROUP BY term")
+def fts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index: of each term the number of documents and of places."""
+    return index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("at")).cast("long").alias("n"))
+
+
 @query(f"WITH {D}, {ELIGIBLE}, {TOK} SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM tk")
 def fts_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.eligible(T.docs(spark, sf_dir)).select("doc_id", tokens(F.col("text")).alias("t"))
+    rows = R.eligible(T.dealt(T.docs(spark, sf_dir))).select("doc_id", tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
 
 
 @query(f"WITH {D}, {ELIGIBLE}, {TOK} SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'))::BIGINT AS n FROM tk WHERE n > 0")
 def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.eligible(T.docs(spark, sf_dir)).select("doc_id", tokens(F.col("text")).alias("t"))
+    rows = R.eligible(T.dealt(T.docs(spark, sf_dir))).select("doc_id", tokens(F.col("text")).alias("t"))
     (n,) = R.counts_of(F.col("t"), R.Match(phrases=[("of", "the")]))
     return rows.select("doc_id", n.cast("long").alias("n")).filter("n > 0")
 
 
 @query(f"WITH {D}, {ELIGIBLE}, {TOK} SELECT doc_id, len(list_filter(t, lambda x: starts_with(x, 'reth')))::BIGINT AS n FROM tk WHERE n > 0")
 def fts_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.eligible(T.docs(spark, sf_dir)).select("doc_id", tokens(F.col("text")).alias("t"))
+    rows = R.eligible(T.dealt(T.docs(spark, sf_dir))).select("doc_id", tokens(F.col("text")).alias("t"))
     (n,) = R.counts_of(F.col("t"), R.Match(prefixes=["reth"]))
     return rows.select("doc_id", n.cast("long").alias("n")).filter("n > 0")
 
 
-SAID = {1: 'title:thin OR "of the" OR reth* OR from', 2: "thin AND (from OR reth*)", 3: 'thin; DROP OR "of  the" NOT from', 4: "a OR thin OR THIN"}
+#: What is asked for, of each document's own fields, in four forms.
+SAID = ["'title:' || source || ' OR \"' || lang || ' d' || doc_id || '\" OR reth* OR from'", "source || ' AND (d' || doc_id || ' OR reth*)'", "source || '; DROP OR \"of  ' || lang || '\" NOT d' || doc_id", "'a OR ' || source || ' OR ' || upper(source)"]
+FORM = "CASE doc_id % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} ELSE {3} END"
 
 
-def said(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SAID.items()), "id int, expression string")
+def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.raw(spark, sf_dir, "documents").select("doc_id", "source", F.expr(FORM.format(*SAID)).alias("expression"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'thin OR "of the" OR reth* OR from'), (2, 'thin OR from OR reth*'), (3, 'thin OR DROP OR "of the" OR from'), (4, 'thin')) t(id, sanitized)""")
+SAFE = ["source || ' OR \"' || lang || ' d' || doc_id || '\" OR reth* OR from'", "source || ' OR d' || doc_id || ' OR reth*'", "source || ' OR DROP OR \"of ' || lang || '\" OR d' || doc_id", "source"]
+
+
+@query(f"SELECT doc_id, {FORM.format(*SAFE)} AS sanitized FROM documents")
 def match_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return said(spark).select("id", F.udf(R.sanitized)("expression").alias("sanitized"))
+    return said(spark, sf_dir).select("doc_id", R.per_text(R.sanitized)("expression").alias("sanitized"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'title:thin OR "of the" OR reth* OR from'), (2, 'thin OR (from OR reth*)'), (3, 'thin; DROP OR "of  the" NOT from'), (4, 'a OR thin OR THIN')) t(id, forced)""")
+@query(f"SELECT doc_id, {FORM.format(SAID[0], SAID[1].replace('AND', 'OR'), *SAID[2:])} AS forced FROM documents")
 def match_force_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return said(spark).select("id", F.regexp_replace("expression", r"(?i)\bAND\b", "OR").alias("forced"))
+    return said(spark, sf_dir).select("doc_id", F.regexp_replace("expression", r"(?i)\bAND\b", "OR").alias("forced"))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, true), (5, false), (6, false), (7, false)) t(id, valid)")
+@query("SELECT doc_id, doc_id % 7 NOT IN (1, 3, 5) AS valid FROM documents")
 def match_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    more = said(spark).unionByName(spark.createDataFrame([(5, "(thin"), (6, "c+*"), (7, "x MATCH y")], "id int, expression string"))
-    return more.select("id", F.udf(R.is_valid, "boolean")("expression").alias("valid"))
+    e = F.col("expression")
+    odd = F.when(F.col("doc_id") % 7 == 1, F.concat(F.lit("("), e)).when(F.col("doc_id") % 7 == 3, F.concat(e, F.lit(" c+*"))).when(F.col("doc_id") % 7 == 5, F.concat(F.lit("x MATCH "), e)).otherwise(e)
+    return said(spark, sf_dir).select("doc_id", R.per_text(R.is_valid, "boolean")(odd).alias("valid"))
 
 
-@query("""SELECT 'thin OR from OR reth OR rethorn OR "of the"' AS expression""")
+@query("""SELECT doc_id, source || ' OR from OR reth OR rethorn OR "of the" OR d' || doc_id AS expression FROM documents""")
 def match_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = R.fallback_match("is thin from the reth?", {"is", "the"}, {"reth": ["rethorn", "of the"]})
-    return spark.createDataFrame([(made,)], "expression string")
+    question = F.concat(F.lit("is "), "source", F.lit(" from the reth? d"), "doc_id")
+    made = R.per_text(lambda q: R.fallback_match(q, {"is", "the"}, {"reth": ["rethorn", "of the"]}))
+    return said(spark, sf_dir).select("doc_id", made(question).alias("expression"))
 
 
 @query(f"WITH {D}, {ELIGIBLE} SELECT doc_id, round({FRESH}, 6) AS freshness FROM e")
@@ -137,32 +180,33 @@ def gravity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ALL} SELECT source_id, doc_id, round(rrf, 9) AS rrf, r1, r2, place FROM pl")
 def rrf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.hybrid(T.docs(spark, sf_dir), T.vectors(spark, sf_dir), target(spark, sf_dir), MATCH, T.AS_OF)
+    found = found_by_both(spark, sf_dir)
     return found.select("source_id", "doc_id", F.round("rrf", 9).alias("rrf"), F.col("r1").cast("long").alias("r1"), F.col("r2").cast("long").alias("r2"), F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH {ALL} SELECT pl.source_id, place, pl.doc_id, round(rrf, 9) AS rrf, left(text, 80) AS excerpt FROM pl JOIN docs ON pl.doc_id = docs.doc_id WHERE place <= 20")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = T.docs(spark, sf_dir)
-    found = R.hybrid(docs, T.vectors(spark, sf_dir), target(spark, sf_dir), MATCH, T.AS_OF).filter("place <= 20")
+    found = found_by_both(spark, sf_dir).filter("place <= 20")
     joined = found.join(docs.select("doc_id", F.substring("text", 1, 80).alias("excerpt")), "doc_id")
     return joined.select("source_id", F.col("place").cast("long").alias("place"), "doc_id", F.round("rrf", 9).alias("rrf"), "excerpt")
 
 
 @query(f"WITH {ALL} SELECT source_id, count(r1) AS n_vector, count(r2) AS n_text, count(*) FILTER (r1 IS NOT NULL AND r2 IS NOT NULL) AS overlap, count(*) FILTER (r2 IS NULL) AS vector_only, count(*) FILTER (r1 IS NULL) AS text_only FROM pl GROUP BY source_id")
 def overlap_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.hybrid(T.docs(spark, sf_dir), T.vectors(spark, sf_dir), target(spark, sf_dir), MATCH, T.AS_OF)
+    found = found_by_both(spark, sf_dir)
     a, b = F.col("r1").isNotNull(), F.col("r2").isNotNull()
     return found.groupBy("source_id").agg(F.count("r1").alias("n_vector"), F.count("r2").alias("n_text"), F.count_if(a & b).alias("overlap"), F.count_if(~b).alias("vector_only"), F.count_if(~a).alias("text_only"))
 
 
 @query(f"""WITH {D}, {ELIGIBLE}, has AS (SELECT DISTINCT source_id FROM e JOIN embeddings ON vec_id = doc_id WHERE source_id < 'src5')
-SELECT source_id, count(*) AS docs FROM e ANTI JOIN has USING (source_id) GROUP BY source_id""")
+SELECT source_id, doc_id, row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, doc_id) AS place FROM e WHERE source_id NOT IN (SELECT source_id FROM has)""")
 def has_embeddings_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of the sources that have no vectors (here those from src5 on have none): all of them are looked at."""
-    docs = R.eligible(T.docs(spark, sf_dir)).select("doc_id", "source_id")
-    has = docs.filter("source_id < 'src5'").join(T.vectors(spark, sf_dir), F.col("vec_id") == F.col("doc_id"), "left_semi").select("source_id").distinct()
-    return docs.join(has, "source_id", "left_anti").groupBy("source_id").agg(F.count("*").alias("docs"))
+    """Hybrid retrieval where sources from src5 on have no vectors: these give all their documents, newest first."""
+    docs = T.docs(spark, sf_dir)
+    some = T.vectors(spark, sf_dir).join(docs.filter("source_id < 'src5'").select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi")
+    found = R.hybrid(docs, some, target(spark, sf_dir), MATCH, T.AS_OF, index=index(spark, sf_dir))
+    return found.filter("rrf IS NULL").select("source_id", "doc_id", "place")
 
 
 @query(f"""WITH {TEXT_SEARCH}, h AS (SELECT source_id, count(*) AS hits FROM bm GROUP BY source_id), r AS (SELECT e.source_id, e.doc_id, coalesce(hits, 0) AS hits,
@@ -171,16 +215,16 @@ SELECT source_id, doc_id FROM r WHERE CASE WHEN hits >= 10 THEN hit ELSE newest
 def smart_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits of a source, or its newest 300 documents if there are fewer than 10."""
     docs = R.eligible(T.docs(spark, sf_dir)).select("doc_id", "source_id", "created_at")
-    found = R.bm25(T.docs(spark, sf_dir), MATCH).select("doc_id", F.lit(True).alias("hit"))
-    w = Window.partitionBy("source_id")
-    rows = docs.join(found, "doc_id", "left").withColumn("hits", F.count("hit").over(w)).withColumn("newest", F.row_number().over(w.orderBy(F.desc("created_at"), "doc_id")))
-    return rows.filter(F.when(F.col("hits") >= 10, F.col("hit").isNotNull()).otherwise(F.col("newest") <= 300)).select("source_id", "doc_id")
+    found = found_by_text(spark, sf_dir).select("source_id", "doc_id")
+    many = F.broadcast(found.groupBy("source_id").count().filter("count >= 10").select("source_id"))  # one row a source
+    newest = R.top(docs.join(many, "source_id", "left_anti"), 300, [F.desc("created_at"), F.col("doc_id")])
+    return found.join(many, "source_id", "left_semi").unionByName(newest.select("source_id", "doc_id"))
 
 
 @query(f"WITH {TEXT_SEARCH}, r AS (SELECT source_id, doc_id, row_number() OVER (PARTITION BY source_id ORDER BY md5(doc_id || ':17')) AS k FROM e ANTI JOIN bm USING (doc_id)) SELECT source_id, doc_id FROM r WHERE k <= 5")
 def random_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five documents of each source that aren't hits, by a seeded hash."""
-    rest = R.eligible(T.docs(spark, sf_dir)).select("doc_id", "source_id").join(R.bm25(T.docs(spark, sf_dir), MATCH).select("doc_id"), "doc_id", "left_anti")
+    rest = R.eligible(T.docs(spark, sf_dir)).select("doc_id", "source_id").join(found_by_text(spark, sf_dir).select("doc_id"), "doc_id", "left_anti")
     order = Window.partitionBy("source_id").orderBy(F.md5(F.concat_ws(":", "doc_id", F.lit("17")).cast("binary")))
     return rest.withColumn("k", F.row_number().over(order)).filter("k <= 5").select("source_id", "doc_id")
 
@@ -191,7 +235,7 @@ SELECT source_id, hits::BIGINT AS hits, CASE WHEN misses >= 3 OR hits = 0 THEN '
 def circuit_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources in order: after three without hits, the rest is scanned; one row a source is what is ordered."""
     docs = R.eligible(T.docs(spark, sf_dir)).select("doc_id", "source_id")
-    found = R.bm25(T.docs(spark, sf_dir), MATCH).filter("score < -4").select("doc_id", F.lit(1).alias("hit"))
+    found = found_by_text(spark, sf_dir).filter("score < -4").select("doc_id", F.lit(1).alias("hit"))
     by = docs.join(found, "doc_id", "left").groupBy("source_id").agg(F.count("hit").alias("hits"))
     misses = F.coalesce(F.sum((F.col("hits") == 0).cast("int")).over(Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return by.select("source_id", "hits", F.when((misses >= 3) | (F.col("hits") == 0), "scan").otherwise("search").alias("path"))
@@ -202,16 +246,18 @@ def embed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.eligible(T.docs(spark, sf_dir)).select("doc_id").join(T.vectors(spark, sf_dir).select("vec_id"), F.col("doc_id") == F.col("vec_id"), "left_anti")
 
 
-@query()
+@query(f"""WITH {D}, {ELIGIBLE}, {TOK}, c AS (SELECT doc_id, list_transform(range(0, 16), lambda i: len(list_filter(t, lambda w: right(md5(w), 1) = substr('0123456789abcdef', i + 1, 1)))) AS v FROM tk)
+SELECT doc_id, round(v[1] / greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1), 6) AS v1, round(v[16] / greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1), 6) AS v16 FROM c""")
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.eligible(T.docs(spark, sf_dir)).select("doc_id", R.hashed_embedding("text").alias("v"))
-    return rows.select("doc_id", F.round(F.element_at("v", 1), 6).alias("v1"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"))
+    rows = R.eligible(T.dealt(T.docs(spark, sf_dir))).select("doc_id", R.hashed_embedding(F.col("text")).alias("v"))
+    return rows.select("doc_id", F.round(F.element_at("v", 1), 6).alias("v1"), F.round(F.element_at("v", 16), 6).alias("v16"))
 
 
-@query("SELECT vec_id, max(v)::BIGINT AS version FROM (SELECT vec_id, 1 AS v FROM embeddings UNION ALL SELECT vec_id, 2 FROM embeddings WHERE vec_id % 10 = 0) GROUP BY vec_id")
+@query("SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN round(-embedding[1]::DOUBLE, 6) ELSE round(embedding[1]::DOUBLE, 6) END AS first, CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END AS version FROM embeddings")
 def embed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with replacements for every tenth: the latest of each id."""
+    """Vectors with new ones for every tenth: the latest of each id."""
     from ..operators.comments import latest
 
-    v = T.vectors(spark, sf_dir).select("vec_id", F.lit(1).cast("long").alias("version"))
-    return latest(v.unionByName(v.filter("vec_id % 10 = 0").withColumn("version", F.lit(2).cast("long"))), ["vec_id"], [F.desc("version")])
+    v = T.vectors(spark, sf_dir).select("vec_id", "embedding", F.lit(1).alias("version"))
+    new = v.filter("vec_id % 10 = 0").withColumns({"embedding": F.transform("embedding", lambda x: -x), "version": F.lit(2)})
+    return latest(v.unionByName(new), ["vec_id"], [F.desc("version")]).select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"), "version")

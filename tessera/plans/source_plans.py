@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import maintenance as M
 from ..operators import retrieval as R
 from ..sources import exports as E
 from ..sources import tables as T
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from .registry import query
 
 D = T.DOCS_SQL
@@ -83,10 +84,13 @@ def resolve_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("source_id", F.when(F.col("known").isNull(), F.raise_error(F.concat(F.lit("unknown source "), "source_id")).cast("int")).otherwise(F.col("pos")).alias("pos"))
 
 
-@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'conversations', count(*) FROM conversations UNION ALL SELECT 'labels', count(*) FROM labels")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for name in ("documents", "embeddings", "conversations", "labels"):
+    for name in TABLES:
         one = T.raw(spark, sf_dir, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
@@ -115,50 +119,70 @@ def src_chat_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.chat_messages(spark, exported(spark, sf_dir)).select("chat_id", "ext_id", "author", "text", "reply_to")
 
 
-@query(f"""WITH RECURSIVE m AS ({CHAT_SQL}), up AS (SELECT chat_id, ext_id, ext_id AS w FROM m UNION ALL SELECT up.chat_id, up.ext_id, m.reply_to FROM up JOIN m ON m.chat_id = up.chat_id AND m.ext_id = up.w
- JOIN m AS p ON p.chat_id = m.chat_id AND p.ext_id = m.reply_to) SELECT chat_id, ext_id, min(w) AS root FROM up GROUP BY ALL""")
+@query("""WITH RECURSIVE m AS (SELECT conv_id AS chat_id, turn + 1 AS ext_id, CASE WHEN turn > 0 THEN turn END AS reply_to, role <> 'system' AND text <> '' AS is_text FROM conversations),
+w AS (SELECT chat_id, ext_id, ext_id AS cur FROM m UNION ALL SELECT w.chat_id, w.ext_id, m.reply_to FROM w JOIN m ON m.chat_id = w.chat_id AND m.ext_id = w.cur JOIN m p ON p.chat_id = m.chat_id AND p.ext_id = m.reply_to),
+e AS (SELECT w.chat_id, w.ext_id, w.cur FROM w JOIN m ON m.chat_id = w.chat_id AND m.ext_id = w.cur WHERE m.reply_to IS NULL AND m.is_text)
+SELECT chat_id, ext_id, coalesce(cur, ext_id) AS root FROM m LEFT JOIN e USING (chat_id, ext_id) WHERE is_text""")
 def src_packet_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of a chat export with the first message of their thread."""
+    """Texts of a chat export with the message that their thread began with."""
     from ..operators.maintenance import roots
 
-    m = E.chat_messages(spark, exported(spark, sf_dir))
+    m = E.chat_entries(spark, exported(spark, sf_dir))
     key = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("/", "chat_id", c))
-    # A root is where no parent is known, so that no message counts as text here before its way ends.
-    at = roots(m.select(key("ext_id").alias("id"), key("reply_to").alias("parent"), F.lit(False).alias("is_text")))
-    split = lambda c, i: F.element_at(F.split(c, "/"), i).cast("long")
-    return at.select(split("id", 1).alias("chat_id"), split("id", 2).alias("ext_id"), split("root", 2).alias("root"))
+    at = roots(m.select(key("ext_id").alias("id"), key("reply_to").alias("parent"), "is_text"))
+    texts = m.filter("is_text").select(key("ext_id").alias("id"), "chat_id", "ext_id")
+    return texts.join(at, "id").select("chat_id", "ext_id", F.element_at(F.split("root", "/"), 2).cast("long").alias("root"))
 
 
-@query("SELECT page_id, 'html' AS kind, length(html)::BIGINT AS size, len(map_keys(MAP {'kind': 1, 'size': 2}))::INT AS n_fields FROM pages")
+@query("SELECT page_id, lang, CASE WHEN title <> '' THEN title END AS title, length(html)::BIGINT AS size, 1 + (lang <> '')::INT + (title <> '')::INT AS n_fields FROM (SELECT *, regexp_extract(html, '<html lang=\"([^\"]*)', 1) AS lang, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages)")
 def src_media_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Media fields as a map without those that are null."""
-    p = T.raw(spark, sf_dir, "pages")
-    fields = F.map_filter(F.create_map(F.lit("kind"), F.lit("html"), F.lit("size"), F.char_length("html").cast("string"), F.lit("title"), F.lit(None).cast("string")), lambda k, v: v.isNotNull())
-    return p.select("page_id", fields.alias("m")).select("page_id", F.col("m.kind").alias("kind"), F.col("m.size").cast("long").alias("size"), F.size("m").alias("n_fields"))
+    """Media fields of a page as a map without those that it has not."""
+    found = lambda pattern: F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
+    fields = {"lang": found('<html lang="([^"]*)'), "title": found("<title>([^<]*)"), "size": F.char_length("html").cast("string")}
+    made = F.map_filter(F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    return T.raw(spark, sf_dir, "pages").select("page_id", made.alias("m")).select("page_id", F.col("m.lang").alias("lang"), F.col("m.title").alias("title"), F.col("m.size").cast("long").alias("size"), F.size("m").alias("n_fields"))
 
 
-@query("SELECT page_id, (('0x' || right(md5(url || '_' || page_id), 8))::UBIGINT % 1000000000)::BIGINT AS video_id FROM pages")
-def src_video_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of segments, from the hash of URL and segment; the hash's last 32 bits, which is all that a long can take the remainder of."""
-    p = T.raw(spark, sf_dir, "pages")
-    return p.select("page_id", (F.conv(F.right(F.md5(F.concat_ws("_", "url", "page_id").cast("binary")), F.lit(8)), 16, 10).cast("long") % 1_000_000_000).alias("video_id"))
+WORD32 = "('0x' || substr(h, {0}, 8))::UBIGINT::HUGEINT"
+MD5_SQL = "(((({} % 1000000000) * 4294967296 + {}) % 1000000000 * 4294967296 + {}) % 1000000000 * 4294967296 + {}) % 1000000000".format(*(WORD32.format(i) for i in (1, 9, 17, 25)))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id > (SELECT max(doc_id) - 50 FROM documents)")
+@query(f"SELECT page_id, ({MD5_SQL})::BIGINT AS video_id, left(md5(url), 12) || '_' || topic AS topic_id FROM (SELECT *, md5(url || '_' || page_id) AS h, CASE WHEN page_id % 3 = 0 THEN 'general' ELSE 't' || page_id % 3 END AS topic FROM pages)")
+def src_video_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of a video export, read back, with their ids (the md5 of URL and segment modulo 1e9) and topics (those of one video apart from those of others)."""
+    path = shared_path(spark, "videos")
+    topic = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("t"), F.col("page_id") % 3))
+    segment = F.struct(F.col("page_id").alias("segment_id"), topic.alias("topic_id"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    made = T.raw(spark, sf_dir, "pages").groupBy("url").agg(F.collect_list(segment).alias("segments"))
+    made.select(F.struct("url").alias("video_metadata"), "segments").write.json(path)
+    found = E.video_segments(spark, path)
+    return found.select(F.col("segment_id").alias("page_id"), "video_id", "topic_id")
+
+
+@query("""WITH m AS (SELECT source, max(doc_id) - 50 AS mark FROM documents GROUP BY 1), n AS (SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS r FROM documents d JOIN m USING (source) WHERE doc_id > mark)
+SELECT doc_id, source AS source_id, (r - 1) // 20 AS batch, (SELECT count(*) FROM documents x WHERE x.source = n.source) AS total FROM n""")
 def src_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is above a source's high-water mark."""
-    docs = T.docs(spark, sf_dir).select("doc_id")
-    mark = docs.agg((F.max("doc_id") - 50).alias("mark"))
-    return docs.join(F.broadcast(mark), F.col("doc_id") > F.col("mark")).select("doc_id")
+    """What is above each source's stored mark, oldest first in batches of 20, with the source's total after that."""
+    docs = T.docs(spark, sf_dir).select("doc_id", "source_id")
+    marks = docs.groupBy("source_id").agg((F.max("doc_id") - 50).alias("mark"))
+    before = M.advanced(None, docs.join(marks, "source_id").filter("doc_id <= mark"))
+    state = written(before, "marks")
+    new = M.above(docs, state, 20)
+    after = M.advanced(state, new).select("source_id", "total")
+    return new.join(after, "source_id").select("doc_id", "source_id", "batch", "total")
 
 
-@query("SELECT source_id FROM (VALUES ('src1'), ('src4')) t(source_id)")
+@query("WITH m AS (SELECT source, count(*) AS n, avg(length(text)) AS mean FROM documents GROUP BY 1) SELECT source AS source_id, n AS docs FROM m WHERE mean >= (SELECT avg(length(text)) FROM documents) OR n % 4 = 0")
 def src_passports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passport files of the sources that the manifest accepts or includes."""
-    path = shared_path(spark, "passports")
-    T.docs(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("docs")).coalesce(1).write.mode("overwrite").json(path)
-    manifest = spark.createDataFrame([("src1", "accepted", False), ("src2", "rejected", False), ("src4", "pending", True)], "source_id string, verdict string, include boolean")
-    return E.accepted(spark.read.schema("source_id string, docs long").json(path), manifest).select("source_id")
+    """Passport files of the sources that the manifest accepts (here: with texts of the mean length at least) or includes."""
+    path, manifest_path = shared_path(spark, "passports"), shared_path(spark, "manifest")
+    d = T.docs(spark, sf_dir)
+    by = written(d.groupBy("source_id").agg(F.count("*").alias("docs"), F.avg("n").alias("mean")), "by-source")
+    by.select("source_id", "docs").write.json(path)
+    mean = d.agg(F.avg("n").alias("all"))
+    by.crossJoin(F.broadcast(mean)).select("source_id", F.when(F.col("mean") >= F.col("all"), "accepted").otherwise("rejected").alias("verdict"), (F.col("docs") % 4 == 0).alias("include")).write.json(manifest_path)
+    manifest = spark.read.schema("source_id string, verdict string, include boolean").json(manifest_path)
+    return E.accepted(spark.read.schema("source_id string, docs long").json(path), manifest).select("source_id", "docs")
 
 
 @query("SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY 1")
@@ -168,20 +192,33 @@ def sink_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(out.schema).json(path)
 
 
-@query("SELECT source || ':' || doc_id AS source_key, lang FROM documents")
+@query(f"WITH {D} SELECT source_id || ':' || doc_id AS source_key, source_id, doc_id, lang, {STAMP} AS day, strftime(created_at, '%Y-%m') AS month, n::BIGINT AS chars, views, forwards, CASE WHEN n >= 2400 THEN 'HIGH' WHEN n >= 600 THEN 'MEDIUM' ELSE 'LOW' END AS relevance, md5(text) AS text_md5 FROM docs")
 def sink_index_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source index as a table of tab-separated values, a key once, read back."""
+    """The source index as a table of tab-separated values, read back. Of rows of equal key the newest stays, then that of the smallest digest."""
+    from ..operators.comments import latest
+    from ..operators.funnel import with_relevance
+
     path = shared_path(spark, "index")
-    rows = T.docs(spark, sf_dir).select(F.concat_ws(":", "source_id", "doc_id").alias("source_key"), "lang").dropDuplicates(["source_key"])
-    rows.write.mode("overwrite").csv(path, sep="\t", header=True)
+    rows = with_relevance(T.docs(spark, sf_dir)).select(
+        F.concat_ws(":", "source_id", "doc_id").alias("source_key"), "source_id", "doc_id", "lang", day().alias("day"), F.date_format("created_at", "yyyy-MM").alias("month"), F.col("n").cast("long").alias("chars"), "views", "forwards", "relevance", F.md5(F.col("text").cast("binary")).alias("text_md5")
+    )
+    latest(rows, ["source_key"], [F.desc("day"), F.col("text_md5")]).write.csv(path, sep="\t", header=True)
     return spark.read.schema(rows.schema).csv(path, sep="\t", header=True)
 
 
-@query("SELECT c_custkey, c_name FROM customer")
+#: Tables in an order in which each comes after those it refers to, with their keys.
+COPIED = {"nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "supplier": "s_suppkey", "part": "p_partkey"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, sum({k})::BIGINT AS keys FROM {t}" for t, k in COPIED.items()))
 def sink_replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "copy")
-    T.raw(spark, sf_dir, "customer").select("c_custkey", "c_name").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Whole tables copied one after another, parents first; of each copy its rows and the sum of its keys."""
+    path, out = shared_path(spark, "copy"), None
+    for name, key in COPIED.items():
+        T.raw(spark, sf_dir, name).write.parquet(f"{path}/{name}")
+        one = spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n"), F.sum(key).cast("long").alias("keys")).select(F.lit(name).alias("name"), "n", "keys")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"

@@ -32,11 +32,11 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_once(jobs.breaker(events.select("user_id", "event_id", "ts", "event_type")), "breaker", folder)
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL")
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours that the watermark has closed."""
     events, folder = streamed(spark, sf_dir)
-    return jobs.run_once(jobs.windowed_counts(events.select("ts", "event_type")), "counts", folder)
+    return jobs.run_once(jobs.windowed_counts(events.select("ts", "event_type")), "counts", folder).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS n FROM events")

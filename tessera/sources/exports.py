@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MESSAGE = "struct<id:bigint,type:string,date:string,from:string,text:string,reply_to_message_id:bigint>"
 
 
-def chat_messages(spark: SparkSession, path: str) -> DataFrame:
-    """chat_id, ext_id, sent_at, author, text, reply_to of the messages of chat exports; service entries and empty texts are left out."""
+def chat_entries(spark: SparkSession, path: str) -> DataFrame:
+    """chat_id, ext_id, sent_at, author, text, reply_to, is_text of all entries of chat exports; service entries and those without text are no texts."""
     rows = spark.read.schema(f"id bigint, messages array<{MESSAGE}>").json(path).select(F.col("id").alias("chat_id"), F.explode("messages").alias("m"))
-    rows = rows.filter((F.col("m.type") == "message") & (F.col("m.text") != ""))
-    return rows.select("chat_id", F.col("m.id").alias("ext_id"), F.try_to_timestamp("m.date").alias("sent_at"), F.col("m.from").alias("author"), "m.text", F.col("m.reply_to_message_id").alias("reply_to"))
+    is_text = F.coalesce((F.col("m.type") == "message") & (F.col("m.text") != ""), F.lit(False))
+    return rows.select("chat_id", F.col("m.id").alias("ext_id"), F.try_to_timestamp("m.date").alias("sent_at"), F.col("m.from").alias("author"), "m.text", F.col("m.reply_to_message_id").alias("reply_to"), is_text.alias("is_text"))
+
+
+def chat_messages(spark: SparkSession, path: str) -> DataFrame:
+    """``chat_entries`` that are texts."""
+    return chat_entries(spark, path).filter("is_text").drop("is_text")
 
 
 def accepted(passports: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -22,8 +28,39 @@ def accepted(passports: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def write_result(df: DataFrame, folder: str, request_id: str) -> str:
-    """Write a result under its request's id, which must be safe as a file's name; the writer commits all of it or nothing."""
+    """Write a result under its request's id, which must be safe as a file's name: into a folder beside it, which takes its name when all is there. Until then the old result stays."""
     if not re.fullmatch(r"[A-Za-z0-9_-]{1,64}", request_id):
         raise ValueError("not a request id")
-    df.write.mode("overwrite").json(path := f"{folder}/{request_id}")
+    path, new, old = (f"{folder}/{x}" for x in (request_id, f".new-{request_id}-{uuid.uuid4().hex}", f".old-{request_id}-{uuid.uuid4().hex}"))
+    df.write.json(new)
+    spark = df.sparkSession
+    at = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = files.exists(at(path)) and files.rename(at(path), at(old))
+    if not files.rename(at(new), at(path)):
+        if had:
+            files.rename(at(old), at(path))
+        raise OSError(f"{new} could not take the name of {path}")
+    if had:
+        files.delete(at(old), True)
     return path
+
+
+SEGMENT = "struct<segment_id:bigint,topic_id:string,title:string>"
+
+
+def video_segments(spark: SparkSession, path: str) -> DataFrame:
+    """url, segment_id, title, video_id, topic_id of video exports: ids of URL and segment, topics of URL and topic (``general`` without one)."""
+    rows = spark.read.schema(f"video_metadata struct<url:string>, segments array<{SEGMENT}>").json(path)
+    rows = rows.select(F.coalesce("video_metadata.url", F.lit("unknown_url")).alias("url"), F.posexplode("segments").alias("pos", "s"))
+    own = F.coalesce("s.segment_id", "pos")
+    topic = F.concat_ws("_", F.substring(F.md5("url"), 1, 12), F.coalesce("s.topic_id", F.lit("general")))
+    return rows.select("url", own.alias("segment_id"), F.col("s.title").alias("title"), hash_id(F.concat_ws("_", "url", own)).alias("video_id"), topic.alias("topic_id"))
+
+
+def hash_id(text: Column, modulus: int = 1_000_000_000) -> Column:
+    """The md5 of a text as a number of 128 bits, modulo ``modulus``: by 32 bits at a time, each of which fits in a long."""
+    h, out = F.md5(text.cast("binary")), F.lit(0).cast("long")
+    for i in (1, 9, 17, 25):
+        out = (out * (1 << 32) + F.conv(F.substring(h, i, 8), 16, 10).cast("long")) % modulus
+    return out

@@ -5,10 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; where that is unset, as on a single machine, in a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera"
+    """A new path in the folder of ``spark.checkpoint.dir``; where that is unset, in a temporary one on a local master, and an error on a cluster."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.conf.get("spark.master", "")
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{tempfile.gettempdir()}/tessera"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder: computed once, and not lost with an executor."""
+    df.write.parquet(path := shared_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,6 +23,12 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes in fewer partitions, as a small table in one row group does: for work on texts that costs much more than dealing them. Larger tables stay in the tasks that read them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, lang, source_id, created_at, n (characters), views, forwards."""
     day = F.expr("timestampadd(DAY, CAST(doc_id * 37 % 700 AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00')")

@@ -29,26 +29,25 @@ def once(events: DataFrame, late: str = "1 hour") -> DataFrame:
 def breaker(events: DataFrame, failures: int = 5, seconds: int = 30) -> DataFrame:
     """user_id, event_id, state (closed, open, half-open) of a circuit breaker per user: it opens after so many errors in a row and tries again after so many seconds.
 
-    A key's state is three numbers, and its events of a batch are gone through once.
+    A key's state is three numbers. Spark hands a key's events of a micro-batch over in pieces of any order, so they are
+    put in order together: three values an event; ``maxFilesPerTrigger`` of the source bounds a micro-batch.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         errors, opened, is_open = state.get if state.exists else (0, 0.0, False)
-        for batch in batches:
-            batch = batch.sort_values(["ts", "event_id"])
-            out = []
-            for at, kind in zip(batch["ts"], batch["event_type"], strict=True):
-                now = at.timestamp()
-                said = "closed" if not is_open else "half-open" if now - opened >= seconds else "open"
-                if said != "open":
-                    errors = errors + 1 if kind == "error" else 0
-                    if kind == "error" and (said == "half-open" or errors >= failures):
-                        is_open, opened = True, now
-                    elif kind != "error":
-                        is_open = False
-                out.append(said)
-            yield pd.DataFrame({"user_id": key[0], "event_id": batch["event_id"], "state": out})
+        events, out = pd.concat([b[["ts", "event_id", "event_type"]] for b in batches]).sort_values(["ts", "event_id"]), []
+        for at, kind in zip(events["ts"], events["event_type"], strict=True):
+            now = at.timestamp()
+            said = "closed" if not is_open else "half-open" if now - opened >= seconds else "open"
+            if said != "open":
+                errors = errors + 1 if kind == "error" else 0
+                if kind == "error" and (said == "half-open" or errors >= failures):
+                    is_open, opened = True, now
+                elif kind != "error":
+                    is_open = False
+            out.append(said)
         state.update((errors, opened, is_open))
+        yield pd.DataFrame({"user_id": key[0], "event_id": events["event_id"], "state": out})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, state string", "errors int, opened double, is_open boolean", "append", "NoTimeout")
 

@@ -1,12 +1,22 @@
+import hashlib
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import comments as C
+from tessera.operators import community as Q
 from tessera.operators import corpus as K
 from tessera.operators import evidence as V
 from tessera.operators import funnel as P
 from tessera.operators import maintenance as M
 from tessera.operators import matrix as X
+from tessera.operators import video as H
+from tessera.operators.numbering import numbered
+from tessera.sources import exports as E
+from tessera.sources.shared import shared_path
+from tessera.streaming import jobs
 
 
 def test_neighbours_both_ways_and_parents(spark):
@@ -22,10 +32,10 @@ def test_scores_missing_and_unknown(spark):
     assert {tuple(r) for r in P.parsed_scores(answers, docs).collect()} == {(5, 0.9, "good"), (6, 0.0, "")}
 
 
-def test_roots_end_at_texts_cycles_and_missing_parents(spark):
-    rows = [(1, None, True), (2, 1, False), (3, 2, False), (4, 3, True), (5, 4, False), (6, 99, False)]
+def test_roots_are_texts_at_the_end_of_chains(spark):
+    rows = [(1, None, True), (2, 1, False), (3, 2, False), (4, 3, True), (5, 4, False), (6, 99, False), (7, 6, False), (8, None, False), (9, 8, True)]
     got = {r.id: r.root for r in M.roots(spark.createDataFrame(rows, "id long, parent long, is_text boolean")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 7, 8: 8, 9: 9}
 
 
 def test_roots_of_long_chains_and_ways_into_cycles(spark):
@@ -88,3 +98,119 @@ def test_rollups_count_a_contribution_once_for_its_domain(spark):
     got = {(r.kind, r.rollup_id): (r.contributions, r.sources, r.overlap) for r in X.rollups(spark.createDataFrame(rows, kind)).collect()}
     assert got[("domain", "d")] == (2, 2, "related_multi_source")
     assert got[("intent", "x")] == (1, 1, "single_source")
+
+
+def test_fuzzy_unique_as_a_scan(spark):
+    rng = random.Random(3)
+    titles = ["How to fix X?", "how to FIX x", "the of", "", "Memory leak in v2.1", "memory leak in v2.1 again and again", "Ü ü"]
+    rows = [(i, i, rng.choice(["http://a/1?q=2", "http://a/1/", "http://a/2", "http://b", None, ""]), rng.choice(titles)) for i in range(60)]
+    seen, want = set(), set()
+    for i, _, url, title in rows:
+        words = [w for w in re.findall(r"[a-z0-9_+#.-]{2,}", title.lower()) if w not in Q.STOPWORDS]
+        keys = {("u", (url or "").split("?")[0].rstrip("/")), ("t", re.sub("[^a-z0-9]", "", title.lower()))} | ({("s", " ".join(words[:8]))} if words else set())
+        if not keys & seen:
+            seen |= keys
+            want.add(i)
+    posts = spark.createDataFrame(rows, "post_id long, pos long, url string, title string")
+    assert {r.post_id for r in Q.fuzzy_unique(posts).collect()} == want
+    # A post that only shares a key with one that went stays.
+    chain = spark.createDataFrame([(1, 1, "u1", "one"), (2, 2, "u1", "two"), (3, 3, "u3", "two"), (4, 4, "u3", "four")], "post_id long, pos long, url string, title string")
+    assert {r.post_id for r in Q.fuzzy_unique(chain).collect()} == {1, 3}
+    assert Q.fuzzy_unique(posts.limit(0)).count() == 0
+
+
+def states(events: list, failures: int = 5, seconds: int = 30) -> dict:
+    """The circuit breaker as a plain scan of one user's events (time, id, kind)."""
+    errors, opened, is_open, out = 0, 0, False, {}
+    for at, i, kind in sorted(events):
+        said = "closed" if not is_open else "half-open" if at - opened >= seconds else "open"
+        if said != "open":
+            errors = errors + 1 if kind == "error" else 0
+            if kind == "error" and (said == "half-open" or errors >= failures):
+                is_open, opened = True, at
+            elif kind != "error":
+                is_open = False
+        out[i] = said
+    return out
+
+
+@pytest.mark.parametrize("rows", [7, 10_000])
+def test_circuit_breaker_as_a_scan_whatever_the_batches(spark, rows):
+    rng = random.Random(1)
+    events = {u: [(1_700_000_000 + k * rng.choice([1, 3, 9]), u * 1000 + k, rng.choice(["error", "error", "error", "view"])) for k in range(200)] for u in range(3)}
+    flat = [(i, at, u, kind) for u, own in events.items() for at, i, kind in own][::-1]  # newest first
+    folder = shared_path(spark, "breaker")
+    df = spark.createDataFrame(flat, "event_id long, at long, user_id long, event_type string").select("event_id", F.timestamp_seconds("at").alias("ts"), "user_id", "event_type", F.lit(0.0).alias("value"))
+    df.coalesce(1).write.parquet(f"{folder}/in")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        got = {r.event_id: r.state for r in jobs.run_once(jobs.breaker(jobs.event_stream(spark, f"{folder}/in")), "breaker", folder).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {k: v for own in events.values() for k, v in states(own).items()}
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_numbered_in_buckets(spark, width):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i) for i in rng.sample(range(500), 200)]
+    got = {(r.source, r.id): (r.n, r.size) for r in numbered(spark.createDataFrame(rows, "source string, id long"), "source", [F.col("id")], F.floor(F.col("id") / width), "n", "size").collect()}
+    for source in ("a", "b", None):
+        own = sorted(i for s, i in rows if s == source)
+        assert {i: got[source, i] for i in own} == {i: (k, len(own)) for k, i in enumerate(own, 1)}
+
+
+def test_tree_of_comments(spark):
+    rows = [(1, 1, None, "ann", "question\nmore", 5), (1, 2, 1, "bob", "answer &lt;b&gt;", 4), (1, 3, 2, "ann", "Thanks!", 1), (1, 4, 3, "x", "deep", 1), (1, 5, 4, "x", "too deep", 1), (1, 6, None, "y", "", 0), (1, 7, 6, "y", "hangs on nothing", 0), (1, 8, None, "z", "last", 2)]
+    c = spark.createDataFrame(rows, "post_id long, comment_id long, parent_id long, author string, body string, score long").withColumn("post_author", F.lit("ann"))
+    r = Q.rendered(Q.tree_lines(c)).first()
+    assert (r.n, r.depth, r.verified) == (5, 3, 1)
+    assert r.tree.split("\n") == ["  1. [OP] [ann | Score: 5]: question", "     more", "    └─ [VERIFIED] [bob | Score: 4]: answer <b>", "      └─ [OP] [ann | Score: 1]: Thanks!", "        └─ [x | Score: 1]: deep", "  3. [z | Score: 2]: last"]
+
+
+def test_a_failed_chunk_is_tried_again_and_loses_nothing_else(spark):
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).coalesce(1)
+
+    def scorer(batch):
+        if 55 in set(batch["doc_id"]):
+            raise ValueError("no answer")
+        return P.threshold_scorer(batch)
+
+    got = {r.doc_id: (r.relevance, r.error) for r in P.map_scores(docs, scorer, size=50).collect()}
+    assert len(got) == 120 and {i for i, (_, e) in got.items() if e} == set(range(50, 100)) and got[0] == ("LOW", None)
+
+
+def test_results_stay_until_the_new_one_is_there(spark):
+    folder = shared_path(spark, "results")
+    E.write_result(spark.range(3), folder, "r")
+    bad = spark.range(3).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        E.write_result(bad, folder, "r")
+    assert spark.read.json(f"{folder}/r").count() == 3
+    E.write_result(spark.range(5), folder, "r")
+    assert spark.read.json(f"{folder}/r").count() == 5
+    with pytest.raises(ValueError):
+        E.write_result(spark.range(1), folder, "../r")
+
+
+def test_ids_of_hashes_are_of_all_bits(spark):
+    rows = spark.createDataFrame([("http://x_1",), ("é",), ("",)], "t string").select("t", E.hash_id(F.col("t")).alias("h")).collect()
+    assert all(r.h == int(hashlib.md5(r.t.encode()).hexdigest(), 16) % 10**9 for r in rows)
+
+
+def test_segments_of_a_won_topic(spark):
+    rows = [(1, "v", "a", 30, "x" * 500, "full 1"), (2, "v", "a", 10, "short", "full 2"), (3, "v", "b", 20, "y" * 200, "full 3"), (4, "v", "c", 5, "z", "full 4"), (5, "w", "a", 1, "s", "full 5")]
+    out = H.resolved(H.mapped(spark.createDataFrame(rows, "doc_id long, video_id string, topic string, seconds long, summary string, text string"))).collect()
+    assert sorted((r.video_id, r.place, r.doc_id, r.relevance, r.content[:6]) for r in out) == [("v", 1, 2, "MEDIUM", "short"), ("v", 2, 3, "MEDIUM", "yyyyyy"), ("v", 3, 1, "HIGH", "full 1")]
+
+
+def test_marks_never_go_back(spark):
+    docs = spark.createDataFrame([(i, "a" if i < 6 else "b") for i in range(1, 9)], "doc_id long, source_id string")
+    state = M.advanced(None, docs.filter("doc_id <= 3"))
+    new = M.above(docs, state, 2)
+    assert {r.doc_id: r.batch for r in new.collect()} == {4: 0, 5: 0, 6: 0, 7: 0, 8: 1}
+    after = M.advanced(state, new)
+    assert {tuple(r) for r in after.collect()} == {("a", 5, 5), ("b", 8, 3)}
+    assert M.above(docs, after, 2).count() == 0 and {tuple(r) for r in M.advanced(after, docs.limit(0)).collect()} == {("a", 5, 5), ("b", 8, 3)}
