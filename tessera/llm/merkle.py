@@ -6,18 +6,21 @@ below ``SECTION`` (so that a section ends where its content says, not after a nu
 lines). The root is over the sections. Equal roots mean equal texts; where roots differ,
 ``differing`` goes down the branches whose digests differ and gives the spans of the edit.
 
-A fingerprint as text is ``root:size:sketch``. Below the leaves, lines are cut into pieces
-at places that their content picks (about ``1 << PIECE_BITS`` bytes long); the sketch has
-the ``SKETCH`` smallest of the pieces' hashes, so the likeness of two fingerprints is read
-from them alone: Dice's coefficient of the two sets of pieces, exact up to SKETCH pieces
-and estimated from the smallest hashes of both beyond.
+Lines are long here and an edit within one would make all of it new. So a leaf has parts:
+it is cut at places that its content picks (about ``1 << PIECE_BITS`` bytes apart; every
+line break is one), and the parts' hashes are the tree's lowest nodes. A fingerprint as text is
+``root:size:sketch``; the sketch has the ``SKETCH`` smallest of these hashes, so the
+likeness of two fingerprints is read from them alone: Dice's coefficient of the two trees'
+lowest nodes, exact up to SKETCH of them and estimated from the smallest of both beyond.
 
-``edits`` pairs each document with the next one in descending order of the id. Whole texts are dealt once, by ranges of the id with fixed bounds; the first document of a
-range is also sent to the range before it. No task has more than its range.
+``edits`` pairs each document with the next one in descending order of the id. Whole texts
+are dealt once, by ranges of the id that hold about ``RANGE_BYTES`` each at most; the first document of a
+range is also sent to the range before it. No task has more than its range, of which it holds two documents at a time.
 
 Defined cases: a null text is empty; the fingerprint of an empty text has no pieces, and is
 like another empty one's to 1 and any other to 0; rows of equal id are in order of their
-texts; null ids come last; an only document is next to itself; an empty table gives no rows.
+texts; null ids come last; an only document is next to itself; an empty table gives no rows;
+columns other than doc_id and text don't matter.
 """
 
 from __future__ import annotations
@@ -28,15 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import BACK, BASE, TABLE, mixed, powers
-from .storage import bound_batches
+from .storage import bound_batches, cut
 
 SECTION = 16
 PIECE_BITS = 5
 SKETCH = 512
+RANGE_BYTES = 1 << 26
+#: Ids that the driver gets to place the ranges' bounds, of 8 bytes each.
+MAX_IDS = 2_000_000
 
 
 def tree(data: bytes) -> tuple[bytes, list[tuple[bytes, int, int, list[tuple[bytes, int, int]]]]]:
@@ -88,9 +94,10 @@ def pieces(data: bytes) -> np.ndarray:
     return np.unique((mixed(whole + (ends - starts).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32))
 
 
-def fingerprint(data: bytes) -> str:
+def fingerprint(data: bytes, root: bytes | None = None) -> str:
+    """``root``: that of the text's tree, if it is made already."""
     found = pieces(data)
-    return f"{tree(data)[0].hex()}:{len(found)}:{found[:SKETCH].astype('>u4').tobytes().hex()}"
+    return f"{(root or tree(data)[0]).hex()}:{len(found)}:{found[:SKETCH].astype('>u4').tobytes().hex()}"
 
 
 def likeness(a: str, b: str) -> float:
@@ -109,30 +116,43 @@ def likeness(a: str, b: str) -> float:
     return float(min(1.0, 2 * jaccard / (1 + jaccard)))
 
 
+def bounds_of(rows: DataFrame, ranges: int, most: int = MAX_IDS) -> np.ndarray:
+    """Inner bounds of ranges of the id with about as many rows each, from some hundred ids a range, chosen by hash, ``most`` in all."""
+    if ranges < 2:
+        return np.empty(0)
+    ids = rows.select(F.col("doc_id").cast("double").alias("id")).filter("id IS NOT NULL")
+    n = ids.count()
+    if n > (wanted := min(most, 200 * ranges)):
+        ids = ids.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * wanted / n))
+    found = np.sort(ids.toArrow()["id"].to_numpy())
+    return np.unique(found[(np.arange(1, ranges) * len(found)) // ranges]) if len(found) else found
+
+
 def dealt_by_range(docs: DataFrame, ranges: int) -> DataFrame:
-    """at, extra, doc_id, text: whole documents in descending order of the id, ``ranges`` ranges in as many partitions.
+    """at, extra, doc_id, text: whole documents in descending order of the id, at least ``ranges`` ranges in as many partitions.
 
     A row with ``extra`` ends its range: it is the first document of the range after (of the first one, for the last).
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = np.array(sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else [], float)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(ranges, -(-size // RANGE_BYTES))
+    bounds = bounds_of(rows, ranges)
 
     @F.pandas_udf("int")
     def place(ids: pd.Series) -> pd.Series:
         return pd.Series(len(bounds) - np.searchsorted(bounds, ids.fillna(-np.inf).to_numpy(float))).astype("int32")
 
     rows = rows.withColumn("at", place("doc_id"))
-    firsts = rows.groupBy("at").agg(F.max("doc_id").alias("first_id")).orderBy("at").collect()  # a row for each range
-    if not firsts:
-        return rows.select("at", F.lit(False).alias("extra"), "doc_id", "text")
-    before = {r["at"]: firsts[i - 1]["at"] for i, r in enumerate(firsts)}
-    first_of = F.create_map(*(F.lit(x) for r in firsts for x in (r["at"], r["first_id"] if r["first_id"] is not None else -1)))
-    range_before = F.create_map(*(F.lit(x) for r, to in before.items() for x in (r, to)))
-    is_first = F.col("doc_id").eqNullSafe(F.element_at(first_of, F.col("at"))) | (F.col("doc_id").isNull() & F.lit(any(r["first_id"] is None for r in firsts)))
+    # A row a range.
+    firsts = rows.groupBy("at").agg(F.max("doc_id").alias("first_id"))
+    order = Window.orderBy("at")
+    last = F.max("at").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    links = cut(firsts.select("at", "first_id", F.coalesce(F.lag("at").over(order), last).alias("before")), "ranges")
+    joined = rows.join(F.broadcast(links), "at")
     own = F.struct("at", F.lit(False).alias("extra"))
-    more = F.struct(F.element_at(range_before, F.col("at")).alias("at"), F.lit(True).alias("extra"))
-    both = rows.withColumn("s", F.explode(F.when(is_first, F.array(own, more)).otherwise(F.array(own)))).select("s.at", "s.extra", "doc_id", "text")
-    return both.repartitionByRange(len(firsts), "at").sortWithinPartitions("at", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    more = F.struct(F.col("before").alias("at"), F.lit(True).alias("extra"))
+    both = joined.withColumn("s", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.array(own, more)).otherwise(F.array(own)))).select("s.at", "s.extra", "doc_id", "text")
+    return both.repartitionByRange(len(bounds) + 1, "at").sortWithinPartitions("at", "extra", F.col("doc_id").desc_nulls_last(), "text").withColumn("doc_id", F.col("doc_id").cast("string"))  # null beside large ids would make floats of them
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_leaves int"
@@ -153,15 +173,18 @@ def edits(docs: DataFrame, ranges: int, share: int = 3) -> DataFrame:
                 if extra and held is None:
                     continue
                 data = text.encode()
-                own = fingerprint(data)
+                own = tree(data)
+                mark = fingerprint(data, own[0])
                 if held is not None and held[0] == at:
-                    _, its_id, its_text, its_data, its = held
+                    _, its_id, its_text, its, its_mark = held
                     n = len(its_text)
                     edited = (its_text[: n - n // share] + text[: n // share]).encode()
-                    changed = fingerprint(edited)
-                    gone = len(differing(tree(its_data), tree(edited))[0])
-                    out.append((its_id, n, hashlib.sha256(edited).hexdigest(), its, changed, likeness(its, changed), likeness(its, own), gone))
-                held = None if extra else (at, None if pd.isna(doc_id) else int(doc_id), text, data, own)
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-
-    return bound_batches(dealt_by_range(docs, ranges)).mapInPandas(paired, EDITED)
+                    made = tree(edited)
+                    changed = fingerprint(edited, made[0])
+                    gone = len(differing(its, made)[0])
+                    out.append((its_id, n, hashlib.sha256(edited).hexdigest(), its_mark, changed, likeness(its_mark, changed), likeness(its_mark, mark), gone))
+                held = None if extra else (at, None if pd.isna(doc_id) else doc_id, text, own, mark)
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "object"})
+
+    made = bound_batches(dealt_by_range(docs, ranges)).mapInPandas(paired, EDITED.replace("doc_id long", "doc_id string"))
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -311,19 +311,22 @@ def probability(found: list[tuple[float, int, int]], n: int, model: Model) -> fl
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, score, passages (start and end word, minus the log E-value) of the significant segments."""
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = scorer(model.nodes)
         for batch in batches:
             out, passages = [], []
-            for text in batch["text"]:
+            for text in batch.column(1).to_pylist():
                 w = words(text)
                 found = segments(of(w))
                 out.append(probability(found, len(w), model))
                 space = model.log_k + math.log(max(len(w), 1))
                 passages.append([{"start": a, "end": b, "evidence": float(model.lam * s - space)} for s, a, b in found if model.lam * s - space > -math.log(SIGNIFICANT)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": out, "passages": passages})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array(passages, passage)], names=["doc_id", "score", "passages"])
 
-    return bound_batches(docs).select("doc_id", "text").mapInPandas(scored, "doc_id long, score double, passages array<struct<start:int,end:int,evidence:double>>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double, passages array<struct<start:int,end:int,evidence:double>>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -257,6 +257,50 @@ def test_merkle_edits(spark, ranges):
     assert merkle.edits(docs_of(spark, [(1, "one\ntwo")]), ranges).first().near_next == 1.0
 
 
+def plain_likeness(a, b):
+    """Dice's coefficient of the sets of parts of two texts, cut in a loop byte by byte."""
+    from tessera.llm.hashing import BASE, TABLE
+
+    def parts(data):
+        out, start, mod = set(), 0, 1 << 64
+        for i in range(len(data)):
+            h = sum(int(TABLE[data[i - k]]) * pow(int(BASE), k, mod) for k in range(min(8, i + 1))) % mod
+            h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) % mod
+            if ((h ^ (h >> 29)) >> 40) % (1 << merkle.PIECE_BITS) == 0 or data[i] == 10 or i == len(data) - 1:
+                out.add(data[start : i + 1])
+                start = i + 1
+        return out
+
+    if a == b:
+        return 1.0
+    x, y = parts(a.encode()), parts(b.encode())
+    return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
+
+
+def test_likeness_as_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["alpha", "béta", "gamma", "delta", "eps"]) + str(rng.randint(0, 30))
+    texts = [(i, "\n".join(" ".join(word() for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 5)))) for i in range(12)] + [(20, ""), (21, None), (22, "x"), (None, "null id"), (30, "same"), (31, "same")]
+    docs = docs_of(spark, texts).withColumn("at", F.lit("clash")).withColumn("extra", F.lit(None).cast("array<int>"))
+    plain = {i: t or "" for i, t in texts}
+    order = sorted((i for i, _ in texts if i is not None), reverse=True) + [None]
+    got = {r.doc_id: r for r in merkle.edits(docs, 3).collect()}
+    assert len(got) == len(texts)
+    for k, i in enumerate(order):
+        own, other = plain[i], plain[order[(k + 1) % len(order)]]
+        n = len(own)
+        edited = own[: n - n // 3] + other[: n // 3]
+        assert got[i].near_edited == pytest.approx(plain_likeness(own, edited)) and got[i].near_next == pytest.approx(plain_likeness(own, other))
+        assert got[i].fingerprint.split(":")[0] == merkle.tree(own.encode())[0].hex() and (got[i].fingerprint == got[i].edited_fingerprint) == (own == edited)
+
+
+def test_edits_of_a_very_long_text_and_ids_of_any_kind(spark):
+    long = "".join(f"some words of a long text {i}\n" for i in range(60_000))
+    rows = [(1 << 62, long), ((1 << 62) - 1, long + "x"), (-5, "a"), (-5, "b"), (None, "c")]
+    got = sorted(merkle.edits(docs_of(spark, rows), 2).collect(), key=lambda r: (r.doc_id or 0, r.n_chars, r.edited_sha256))
+    assert [r.doc_id for r in got] == [-5, -5, None, (1 << 62) - 1, 1 << 62] and got[-1].near_next > 0.8
+
+
 def test_differing_branches_locate_an_edit():
     a = b"".join(b"line %d\n" % i for i in range(50))
     b = a.replace(b"line 17\n", b"changed\n")
