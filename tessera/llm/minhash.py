@@ -4,7 +4,7 @@
 the low ``BITS`` bits are packed as signature, and band keys of ``ROWS`` minima each.
 Texts with equal sets are one class from then on. Candidates come from equal band keys;
 the signatures' equal parts, corrected for chance collisions, estimate the similarity, and
-candidates estimated below ``FLOOR`` (nearly four standard deviations under the limit) go.
+candidates estimated below ``FLOOR`` (six standard deviations under the limit) go.
 What is left is confirmed on the full sets.
 
 Only as many links as components need are looked at: first every class with the likeliest of
@@ -32,11 +32,12 @@ from .storage import cut
 
 WIDTH = 5
 MINIMA, BITS, ROWS = 128, 4, 4
-FLOOR = 0.6
+FLOOR = 0.5
 SIMILAR = (75, 100)
 BLOCK = 512
 PER_CENTER = 64
-MAX_BROADCAST = 2_000_000
+#: Ids that are broadcast, of about 30 bytes each; beyond, a shuffled semi-join.
+MAX_BROADCAST = 1_000_000
 _rng = np.random.default_rng(11)
 FACTORS = _rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)

@@ -58,38 +58,77 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame
     return capped.withColumn("target", share).drop("cap")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, digits: int = 3) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, source, text; other columns are not needed):
+#: Sources whose targets are broadcast, and rows of the buckets that a target ends in, of about 60 bytes each; beyond, a shuffled join.
+MAX_BROADCAST = 1_000_000
 
-    doc_id, source, size, source_size, target, taken (words), repeats (whole times), part (words of one more).
-    ``weights``: (source, weight); by default ``cycled_weights``. ``digits``: hex digits of a bucket.
-    """
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("at")), "sizes")
+
+def placed_key(seed: int) -> Column:
+    """Where a row is in the seeded order."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+
+
+def plan(docs: DataFrame, weights: DataFrame | None, share: float, max_epochs: float, seed: int, digits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``mix`` is made of: (doc_id, source, size, at) of each row; the targets of the sources; and of each source and bucket how many words come before it, how many are in it, and the source's target."""
+    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), placed_key(seed).alias("at")), "sizes")
     by_source = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     weights = cycled_weights(by_source.select("source")) if weights is None else weights
     known = by_source.alias("s").join(weights.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")), "left")
     known = cut(known.select("s.source", "source_size", F.coalesce("weight", F.lit(0.0)).alias("weight")), "weights")
     total = share * (known.agg(F.sum("source_size")).first()[0] or 0)
-    bucket = F.substring("at", 1, digits)
-    inside, ahead = Window.partitionBy("source", "bucket"), Window.partitionBy("source").orderBy("bucket")
+    ahead = Window.partitionBy("source").orderBy("bucket")
     targets = (
         water_fill(known, total, max_epochs)
         .withColumn("goal", F.round("target").cast("long"))
         .withColumn("repeats", F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.col("goal") - F.col("repeats") * F.col("source_size"))
     )
-    buckets = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-    before = buckets.select("source", "bucket", (F.sum("n").over(ahead) - F.col("n")).alias("before"))
-    goals = cut(before.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "bucket", "before", "source_size", "target", "repeats", "rest"), "goals")
+    buckets = sized.groupBy("source", F.substring("at", 1, digits).alias("bucket")).agg(F.sum("size").alias("n"))
+    before = buckets.select("source", "bucket", "n", (F.sum("n").over(ahead) - F.col("n")).alias("before"))
+    goals = cut(before.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "bucket", "n", "before", "source_size", "target", "repeats", "rest"), "goals")
+    return sized, targets, goals
+
+
+def shares(sized: DataFrame, goals: DataFrame, digits: int) -> DataFrame:
+    """Rows of ``sized`` in buckets of ``goals``, with ``repeats`` and ``part``, the words of one more."""
+    bucket = F.substring("at", 1, digits)
+    inside = Window.partitionBy("source", "bucket")
     placed = sized.withColumn("bucket", bucket).withColumn("upto", F.sum("size").over(inside.orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
     both = placed.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.bucket") == F.col("g.bucket")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - (F.col("upto") - F.col("size"))))
-    return both.select("doc_id", "d.source", "size", "source_size", "target", (F.col("repeats") * F.col("size") + part).alias("taken"), "repeats", part.alias("part"))
+    return both.select("doc_id", "d.source", "size", "source_size", "target", "repeats", part.alias("part"))
+
 
+def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, digits: int = 3) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, source, text; other columns are not needed):
 
-def take(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as mixed, with its own columns: each document as often as ``mix`` takes it, the one taken in part counting as whole from half on."""
-    mixed = mix(docs, **options).select("doc_id", (F.col("repeats") + (2 * F.col("part") >= F.greatest(F.col("size"), F.lit(1))).cast("long")).alias("times"))
-    mixed = mixed.groupBy("doc_id").agg(F.max("times").alias("__times"))
-    joined = docs.join(mixed.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    doc_id, source, size, source_size, target, taken (words), repeats (whole times), part (words of one more).
+    ``weights``: (source, weight); by default ``cycled_weights``. ``digits``: hex digits of a bucket.
+    """
+    sized, _, goals = plan(docs, weights, share, max_epochs, seed, digits)
+    return shares(sized, goals, digits).select("doc_id", "source", "size", "source_size", "target", (F.col("repeats") * F.col("size") + F.col("part")).alias("taken"), "repeats", "part")
+
+
+def take(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, digits: int = 3) -> DataFrame:
+    """``docs`` as mixed, with its own columns: each document as often as ``mix`` takes it, the one taken in part counting as whole from half on.
+
+    A row's source and its place in the seeded order tell how often it is taken, but in the one bucket of each source
+    that its target ends in; only the rows of those buckets are looked up, so texts stay in the tasks that read them.
+    """
+    sized, targets, goals = plan(docs, weights, share, max_epochs, seed, digits)
+    split = goals.filter("before < rest AND before + n > rest")
+    ends = targets.alias("t").join(split.select(F.col("source").alias("s"), F.col("bucket").alias("__end")), F.col("t.source").eqNullSafe(F.col("s")), "left")
+    # Without such a bucket the target ends between two: all up to the last one below it are taken once more.
+    last = goals.filter("before + n <= rest AND n > 0").groupBy(F.col("source").alias("l")).agg(F.max("bucket").alias("__last"))
+    ends = ends.join(last, F.col("source").eqNullSafe(F.col("l")), "left").select(F.col("source").alias("__s"), F.col("repeats").alias("__repeats"), "__end", "__last")
+    ends = cut(ends, "ends")
+    some = sized.withColumn("bucket", F.substring("at", 1, digits)).alias("d").join(split.select(F.col("source").alias("s"), F.col("bucket").alias("b")), F.col("d.source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left_semi")
+    more = shares(some.select("doc_id", "source", "size", "at"), split, digits)
+    more = more.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__size")).agg(F.max((2 * F.col("part") >= F.greatest(F.col("size"), F.lit(1))).cast("long")).alias("__more"))
+    more = cut(more, "more")
+    small = lambda df: F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+    rows = docs.withColumn("__b", F.substring(placed_key(seed), 1, digits)).withColumn("__n", n_words(F.col("text")))
+    rows = rows.join(small(ends), F.col("source").eqNullSafe(F.col("__s"))).join(small(more), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__of")) & (F.col("__n") == F.col("__size")), "left")
+    whole = F.coalesce(F.col("__b") <= F.col("__last"), F.lit(False)) & (F.col("__n") > 0)
+    once = F.when(F.col("__b").eqNullSafe(F.col("__end")), F.coalesce("__more", F.lit(0))).otherwise(whole.cast("long"))
+    times = F.col("__repeats") + once
+    return rows.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)

@@ -45,7 +45,8 @@ LENGTH, GRAM = 400, 64
 BLOCK, MANY = 256, 8192
 BUFFER = 1 << 20
 PIECE = 1 << 23
-MAX_BROADCAST = 2_000_000
+#: Keys of texts that are broadcast, of about 50 bytes each; beyond, a shuffled semi-join.
+MAX_BROADCAST = 1_000_000
 KEY = ("c1", "c2")
 LAST = (1 << 63) - 1
 

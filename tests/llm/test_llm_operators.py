@@ -61,6 +61,31 @@ def test_mix_takes_its_targets(spark):
     assert mixing.take(df).columns == df.columns
 
 
+@pytest.mark.parametrize("digits, share, epochs", [(1, 1.5, 2.0), (2, 0.4, 1.0), (1, 9.0, 2.0), (1, 1.0, 1.0)])
+def test_take_is_what_mix_says(spark, digits, share, epochs):
+    from collections import Counter
+
+    rng = random.Random(5)
+    texts = [(i if i % 50 else None, " ".join(["w"] * rng.randint(0, 9)) + f" id{i}" if i % 7 else "") for i in range(400)]
+    docs = docs_of(spark, texts).withColumn("source", F.when(F.col("text") != "", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None)), (F.char_length("text") % 3 + 1).cast("int"))))
+    options = {"digits": digits, "share": share, "max_epochs": epochs}
+    want = Counter()
+    for r in mixing.mix(docs, **options).collect():
+        want[r.doc_id, r.source, r.size] = max(want[r.doc_id, r.source, r.size], r.repeats + int(2 * r.part >= max(r.size, 1)))
+    got = Counter((r.doc_id, r.text) for r in mixing.take(docs, **options).collect())
+    size = lambda t: len(t.split())
+    for r in docs.collect():
+        assert got[r.doc_id, r.text] == want[r.doc_id, r.source, size(r.text)] * sum(1 for i, t in texts if (i, t) == (r.doc_id, r.text)), r
+    assert mixing.take(docs.limit(0)).count() == 0 and mixing.take(docs).columns == docs.columns
+
+
+def test_mixing_of_one_repeated_id(spark):
+    docs = docs_of(spark, [(7, "a b c")] * 50 + [(None, "x y")] * 30 + [(None, None)] * 5)
+    rows = mixing.mix(docs, share=1.0, max_epochs=1.0).collect()
+    assert len(rows) == 85 and sum(r.taken for r in rows) == 210
+    assert mixing.take(docs, share=1.0, max_epochs=1.0).count() == 85
+
+
 # Suffix arrays.
 
 
@@ -124,6 +149,8 @@ def test_chat_round_trip_of_control_strings(spark):
 def test_layouts_by_fingerprint(spark):
     records = ['{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"instruction":"q","output":"a"}', '{"instruction":"q","input":"","output":"a"}', '{"prompt":"q","completion":"a"}', '{"question":"q","response":"a"}']
     turns = chat_format.records_to_turns(spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")).collect()
+    twice = spark.createDataFrame([(1, 0, "user", "q"), (1, 0, "user", "q"), (2, 0, None, None)], "conv_id long, turn long, role string, text string").withColumn("segments", F.lit("clash"))
+    assert {r.conv_id: r.n for r in chat_format.render(chat_format.to_turns(twice)).select("conv_id", F.size(chat_format.parse_turns(F.col("formatted"))).alias("n")).collect()} == {1: 2, 2: 1}
     assert len(turns) == 12 and {(t.role, t.text) for t in turns} == {("user", "q"), ("assistant", "a")}
     typed = spark.createDataFrame([(1, "q", "a", 5)], "conv_id long, prompt string, completion string, extra int")
     assert [(t.role, t.text) for t in chat_format.to_turns(typed).orderBy("turn").collect()] == [("user", "q"), ("assistant", "a")]
@@ -237,6 +264,15 @@ def test_warc_reader_refuses_damage():
         list(warc.members(iter([member[:-4]])))
 
 
+def test_records_of_odd_pages(spark):
+    """Null and repeated ids, repeated rows, clashing names, a payload of over 1 MB."""
+    big = "<p>long</p>" * 200_000
+    pages = [(None, None, "x" * 200), (4, "u", "x" * 200), (4, "u", "x" * 200), (5, "v", big), (6, "w", big), (7, "z", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("refers_to", F.lit("r"))
+    got = sorted(((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(spark, df).collect()), key=str)
+    assert got == sorted([(0, "revisit", 4, 200), (4, "response", None, 200), (4, "response", None, 200), (5, "response", None, len(big)), (6, "revisit", 5, len(big)), (7, "response", None, 0)], key=str)
+
+
 # Document fingerprints.
 
 
@@ -616,6 +652,19 @@ def test_calibration_counts_all_segments(spark):
     assert z[0] > 1 > -1 > z[1] and z[2] < -1
 
 
+def test_null_ids_repeated_rows_and_long_texts(spark):
+    """op2, op4 and op10 on one odd table: each row of the input is a row of the result."""
+    long = " ".join(f"w{i}" for i in range(150_000))
+    texts = [(None, "n " * 300), (None, "n " * 300), (1, "a b c"), (1, "a b c"), (2, long), (3, long + " x"), (4, None), (5, "")]
+    docs = docs_of(spark, texts).withColumn("own", F.lit(1)).withColumn("c1", F.lit("x")).withColumn("band", F.lit("y")).withColumn("component", F.lit(0))
+    near = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()), key=str)
+    n = 150_000 - 4
+    assert near == sorted([(0, 1, None, True)] * 2 + [(1, 1, 1, True)] * 2 + [(2, n, 2, True), (3, n + 1, 2, False), (4, 0, 4, True), (5, 0, 5, True)], key=str)
+    cut = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.remove_repeats(docs, texts=False).collect()}
+    assert cut[None, 600] == 600 and cut[2, len(long)] == len(long) and cut[3, len(long) + 2] == len(long) and cut[1, 5] == 0
+    assert line_dedup.clean(docs).count() == len(texts) and minhash.keep_one(docs).columns == docs.columns
+
+
 # MinHash and components.
 
 

@@ -27,6 +27,36 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     assert last.columns == ["doc_id", "n_tokens", "ids"] and last.count() == n
 
 
+def test_stages_give_what_their_operators_say(spark):
+    """The pipeline's rows against the operators' own decisions, one after another."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from tessera.llm import line_dedup, minhash, mixing, sentencepiece_scan, toxicity
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    clean = docs.join(toxicity.score(docs, model).filter("score < 0.3").select("doc_id"), "doc_id", "left_semi").toPandas()
+    cut = line_dedup.delete_repeats(spark.createDataFrame(clean, docs.schema)).select(*docs.columns).toPandas()
+    assert len(cut) == len(clean)
+    near = minhash.near_duplicates(spark.createDataFrame(cut, docs.schema)).toPandas()
+    left = cut[cut["doc_id"].isin(near[near["kept"]]["doc_id"])]
+    mixed = mixing.mix(spark.createDataFrame(left, docs.schema)).toPandas()
+    times = {r.doc_id: r.repeats + int(2 * r.part >= max(r.size, 1)) for r in mixed.itertuples()}
+    ids = {r.doc_id: list(r.ids) for r in sentencepiece_scan.encode(spark.createDataFrame(left, docs.schema)).collect()}
+    want = Counter({i: n for i, n in times.items() if n})
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert Counter(r.doc_id for r in got) == want and all(list(r.ids) == ids[r.doc_id] and r.n_tokens == len(r.ids) for r in got)
+
+
+def test_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert llm.op9_toxicity(spark, str(tmp_path)).count() == 0
+
+
 def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
