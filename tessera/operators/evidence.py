@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, clip, squeeze
+from ..functions.text import any_of, clip, n_of, squeeze
 
 
 def source_type(text: Column, chars: Column, n_links: Column, terms: dict[str, list[str]]) -> Column:
@@ -103,3 +103,34 @@ def expanded(keys: DataFrame, docs: DataFrame, comments: DataFrame, chars: int,
     listed = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("r") <= most, F.col("comment_id")))).cast("array<string>"), ",").alias("comments"))
     rows = keys.join(wanted, F.col("doc_id") == F.col("k"), "left").join(listed.withColumnRenamed("doc_id", "c"), F.col("k") == F.col("c"), "left")
     return rows.select("doc_id", F.col("k").isNotNull().alias("found"), "content", "cut", F.coalesce("comments", F.lit("")).alias("comments"), F.greatest(F.coalesce("n", F.lit(0)) - most, F.lit(0)).alias("omitted"))
+
+
+def hits(text: Column, terms: list[str]) -> Column:
+    return n_of(F.lower(text), terms).cast("double")
+
+
+def answer_checks(answer: Column, scope: Column, known: Column, terms: dict[str, list[str]], least_words: int = 20, most_words: int = 2000, least_sources: int = 1) -> Column:
+    """Eleven checks of an answer as an array of (name, weight, score from 0 to 1, critical).
+
+    ``scope``: what it should name. ``known``: the source keys that it may cite, as source:id. ``terms``: lists under
+    passport, method, limits, next, risk and evidence.
+    """
+    one = lambda name, weight, score, critical=False: F.struct(F.lit(name).alias("name"), F.lit(weight).alias("weight"), F.least(F.greatest(score.cast("double"), F.lit(0.0)), F.lit(1.0)).alias("score"), F.lit(critical).alias("critical"))
+    cited = F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[([a-z0-9_]+:[0-9]+)\]"), 1))
+    matched = F.size(F.array_intersect(cited, known))
+    words = F.size(F.filter(F.split(answer, r"\s+"), lambda w: w != ""))
+    share = lambda name, needed: hits(answer, terms[name]) / needed
+    raw = F.ltrim(answer).startswith("{")
+    return F.array(
+        one("not_raw", 1.5, F.when(raw, 0.0).otherwise(1.0), True),
+        one("passport", 1.0, share("passport", min(4, len(terms["passport"])))),
+        one("scope", 1.0, F.contains(F.lower(answer), F.lower(scope)).cast("int")),
+        one("grounding", 1.5, matched / least_sources, True),
+        one("no_unknown_sources", 1.0, F.when(F.size(cited) == 0, 1.0).otherwise(matched / F.greatest(F.size(cited), F.lit(1)))),
+        one("length", 0.5, F.when(words.between(least_words, most_words), 1.0).otherwise(F.least(words / least_words, most_words / F.greatest(words, F.lit(1))))),
+        one("method", 1.0, share("method", 1)),
+        one("limits", 1.0, share("limits", 1)),
+        one("next_steps", 0.5, share("next", 1)),
+        one("risks", 0.5, share("risk", 1)),
+        one("evidence", 1.0, share("evidence", 2)),
+    )

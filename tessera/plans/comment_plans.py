@@ -193,13 +193,32 @@ def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.raw(spark, sf_dir, "events").select("event_id", V.error_class(F.expr(ERROR)).alias("class"))
 
 
-@query("""WITH c AS (SELECT doc_id AS case_id, unnest([2.0, 1.0, 1.0]) AS weight, unnest([least(length(text) / 2000.0, 1.0), contains(lower(text), 'the')::INT::DOUBLE, contains(text, '.')::INT::DOUBLE]) AS score, unnest([false, true, false]) AS critical FROM documents)
-SELECT case_id, round(sum(weight * score) / sum(weight), 6) AS score, round(sum(weight * score) / sum(weight), 6) >= 0.7 AND NOT bool_or(critical AND score < 0.5) AS passed FROM c GROUP BY case_id""")
+CHECKED = {"passport": ["the", "and", "of", "to", "a", "in"], "method": ["because", "ction"], "limits": ["but", "not"], "next": ["then", "eral"], "risk": ["thin", "risk"], "evidence": ["ouren", "blethe", "thion", "that"]}
+ANSWER = "text || ' [' || source || ':' || doc_id || '] [' || source || ':' || (doc_id + 1) || ']' || CASE WHEN doc_id % 4 = 0 THEN ' of ' || source ELSE '' END"
+_HITS = lambda name: X.n_sql("low", CHECKED[name])
+CHECKS_SQL = f"""a AS (SELECT doc_id AS case_id, lower(answer) AS low, answer, source, doc_id, len(list_filter(string_split_regex(answer, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS words FROM (SELECT *, CASE WHEN doc_id % 9 = 0 THEN '{{' ELSE '' END || {ANSWER} AS answer FROM documents)),
+c AS (SELECT case_id, unnest(['not_raw', 'passport', 'scope', 'grounding', 'no_unknown_sources', 'length', 'method', 'limits', 'next_steps', 'risks', 'evidence']) AS name, unnest([1.5, 1.0, 1.0, 1.5, 1.0, 0.5, 1.0, 1.0, 0.5, 0.5, 1.0]) AS weight,
+ unnest([(doc_id % 9 <> 0)::INT::DOUBLE, least({_HITS("passport")} / 4, 1), 1.0, (doc_id % 5 <> 0)::INT::DOUBLE, (doc_id % 5 <> 0)::INT / 2, CASE WHEN words BETWEEN 20 AND 2000 THEN 1.0::DOUBLE ELSE least(1, words / 20, 2000 / words) END, least({_HITS("method")}, 1), least({_HITS("limits")}, 1), least({_HITS("next")}, 1), least({_HITS("risk")}, 1), least({_HITS("evidence")} / 2, 1)]::DOUBLE[]) AS score FROM a)"""
+
+
+def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as an answer that cites itself and the next one; every fifth one's own key isn't known."""
+    n, key = F.col("doc_id"), lambda i: F.concat_ws(":", "source", i)
+    d = T.raw(spark, sf_dir, "documents")
+    answer = F.concat(F.when(n % 9 == 0, "{").otherwise(""), "text", F.lit(" ["), key(n), F.lit("] ["), key(n + 1), F.lit("]"), F.when(n % 4 == 0, F.concat(F.lit(" of "), "source")).otherwise(""))
+    known = F.when(n % 5 != 0, F.array(key(n))).otherwise(F.array(F.lit("none:0")))
+    checks = V.answer_checks(answer, F.col("source"), known, CHECKED)
+    return d.select(n.alias("case_id"), F.explode(checks).alias("c")).select("case_id", "c.*")
+
+
+@query(f"WITH {CHECKS_SQL} SELECT case_id, name, round(score, 6) AS score FROM c")
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.docs(spark, sf_dir)
-    one = lambda w, s, critical: F.struct(F.lit(w).alias("weight"), s.cast("double").alias("score"), F.lit(critical).alias("critical"))
-    checks = F.array(one(2.0, F.least(F.col("n") / 2000, F.lit(1.0)), False), one(1.0, F.contains(F.lower("text"), F.lit("the")).cast("int"), True), one(1.0, F.contains("text", F.lit(".")).cast("int"), False))
-    return V.quality(d.select(F.col("doc_id").alias("case_id"), F.explode(checks).alias("c")).select("case_id", "c.*"))
+    return checked(spark, sf_dir).select("case_id", "name", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {CHECKS_SQL} SELECT case_id, round(sum(weight * score) / sum(weight), 6) AS score, round(sum(weight * score) / sum(weight), 6) >= 0.7 AND NOT bool_or(name IN ('not_raw', 'grounding') AND score < 0.5) AS passed FROM c GROUP BY case_id")
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.quality(checked(spark, sf_dir))
 
 
 EXPAND = "trim(regexp_replace(d.text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"

@@ -14,14 +14,18 @@ from .registry import query
 
 D = T.DOCS_SQL
 #: Rules over words of the synthetic corpus; a caller brings its own.
-AREAS = {"north": ["thin", "from"], "south": ["reth", "une re"], "east": ["la", "est"], "news": ["der", "that"]}
-DEPTHS = {"benchmark": ["ouren"], "case_study": ["blethe"], "howto": ["von ein"]}
+AREAS = {
+    "north": ["thin", "from"], "south": ["reth", "une re"], "east": ["la", "est"], "west": ["and", "of the"], "inner": ["der", "von ein"], "outer": ["que", "ció"], "upper": ["les", "tion"], "lower": ["thion"],
+    "near": ["blethe", "ouren"], "far": ["eral"], "rest": ["license", "rights reserved"], "news": ["der", "that"],
+}
+DEPTHS = {"benchmark": ["ouren"], "case_study": ["blethe"], "howto": ["von ein"], "analysis": ["thion"], "opinion": ["license"], "question": ["?"]}
+RANKS = {"benchmark": 5, "case_study": 4, "howto": 3, "analysis": 3, "opinion": 2, "question": 1, "announcement": 1, "low_signal": 0}
 TOKS = "regexp_extract_all(translate(lower(text), 'àáâäãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}\\p{M}]+')"
 
 
 def area_sql(area: str) -> str:
     terms = AREAS[area]
-    words = [t for t in terms if t.isalnum()]
+    words = [t for t in terms if t.isascii() and t.isalnum()]
     parts = [t for t in terms if t not in words]
     return "(" + " OR ".join([f"len(list_intersect(tk, [{', '.join(repr(w) for w in words)}])) > 0"] * bool(words) + [f"contains(lower(text), '{p}')" for p in parts]) + ")"
 
@@ -58,9 +62,9 @@ def label_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.docs(spark, sf_dir).select("doc_id", K.depth_label(F.col("text"), DEPTHS).alias("depth"))
 
 
-@query(f"SELECT doc_id, CASE {DEPTH} WHEN 'benchmark' THEN 5 WHEN 'case_study' THEN 4 WHEN 'howto' THEN 3 WHEN 'announcement' THEN 1 ELSE 0 END AS rank FROM documents")
+@query(f"SELECT doc_id, CASE {DEPTH} {" ".join(f"WHEN '{k}' THEN {v}" for k, v in RANKS.items())} END AS rank FROM documents")
 def depth_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = F.create_map(*(F.lit(x) for kv in {"benchmark": 5, "case_study": 4, "howto": 3, "announcement": 1, "low_signal": 0}.items() for x in kv))
+    ranks = F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))
     return T.docs(spark, sf_dir).select("doc_id", F.element_at(ranks, K.depth_label(F.col("text"), DEPTHS)).alias("rank"))
 
 
