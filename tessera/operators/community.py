@@ -97,6 +97,30 @@ def blended(ai: Column, heuristic: Column, engagement: Column) -> Column:
     return F.coalesce(ai, F.lit(0.5)) * 0.72 + F.least(heuristic / 1.4, F.lit(1.0)) * 0.23 + F.least(F.log1p(engagement) / 8, F.lit(1.0)) * 0.05
 
 
+def tiered(posts: DataFrame, k: int = 40) -> DataFrame:
+    """``posts`` (post_id, score, ai) with tier and place: the best k by score come first, in order of what a model says of them (0.5 where it says nothing); the rest follow by score, without a place."""
+    best = posts.orderBy(F.desc("score"), "post_id").limit(k)
+    order = Window.orderBy(F.coalesce("ai", F.lit(0.5)).desc(), F.desc("score"), "post_id")
+    first = best.withColumn("tier", F.lit(1)).withColumn("place", F.row_number().over(order).cast("long"))
+    rest = posts.join(best.select("post_id"), "post_id", "left_anti").withColumn("tier", F.lit(2)).withColumn("place", F.lit(None).cast("long"))
+    return first.unionByName(rest)
+
+
+def picked(question: Column, groups_of: dict[str, list[str]], default: list[str], most: int = 5) -> Column:
+    """The first groups, each once, of the keywords that a question contains; the default ones if it has none."""
+    strings = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    low = F.lower(question)
+    found = F.array_distinct(F.concat(*(F.when(F.contains(low, F.lit(k)), strings(names)).otherwise(strings([])) for k, names in groups_of.items())))
+    return F.when(F.size(found) > 0, F.slice(found, 1, most)).otherwise(strings(default))
+
+
+def soft_targets(groups: Column, anchors: Column, words: Column, popular: list[str], most: int = 2) -> Column:
+    """The groups that tell most: those named by an anchor or a word of the question, not among the popular ones, of short names; in their order where that is equal."""
+    score = lambda g: F.array_contains(anchors, F.lower(g)).cast("int") * 5 + F.array_contains(words, F.lower(g)).cast("int") * 3 + (~F.lower(g).isin(popular)).cast("int") + (F.char_length(g) <= 16).cast("int")
+    ranked = F.array_sort(F.transform(groups, lambda g, i: F.struct((-score(g)).alias("s"), i.alias("i"), g.alias("g"))))
+    return F.transform(F.slice(ranked, 1, most), lambda x: x["g"])
+
+
 def gated(scored: DataFrame, by: str, strict: float = 0.52, soft: float = 0.44, most: int = 4) -> DataFrame:
     """All that reach ``strict``; where none does, the best ``most`` that reach ``soft``."""
     w = Window.partitionBy(by)

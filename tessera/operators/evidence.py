@@ -134,3 +134,55 @@ def answer_checks(answer: Column, scope: Column, known: Column, terms: dict[str,
         one("risks", 0.5, share("risk", 1)),
         one("evidence", 1.0, share("evidence", 2)),
     )
+
+
+def digest_counts(index: DataFrame, comments: DataFrame, links: DataFrame, most_sources: int, most_comments: int) -> DataFrame:
+    """source_id, sources, shown, omitted, comments, shown_comments, omitted_comments, links.
+
+    ``index`` (source_id, doc_id, place) is shown up to a place of ``most_sources``. Comments (doc_id) and links (src)
+    count for what is shown, comments up to ``most_comments`` of a document.
+    """
+    total = index.groupBy("source_id").agg(F.count("*").alias("sources"))
+    shown = index.filter(F.col("place") <= most_sources).select("source_id", "doc_id")
+    said = comments.join(shown.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("c"))
+    linked = links.select(F.col("src").alias("doc_id")).join(shown.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("l"))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    by = shown.join(said, "doc_id", "left").join(linked, "doc_id", "left").groupBy("source_id").agg(
+        F.count("*").alias("shown"), n(F.col("c")).alias("comments"), n(F.least(F.coalesce("c", F.lit(0)), F.lit(most_comments))).alias("shown_comments"), n(F.col("l")).alias("links")
+    )
+    out = total.join(by, "source_id").withColumn("omitted", F.col("sources") - F.col("shown"))
+    return out.withColumn("omitted_comments", F.col("comments") - F.col("shown_comments"))
+
+
+#: Levels of support of a signal.
+SUPPORT = ("direct", "indirect", "weak", "unknown")
+
+
+def signals(raw: Column, refs: Column, most: int) -> Column:
+    """The first ``most`` signals (claim, support_level, sources) of an array of raw ones (claim, support_level, supporting_sources) that claim something, with sources that are known; without any, one for each of ``refs`` (source_key, reason)."""
+    known = F.transform(refs, lambda r: r["source_key"])
+    level = lambda s: F.when(F.trim(s["support_level"]).isin(*SUPPORT), F.trim(s["support_level"])).otherwise("unknown")
+    one = lambda s: F.struct(F.trim(s["claim"]).alias("claim"), level(s).alias("support_level"), F.filter(s["supporting_sources"], lambda k: F.array_contains(known, k)).alias("sources"))
+    kept = F.slice(F.transform(F.filter(raw, lambda s: F.trim(F.coalesce(s["claim"], F.lit(""))) != ""), one), 1, most)
+    own = F.transform(F.slice(refs, 1, most), lambda r: F.struct(F.coalesce(r["reason"], r["source_key"]).alias("claim"), F.lit("direct").alias("support_level"), F.array(r["source_key"]).alias("sources")))
+    return F.when(F.size(kept) > 0, kept).otherwise(own)
+
+
+def artifact_sources(artifacts: DataFrame) -> DataFrame:
+    """request_id, source_key, source_id, place: each key of a result, where it is first: among its sources, then of each expert the main ones, those referred to, and those of the index."""
+    kind = "array<struct<source_id:string,source_key:string>>"
+    keys = lambda found, who: F.coalesce(F.transform(found, lambda s: F.struct(who.alias("source_id"), s["source_key"].alias("source_key"))), F.array().cast(kind))
+    of = lambda e: F.concat(keys(e["main_sources"], e["expert_id"]), keys(e["digest"]["source_refs"], e["expert_id"]), keys(e["digest"]["source_index"], e["expert_id"]))
+    top = F.coalesce(F.transform("sources", lambda s: F.struct(s["expert_id"].alias("source_id"), s["source_key"].alias("source_key"))), F.array().cast(kind))
+    listed = F.concat(top, F.coalesce(F.flatten(F.transform("experts", of)), F.array().cast(kind)))
+    rows = artifacts.select("request_id", F.posexplode(listed).alias("pos", "s")).filter("s.source_key <> ''")
+    first = rows.groupBy("request_id", F.col("s.source_key").alias("source_key")).agg(F.min(F.struct("pos", "s.source_id")).alias("f"))
+    return first.select("request_id", "source_key", "f.source_id", F.col("f.pos").cast("long").alias("place"))
+
+
+def artifact_manifest(artifacts: DataFrame) -> DataFrame:
+    """request_id, experts (ids in their order), expert_count, source_keys_count."""
+    ids = F.filter(F.transform("experts", lambda e: e["expert_id"]), lambda i: i != "")
+    n = artifact_sources(artifacts).groupBy("request_id").agg(F.count("*").alias("source_keys_count"))
+    out = artifacts.select("request_id", F.coalesce(ids, F.array().cast("array<string>")).alias("experts")).join(n, "request_id", "left")
+    return out.select("request_id", "experts", F.size("experts").cast("long").alias("expert_count"), F.coalesce("source_keys_count", F.lit(0)).alias("source_keys_count"))

@@ -11,7 +11,9 @@ from ..operators import community as Q
 from ..operators import evidence as V
 from ..operators import funnel as P
 from ..operators import video as H
+from ..operators.retrieval import top
 from ..sources import tables as T
+from ..sources.shared import shared_path
 from .registry import query
 
 D, CM = T.DOCS_SQL, T.COMMENTS_SQL
@@ -54,17 +56,37 @@ def topic_json():
     return F.when(n % 4 == 0, F.concat(F.lit("["), one, F.lit("]"))).when(n % 4 == 1, F.concat(F.lit('{"drift_topics":['), one, F.lit("]}"))).when(n % 4 == 2, F.concat(F.lit('{"drift_topics":{"drift_topics":['), one, F.lit("]}}"))).otherwise(F.lit("broken"))
 
 
-@query("SELECT vec_id, (vec_id % 4 < 3)::INT AS n_topics, CASE WHEN vec_id % 4 < 3 THEN 't' || vec_id END AS topic FROM embeddings")
+ONE = """'{"topic":"' || word || '","keywords":["k1"],"key_phrases":["p ' || doc_id || '"],"context":"c"}'"""
+GROUPS = f"""g0 AS (SELECT doc_id, source AS source_id, doc_id % 3 <> 0 AS drifted, regexp_extract(text, '[a-z]+') AS word, doc_id % 5 < 4 AS has, doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0) AS embedded FROM documents), g AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN '[' || {ONE} || ']'
+ WHEN 3 THEN '{{drift_topics:[{{topic:"' || word || '"}}]}}' WHEN 4 THEN 'broken {{' ELSE '{{"drift_topics":[' || {ONE} || ']}}' END AS topics FROM g0)"""
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of comments by document: whether they drifted, topics (the first word of the text) in four layouts of JSON or broken, and vectors of some."""
+    n, word = F.col("doc_id"), F.regexp_extract("text", "[a-z]+", 0)
+    one = F.concat(F.lit('{"topic":"'), word, F.lit('","keywords":["k1"],"key_phrases":["p '), n, F.lit('"],"context":"c"}'))
+    wrapped = lambda a, b: F.concat(F.lit(a), one, F.lit(b))
+    topics = (
+        F.when(n % 5 == 0, wrapped("[", "]")).when(n % 5 == 1, wrapped('{"drift_topics":[', "]}")).when(n % 5 == 2, wrapped('{"drift_topics":{"drift_topics":[', "]}}"))
+        .when(n % 5 == 3, F.concat(F.lit('{drift_topics:[{topic:"'), word, F.lit('"}]}'))).otherwise("broken {")
+    )
+    vectors = T.vectors(spark, sf_dir).filter("vec_id % 2 = 0").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return T.docs(spark, sf_dir).select("doc_id", "source_id", (n % 3 != 0).alias("drifted"), topics.alias("topics")).join(vectors, "doc_id", "left")
+
+
+@query(f"""WITH {D}, {GROUPS} SELECT g.doc_id, has::INT AS n_topics, CASE WHEN has THEN word END AS topic, coalesce(c.n, 0) AS n_comments FROM g JOIN docs ON docs.doc_id = g.doc_id LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) c ON conv_id = g.doc_id
+ WHERE drifted AND created_at >= TIMESTAMP '2024-07-01' AND g.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
 def topics_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.vectors(spark, sf_dir).select("vec_id", C.parsed_topics(topic_json()).alias("t"))
-    return rows.select("vec_id", F.coalesce(F.size("t"), F.lit(0)).alias("n_topics"), F.get("t", F.lit(0)).getField("topic").alias("topic")).select("vec_id", F.greatest("n_topics", F.lit(0)).alias("n_topics"), "topic")
+    """Groups that drifted from posts since July 2024 that aren't excluded (here as toxic), with their topics and the number of their comments."""
+    out = C.thread_groups(groups(spark, sf_dir), T.docs(spark, sf_dir), T.comments(spark, sf_dir), "2024-07-01 00:00:00", T.raw(spark, sf_dir, "labels").filter("toxic = 1"))
+    return out.select("doc_id", F.size("topics").alias("n_topics"), F.get("topics", F.lit(0)).getField("topic").alias("topic"), "n_comments")
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id % 4 = 2")
+@query(f"WITH {GROUPS} SELECT doc_id, doc_id % 5 = 2 AS fixed, topics FROM g")
 def topics_unnest_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose topics are nested twice, which are rewritten."""
-    inner = F.get_json_object(topic_json(), "$.drift_topics.drift_topics")
-    return T.vectors(spark, sf_dir).filter(inner.isNotNull()).select("vec_id")
+    """All groups, those whose topics were nested twice rewritten with one level."""
+    made = C.unnested(F.col("topics"))
+    return groups(spark, sf_dir).select("doc_id", (made != F.col("topics")).alias("fixed"), made.alias("topics"))
 
 
 @query("SELECT vec_id, 't' || vec_id || ' k1 k2 p ' || vec_id || ' c' AS text FROM embeddings WHERE vec_id % 4 < 3")
@@ -86,11 +108,22 @@ def topic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("source_id").alias("label"), F.col("group_id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("SELECT label, bool_and(vec_id % 50 <> 3) AS by_vectors FROM embeddings GROUP BY label")
+HITS = X.n_sql("'t' || vec_id || ' k1 k2 p ' || vec_id || ' c'", ["p 1", "t2"])
+
+
+@query(f"""WITH q AS (SELECT embedding AS target FROM embeddings WHERE vec_id = 7), w AS (SELECT label, bool_and(label % 2 = 0 OR vec_id % 5 <> 3) AS whole FROM embeddings GROUP BY 1), s AS (SELECT label, vec_id, whole, {DOT.replace("q.embedding", "target")} AS similarity FROM embeddings v JOIN w USING (label), q)
+SELECT label, vec_id, 'vectors' AS path, round(similarity, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS r FROM s WHERE whole) WHERE r <= 20 AND similarity >= 0.1
+UNION ALL SELECT label, vec_id, 'texts', {HITS}::DOUBLE FROM s WHERE NOT whole AND vec_id % 4 < 3 AND {HITS} > 0""")
 def topic_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether all groups of a source have vectors (here those of a remainder of 3 have none)."""
-    v = T.vectors(spark, sf_dir).withColumn("embedding", F.when(F.col("vec_id") % 50 != 3, F.col("embedding")))
-    return v.groupBy("label").agg(F.bool_and(F.col("embedding").isNotNull()).alias("by_vectors"))
+    """Groups by their vectors where all groups of a source have one; where one lacks it (here some of odd labels), by words of their topics."""
+    from .retrieval_plans import target
+
+    n = F.col("vec_id")
+    vector = F.when((F.col("label") % 2 == 0) | (n % 5 != 3), F.col("embedding"))
+    text = F.coalesce(C.topic_text(F.get(C.parsed_topics(topic_json()), F.lit(0))), F.lit(""))
+    rows = T.vectors(spark, sf_dir).select(n.alias("group_id"), F.col("label").alias("source_id"), vector.alias("embedding"), text.alias("text"))
+    found = C.dispatched(rows, target(spark, sf_dir), lambda t: X.n_of(t, ["p 1", "t2"]), 20, 0.1)
+    return found.select(F.col("source_id").alias("label"), F.col("group_id").alias("vec_id"), "path", F.round("score", 6).alias("score"))
 
 
 @query("SELECT vec_id, round(CASE WHEN vec_id % 9 = 0 THEN NULL ELSE 1.0 END, 6) AS norm2 FROM embeddings")
@@ -99,12 +132,13 @@ def vec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.round(C.dot(C.normalised(F.col("e")), C.normalised(F.col("e"))), 6).alias("norm2"))
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations WHERE text <> '' AND conv_id NOT IN (SELECT vec_id * 3 FROM embeddings)) QUALIFY place <= 10")
+@query(f"WITH {GROUPS} SELECT doc_id, 16::INT AS places, 1.0::DOUBLE AS norm FROM g WHERE drifted AND has AND (doc_id % 5 <> 3 OR word <> '') AND NOT embedded ORDER BY doc_id LIMIT 50")
 def topics_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next batch of groups that have comments and no vector yet (here only those of ids divisible by three have one), in order of the id."""
-    groups = T.comments(spark, sf_dir).filter("comment_text <> ''").select("doc_id").distinct()
-    batch = groups.join(T.vectors(spark, sf_dir), F.col("doc_id") == F.col("vec_id") * 3, "left_anti").orderBy("doc_id").limit(10)
-    return batch.select("doc_id", F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("place"))
+    """The vectors of the next batch of groups that drifted and have topics but no vector, in order of the id."""
+    from ..operators.retrieval import hashed_embedding
+
+    v = F.col("embedding")
+    return C.backfilled(groups(spark, sf_dir), 50, hashed_embedding).select("doc_id", F.size(v).alias("places"), F.round(C.dot(v, v), 6).alias("norm"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'fixed' WHEN 2 THEN 'fixed' ELSE 'unrecoverable' END AS state,
@@ -232,28 +266,59 @@ def expand_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.expanded(keys, T.docs(spark, sf_dir), T.comments(spark, sf_dir), 200, 3)
 
 
-@query(f"WITH {CM} SELECT source AS source_id, count(DISTINCT d.doc_id) AS docs, least(count(c.comment_id), 5) AS kept, greatest(count(c.comment_id) - 5, 0) AS omitted FROM documents d LEFT JOIN comments c USING (doc_id) GROUP BY 1")
+@query(f"""WITH {D}, {T.LINKS_SQL}, s AS (SELECT source_id, doc_id FROM docs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY docs.n DESC, doc_id) <= 10), c AS (SELECT conv_id AS doc_id, count(*) AS k FROM conversations GROUP BY 1), l AS (SELECT src AS doc_id, count(*) AS k FROM links GROUP BY 1), t AS (SELECT source_id, count(*) AS sources FROM docs GROUP BY 1),
+a AS (SELECT source_id, count(*) AS shown, coalesce(sum(c.k), 0)::BIGINT AS comments, coalesce(sum(least(coalesce(c.k, 0), 3)), 0)::BIGINT AS shown_comments, coalesce(sum(l.k), 0)::BIGINT AS links FROM s LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id) GROUP BY 1)
+SELECT source_id, sources, shown, sources - shown AS omitted, comments, shown_comments, comments - shown_comments AS omitted_comments, links FROM t JOIN a USING (source_id)""")
 def digest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.docs(spark, sf_dir).select("doc_id", "source_id").join(T.comments(spark, sf_dir).select("doc_id", "comment_id"), "doc_id", "left")
-    n = F.count("comment_id")
-    return rows.groupBy("source_id").agg(F.count_distinct("doc_id").alias("docs"), F.least(n, F.lit(5)).alias("kept"), F.greatest(n - 5, F.lit(0)).alias("omitted"))
+    """What a digest of the ten longest documents of each source shows and leaves out, with three comments of each."""
+    d = T.docs(spark, sf_dir).select("source_id", "doc_id", "n")
+    best = top(d, 10, [F.desc("n"), F.col("doc_id")]).select("doc_id", F.col("rank").alias("place"))
+    index = d.select("source_id", "doc_id").join(best, "doc_id", "left")
+    return V.digest_counts(index, T.comments(spark, sf_dir).select("doc_id"), T.links(spark, sf_dir).select("src"), 10, 3)
 
 
-@query("SELECT doc_id, CASE quality WHEN 1 THEN 'strong' ELSE 'weak' END AS support, 'src0' AS sources FROM labels WHERE toxic = 0")
+@query("""WITH d AS (SELECT doc_id, source || ':' || doc_id AS key, CASE WHEN doc_id % 4 = 0 THEN '' ELSE regexp_extract(text, '[a-z]+') END AS claim FROM documents)
+SELECT doc_id, CASE WHEN claim <> '' THEN claim || '|' || CASE doc_id % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'indirect' ELSE 'unknown' END || '|' || key ELSE CASE WHEN doc_id % 8 = 0 THEN 'reason' ELSE key END || '|direct|' || key END AS signal FROM d""")
 def digest_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals with a claim, a known level of support, and known sources only."""
-    s = T.raw(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 0, "claim").otherwise("").alias("claim"), F.when(F.col("quality") == 1, "strong").otherwise("odd").alias("support"), F.array(F.lit("src0"), F.lit("unknown")).alias("sources"))
-    return s.filter("claim <> ''").select("doc_id", F.when(F.col("support").isin("strong", "medium"), F.col("support")).otherwise("weak").alias("support"), F.array_join(F.array_intersect("sources", F.array(F.lit("src0"), F.lit("src1"))), ",").alias("sources"))
+    """Signals of a model's answer in JSON, as far as they claim something, with a known level of support and known sources; where none is left, what was selected speaks for itself."""
+    n, key = F.col("doc_id"), F.concat_ws(":", "source_id", "doc_id")
+    claim = F.when(n % 4 == 0, "  ").otherwise(F.regexp_extract("text", "[a-z]+", 0))
+    level = F.when(n % 3 == 0, "direct").when(n % 3 == 1, " indirect ").otherwise("odd")
+    raw = lambda *fields: F.struct(*(f.alias(k) for k, f in zip(("claim", "support_level", "supporting_sources"), fields, strict=True)))
+    answer = F.to_json(F.struct(F.array(raw(F.lit(None).cast("string"), level, F.array(key)), raw(claim, level, F.array(F.lit("none:0"), key))).alias("key_signals")))
+    parsed = F.from_json(answer, "key_signals array<struct<claim:string,support_level:string,supporting_sources:array<string>>>")
+    refs = F.array(F.struct(key.alias("source_key"), F.when(n % 8 == 0, "reason").alias("reason")))
+    made = V.signals(parsed["key_signals"], refs, 6)
+    out = T.docs(spark, sf_dir).select("doc_id", F.explode(made).alias("s"))
+    return out.select("doc_id", F.concat_ws("|", "s.claim", "s.support_level", F.array_join("s.sources", ",")).alias("signal"))
+
+
+ARTIFACTS = "a AS (SELECT doc_id AS request_id, unnest([source, source, lang, lang, lang, lang, source]) AS source_id, 'k' || unnest([doc_id % 7, doc_id % 5, doc_id % 3, doc_id % 5, doc_id % 11, doc_id % 2, doc_id % 13]) AS source_key, unnest(range(7)) AS pos FROM documents)"
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in JSON, written and read back: two sources, and two experts with main sources, of which one has a digest."""
+    from ..sources.exports import results
 
+    n, path = F.col("doc_id"), shared_path(spark, "artifacts")
+    keys = lambda *m: F.array(*(F.struct(F.concat(F.lit("k"), n % i).alias("source_key")) for i in m))
+    found = F.array(*(F.struct(F.col("source_id").alias("expert_id"), F.concat(F.lit("k"), n % i).alias("source_key")) for i in (7, 5)))
+    digest = F.struct(keys(11).alias("source_refs"), keys(2).alias("source_index"))
+    expert = lambda who, main, of: F.struct(F.col(who).alias("expert_id"), main.alias("main_sources"), of.alias("digest"))
+    experts = F.array(expert("lang", keys(3, 5), digest), expert("source_id", keys(13), F.when(F.lit(False), digest)))
+    T.docs(spark, sf_dir).select(n.alias("request_id"), found.alias("sources"), experts.alias("experts")).write.json(path)
+    return results(spark, path)
 
-@query("SELECT doc_id, min(p) AS place FROM (SELECT doc_id, 1 AS p FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 3 FROM labels) GROUP BY doc_id")
+
+@query(f"WITH {ARTIFACTS} SELECT request_id, source_key, arg_min(source_id, pos) AS source_id, min(pos) AS place FROM a GROUP BY ALL")
 def artifact_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of three lists, each key from the first list that has it."""
-    from ..operators.maintenance import prioritised
+    """The sources of results, each key from the first place that has it."""
+    return V.artifact_sources(artifacts(spark, sf_dir))
+
 
-    d = T.docs(spark, sf_dir).select("doc_id")
-    parts = [d.filter("doc_id % 2 = 0"), d.filter("doc_id % 3 = 0"), T.raw(spark, sf_dir, "labels").select("doc_id")]
-    return prioritised(parts, "doc_id").select("doc_id", (F.col("priority") + 1).alias("place"))
+@query(f"WITH {ARTIFACTS} SELECT a.request_id, lang || ',' || source AS experts, 2::BIGINT AS expert_count, count(DISTINCT source_key) AS source_keys_count FROM a JOIN documents ON doc_id = request_id GROUP BY ALL")
+def artifact_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.artifact_manifest(artifacts(spark, sf_dir)).withColumn("experts", F.array_join("experts", ","))
 
 
 X_CLIP = "trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
@@ -305,10 +370,13 @@ NK = X.n_sql("lower(title)", KEYS)
 BOOST = f"((CASE WHEN post_id % 10 = 0 THEN 1.2::DOUBLE ELSE 1 END) * (CASE WHEN {NK} > 0 THEN least(1 + {NK} * 0.5, 3)::DOUBLE ELSE 1 END))"
 
 
-@query(f"WITH {POSTS} SELECT post_id, round(CASE WHEN post_id % 10 = 0 OR {BOOST} > 1.5 THEN (votes + replies * 2) * {BOOST} ELSE (votes + replies * 2) * {BOOST} / power(age * 24 + 2, 1.5) END, 6) AS score FROM ps")
+@query(f"""WITH {POSTS}, s AS (SELECT post_id, round(CASE WHEN post_id % 10 = 0 OR {BOOST} > 1.5 THEN (votes + replies * 2) * {BOOST} ELSE (votes + replies * 2) * {BOOST} / power(age * 24 + 2, 1.5) END, 6) AS score, CASE WHEN post_id % 3 <> 0 THEN (post_id % 10) / 10.0::DOUBLE END AS ai FROM ps), b AS (SELECT * FROM s ORDER BY score DESC, post_id LIMIT 40)
+SELECT post_id, score, 1 AS tier, row_number() OVER (ORDER BY coalesce(ai, 0.5) DESC, score DESC, post_id) AS place FROM b UNION ALL SELECT post_id, score, 2, 0 FROM s WHERE post_id NOT IN (SELECT post_id FROM b)""")
 def hot_score_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best forty in order of a model's opinion, then the rest."""
     c = F.col
-    return posts(spark, sf_dir).select("post_id", F.round(Q.hot_score(c("title"), c("votes"), c("replies"), c("age") * 24, KEYS, c("post_id") % 10 == 0), 6).alias("score"))
+    score = F.round(Q.hot_score(c("title"), c("votes"), c("replies"), c("age") * 24, KEYS, c("post_id") % 10 == 0), 6)
+    return Q.tiered(posts(spark, sf_dir).select("post_id", score.alias("score"), F.when(c("post_id") % 3 != 0, c("post_id") % 10 / 10).alias("ai")), 40).drop("ai").fillna(0, ["place"])
 
 
 @query(f"WITH {POSTS} SELECT post_id, round(coalesce(CASE WHEN post_id % 3 <> 0 THEN (post_id % 10) / 10.0::DOUBLE END, 0.5) * 0.72 + least({V2} / 1.4, 1.0) * 0.23 + least(ln(1 + votes + replies) / 8, 1.0) * 0.05, 6) AS score FROM ps")
@@ -356,11 +424,22 @@ def anchor_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.raw(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(found, 1, 3), " ").alias("anchors"))
 
 
-@query(f"WITH {POSTS}, r AS (SELECT grp, count(*) FILTER (contains(lower(body), 'reth')) AS hits FROM ps GROUP BY grp) SELECT grp, hits FROM r QUALIFY row_number() OVER (ORDER BY hits DESC, grp) <= 5")
+#: Groups by keywords of the synthetic corpus; a caller brings its own.
+PLACES = {"the": ["general", "that", "thin"], "thin": ["thin", "a group of a long name"], "reth": ["reth", "bleth", "from"], "ouren": ["ouren"]}
+POPULAR = ["general", "reth"]
+
+
+@query(f"""WITH q AS (SELECT item_id, lower(text) AS low, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS tk FROM benchmark), q1 AS (SELECT *, list_filter(tk, lambda t, i: list_position(tk, t) = i) AS tu FROM q),
+q2 AS (SELECT *, list_filter(tu, lambda t: length(t) >= 4 AND t NOT IN ('from', 'that'))[1:3] AS anchors, {" || ".join(f"(CASE WHEN contains(low, '{k}') THEN {v} ELSE [] END)" for k, v in PLACES.items())} AS x FROM q1),
+q3 AS (SELECT *, CASE WHEN len(x) > 0 THEN list_filter(x, lambda t, i: list_position(x, t) = i)[1:5] ELSE ['general'] END AS gs FROM q2), u AS (SELECT item_id, gs, tk, anchors, unnest(gs) AS g, unnest(range(len(gs))) AS i FROM q3),
+r AS (SELECT item_id, g, i, array_to_string(gs, ',') AS picked, 5 * list_contains(anchors, g)::INT + 3 * (list_contains(tk, g) AND length(g) >= 3)::INT + (g NOT IN ('general', 'reth'))::INT + (length(g) <= 16)::INT AS score FROM u)
+SELECT item_id, picked, string_agg(g, ',' ORDER BY score DESC, i) AS soft FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) <= 2) GROUP BY ALL""")
 def subreddit_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five groups with the most posts for a keyword."""
-    by = posts(spark, sf_dir).groupBy("grp").agg(F.count_if(F.contains(F.lower("body"), F.lit("reth"))).alias("hits"))
-    return by.orderBy(F.desc("hits"), "grp").limit(5)
+    """Up to five groups for the keywords of a question, and the two of them that tell most."""
+    text = F.col("text")
+    rows = T.raw(spark, sf_dir, "benchmark").select("item_id", text, Q.picked(text, PLACES, ["general"]).alias("found"))
+    soft = Q.soft_targets(F.col("found"), F.slice(Q.terms(text, ["from", "that"], 4), 1, 3), Q.terms(text, []), POPULAR)
+    return rows.select("item_id", F.array_join("found", ",").alias("picked"), F.array_join(soft, ",").alias("soft"))
 
 
 @query("SELECT item_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS clean FROM benchmark")

@@ -170,15 +170,29 @@ def closest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.closest(X.best_per_source(contributions(spark, sf_dir), ["cell_id"]), "NATION_3")
 
 
-@query(f"WITH {BASE} SELECT source_id, bool_and(score IS NOT NULL AND refs > 0) AS valid, count(*) FILTER (refs = 0) AS unknown_refs FROM sc GROUP BY 1")
+PASSPORT = "w AS (SELECT *, CASE WHEN score >= 4.3 THEN 'signature' WHEN score >= 3.8 THEN 'strong' WHEN score >= 3 THEN 'normal' ELSE 'weak' END AS weight, depth <> 3 AS exported, length(source_id) % 2 = 0 AS knows FROM best)"
+
+
+def passport(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells with weights and refs, those of them that are exported, and the refs that each source's index knows."""
+    score = F.col("score")
+    weight = F.when(score >= 4.3, "signature").when(score >= 3.8, "strong").when(score >= 3, "normal").otherwise("weak")
+    refs = F.transform(F.filter(F.array(*map(F.lit, (1, 2, 3))), lambda i: i <= F.col("refs")), lambda i: F.concat(F.lit("P"), i))
+    cells = X.best_per_source(contributions(spark, sf_dir), ["cell_id"]).withColumns({"weight": weight, "refs": refs})
+    known = F.when(F.char_length("source_id") % 2 == 0, F.array(*map(F.lit, ("P1", "P2", "P3")))).otherwise(F.array(*map(F.lit, ("P1", "P2"))))
+    return cells, cells.filter("depth <> 3"), cells.select("source_id").distinct().select("source_id", F.explode(known).alias("ref"))
+
+
+@query(f"""WITH {BASE}, {PASSPORT}, v AS (SELECT source_id, count(*) AS cells, 0::BIGINT AS incomplete, count(*) FILTER (exported) AS exported, count(*) FILTER (weight IN ('strong', 'signature') AND NOT exported) AS missing_export, bool_or(refs >= 3 AND NOT knows)::BIGINT AS unknown_refs FROM w GROUP BY 1)
+SELECT *, exported > 0 AND missing_export = 0 AND unknown_refs = 0 AS valid FROM v""")
 def passport_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contributions(spark, sf_dir).groupBy("source_id").agg(F.bool_and(F.col("score").isNotNull() & (F.col("refs") > 0)).alias("valid"), F.count_if(F.col("refs") == 0).alias("unknown_refs"))
+    """The contract of each source's passport: complete cells, an export without gaps, known refs only."""
+    return X.contract(*passport(spark, sf_dir), ["domain", "subdomain", "intent", "score"])
 
 
-@query(f"WITH {BASE}, d AS (SELECT DISTINCT source_id, domain FROM sc), m AS (SELECT s.source_id, g.domain FROM (SELECT DISTINCT source_id FROM sc) s, (SELECT DISTINCT domain FROM sc) g) SELECT source_id, domain FROM m ANTI JOIN d USING (source_id, domain) UNION ALL SELECT source_id, domain FROM d")
+@query(f"""WITH {BASE}, {PASSPORT} SELECT source_id, cell_id, NOT exported AS derived, CASE WHEN NOT exported THEN 'strong' END AS coverage_level, CASE WHEN NOT exported THEN 'primary' END AS source_role,
+ CASE WHEN exported THEN NULL WHEN depth >= 4.5 THEN 'deep_practitioner' WHEN depth >= 2.5 THEN 'practical' WHEN depth > 0 THEN 'commentary' ELSE 'none' END AS depth_level FROM w WHERE exported OR (weight IN ('strong', 'signature') AND refs > 0)""")
 def passport_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources with the domains of the fixed vocabulary that they lack added."""
-    rows = contributions(spark, sf_dir).select("source_id", "domain").distinct()
-    vocabulary = F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
-    missing = rows.select("source_id").distinct().select("source_id", F.explode(vocabulary).alias("domain")).join(rows, ["source_id", "domain"], "left_anti")
-    return rows.unionByName(missing)
+    """The exported cells, and those of strong and signature weight that the export forgot."""
+    cells, exported, _ = passport(spark, sf_dir)
+    return X.repaired(cells, exported)

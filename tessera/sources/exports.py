@@ -64,3 +64,9 @@ def hash_id(text: Column, modulus: int = 1_000_000_000) -> Column:
     for i in (1, 9, 17, 25):
         out = (out * (1 << 32) + F.conv(F.substring(h, i, 8), 16, 10).cast("long")) % modulus
     return out
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """request_id, sources, experts (with main sources and a digest) of results of requests."""
+    key = "array<struct<source_key:string>>"
+    return spark.read.schema(f"request_id bigint, sources array<struct<expert_id:string,source_key:string>>, experts array<struct<expert_id:string,main_sources:{key},digest:struct<source_refs:{key},source_index:{key}>>>").json(path)

@@ -214,3 +214,74 @@ def test_marks_never_go_back(spark):
     after = M.advanced(state, new)
     assert {tuple(r) for r in after.collect()} == {("a", 5, 5), ("b", 8, 3)}
     assert M.above(docs, after, 2).count() == 0 and {tuple(r) for r in M.advanced(after, docs.limit(0)).collect()} == {("a", 5, 5), ("b", 8, 3)}
+
+
+def test_topics_are_mended_and_unnested(spark):
+    rows = [(1, '{"drift_topics":{"drift_topics":[{"topic":"a"}]}}'), (2, '{drift_topics:[{topic:"b"}]}'), (3, r'[{"topic":"c\d"}]'), (4, "no"), (5, None), (6, "[]")]
+    got = {r.id: (r.u, r.t) for r in spark.createDataFrame(rows, "id long, j string").select("id", C.unnested(F.col("j")).alias("u"), F.transform(C.parsed_topics(F.col("j")), lambda t: t["topic"]).alias("t")).collect()}
+    assert got[1] == ('{"drift_topics":[{"topic":"a"}]}', ["a"])
+    assert [got[i][1] for i in (2, 3, 4, 5, 6)] == [["b"], ["cd"], None, None, []]
+    assert (got[4][0], got[5][0]) == ("no", None)
+
+
+def test_groups_go_by_cutoff_and_exclusion(spark):
+    groups = spark.createDataFrame([(1, True, "[]"), (2, False, "[]"), (3, True, None), (4, True, "[]"), (9, True, "[]")], "doc_id long, drifted boolean, topics string")
+    posts = spark.createDataFrame([(i, f"202{i}-01-01") for i in (1, 2, 3, 4)], "doc_id long, d string").select("doc_id", F.col("d").cast("timestamp_ntz").alias("created_at"))
+    comments = spark.createDataFrame([(3,), (3,)], "doc_id long")
+    got = {tuple(r) for r in C.thread_groups(groups, posts, comments, "2022-01-01", spark.createDataFrame([(4,), (4,)], "doc_id long")).selectExpr("doc_id", "size(topics)", "n_comments").collect()}
+    assert got == {(3, 0, 2)}
+
+
+def test_one_group_without_vector_sends_its_source_to_the_texts(spark):
+    rows = [(1, "a", [1.0, 0.0], "x"), (2, "a", [0.0, 1.0], "x"), (3, "b", [1.0, 0.0], "x"), (4, "b", None, "x y"), (5, "b", None, "z")]
+    found = C.dispatched(spark.createDataFrame(rows, "group_id long, source_id string, embedding array<double>, text string"), [1.0, 0.0], lambda t: F.contains(t, F.lit("x")).cast("int"))
+    assert {tuple(r) for r in found.collect()} == {("a", 1, "vectors", 1.0), ("b", 3, "texts", 1.0), ("b", 4, "texts", 1.0)}
+
+
+def test_signals_fall_back_to_what_was_selected(spark):
+    kind = "id long, raw array<struct<claim:string,support_level:string,supporting_sources:array<string>>>, refs array<struct<source_key:string,reason:string>>"
+    refs = [("s:1", None), ("s:2", "why")]
+    rows = [(1, [(" c ", "direct", ["s:2", "no"]), (None, "weak", []), ("d", None, None)], refs), (2, [("  ", "weak", [])], refs), (3, None, []), (4, [("e", "odd", [])], None)]
+    got = {r.id: [tuple(s) for s in r.s] if r.s is not None else None for r in spark.createDataFrame(rows, kind).select("id", V.signals(F.col("raw"), F.col("refs"), 2).alias("s")).collect()}
+    assert got == {1: [("c", "direct", ["s:2"]), ("d", "unknown", None)], 2: [("s:1", "direct", ["s:1"]), ("why", "direct", ["s:2"])], 3: [], 4: [("e", "unknown", [])]}
+
+
+def test_keys_of_results_are_where_they_come_first(spark):
+    key = "array<struct<source_key:string>>"
+    kind = f"request_id long, sources array<struct<expert_id:string,source_key:string>>, experts array<struct<expert_id:string,main_sources:{key},digest:struct<source_refs:{key},source_index:{key}>>>"
+    rows = [(1, [("a", "k1"), ("a", None)], [("b", [("k1",), ("k2",)], ([("k3",)], None)), (None, None, None)]), (2, None, None)]
+    results = spark.createDataFrame(rows, kind)
+    assert {tuple(r) for r in V.artifact_sources(results).collect()} == {(1, "k1", "a", 0), (1, "k2", "b", 3), (1, "k3", "b", 4)}
+    assert {(r.request_id, tuple(r.experts), r.expert_count, r.source_keys_count) for r in V.artifact_manifest(results).collect()} == {(1, ("b",), 1, 3), (2, (), 0, 0)}
+
+
+def test_digest_shows_the_first_and_counts_the_rest(spark):
+    index = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 3, None), ("b", 4, 1)], "source_id string, doc_id long, place int")
+    comments = spark.createDataFrame([(1,), (1,), (1,), (3,)], "doc_id long")
+    links = spark.createDataFrame([(2,), (3,)], "src long")
+    got = V.digest_counts(index, comments, links, 2, 2).select("source_id", "sources", "shown", "omitted", "comments", "shown_comments", "omitted_comments", "links").collect()
+    assert {tuple(r) for r in got} == {("a", 3, 2, 1, 3, 2, 1, 1), ("b", 1, 1, 0, 0, 0, 0, 0)}
+
+
+def test_groups_of_a_question(spark):
+    places = {"ai": ["x", "y", "x"], "chat": ["z", "x"]}
+    rows = spark.createDataFrame([(1, "AI chat z"), (2, "other"), (3, None)], "id long, text string").withColumn("g", Q.picked(F.col("text"), places, ["general"], 3))
+    got = {r.id: (list(r.g), list(r.s)) for r in rows.select("id", "g", Q.soft_targets(F.col("g"), F.array(F.lit("z")), F.split(F.lower(F.coalesce("text", F.lit(""))), " "), ["x"]).alias("s")).collect()}
+    assert got == {1: (["x", "y", "z"], ["z", "y"]), 2: (["general"], ["general"]), 3: (["general"], ["general"])}
+
+
+def test_tiers_keep_all_posts(spark):
+    rows = [(1, 5.0, 0.1), (2, 5.0, 0.9), (3, 4.0, None), (4, 4.0, 1.0), (5, None, 1.0)]
+    got = {r.post_id: (r.tier, r.place) for r in Q.tiered(spark.createDataFrame(rows, "post_id long, score double, ai double"), 3).collect()}
+    assert got == {2: (1, 1), 3: (1, 2), 1: (1, 3), 4: (2, None), 5: (2, None)}
+
+
+def test_passports_get_what_their_export_forgot(spark):
+    cells = spark.createDataFrame([("a", "c1", "strong", 5.0, ["P1"]), ("a", "c2", "signature", 3.0, ["P9"]), ("a", "c3", "strong", 1.0, []), ("a", "c4", "weak", 1.0, ["P1"]), ("b", "c1", "normal", None, None)], "source_id string, cell_id string, weight string, depth double, refs array<string>")
+    exported = cells.filter("source_id = 'a' AND cell_id = 'c1'")
+    index = spark.createDataFrame([("a", "P1")], "source_id string, ref string")
+    assert {tuple(r) for r in X.repaired(cells, exported).collect()} == {("a", "c1", False, None, None, None), ("a", "c2", True, "strong", "primary", "practical")}
+    got = {tuple(r) for r in X.contract(cells, exported, index, ["depth"]).select("source_id", "cells", "incomplete", "exported", "missing_export", "unknown_refs", "valid").collect()}
+    assert got == {("a", 4, 0, 1, 2, 1, False), ("b", 1, 1, 0, 0, 0, False)}
+    whole = X.repaired(cells, exported).select("source_id", "cell_id")
+    assert {r.cell_id for r in X.not_exported(cells, whole).collect()} == {"c3"}
