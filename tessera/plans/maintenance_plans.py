@@ -88,12 +88,16 @@ def comment_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(c, ["doc_id", "author"], [F.desc("comment_id")])
 
 
-@query("SELECT DISTINCT source AS source_id FROM documents UNION SELECT 'src-new'")
+@query("""WITH c AS (SELECT CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE lower(n_name) END AS source_id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000) AS n_docs FROM nation UNION ALL SELECT DISTINCT source, 1 FROM documents)
+SELECT source_id, CASE WHEN source_id IS NULL OR NOT regexp_full_match(source_id, '[a-z][a-z0-9_]*') THEN 'bad id' WHEN source_id IN (SELECT source FROM documents) THEN 'exists' WHEN n_docs = 0 THEN 'empty' ELSE 'added' END AS verdict FROM c""")
 def add_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources with a new one, which must not be there yet."""
+    """What becomes of candidates (nations, by their customers of high balance, and the sources themselves): only new ones with a fit id and documents are added."""
     known = T.docs(spark, sf_dir).select("source_id").distinct()
-    new = spark.createDataFrame([("src-new",)], "source_id string").join(known, "source_id", "left_anti")
-    return known.unionByName(new)
+    n = T.raw(spark, sf_dir, "customer").filter("c_acctbal > 9000").groupBy("c_nationkey").agg(F.count("*").alias("n_docs"))
+    key = F.col("n_nationkey")
+    nations = T.raw(spark, sf_dir, "nation").join(n, key == F.col("c_nationkey"), "left")
+    candidates = nations.select(F.when(key % 3 == 0, F.col("n_name")).otherwise(F.lower("n_name")).alias("source_id"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    return M.admitted(candidates.unionByName(known.withColumn("n_docs", F.lit(1).cast("long"))), known)
 
 
 @query("SELECT doc_id, min(priority)::INT AS priority FROM (SELECT doc_id, 0 AS priority FROM labels WHERE toxic = 1 UNION ALL SELECT conv_id, 1 FROM conversations UNION ALL SELECT vec_id, 2 FROM embeddings) GROUP BY 1")

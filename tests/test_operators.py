@@ -285,3 +285,9 @@ def test_passports_get_what_their_export_forgot(spark):
     assert got == {("a", 4, 0, 1, 2, 1, False), ("b", 1, 1, 0, 0, 0, False)}
     whole = X.repaired(cells, exported).select("source_id", "cell_id")
     assert {r.cell_id for r in X.not_exported(cells, whole).collect()} == {"c3"}
+
+
+def test_only_new_sources_with_documents_are_added(spark):
+    candidates = spark.createDataFrame([("a", 1), ("b", 2), ("b", None), ("c", 0), ("Bad", 5), (None, 5), ("d", None)], "source_id string, n_docs long")
+    known = spark.createDataFrame([("a",), ("a",), (None,)], "source_id string")
+    assert {tuple(r) for r in M.admitted(candidates, known).collect()} == {("a", "exists"), ("b", "added"), ("c", "empty"), ("Bad", "bad id"), (None, "bad id"), ("d", "empty")}
