@@ -30,13 +30,51 @@ def clip(text: Column, n: int) -> Column:
     return F.when(F.char_length(flat) > n, F.concat(F.rtrim(F.substring(flat, 1, n - 3)), F.lit("..."))).otherwise(flat)
 
 
-def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[^a-z0-9]+", "-"), "^-|-$", "")
+#: Cyrillic letters and what they are in Latin ones; those without a counterpart go.
+CYRILLIC = "абвгдеёзийклмнопрстуфхыэьъ"
+LATIN = "abvgdeeziyklmnoprstufhye"
+PAIRS = (("ж", "zh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "sch"), ("ю", "yu"), ("я", "ya"))
+
+
+def slug(text: Column, default: str = "unknown_author") -> Column:
+    """Lower-case Latin letters and digits, with one underscore for anything between; Cyrillic is transliterated."""
+    low = F.translate(F.lower(text), CYRILLIC, LATIN)
+    for letter, latin in PAIRS:
+        low = F.replace(low, F.lit(letter), F.lit(latin))
+    out = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "_"), "^_|_$", "")
+    return F.when(F.coalesce(out, F.lit("")) == "", default).otherwise(out)
+
+
+def slug_sql(text: str, default: str = "unknown_author") -> str:
+    low = f"translate(lower({text}), '{CYRILLIC}', '{LATIN}')"
+    for letter, latin in PAIRS:
+        low = f"replace({low}, '{letter}', '{latin}')"
+    return f"coalesce(nullif(regexp_replace(regexp_replace({low}, '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g'), ''), '{default}')"
+
+
+#: What isn't read for the language of a question: URLs, mentions and tags.
+UNREAD = r"https?://[^ \t\n\r\f\x0B]+|@[\p{L}\p{N}_]+|#[\p{L}\p{N}_]+"
+CYRILLIC_LETTER = r"[\x{400}-\x{481}\x{48A}-\x{4FF}]"
 
 
 def language(text: Column) -> Column:
-    """'ru' if any Cyrillic letter is in the text, else 'en'; 'ru' for no text."""
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "ru").when(text.rlike(r"\p{IsCyrillic}"), "ru").otherwise("en")
+    """'ru' if a Cyrillic letter is in the text, or no letter at all; else 'en'. URLs, mentions and tags aren't read. A letter here is a Cyrillic or ASCII one."""
+    own = F.regexp_replace(F.coalesce(text, F.lit("")), UNREAD, "")
+    return F.when(own.rlike(CYRILLIC_LETTER), "ru").when(own.rlike("[A-Za-z]"), "en").otherwise("ru")
+
+
+def answers_in(question: Column) -> Column:
+    """The language that everything said to a model about this question asks for: English or Russian."""
+    return F.when(language(question) == "en", "English").otherwise("Russian")
+
+
+#: Names of months in the language of the sources.
+MONTHS = ("январь", "февраль", "март", "апрель", "май", "июнь", "июль", "август", "сентябрь", "октябрь", "ноябрь", "декабрь")
+
+
+def month_label(at: Column) -> Column:
+    """Month and year in words; ``unknown`` without a date."""
+    return F.when(at.isNull(), "unknown").otherwise(F.concat_ws(" ", F.element_at(F.array(*map(F.lit, MONTHS)), F.month(at)), F.year(at).cast("string")))
 
 
 def any_of(text: Column, terms: list[str]) -> Column:
@@ -69,12 +107,14 @@ def domain(url: Column) -> Column:
 
 
 def link_kind(url: Column) -> Column:
-    """github_repo, github, telegram, video or web, by the domain."""
+    """github_repo (two parts of a path and more), github, telegram_post, video or web, by the domain."""
     d = domain(url)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    parts = F.size(F.filter(F.split(path, "/"), lambda p: p != ""))
     return (
-        F.when((d == "github.com") & url.rlike(r"(?i)github\.com/[^/?#]+/[^/?#]+"), "github_repo")
-        .when(d.rlike(r"(^|\.)github\.com$"), "github")
-        .when(d.isin("t.me", "telegram.me"), "telegram")
-        .when(d.isin("youtube.com", "youtu.be", "vimeo.com"), "video")
+        F.when((d == "github.com") & (parts >= 2), "github_repo")
+        .when(d == "github.com", "github")
+        .when(d.isin("t.me", "telegram.me"), "telegram_post")
+        .when(d.isin("youtube.com", "youtu.be"), "video")
         .otherwise("web")
     )

@@ -121,11 +121,31 @@ def soft_targets(groups: Column, anchors: Column, words: Column, popular: list[s
     return F.transform(F.slice(ranked, 1, most), lambda x: x["g"])
 
 
-def gated(scored: DataFrame, by: str, strict: float = 0.52, soft: float = 0.44, most: int = 4) -> DataFrame:
-    """All that reach ``strict``; where none does, the best ``most`` that reach ``soft``."""
-    w = Window.partitionBy(by)
-    rows = scored.withColumn("any_strict", F.max("score").over(w) >= strict).withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "post_id")))
-    return rows.filter(F.when(F.col("any_strict"), F.col("score") >= strict).otherwise((F.col("score") >= soft) & (F.col("place") <= most)))
+#: Scores from which posts are shown, and how many of the less sure ones at most.
+STRICT, SOFT, FEW = 0.52, 0.44, 4
+
+
+def gated(scored: DataFrame, by: str, target: int, anchors: bool = False, comparison: bool = False, strict: float = STRICT, soft: float = SOFT, few: int = FEW) -> DataFrame:
+    """The best ``target`` of each group that are allowed at ``strict``; where none is, the best of those allowed at ``soft``, ``few`` at most; else none.
+
+    ``scored``: post_id, score, anchor_hits (in all of a post), title_anchor_hits (in title and body), compared (signs of a direct comparison).
+    With ``anchors`` a post needs an anchor; in a comparison it needs one in title or body, and one of two anchors and more is strictly allowed only with a direct comparison.
+    """
+
+    def allowed(least: float) -> Column:
+        ok = F.col("score") >= least
+        ok = ok & (F.col("anchor_hits") > 0) if anchors else ok
+        if comparison:
+            ok = ok & (F.col("title_anchor_hits") > 0)
+            ok = ok & ~((F.col("anchor_hits") >= 2) & (F.col("compared") == 0)) if least >= strict else ok
+        return F.coalesce(ok, F.lit(False))
+
+    rows = scored.withColumns({"__strict": allowed(strict), "__soft": allowed(soft)}).filter("__strict OR __soft")
+    sure = rows.filter("__strict").select(F.col(by).alias("__by"), F.lit(True).alias("__sure")).distinct()  # one row a group
+    rows = rows.join(sure, F.col(by).eqNullSafe(F.col("__by")), "left").filter("__strict OR __sure IS NULL")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "post_id"))
+    rows = rows.withColumn("place", place).filter(F.col("place") <= target)
+    return rows.filter(F.col("__sure").isNotNull() | (F.col("place") <= few)).drop("__strict", "__soft", "__by", "__sure")
 
 
 def sanitized(text: Column) -> Column:

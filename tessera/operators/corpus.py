@@ -2,34 +2,74 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, tokens
+from ..functions.markup import stripped
+from ..functions.text import any_of, squeeze
 from .numbering import numbered
 
 
-def area_labels(text: Column, rules: dict[str, list[str]], generic: str | None = None) -> Column:
-    """The areas whose terms a text has: single ASCII words match whole tokens, other terms any part; ``generic`` goes if there are others."""
+#: What a text's whole tokens are made of; a term of such characters alone must be a token, any other a part of the text.
+TOKEN = "[a-z0-9_+#.]+"
+#: Terms of news.
+NEWS = ("news", "announcement", "анонс", "релиз")
+
+
+def is_token(term: str) -> bool:
+    return re.fullmatch(TOKEN, flat(term)) is not None
+
+
+def flat(term: str) -> str:
+    return " ".join(term.lower().split())
+
+
+def described(text: Column) -> Column:
+    """What rules look at: the text in lower case and one line, and its tokens."""
+    low = F.lower(squeeze(text))
+    return F.struct(low.alias("low"), F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)).alias("tokens"))
+
+
+def has_any(one: Column, terms: list[str] | tuple[str, ...]) -> Column:
+    """Whether a described text has any of the terms."""
+    whole, parts = [flat(t) for t in terms if is_token(t)], [flat(t) for t in terms if not is_token(t)]
+    found = F.arrays_overlap(one["tokens"], F.array(*map(F.lit, whole))) if whole else F.lit(False)
+    return found | any_of(one["low"], parts)
 
-    def hit(one: Column, terms: list[str]) -> Column:
-        words = [t for t in terms if t.isascii() and t.isalnum()]
-        parts = [t for t in terms if t not in words]
-        in_words = F.arrays_overlap(one["tokens"], F.array(*map(F.lit, words))) if words else F.lit(False)
-        return in_words | any_of(one["low"], parts)
 
-    # Variables of functions, so that a text is split once and not for each rule.
-    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
-    labels = once(F.struct(tokens(text).alias("tokens"), F.lower(text).alias("low")), lambda one: F.array_compact(F.array(*(F.when(hit(one, terms), F.lit(area)) for area, terms in rules.items()))))
+def has_any_sql(terms: list[str] | tuple[str, ...]) -> str:
+    """The same over columns ``low`` and ``tokens``."""
+    whole, parts = [flat(t) for t in terms if is_token(t)], [flat(t) for t in terms if not is_token(t)]
+    return "(" + " OR ".join([f"list_has_any(tokens, [{', '.join(map(repr, whole))}])"] * bool(whole) + [f"contains(low, '{p}')" for p in parts]) + ")"
+
+
+#: Columns ``low`` and ``tokens`` of ``text``.
+DESCRIBED_SQL = "lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS low, regexp_extract_all(lower(text), '[a-z0-9_+#.]+') AS tokens"
+
+
+def once(value: Column, f) -> Column:
+    """``f`` of a value as a variable of a function, so that it is made once and not for each rule."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def area_labels(text: Column, rules: dict[str, list[str]], generic: str | None = None) -> Column:
+    """The areas whose terms a text has; ``generic`` goes if there are others."""
+    labels = once(described(text), lambda one: F.array_compact(F.array(*(F.when(has_any(one, terms), F.lit(area)) for area, terms in rules.items()))))
     return labels if generic is None else once(labels, lambda found: F.when(F.size(found) > 1, F.array_remove(found, generic)).otherwise(found))
 
 
-def depth_label(text: Column, rules: dict[str, list[str]], short: int = 220) -> Column:
-    """The first rule of which a text has a term; else low_signal if short, else announcement."""
-    low, out = F.lower(text), F.when(F.char_length(text) < short, "low_signal").otherwise("announcement")
-    for name, terms in reversed(rules.items()):
-        out = F.when(any_of(low, terms), name).otherwise(out)
-    return out
+def depth_label(text: Column, rules: dict[str, list[str]], short: int = 220, news: tuple[str, ...] = NEWS) -> Column:
+    """The first rule of which a text has a term; else announcement_or_news if it has a term of news; else low_signal if short, else announcement_or_news."""
+
+    def of(one: Column) -> Column:
+        out = F.when(~has_any(one, news) & (F.char_length(stripped(text)) < short), "low_signal").otherwise("announcement_or_news")
+        for name, terms in reversed(rules.items()):
+            out = F.when(has_any(one, terms), name).otherwise(out)
+        return out
+
+    return F.when(text.isNull(), "low_signal").otherwise(once(described(text), of))
 
 
 def strength(count: Column, total: Column) -> Column:

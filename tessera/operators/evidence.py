@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, clip, n_of, squeeze
+from ..functions.text import any_of, clip, domain, link_kind, squeeze
 
 
 def source_type(text: Column, chars: Column, n_links: Column, terms: dict[str, list[str]]) -> Column:
@@ -64,36 +64,80 @@ def notes(kind: Column, level: Column, signal: Column, n_links: Column) -> Colum
     )
 
 
-def links_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, url, label: markdown links first, then bare URLs of what is left of the text, cleaned at the end, each URL once."""
-    markdown = r"\[([^\]]*)\]\((https?://[^\s()]*(?:\([^\s()]*\)[^\s()]*)*)\)"
-    named = F.arrays_zip(F.regexp_extract_all("text", F.lit(markdown), 2).alias("url"), F.regexp_extract_all("text", F.lit(markdown), 1).alias("label"))
-    bare = F.transform(F.regexp_extract_all(F.regexp_replace("text", markdown, " "), F.lit(r"https?://[^\s<>\"'\]]+"), 0), lambda u: F.struct(cleaned_url(u).alias("url"), F.lit("").alias("label")))
-    rows = docs.select("doc_id", F.posexplode(F.concat(named.cast("array<struct<url:string,label:string>>"), bare)).alias("pos", "l")).select("doc_id", "pos", "l.url", "l.label")
-    return rows.groupBy("doc_id", "url").agg(F.min(F.struct("pos", "label")).alias("first")).select("doc_id", "first.pos", "url", "first.label")
+WHITE = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: A link in Markdown with its label and URL (which may hold pairs of parentheses), and a URL by itself.
+MARKDOWN = rf"\[([^\]\n]{{1,200}})\]\((https?://(?:[^{WHITE}()]++|\([^{WHITE}()]*\))+)\)"
+BARE = rf"https?://[^{WHITE}<>\]\"']+"
+AROUND = 110
 
 
-def cleaned_url(url: Column) -> Column:
-    """Without punctuation at the end, and without a last parenthesis that nothing opens."""
-    cut = F.regexp_replace(url, r"[.,;:!?]+$", "")
-    return F.when(cut.endswith(")") & ~F.contains(cut, F.lit("(")), F.regexp_replace(cut, r"\)+[.,;:!?]*$", "")).otherwise(cut)
+def spans_of(text: Column, pattern: str, around: Column) -> Column:
+    """Where each match begins, from 0: what stands between matches and the matches before it, added up. ``around``: all matches."""
+    between = F.transform(F.split(text, pattern), F.length)
+    sizes = F.transform(around, F.length)
+    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + x)
+    return F.transform(around, lambda _, i: total(between, i + 1) + total(sizes, i))
 
 
-#: Error classes in order of priority, and what tells them.
-ERRORS = (("rate_limit", "429|rate limit|quota"), ("auth", "401|403|unauthorized|forbidden"), ("timeout", "timeout|timed out"), ("server", "50[0-9]|unavailable"))
+def links_of(docs: DataFrame, around: int = AROUND) -> DataFrame:
+    """doc_id, pos, url, domain, label, context, link_type: links in Markdown first, then bare URLs that don't begin within the URL of one of those; each cleaned URL once, where it is first.
 
+    The context is what stands up to ``around`` characters to either side, in one line, with dots where the text goes on.
+    """
+    text = F.col("text")
 
-def error_class(message: Column) -> Column:
-    out = F.lit("unknown")
-    for name, pattern in reversed(ERRORS):
-        out = F.when(F.lower(message).rlike(pattern), name).otherwise(out)
-    return out
+    def found(pattern: str, named: bool) -> Column:
+        """The matches with their places, as variables of functions: matches are looked for once."""
+        every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        label = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if named else F.transform(every, lambda _: F.lit(None).cast("string"))
+        url = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if named else every
+        return F.arrays_zip(every.alias("whole"), label.alias("label"), url.alias("url"), spans_of(text, pattern, every).alias("at"))
+
+    rows = docs.filter(F.contains(text, F.lit("http"))).select("doc_id", "text", found(MARKDOWN, True).alias("named"), found(BARE, False).alias("bare"))
+    inside = lambda x: F.exists("named", lambda m: (x["at"] >= m["at"] + F.length(m["label"]) + 3) & (x["at"] < m["at"] + F.length(m["label"]) + 3 + F.length(m["url"])))
+    every = F.concat("named", F.filter("bare", lambda x: ~inside(x)))
 
+    def described(x: Column) -> Column:
+        start, end = F.greatest(x["at"] - around, F.lit(0)), F.least(x["at"] + F.length(x["whole"]) + around, F.length(text))
+        said = squeeze(F.substring(text, start + 1, end - start))
+        context = F.concat(F.when(start > 0, "... ").otherwise(""), said, F.when(end < F.length(text), " ...").otherwise(""))
+        return F.struct(cleaned_url(x["url"]).alias("url"), F.nullif(squeeze(x["label"]), F.lit("")).alias("label"), context.alias("context"))
 
-def quality(checks: DataFrame) -> DataFrame:
-    """case_id, score, passed of checks (case_id, weight, score, critical): the weighted mean; it passes at 0.7 unless a critical check scores below 0.5."""
-    out = checks.groupBy("case_id").agg(F.round(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 6).alias("score"), F.bool_or(F.col("critical") & (F.col("score") < 0.5)).alias("blocked"))
-    return out.select("case_id", "score", ((F.col("score") >= 0.7) & ~F.col("blocked")).alias("passed"))
+    links = rows.select("doc_id", F.posexplode(F.transform(every, described)).alias("pos", "l")).select("doc_id", "pos", "l.url", "l.label", "l.context")
+    first = F.row_number().over(Window.partitionBy("doc_id", "url").orderBy("pos"))
+    links = links.filter(F.col("url").rlike("^https?://[^/?#]")).withColumn("__n", first).filter("__n = 1")
+    return links.select("doc_id", "pos", "url", domain(F.col("url")).alias("domain"), "label", "context", link_kind(F.col("url")).alias("link_type"))
+
+
+def cleaned_url(url: Column) -> Column:
+    """Without punctuation at the end, and without last parentheses that nothing opens."""
+    cut = F.regexp_replace(F.trim(url), r"[.,;:!?\]}*]+$", "")
+    n = lambda c: F.length(cut) - F.length(F.replace(cut, F.lit(c), F.lit("")))
+    loose = F.least(F.greatest(n(")") - n("("), F.lit(0)), F.length(F.regexp_extract(cut, r"\)*$", 0)))
+    return F.substring(cut, F.lit(1), F.length(cut) - loose)
+
+
+#: Classes of errors of services in the order in which they are tried, with the patterns that tell them.
+ERRORS = (
+    ("payment_required", r"402\s+payment\s+required|insufficient\s+credits|prepayment\s+credits?\s+are\s+depleted|credits?\s+are\s+depleted|payment.*required|billing.*issue|manage\s+your\s+project\s+and\s+billing|quota.*exceeded|account.*suspended"),
+    ("rate_limit", r"429\s+too\s+many\s+requests|rate\s+limit|too\s+many\s+requests|request\s+limit|frequency\s+limit"),
+    ("invalid_request", r"400\s+bad\s+request|invalid\s+request|malformed\s+request|invalid\s+parameter|missing\s+parameter"),
+    ("insufficient_permissions", r"401\s+unauthorized|403\s+forbidden|invalid\s+api\s+key|insufficient\s+permissions|access\s+denied|authentication\s+failed"),
+    ("model_unavailable", r"model.*not.*found|model.*unavailable|invalid.*model|model.*deprecated|capacity.*exceeded"),
+    ("network_error", r"connection.*timeout|network.*error|dns.*resolution.*failed|connection.*refused|ssl.*error|certificate.*error"),
+    ("server_error", r"500\s+internal\s+server\s+error|502\s+bad\s+gateway|503\s+service\s+unavailable|504\s+gateway\s+timeout|server.*error|service.*unavailable"),
+)
+STATUSES = (("payment_required", (402,)), ("rate_limit", (429,)), ("invalid_request", (400, 422)), ("insufficient_permissions", (401, 403)), ("server_error", (500, 502, 503, 504)))
+
+
+def error_class(message: Column, status: Column | None = None) -> Column:
+    """The first class with a pattern in the message, else that of the status code, else unknown_error; without a message unknown_error."""
+    out = F.lit("unknown_error")
+    for name, codes in STATUSES if status is not None else ():
+        out = F.when(status.isin(*codes), name).otherwise(out)
+    for name, pattern in reversed(ERRORS):
+        out = F.when(F.lower(message).rlike(pattern), name).otherwise(out)
+    return F.when(F.coalesce(message, F.lit("")) == "", "unknown_error").otherwise(out)
 
 
 def expanded(keys: DataFrame, docs: DataFrame, comments: DataFrame, chars: int, most: int) -> DataFrame:
@@ -105,37 +149,6 @@ def expanded(keys: DataFrame, docs: DataFrame, comments: DataFrame, chars: int,
     return rows.select("doc_id", F.col("k").isNotNull().alias("found"), "content", "cut", F.coalesce("comments", F.lit("")).alias("comments"), F.greatest(F.coalesce("n", F.lit(0)) - most, F.lit(0)).alias("omitted"))
 
 
-def hits(text: Column, terms: list[str]) -> Column:
-    return n_of(F.lower(text), terms).cast("double")
-
-
-def answer_checks(answer: Column, scope: Column, known: Column, terms: dict[str, list[str]], least_words: int = 20, most_words: int = 2000, least_sources: int = 1) -> Column:
-    """Eleven checks of an answer as an array of (name, weight, score from 0 to 1, critical).
-
-    ``scope``: what it should name. ``known``: the source keys that it may cite, as source:id. ``terms``: lists under
-    passport, method, limits, next, risk and evidence.
-    """
-    one = lambda name, weight, score, critical=False: F.struct(F.lit(name).alias("name"), F.lit(weight).alias("weight"), F.least(F.greatest(score.cast("double"), F.lit(0.0)), F.lit(1.0)).alias("score"), F.lit(critical).alias("critical"))
-    cited = F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[([a-z0-9_]+:[0-9]+)\]"), 1))
-    matched = F.size(F.array_intersect(cited, known))
-    words = F.size(F.filter(F.split(answer, r"\s+"), lambda w: w != ""))
-    share = lambda name, needed: hits(answer, terms[name]) / needed
-    raw = F.ltrim(answer).startswith("{")
-    return F.array(
-        one("not_raw", 1.5, F.when(raw, 0.0).otherwise(1.0), True),
-        one("passport", 1.0, share("passport", min(4, len(terms["passport"])))),
-        one("scope", 1.0, F.contains(F.lower(answer), F.lower(scope)).cast("int")),
-        one("grounding", 1.5, matched / least_sources, True),
-        one("no_unknown_sources", 1.0, F.when(F.size(cited) == 0, 1.0).otherwise(matched / F.greatest(F.size(cited), F.lit(1)))),
-        one("length", 0.5, F.when(words.between(least_words, most_words), 1.0).otherwise(F.least(words / least_words, most_words / F.greatest(words, F.lit(1))))),
-        one("method", 1.0, share("method", 1)),
-        one("limits", 1.0, share("limits", 1)),
-        one("next_steps", 0.5, share("next", 1)),
-        one("risks", 0.5, share("risk", 1)),
-        one("evidence", 1.0, share("evidence", 2)),
-    )
-
-
 def digest_counts(index: DataFrame, comments: DataFrame, links: DataFrame, most_sources: int, most_comments: int) -> DataFrame:
     """source_id, sources, shown, omitted, comments, shown_comments, omitted_comments, links.
 

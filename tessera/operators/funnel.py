@@ -145,3 +145,45 @@ def synthesized(best: DataFrame, synthesizer: Synthesizer = listing) -> DataFram
     """source_id, answer from ``best`` (source_id, doc_id, place, excerpt): the few documents of each source that a context limit has left."""
     grouped = best.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "excerpt"))).alias("documents"))
     return grouped.select("source_id", synthesizer(F.col("source_id"), F.col("documents")).alias("answer"))
+
+
+#: What a request can say of the sources that it wants.
+SCOPES = ("all", "group", "custom", "none")
+
+
+def scoped(requests: DataFrame, known: DataFrame, groups: dict[str, list[str]], excluded: list[str] | None = None) -> DataFrame:
+    """request_id, source_id, pos, error: the sources of each request (request_id, scope, group, ids, community) in order, each once; of one that can't be served a row with the error.
+
+    ``all`` is every source of ``known`` (source_id) by name, ``group`` those of a known group, ``custom`` the ids given, trimmed, ``none`` no source,
+    which only makes sense with ``community``. Sources that are ``excluded`` are shown nowhere.
+    """
+    names = known.select("source_id").distinct().agg(F.array_sort(F.collect_list("source_id")).alias("known"))  # one row of names of sources
+    none = F.array().cast("array<string>")
+    ids, c = F.transform(F.coalesce("ids", none), lambda i: F.trim(i)), F.col
+    members = none
+    for name, own in groups.items():
+        members = F.when(c("group") == name, F.array(*map(F.lit, own))).otherwise(members)
+    rows = requests.crossJoin(F.broadcast(names)).select("request_id", "scope", "group", "community", "known", ids.alias("ids"))
+    error = (
+        F.when(~F.coalesce(c("scope").isin(*SCOPES), F.lit(False)), "unknown scope").when(F.array_contains("ids", ""), "empty id")
+        .when((c("scope") == "group") & ~F.coalesce(c("group").isin(*groups), F.lit(False)), "unknown group").when((c("scope") == "custom") & (F.size("ids") == 0), "no ids")
+        .when((c("scope") == "custom") & (F.size(F.array_except("ids", "known")) > 0), "unknown ids").when((c("scope") == "none") & ~F.coalesce("community", F.lit(False)), "nothing asked for")
+    )
+    wanted = F.when(c("scope") == "all", c("known")).when(c("scope") == "group", members).when(c("scope") == "custom", c("ids")).otherwise(none)
+    out = rows.withColumn("error", error).withColumn("wanted", F.when(c("error").isNull(), F.array_except(F.array_distinct(wanted), F.array(*map(F.lit, excluded or [])).cast("array<string>"))).otherwise(F.array(F.lit(None).cast("string"))))
+    out = out.select("request_id", "error", F.posexplode("wanted").alias("i", "source_id"))
+    return out.select("request_id", "source_id", F.when(c("error").isNull(), c("i") + 1).cast("long").alias("pos"), "error")
+
+
+#: Beginnings of names of months that a claim can name.
+NAMED = (("сентябр", 9), ("август", 8), ("июл", 7))
+
+
+def period_holds(claim: Column, first: Column, last: Column) -> Column:
+    """Whether a claim in words fits a period: a month that it names is the first or the last; of ``the last n months`` n is right to one. What can't be read holds."""
+    low, months = F.lower(claim), (F.year(last) - F.year(first)) * 12 + F.month(last) - F.month(first) + 1
+    n = F.nullif(F.regexp_extract(claim, "[0-9]+", 0), F.lit("")).cast("long")
+    out = F.when(F.contains(low, F.lit("последн")) & F.contains(low, F.lit("месяц")) & n.isNotNull(), F.abs(months - n) <= 1).otherwise(True)
+    for name, month in reversed(NAMED):
+        out = F.when(F.contains(low, F.lit(name)), (F.month(first) == month) | (F.month(last) == month)).otherwise(out)
+    return F.coalesce(out, F.lit(True))

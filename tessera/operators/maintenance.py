@@ -86,21 +86,10 @@ def advanced(marks: DataFrame | None, new: DataFrame) -> DataFrame:
     return both.groupBy("source_id").agg(F.max("mark").alias("mark"), F.sum("total").alias("total"))
 
 
-def cascaded(gone: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Rows of the tables (each with its columns that name documents) that don't hang on any of ``gone`` (doc_id), with ``name``: a delete by rewriting."""
-    out = None
-    for name, (rows, keys) in tables.items():
-        for key in keys:
-            rows = rows.join(gone.select(F.col("doc_id").alias("__gone")), F.col(key) == F.col("__gone"), "left_anti")
-        one = rows.select(F.lit(name).alias("name"), *rows.columns)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def admitted(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """source_id, verdict of candidates (source_id, n_docs): 'bad id' unless lower-case letters, digits and underscores, 'exists' if ``known`` (source_id) has it, 'empty' without documents, else 'added'."""
     there = known.select("source_id", F.lit(True).alias("__known")).distinct()
     rows = candidates.groupBy("source_id").agg(F.sum("n_docs").alias("n_docs")).join(there, "source_id", "left")
-    fine = F.coalesce(F.col("source_id").rlike("^[a-z][a-z0-9_]*$"), F.lit(False))
+    fine = F.coalesce(F.col("source_id").rlike("^[a-z0-9_]+$"), F.lit(False))
     verdict = F.when(~fine, "bad id").when(F.col("__known"), "exists").when(F.coalesce("n_docs", F.lit(0)) == 0, "empty").otherwise("added")
     return rows.select("source_id", verdict.alias("verdict"))

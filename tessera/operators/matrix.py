@@ -122,13 +122,40 @@ def against_others(contributions: DataFrame) -> DataFrame:
     by_cell = Window.partitionBy("cell_id")
     ranked = own.withColumn("place", F.row_number().over(by_cell.orderBy(F.desc("score"), "source_id")))
     top = ranked.filter("place <= 2").groupBy("cell_id").agg(F.max(F.when(F.col("place") == 1, F.col("source_id"))).alias("top_source"), F.max(F.when(F.col("place") == 1, F.col("score"))).alias("first"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
-    counts = own.groupBy("cell_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "primary").alias("p"))
+    counts = own.groupBy("cell_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "primary").alias("p"), F.count_if(F.col("score") >= 4.0).alias("s"))
     area = own.groupBy("domain", "intent").agg(F.count_distinct("source_id").alias("area_sources"))
     rows = own.join(top, "cell_id").join(counts, "cell_id").join(area, ["domain", "intent"])
     others_best = F.when(F.col("source_id") == F.col("top_source"), F.col("second")).otherwise(F.col("first"))
     rows = rows.withColumn("exact", F.col("n") > 1).withColumn("exact_best", F.coalesce(others_best, F.lit(0.0))).withColumn("related", F.col("area_sources") > 1)
     others_primary = F.col("p") - (F.col("role") == "primary").cast("long")
-    return rows.withColumn("exact_coverage", coverage_class(F.col("n") - 1, others_primary, F.col("exact_best")))
+    rows = rows.withColumn("exact_coverage", coverage_class(F.col("n") - 1, others_primary, F.col("exact_best")))
+    others_strong = F.col("s") - (F.col("score") >= 4.0).cast("long")
+    rows = rows.withColumn("exact_redundancy", redundancy_class(F.col("n") - 1, others_strong))
+    return rows.withColumn("dense", dense(F.col("n") - 1, F.col("exact_coverage"), F.col("exact_redundancy"), F.col("area_sources") - 1))
+
+
+#: Sources from which a cell or rollup is dense whatever else it has.
+DENSE = 3
+
+
+def dense(sources: Column, coverage: Column, redundancy: Column, area_sources: Column) -> Column:
+    """Whether what is there already is dense: the same cell (of ``sources``), or its domain and intent, which of two sources and more is a multi-source overlap."""
+    exact = (sources > 0) & ((coverage == "strong_multi_source") | redundancy.isin("medium", "high") | (sources >= DENSE))
+    return exact | (area_sources >= 2)
+
+
+def density(rows: DataFrame) -> DataFrame:
+    """source_id and counts of candidates' cells (``against_others`` with ``class``): overlap_cells, overlap_share, positive_overlap, dense_overlap, dense_positive, clean_gaps, and the caveat with its reasons."""
+    overlap, positive = F.col("exact") | F.col("related"), F.col("class").isin(*POSITIVE)
+    out = rows.groupBy("source_id").agg(
+        F.count("*").alias("total"), F.count_if(overlap).alias("overlap_cells"), F.count_if(overlap & positive).alias("positive_overlap"), F.count_if(overlap & F.col("dense")).alias("dense_overlap"),
+        F.count_if(overlap & positive & F.col("dense")).alias("dense_positive"), F.count_if((F.col("class") == "fills_gap") & ~overlap).alias("clean_gaps"), F.count_if(F.col("class") == "likely_duplicate").alias("duplicates"),
+    )
+    out = out.withColumn("overlap_share", F.round(F.col("overlap_cells") / F.col("total"), 3))
+    caveat = F.expr("overlap_share >= 0.5 AND dense_overlap >= 2 AND (duplicates > 0 OR positive_overlap >= 2)")
+    said = (("overlap", F.lit(True)), ("dense", F.lit(True)), ("duplicate", F.col("duplicates") > 0), ("adjacent", F.col("positive_overlap") >= 2))
+    reasons = F.array_join(F.array_compact(F.array(*(F.when(F.col("caveat") & when, name) for name, when in said))), ",")
+    return out.withColumn("caveat", caveat).withColumn("reasons", reasons).drop("total", "duplicates")
 
 
 def outside(contributions: DataFrame, core: dict[str, list[str]]) -> DataFrame:

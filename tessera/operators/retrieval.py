@@ -71,25 +71,12 @@ def _count_prefix(found: Column, prefix: str) -> Column:
 
 @dataclass
 class Index:
-    """A stored inverted index: ``postings`` (term, doc_id, source_id, created_at, dl, at) and ``sizes``, a row of N and avgdl."""
+    """What a search reads of a stored inverted index (``text_index``): ``postings`` (term, doc_id, source_id, created_at, dl, at) and ``sizes``, a row of N and avgdl."""
 
     postings: DataFrame
     sizes: DataFrame
 
 
-def build_index(docs: DataFrame, folder: str) -> Index:
-    """Write the index of all eligible documents under ``folder``.
-
-    Postings are ranges of terms in order, so a search for a term or a prefix reads the few row groups that can have it.
-    """
-    rows = eligible(docs).select("doc_id", "source_id", "created_at", tokens(F.col("text")).alias("t"))
-    places = rows.select("doc_id", "source_id", "created_at", F.size("t").alias("dl"), F.posexplode("t").alias("at", "term"))
-    postings = places.groupBy("term", "doc_id", "source_id", "created_at", "dl").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
-    rows.agg(F.count("*").alias("N"), F.avg(F.size("t")).alias("avgdl")).write.parquet(f"{folder}/sizes")
-    return Index(docs.sparkSession.read.parquet(f"{folder}/postings"), docs.sparkSession.read.parquet(f"{folder}/sizes"))
-
-
 def counted_by_index(index: Index, match: Match, names: list[str]) -> DataFrame:
     """doc_id, source_id, created_at, dl and how often each word, phrase and prefix is in it, of the documents that have any of their words."""
     term, n = F.col("term"), F.size("at")
@@ -221,27 +208,40 @@ def hashed_embedding(text: Column) -> Column:
     return once(once(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda w: w), counts), unit)
 
 
-#: Words that have a meaning in a match expression.
-RESERVED = ("AND", "OR", "NOT", "NEAR", "MATCH")
+#: Words that have a meaning in a match expression, and what its words are made of.
+RESERVED = ("AND", "MATCH", "NEAR", "NOT", "OR")
+WORD = "[A-Za-zА-Яа-яЁё0-9_]+"
 
 
 def sanitized(expression: str, most: int = 500) -> str:
-    """A match expression that is safe to run: quoted phrases and words joined by OR, without column references, single letters, reserved words and repeats; whole terms up to ``most`` characters."""
-    text = re.sub(r"\b\w+:", " ", expression.replace("\\", " ").replace("'", " ").replace(";", " "))
-    found = re.findall(r'"([^"]*)"|([^\s()"]+)', text)
-    out, seen, size = [], set(), 0
-    for phrase, word in found:
-        term = '"' + " ".join(re.findall(r"[\w*]+", phrase)) + '"' if phrase else re.sub(r"[^\w*]", " ", word).strip()
-        term = f'"{term}"' if " " in term and not phrase else term
-        bare = term.strip('"*').strip()
-        if len(bare) < 2 or bare.upper() in RESERVED or bare.lower() in seen:
-            continue
-        if size + len(term) + 4 * bool(out) > most:
+    """A match expression that is safe to run: phrases and words joined by OR, without column references, single letters, reserved words and repeats; whole terms up to ``most`` characters.
+
+    Semicolons, apostrophes and backslashes go, and so do all parentheses or quotes that don't come in pairs. Of each part between two ORs the
+    phrases come first; a star anywhere else in a part makes all its words prefixes.
+    """
+    text = re.sub(r"[;'\\]", "", re.sub(r"\b\w+\s*:", "", expression))
+    if text.count("(") != text.count(")"):
+        text = re.sub("[()]", "", text)
+    if text.count('"') % 2:
+        text = text.replace('"', "")
+    fit = lambda found: [w for w in found if len(w) >= 2 and w.upper() not in RESERVED]
+    terms: dict[str, str] = {}
+    for part in re.split(r"(?i)\bOR\b", text):
+        for phrase in re.findall('"([^"]+)"', part):
+            if words := fit(re.findall(WORD, phrase)):
+                term = " ".join(words)
+                terms.setdefault(f'"{term}"'.lower() if len(words) > 1 else term.lower(), f'"{term}"' if len(words) > 1 else term)
+        rest = re.sub('"[^"]+"', " ", part)
+        for word in fit(re.findall(WORD, rest)):
+            term = f"{word}*" if "*" in rest else word
+            terms.setdefault(term.lower(), term)
+    out = ""
+    for term in terms.values():
+        longer = f"{out} OR {term}" if out else term
+        if len(longer) > most:
             break
-        size += len(term) + 4 * bool(out)
-        seen.add(bare.lower())
-        out.append(term)
-    return " OR ".join(out)
+        out = longer
+    return out
 
 
 def forced_or(expression: str) -> str:

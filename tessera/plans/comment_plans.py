@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.model_json import model_json
+from ..operators import answers as A
 from ..operators import comments as C
 from ..operators import community as Q
 from ..operators import evidence as V
 from ..operators import funnel as P
 from ..operators import video as H
 from ..operators.retrieval import top
+from ..sources import exports as E
 from ..sources import tables as T
 from ..sources.shared import shared_path
+from ..streaming import jobs
+from ..streaming import queue as W
 from .registry import query
 
 D, CM = T.DOCS_SQL, T.COMMENTS_SQL
@@ -151,29 +156,81 @@ def json_repair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.when(fixed.isNull(), "unrecoverable").when(fixed == text, "valid").otherwise("fixed").alias("state"), F.get_json_object(fixed, "$.k").cast("long").alias("k"))
 
 
-@query(f"""WITH {D}, q AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'pending' WHEN doc_id % 4 = 1 THEN 'checked' ELSE 'none' END AS state, 1 AS v FROM docs UNION ALL
- SELECT doc_id, CASE WHEN doc_id IN (SELECT conv_id FROM conversations) THEN 'checked' ELSE 'no-comments' END, 2 FROM docs WHERE doc_id % 4 = 0) SELECT doc_id, arg_max(state, v) AS state FROM q GROUP BY doc_id""")
+#: When a group was put into the queue (some twice), how many attempts of its work fail, and the end of the stream.
+QUEUED = "SELECT doc_id, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 37 % 5000) AS t0, doc_id % 5 AS fails FROM documents"
+
+
+@query(f"""WITH q AS ({QUEUED}), has AS (SELECT DISTINCT conv_id AS doc_id FROM conversations), a AS (SELECT q.*, has.doc_id IS NOT NULL AS has FROM q LEFT JOIN has USING (doc_id)), w AS (SELECT max(t0) AS wm FROM a),
+e AS (SELECT doc_id, t0, has, fails FROM a UNION ALL SELECT doc_id, t0 + INTERVAL 90 SECOND, has, fails FROM a WHERE doc_id % 4 = 0 AND t0 + INTERVAL 90 SECOND <= (SELECT wm FROM w)),
+n AS (SELECT *, lead(t0) OVER (PARTITION BY doc_id ORDER BY t0) AS nxt FROM e),
+t AS (SELECT doc_id, t0, nxt, has, fails, unnest([0, 60, 180]) AS after, unnest([1, 2, 3]) AS attempt FROM n WHERE has),
+s AS (SELECT doc_id, t0 + to_seconds(after) AS t0, attempt AS attempts, CASE WHEN attempt > fails THEN 'checked' WHEN attempt = 3 THEN 'error' ELSE 'pending' END AS state FROM t, w WHERE attempt <= fails + 1 AND t0 + to_seconds(after) <= wm AND (nxt IS NULL OR after = 0 OR t0 + to_seconds(after) <= nxt)
+ UNION ALL SELECT doc_id, t0, 0, 'no-comments' FROM n WHERE NOT has)
+SELECT doc_id, state, attempts FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t0 DESC, attempts) = 1""")
 def topic_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending groups are worked on: checked if they have comments, else marked as without; the latest state of each holds."""
-    ids = T.docs(spark, sf_dir).select("doc_id")
-    n = F.col("doc_id") % 4
-    before = ids.select("doc_id", F.when(n == 0, "pending").when(n == 1, "checked").otherwise("none").alias("state"), F.lit(1).alias("v"))
-    has = T.comments(spark, sf_dir).select("doc_id", F.lit(True).alias("has")).distinct()
-    after = before.filter("state = 'pending'").join(has, "doc_id", "left").select("doc_id", F.when(F.col("has"), "checked").otherwise("no-comments").alias("state"), F.lit(2).alias("v"))
-    return C.latest(before.unionByName(after), ["doc_id"], [F.desc("v")]).select("doc_id", "state")
+    """What has become of each group by the end of the stream: checked, without comments, waiting for another attempt, or given up after three."""
+    folder, late = shared_path(spark, "queue"), F.col("doc_id") % 4 == 0
+    has = T.comments(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_comments"))
+    d = T.raw(spark, sf_dir, "documents").select("doc_id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 37 % 5000).alias("at"), (F.col("doc_id") % 5).cast("string").alias("payload"))
+    events = d.join(has, "doc_id", "left").select(F.col("doc_id").alias("group_id"), "at", F.coalesce("n_comments", F.lit(0)).alias("n_comments"), "payload", late.alias("late"))
+    last = events.agg(F.max("at").alias("last"))
+    again = events.filter("late").withColumn("at", F.expr("at + INTERVAL 90 SECONDS")).crossJoin(F.broadcast(last)).filter("at <= last").drop("last")
+    events = events.unionByName(again).drop("late")
+    events.repartitionByRange(4, "at").sortWithinPartitions("at").write.parquet(f"{folder}/in")
+
+    def work(group_id: int, payload: str, attempt: int) -> None:
+        if attempt <= int(payload):
+            raise RuntimeError("not yet")
+
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+    with W.timers(spark):
+        steps = jobs.run_once(W.worked(stream, work), "queue", folder)
+    last = F.max_by(F.struct("state", "attempts"), F.struct("at", -F.col("attempts")))
+    return steps.groupBy(F.col("group_id").alias("doc_id")).agg(last.alias("s")).select("doc_id", "s.state", "s.attempts")
+
+
+#: Answers of models: JSON, in prose and fences, with single quotes and bare names, cut off, and none.
+ANSWERED = "CASE event_id % 6 WHEN 0 THEN concat('{\"k\": ', event_id, ', \"s\": [1, 2]}') WHEN 1 THEN concat('Sure! ```json', chr(10), '{\"k\": ', event_id, ', \"s\": [1, 2,]}', chr(10), '``` Bye.') WHEN 2 THEN concat('{', chr(39), 'k', chr(39), ': ', event_id, ', s: ', chr(39), 'it', chr(39), ', }') WHEN 3 THEN concat('It is {\"k\": ', event_id, ', \"s\": [1, 2') WHEN 4 THEN event_type ELSE concat('[{', chr(39), 'k', chr(39), ': ', event_id, '}, True, None]') END"
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 2 THEN '{\"k\": ' || event_id || ', \"s\": \"it\"}' WHEN 4 THEN NULL WHEN 5 THEN '[{\"k\": ' || event_id || '}, true, null]' ELSE '{\"k\": ' || event_id || ', \"s\": [1, 2]}' END AS json FROM events")
+def json_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of models' answers, repaired where it must be."""
+    return T.dealt(T.raw(spark, sf_dir, "events")).select("event_id", model_json(F.expr(ANSWERED)).alias("json"))
 
 
 # Evidence.
 
+#: Notes with links of every kind: named ones, one that is the name of another, pairs of parentheses, punctuation behind, repeats, none.
+NOTE = (
+    "concat('See [the  page](', url, '), [https://github.com/o/r', page_id, '](https://b.org/x_(', page_id, ')) and (http://c.com/a_(b)). ', CASE page_id % 4 WHEN 0 THEN concat('<', url, '>, or \"https://t.me/c/', page_id, '\"... ') "
+    "WHEN 1 THEN repeat('word and ', 40) WHEN 2 THEN concat('https://www.youtube.com/watch?v=', page_id, '}*! ') ELSE 'http:// [no](https://) ' END, CASE WHEN page_id % 3 = 0 THEN html ELSE '' END)"
+)
+_W = r"\s\x0B\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_MD, _URL = rf"\[([^\]\n]{{1,200}})\]\((https?://(?:[^{_W}()]|\([^{_W}()]*\))+)\)", rf"https?://[^{_W}<>\]\"'']+"
+_AT = "list_transform(range(1, len({w}) + 1), lambda i: list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({w}[1:i - 1], lambda x: length(x))), 0))"
+LINKS_SQL = rf"""ma AS (SELECT page_id, t, regexp_extract_all(t, '{_MD}', 0) AS w, regexp_extract_all(t, '{_MD}', 1) AS l, regexp_extract_all(t, '{_MD}', 2) AS u, string_split_regex(t, '{_MD}') AS b FROM nt),
+m AS (SELECT page_id, unnest(w) AS w, unnest(l) AS l, unnest(u) AS u, unnest({_AT.format(w="w")})::BIGINT AS p0, unnest(range(len(w))) AS i, t FROM ma),
+ua AS (SELECT page_id, t, regexp_extract_all(t, '{_URL}') AS w, string_split_regex(t, '{_URL}') AS b FROM nt),
+u AS (SELECT page_id, unnest(w) AS w, unnest({_AT.format(w="w")})::BIGINT AS p0, unnest(range(len(w))) AS i, t FROM ua),
+al AS (SELECT page_id, 0 AS k, i, w, u, nullif(trim(regexp_replace(l, '\s+', ' ', 'g')), '') AS label, p0, t FROM m
+ UNION ALL SELECT page_id, 1, i, w, w, NULL, p0, t FROM u WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = u.page_id AND u.p0 >= m.p0 + length(m.l) + 3 AND u.p0 < m.p0 + length(m.l) + 3 + length(m.u))),
+cu AS (SELECT *, regexp_replace(u, '[.,;:!?\]}}*]+$', '') AS c FROM al),
+cl AS (SELECT *, left(c, length(c) - least(greatest(length(replace(c, '(', '')) - length(replace(c, ')', '')), 0), length(regexp_extract(c, '\)*$')))) AS url, greatest(p0 - 110, 0) AS s, least(p0 + length(w) + 110, length(t)) AS e FROM cu),
+cx AS (SELECT *, CASE WHEN s > 0 THEN '... ' ELSE '' END || trim(regexp_replace(t[s + 1:e], '[ \t\n\r\f\v]+', ' ', 'g')) || CASE WHEN e < length(t) THEN ' ...' ELSE '' END AS context FROM cl WHERE regexp_matches(url, '^https?://[^/?#]'))"""
+
 TERMS = {"practitioner": ["ouren", "blethe"], "announcement": ["eral", "released"], "analysis": ["thion", "ction"]}
 LOW = ["thanks", "the"]
-STYPE = f"CASE WHEN {X.any_sql('t', TERMS['practitioner'])} THEN 'practitioner_experience' WHEN {X.any_sql('t', TERMS['announcement'])} THEN 'announcement' WHEN {X.any_sql('t', TERMS['analysis'])} THEN 'analysis' WHEN c > 0 AND c < 360 THEN 'mention' ELSE 'unknown' END"
-EV = f"""x AS (SELECT doc_id, lower(text) AS t, length(trim(text)) AS c, CASE WHEN n >= 2400 THEN 'HIGH' ELSE 'MEDIUM' END AS rel FROM docs),
+STYPE = f"CASE WHEN {X.any_sql('t', TERMS['practitioner'])} THEN 'practitioner_experience' WHEN {X.any_sql('t', TERMS['announcement'])} AND links > 0 THEN 'tool_release' WHEN {X.any_sql('t', TERMS['announcement'])} THEN 'announcement' WHEN {X.any_sql('t', TERMS['analysis'])} THEN 'analysis' WHEN c > 0 AND c < 360 THEN 'mention' ELSE 'unknown' END"
+#: A third of the documents end with links, two of them alike.
+SOURCED = "concat(text, CASE WHEN doc_id % 3 = 0 THEN concat(' Code: https://github.com/o/r', doc_id % 7, ', [site](https://e.org) and https://e.org.') ELSE '' END)"
+EV = f"""nt AS (SELECT doc_id AS page_id, {SOURCED} AS t FROM docs WHERE text IS NOT NULL), {LINKS_SQL}, lk AS (SELECT page_id AS doc_id, count(DISTINCT url) AS links FROM cx GROUP BY 1),
+x AS (SELECT doc_id, lower({SOURCED}) AS t, length(trim({SOURCED})) AS c, coalesce(links, 0) AS links, created_at, source_id, n, CASE WHEN n >= 2400 THEN 'HIGH' ELSE 'MEDIUM' END AS rel FROM docs LEFT JOIN lk USING (doc_id)),
 cc AS (SELECT doc_id, count(*) FILTER (kind = 'author') AS a, count(*) FILTER (kind = 'community') AS m,
  avg(CASE WHEN kind = 'community' THEN (len(list_filter(string_split_regex(lower(trim(comment_text)), '\\s+'), lambda w: w <> '')) <= 4 OR {X.any_sql('lower(trim(comment_text))', LOW)})::INT END) AS noise FROM comments GROUP BY doc_id),
 y AS (SELECT x.*, coalesce(a, 0) AS a, coalesce(m, 0) AS m, coalesce(noise, 0) AS noise, {STYPE} AS kind FROM x LEFT JOIN cc USING (doc_id)),
 z AS (SELECT *, CASE WHEN a > 0 AND m > 0 THEN 'mixed' WHEN a > 0 THEN 'author_support' WHEN m > 0 AND noise >= 0.7 THEN 'mostly_noise' WHEN m > 0 THEN 'community_support' ELSE 'none' END AS signal,
- CASE WHEN kind IN ('announcement', 'mention') THEN 'shallow' WHEN kind = 'practitioner_experience' AND (rel = 'HIGH' OR a > 0 OR c >= 260) THEN 'deep_practical' WHEN kind = 'analysis' AND c >= 700 THEN 'deep_practical'
+ CASE WHEN kind IN ('announcement', 'mention') THEN 'shallow' WHEN kind = 'tool_release' AND c < 700 THEN 'shallow' WHEN kind = 'practitioner_experience' AND (rel = 'HIGH' OR a > 0 OR c >= 260) THEN 'deep_practical' WHEN kind = 'analysis' AND c >= 700 THEN 'deep_practical'
  WHEN c >= 450 OR a + m > 0 OR rel = 'HIGH' THEN 'moderate' WHEN c > 0 THEN 'shallow' ELSE 'unknown' END AS depth FROM y)"""
 
 
@@ -181,24 +238,50 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = F.avg(F.when(F.col("kind") == "community", V.is_noise(F.col("comment_text"), LOW).cast("int")))
     of = lambda k: F.count_if(F.col("kind") == k)
     c = T.comments(spark, sf_dir).groupBy("doc_id").agg(of("author").alias("a"), of("community").alias("m"), noise.alias("noise"))
-    d = T.docs(spark, sf_dir).select("doc_id", F.lower("text").alias("t"), F.char_length(F.trim("text")).alias("c"), F.when(F.col("n") >= 2400, "HIGH").otherwise("MEDIUM").alias("rel"))
-    rows = d.join(c, "doc_id", "left").fillna(0, ["a", "m", "noise"])
-    rows = rows.withColumn("kind", V.source_type(F.col("t"), F.col("c"), F.lit(0), TERMS)).withColumn("signal", V.comment_signal(F.col("a"), F.col("m"), F.col("noise")))
-    return rows.withColumn("depth", V.depth(F.col("kind"), F.col("rel"), F.col("c"), F.col("a"), F.col("m")))
+    d = T.docs(spark, sf_dir).withColumn("text", F.expr(SOURCED))
+    linked = V.links_of(d).groupBy("doc_id").agg(F.count("*").alias("links"))
+    d = d.select("doc_id", "source_id", "created_at", "n", F.lower("text").alias("t"), F.char_length(F.trim("text")).alias("c"), F.when(F.col("n") >= 2400, "HIGH").otherwise("MEDIUM").alias("rel"))
+    rows = d.join(c, "doc_id", "left").join(linked, "doc_id", "left").fillna(0, ["a", "m", "noise", "links"])
+    rows = rows.withColumn("kind", V.source_type(F.col("t"), F.col("c"), F.col("links"), TERMS)).withColumn("signal", V.comment_signal(F.col("a"), F.col("m"), F.col("noise")))
+    rows = rows.withColumn("depth", V.depth(F.col("kind"), F.col("rel"), F.col("c"), F.col("a"), F.col("m")))
+    return rows.withColumn("confidence", V.confidence(F.col("kind"), F.col("depth"), F.col("rel"), F.col("signal")))
 
 
-@query(f"""WITH {D}, {CM}, {EV} SELECT doc_id, kind, signal, depth, CASE WHEN depth = 'deep_practical' AND rel = 'HIGH' AND signal IN ('author_support', 'mixed', 'community_support') THEN 'high'
+CONFIDENCE = """CASE WHEN depth = 'deep_practical' AND rel = 'HIGH' AND signal IN ('author_support', 'mixed', 'community_support') THEN 'high'
  WHEN rel = 'HIGH' AND signal IN ('author_support', 'mixed', 'community_support') AND depth <> 'unknown' THEN 'medium' WHEN depth = 'shallow' OR kind IN ('announcement', 'mention') THEN 'low'
- WHEN rel = 'HIGH' OR depth IN ('deep_practical', 'moderate') THEN 'medium' ELSE 'low' END AS confidence FROM z""")
+ WHEN rel = 'HIGH' OR depth IN ('deep_practical', 'moderate') THEN 'medium' ELSE 'low' END"""
+
+
+@query(f"WITH {D}, {CM}, {EV} SELECT doc_id, kind, signal, depth, {CONFIDENCE} AS confidence FROM z")
 def evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    return evidence(spark, sf_dir).select("doc_id", "kind", "signal", "depth", V.confidence(c("kind"), c("depth"), c("rel"), c("signal")).alias("confidence"))
+    return evidence(spark, sf_dir).select("doc_id", "kind", "signal", "depth", "confidence")
 
 
 @query(f"""WITH {D}, {CM}, {EV} SELECT doc_id, array_to_string(list_filter([CASE WHEN depth = 'shallow' THEN 'short or announcement-like source' END, CASE WHEN kind IN ('announcement', 'tool_release') THEN 'announcement/release signal, not deep analysis' END,
- CASE WHEN signal = 'mostly_noise' THEN 'comments mostly noise' WHEN signal <> 'none' THEN 'comments: ' || signal END], lambda s: s IS NOT NULL), '; ') AS notes FROM z""")
+ CASE WHEN signal = 'mostly_noise' THEN 'comments mostly noise' WHEN signal <> 'none' THEN 'comments: ' || signal END, CASE WHEN links > 0 THEN 'external links are author-supplied and not fetched' END], lambda s: s IS NOT NULL), '; ') AS notes FROM z""")
 def evidence_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence(spark, sf_dir).select("doc_id", V.notes(F.col("kind"), F.col("depth"), F.col("signal"), F.lit(0)).alias("notes"))
+    return evidence(spark, sf_dir).select("doc_id", V.notes(F.col("kind"), F.col("depth"), F.col("signal"), F.col("links")).alias("notes"))
+
+
+@query(f"""WITH {D}, {CM}, {EV}, {T.LINKS_SQL.replace("n AS (", "nn AS (").replace("% n)", "% nn.n)").replace(", n)", ", nn)")}, ln AS (SELECT src AS doc_id, count(*) AS k FROM links GROUP BY 1)
+SELECT source_id || ':' || doc_id AS source_key, source_id AS expert_id, doc_id::VARCHAR AS telegram_message_id, rel AS relevance, strftime(created_at, '%Y-%m-%d') AS created_at, CASE doc_id % 3 WHEN 0 THEN 'first  of ' || doc_id ELSE '' END AS reason,
+ depth AS evidence_depth, kind AS source_type, signal AS comment_signal, {CONFIDENCE} AS confidence, z.links::VARCHAR AS external_links_count, a::VARCHAR AS author_comments_count, m::VARCHAR AS community_comments_count, coalesce(k, 0)::VARCHAR AS linked_context_count, n::VARCHAR AS content_chars
+FROM z LEFT JOIN ln USING (doc_id)""")
+def sink_index_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all sources as tab-separated files, read back. Some are listed twice, the second time with other values, and have reasons with tabs and ends of lines."""
+    path = shared_path(spark, "index-tsv")
+    linked = T.links(spark, sf_dir).groupBy(F.col("src").alias("doc_id")).agg(F.count("*").alias("k"))
+    e, c = evidence(spark, sf_dir).join(linked, "doc_id", "left"), F.col
+    reason = F.when(c("doc_id") % 3 == 0, F.concat(F.lit("\tfirst\r\nof "), "doc_id", F.lit("\n")))
+    cells = (
+        F.concat_ws(":", "source_id", "doc_id"), c("source_id"), c("doc_id"), c("rel"), F.date_format("created_at", "yyyy-MM-dd"), reason, c("depth"), c("kind"), c("signal"), c("confidence"),
+        c("links"), c("a"), c("m"), F.coalesce("k", F.lit(0)), c("n"),
+    )
+    rows = e.select(*(x.alias(name) for x, name in zip(cells, E.INDEX, strict=True)), c("doc_id").alias("place"))
+    again = rows.filter(c("place") % 5 == 0).withColumn("relevance", F.lit("LOW")).withColumn("place", c("place") + (1 << 40))
+    E.write_index(rows.unionByName(again), "place", path)
+    back = spark.read.schema(", ".join(f"{n} string" for n in E.INDEX)).csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="\0")
+    return back.fillna("")
 
 
 @query(f"WITH {D}, {CM}, {EV} SELECT doc_id FROM z WHERE signal = 'mostly_noise'")
@@ -206,53 +289,70 @@ def comments_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence(spark, sf_dir).filter("signal = 'mostly_noise'").select("doc_id")
 
 
-URLS = "list_distinct(list_transform(regexp_extract_all(regexp_replace(html, '\\[([^\\]]*)\\]\\((https?://[^\\s()]*(?:\\([^\\s()]*\\)[^\\s()]*)*)\\)', ' ', 'g'), 'https?://[^\\s<>\"''\\]]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', '')))"
-
-
-@query(f"SELECT doc_id, u AS url, CASE WHEN ends_with(u, ')') AND NOT contains(u, '(') THEN 1 ELSE 0 END AS open FROM (SELECT page_id AS doc_id, unnest({URLS}) AS u FROM pages) WHERE open = 0 UNION ALL SELECT page_id, url, 2 FROM pages")
+@query(rf"""WITH nt AS (SELECT page_id, {NOTE} AS t FROM pages), {LINKS_SQL} SELECT page_id, url, label, context FROM cx QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY k, i) = 1""")
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The URLs in each page's source; and each page's own one, found in a note about it."""
-    pages = T.raw(spark, sf_dir, "pages")
-    inside = V.links_of(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))).select("doc_id", "url", F.lit(0).alias("open"))
-    noted = V.links_of(pages.select(F.col("page_id").alias("doc_id"), F.concat(F.lit("See <"), "url", F.lit(">, or elsewhere.")).alias("text")))
-    return inside.unionByName(noted.select("doc_id", "url", F.lit(2).alias("open")))
+    """The links of a note about each page, with their labels and what stands around them."""
+    notes = T.raw(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.expr(NOTE).alias("text"))
+    return V.links_of(notes).select(F.col("doc_id").alias("page_id"), "url", "label", "context")
 
 
-ERROR = "event_type || CASE event_id % 6 WHEN 0 THEN ': HTTP 429' WHEN 1 THEN ' Unauthorized' WHEN 2 THEN ': read timed out' WHEN 3 THEN ' 503' WHEN 4 THEN ' over quota, 401' ELSE '' END"
+#: Messages with and without a pattern, and status codes; what the class is of each.
+ERROR = (
+    "CASE event_id % 13 WHEN 0 THEN 'HTTP 402 Payment  Required' WHEN 1 THEN concat(event_type, ': Quota for user ', user_id, ' EXCEEDED') WHEN 2 THEN 'rate limit' WHEN 3 THEN concat('Malformed request ', event_id) WHEN 4 THEN 'Access denied' "
+    "WHEN 5 THEN concat('model ', event_type, ' was not found') WHEN 6 THEN 'Connection to host refused' WHEN 7 THEN '503 Service Unavailable' WHEN 8 THEN '' WHEN 9 THEN 'too many requests: server error' ELSE concat(event_type, ' failed') END"
+)
+STATUS_CODE = "CASE event_id % 17 WHEN 0 THEN 402 WHEN 1 THEN 429 WHEN 2 THEN 422 WHEN 3 THEN 403 WHEN 4 THEN 504 WHEN 5 THEN 418 END"
 
 
-@query(f"""SELECT event_id, CASE WHEN regexp_matches(m, '429|rate limit|quota') THEN 'rate_limit' WHEN regexp_matches(m, '401|403|unauthorized|forbidden') THEN 'auth' WHEN regexp_matches(m, 'timeout|timed out') THEN 'timeout' WHEN regexp_matches(m, '50[0-9]|unavailable') THEN 'server' ELSE 'unknown' END AS class
- FROM (SELECT event_id, lower({ERROR}) AS m FROM events)""")
+@query(f"""SELECT event_id, CASE event_id % 13 WHEN 0 THEN 'payment_required' WHEN 1 THEN 'payment_required' WHEN 2 THEN 'rate_limit' WHEN 3 THEN 'invalid_request' WHEN 4 THEN 'insufficient_permissions' WHEN 5 THEN 'model_unavailable' WHEN 6 THEN 'network_error'
+ WHEN 7 THEN 'server_error' WHEN 8 THEN 'unknown_error' WHEN 9 THEN 'rate_limit' ELSE CASE {STATUS_CODE} WHEN 402 THEN 'payment_required' WHEN 429 THEN 'rate_limit' WHEN 422 THEN 'invalid_request' WHEN 403 THEN 'insufficient_permissions' WHEN 504 THEN 'server_error' ELSE 'unknown_error' END END AS class FROM events""")
 def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.raw(spark, sf_dir, "events").select("event_id", V.error_class(F.expr(ERROR)).alias("class"))
-
-
-CHECKED = {"passport": ["the", "and", "of", "to", "a", "in"], "method": ["because", "ction"], "limits": ["but", "not"], "next": ["then", "eral"], "risk": ["thin", "risk"], "evidence": ["ouren", "blethe", "thion", "that"]}
-ANSWER = "text || ' [' || source || ':' || doc_id || '] [' || source || ':' || (doc_id + 1) || ']' || CASE WHEN doc_id % 4 = 0 THEN ' of ' || source ELSE '' END"
-_HITS = lambda name: X.n_sql("low", CHECKED[name])
-CHECKS_SQL = f"""a AS (SELECT doc_id AS case_id, lower(answer) AS low, answer, source, doc_id, len(list_filter(string_split_regex(answer, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS words FROM (SELECT *, CASE WHEN doc_id % 9 = 0 THEN '{{' ELSE '' END || {ANSWER} AS answer FROM documents)),
-c AS (SELECT case_id, unnest(['not_raw', 'passport', 'scope', 'grounding', 'no_unknown_sources', 'length', 'method', 'limits', 'next_steps', 'risks', 'evidence']) AS name, unnest([1.5, 1.0, 1.0, 1.5, 1.0, 0.5, 1.0, 1.0, 0.5, 0.5, 1.0]) AS weight,
- unnest([(doc_id % 9 <> 0)::INT::DOUBLE, least({_HITS("passport")} / 4, 1), 1.0, (doc_id % 5 <> 0)::INT::DOUBLE, (doc_id % 5 <> 0)::INT / 2, CASE WHEN words BETWEEN 20 AND 2000 THEN 1.0::DOUBLE ELSE least(1, words / 20, 2000 / words) END, least({_HITS("method")}, 1), least({_HITS("limits")}, 1), least({_HITS("next")}, 1), least({_HITS("risk")}, 1), least({_HITS("evidence")} / 2, 1)]::DOUBLE[]) AS score FROM a)"""
+    return T.raw(spark, sf_dir, "events").select("event_id", V.error_class(F.expr(ERROR), F.expr(STATUS_CODE)).alias("class"))
+
+
+#: Each document as an answer in a scenario of its own: with and without what each check looks for.
+SAYS = (
+    "concat(CASE WHEN doc_id % 9 = 0 THEN '  {' ELSE '' END, text, ' [', source, ':', doc_id, '] [', source, ':', doc_id + 1, ']', CASE WHEN doc_id % 4 = 0 THEN ' of Tech &  Business' ELSE '' END, "
+    "CASE WHEN doc_id % 3 = 0 THEN ' query_sent experts_sent response_mode target: WARNINGS, source_refs and source_key; caveat: похоже' ELSE ' source_expand target mode' END, CASE WHEN doc_id % 11 = 0 THEN ' It is a proven  fact.' ELSE '' END, "
+    "CASE WHEN doc_id % 13 = 0 THEN ' I fetched external pages' ELSE '' END)"
+)
+#: Of a scenario what the SQL and the query both say; the rest is null and so as by default.
+MODE, GROUP, FORBIDDEN, COVER = "CASE WHEN doc_id % 5 = 0 THEN 'source_expand' ELSE 'expert_digest' END", "CASE WHEN doc_id % 2 = 0 THEN 'tech_business' END", "CASE WHEN doc_id % 7 < 3 THEN 'target: w' END", "array('license', 'ouren')"
+KNOWN = "CASE doc_id % 5 WHEN 0 THEN concat('none:', doc_id) WHEN 1 THEN NULL ELSE concat(source, ':', doc_id) END"
+_N = "len(list_filter([{}], lambda t: contains(low, t)))"
+_LOW = lambda terms: _N.format(", ".join(f"'{t}'" for t in terms))
+CHECKS_SQL = rf"""a0 AS (SELECT *, {SAYS} AS answer, {MODE} AS mode, {GROUP} AS grp, {FORBIDDEN} AS bad, {KNOWN} AS known FROM documents),
+a AS (SELECT *, lower(regexp_replace(trim(answer, E' \t\n\r\f\v'), '[ \t\n\r\f\v]+', ' ', 'g')) AS low, length(answer) AS size FROM a0),
+f AS (SELECT *, {_LOW(A.PROOF)} > 0 AS proof, {_LOW(A.FETCHED)} > 0 AS fetched, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE source END AS filter FROM a),
+g AS (SELECT *, list_distinct(regexp_extract_all(answer, '(?i)\b([a-z][a-z0-9_]+:[0-9]+)\b', 1)) AS cited, len(CASE WHEN filter IS NULL THEN [] ELSE [filter] END) AS n_filter FROM f),
+h AS (SELECT *, CASE WHEN known IS NOT NULL THEN len(list_filter(cited, lambda k: k = known)) WHEN len(list_filter(cited, lambda k: split_part(k, ':', 1) = filter)) > 0 THEN len(list_filter(cited, lambda k: split_part(k, ':', 1) = filter)) ELSE len(cited) END AS matched FROM g),
+c0 AS (SELECT doc_id AS case_id, unnest(['not_raw_json', 'request_passport', 'scope_fidelity', 'source_grounding', 'signal_honesty', 'forbidden_terms', 'coverage', 'relay_delivery', 'brevity', 'expand_path', 'external_boundary']) AS name,
+ unnest([1.5, 1.0, 1.0, 1.5, 1.25, CASE WHEN bad IS NULL THEN 0.5 ELSE 1.0 END, 1.5, 1.0, 0.75, 0.75, 0.75]::DOUBLE[]) AS weight,
+ unnest([CASE WHEN starts_with(low, '{{') THEN 0 ELSE 1 END, CASE WHEN mode = 'source_expand' THEN {_LOW(A.PASSPORT["source_expand"])} ELSE {_LOW(A.PASSPORT[""])} END / 4,
+  CASE WHEN grp IS NULL AND n_filter = 0 THEN 1 ELSE (CASE WHEN grp IS NOT NULL THEN {_LOW(("tech_business", "tech business", "tech & business"))} ELSE 0 END + coalesce(contains(low, filter)::INT, 0)) END, matched / 2,
+  CASE WHEN proof THEN 0 ELSE {_LOW(A.CAUTION)} / 2 END, CASE WHEN bad IS NOT NULL AND contains(low, bad) THEN 0 ELSE 1 END, (contains(low, 'license') OR contains(low, 'ouren'))::INT,
+  CASE WHEN mode = 'source_expand' THEN {_LOW(A.DELIVERY["source_expand"])} ELSE {_LOW(A.DELIVERY[""])} END / 3, CASE WHEN size > 7000 THEN 7000 / size WHEN size < 700 THEN size / 700 ELSE 1 END, {_LOW(A.EXPAND)}, CASE WHEN fetched THEN 0 ELSE 1 END]::DOUBLE[]) AS score,
+ unnest([true, false, false, false, proof, bad IS NOT NULL AND contains(low, bad) AND doc_id % 7 = 0, false, false, false, false, fetched]) AS critical FROM h),
+c AS (SELECT case_id, name, weight, round(least(greatest(score, 0), 1), 3) AS score, critical FROM c0)"""
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as an answer that cites itself and the next one; every fifth one's own key isn't known."""
-    n, key = F.col("doc_id"), lambda i: F.concat_ws(":", "source", i)
-    d = T.raw(spark, sf_dir, "documents")
-    answer = F.concat(F.when(n % 9 == 0, "{").otherwise(""), "text", F.lit(" ["), key(n), F.lit("] ["), key(n + 1), F.lit("]"), F.when(n % 4 == 0, F.concat(F.lit(" of "), "source")).otherwise(""))
-    known = F.when(n % 5 != 0, F.array(key(n))).otherwise(F.array(F.lit("none:0")))
-    checks = V.answer_checks(answer, F.col("source"), known, CHECKED)
-    return d.select(n.alias("case_id"), F.explode(checks).alias("c")).select("case_id", "c.*")
+    """Each document as an answer that cites itself and the next one, by the eleven checks."""
+    fields = {"response_mode": MODE, "expert_group": GROUP, "expert_filter": "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE array(source) END", "min_source_handles": "2", "forbidden_terms": f"CASE WHEN {FORBIDDEN} IS NULL THEN NULL ELSE array({FORBIDDEN}) END", "forbidden_critical": "doc_id % 7 = 0", "must_cover_any": f"array({COVER})"}
+    scenario = F.struct(*(F.expr(fields.get(name, "NULL")).cast(kind).alias(name) for name, kind in A.fields()))
+    keys = F.expr(f"CASE WHEN {KNOWN} IS NULL THEN NULL ELSE array({KNOWN}) END")
+    checks = A.checks(F.expr(SAYS), scenario, keys, {"tech_business": "tech & business"})
+    return T.raw(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.explode(checks).alias("c")).select("case_id", "c.*")
 
 
-@query(f"WITH {CHECKS_SQL} SELECT case_id, name, round(score, 6) AS score FROM c")
+@query(f"WITH {CHECKS_SQL} SELECT case_id, name, weight, score, critical FROM c")
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checked(spark, sf_dir).select("case_id", "name", F.round("score", 6).alias("score"))
+    return checked(spark, sf_dir)
 
 
-@query(f"WITH {CHECKS_SQL} SELECT case_id, round(sum(weight * score) / sum(weight), 6) AS score, round(sum(weight * score) / sum(weight), 6) >= 0.7 AND NOT bool_or(name IN ('not_raw', 'grounding') AND score < 0.5) AS passed FROM c GROUP BY case_id")
+@query(f"WITH {CHECKS_SQL}, q AS (SELECT case_id, round(sum(weight * score) / sum(weight), 3) AS score, bool_or(critical AND score < 1) AS blocked FROM c GROUP BY case_id) SELECT case_id, score, score >= 0.7 AND NOT blocked AS passed FROM q")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.quality(checked(spark, sf_dir))
+    return A.quality(checked(spark, sf_dir))
 
 
 EXPAND = "trim(regexp_replace(d.text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
@@ -361,9 +461,23 @@ def score_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return precise(spark, sf_dir).select("post_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {POSTS}, s AS (SELECT post_id, grp, round({V2}, 9) AS score FROM ps), w AS (SELECT *, max(score) OVER (PARTITION BY grp) >= 0.52 AS st, row_number() OVER (PARTITION BY grp ORDER BY score DESC, post_id) AS k FROM s) SELECT grp, post_id FROM w WHERE CASE WHEN st THEN score >= 0.52 ELSE score >= 0.44 AND k <= 4 END")
+SURE = f"""s AS (SELECT post_id, grp, round({V2}, 9) AS score, {X.n_sql(BOTH, ANCHORS)} AS hits, contains(lower(body), 'the') AS compared FROM ps)"""
+
+
+def gate_sql(intent: str, strict: str, soft: str) -> str:
+    """``s`` through a gate of one intent: rows that are allowed, strictly or not, and the first of them."""
+    return f"""SELECT '{intent}' AS intent, grp, post_id FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, post_id) AS k FROM (SELECT *, bool_or(st) OVER (PARTITION BY grp) AS sure FROM (SELECT *, score >= 0.52 AND {strict} AS st, score >= 0.44 AND {soft} AS so FROM s) WHERE st OR so)
+     WHERE st OR NOT sure) WHERE k <= CASE WHEN sure THEN 12 ELSE 4 END"""
+
+
+@query(f"WITH {POSTS}, {SURE} {gate_sql('any', 'true', 'true')} UNION ALL {gate_sql('anchored', 'hits > 0', 'hits > 0')} UNION ALL {gate_sql('comparison', 'hits > 0 AND NOT (hits >= 2 AND NOT compared)', 'hits > 0')}")
 def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.gated(precise(spark, sf_dir).withColumn("score", F.round("score", 9)), "grp").select("grp", "post_id")
+    """What is shown of each group, if anything will do, if an anchor must be there, and for a comparison."""
+    both = F.concat_ws(" ", F.lower("title"), F.lower("body"))
+    hits = X.n_of(both, ANCHORS)
+    rows = precise(spark, sf_dir).select("post_id", "grp", F.round("score", 9).alias("score"), hits.alias("anchor_hits"), hits.alias("title_anchor_hits"), F.contains(F.lower("body"), F.lit("the")).cast("int").alias("compared"))
+    of = lambda name, **rules: Q.gated(rows, "grp", 12, **rules).select(F.lit(name).alias("intent"), "grp", "post_id")
+    return of("any").unionByName(of("anchored", anchors=True)).unionByName(of("comparison", comparison=True))
 
 
 NK = X.n_sql("lower(title)", KEYS)

@@ -19,19 +19,10 @@ AREAS = {
     "near": ["blethe", "ouren"], "far": ["eral"], "rest": ["license", "rights reserved"], "news": ["der", "that"],
 }
 DEPTHS = {"benchmark": ["ouren"], "case_study": ["blethe"], "howto": ["von ein"], "analysis": ["thion"], "opinion": ["license"], "question": ["?"]}
-RANKS = {"benchmark": 5, "case_study": 4, "howto": 3, "analysis": 3, "opinion": 2, "question": 1, "announcement": 1, "low_signal": 0}
-TOKS = "regexp_extract_all(translate(lower(text), 'àáâäãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}\\p{M}]+')"
-
-
-def area_sql(area: str) -> str:
-    terms = AREAS[area]
-    words = [t for t in terms if t.isascii() and t.isalnum()]
-    parts = [t for t in terms if t not in words]
-    return "(" + " OR ".join([f"len(list_intersect(tk, [{', '.join(repr(w) for w in words)}])) > 0"] * bool(words) + [f"contains(lower(text), '{p}')" for p in parts]) + ")"
-
-
-LABELLED = f"""lt AS (SELECT *, {TOKS} AS tk FROM docs WHERE length(text) > 30), l0 AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {area_sql(a)} THEN '{a}' END" for a in AREAS)}], lambda x: x IS NOT NULL) AS ls FROM lt),
-lab AS (SELECT * EXCLUDE (tk, ls), CASE WHEN len(ls) > 1 THEN list_filter(ls, lambda x: x <> 'news') ELSE ls END AS labels FROM l0)"""
+NEWS = (*K.NEWS, "eral", "une re")
+RANKS = {"benchmark": 5, "case_study": 4, "howto": 3, "analysis": 3, "opinion": 2, "question": 1, "announcement_or_news": 1, "low_signal": 0}
+LABELLED = f"""lt AS (SELECT *, {K.DESCRIBED_SQL} FROM docs WHERE length(text) > 30), l0 AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {K.has_any_sql(AREAS[a])} THEN '{a}' END" for a in AREAS)}], lambda x: x IS NOT NULL) AS ls FROM lt),
+lab AS (SELECT * EXCLUDE (low, tokens, ls), CASE WHEN len(ls) > 1 THEN list_filter(ls, lambda x: x <> 'news') ELSE ls END AS labels FROM l0)"""
 COUNTS = f"WITH {D}, {LABELLED}, ac AS (SELECT source_id, area, count(*) AS count FROM (SELECT source_id, unnest(labels) AS area FROM lab) GROUP BY ALL)"
 STATUS = "CASE WHEN total = 0 OR sources = 0 THEN 'gap' WHEN sources < 2 OR total < 10 THEN 'thin' WHEN sources < 4 OR total < 40 THEN 'medium' ELSE 'strong' END"
 
@@ -54,18 +45,19 @@ def label_explode_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.area_counts(labelled(spark, sf_dir)).withColumnRenamed("count", "n")
 
 
-DEPTH = "CASE " + " ".join(f"WHEN contains(lower(text), '{t}') THEN '{d}'" for d, (t,) in DEPTHS.items()) + " WHEN length(text) < 220 THEN 'low_signal' ELSE 'announcement' END"
+DEPTH = "CASE " + " ".join(f"WHEN {K.has_any_sql(t)} THEN '{d}'" for d, t in DEPTHS.items()) + f" WHEN {K.has_any_sql(NEWS)} THEN 'announcement_or_news' WHEN length(trim(text, E' \\t\\n\\r\\f\\v')) < 220 THEN 'low_signal' ELSE 'announcement_or_news' END"
+DEPTH_ROWS = f"dd AS (SELECT *, {DEPTH} AS depth FROM (SELECT *, {K.DESCRIBED_SQL} FROM documents))"
 
 
-@query(f"SELECT doc_id, {DEPTH} AS depth FROM documents")
+@query(f"WITH {DEPTH_ROWS} SELECT doc_id, depth FROM dd")
 def label_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.docs(spark, sf_dir).select("doc_id", K.depth_label(F.col("text"), DEPTHS).alias("depth"))
+    return T.docs(spark, sf_dir).select("doc_id", K.depth_label(F.col("text"), DEPTHS, news=NEWS).alias("depth"))
 
 
-@query(f"SELECT doc_id, CASE {DEPTH} {" ".join(f"WHEN '{k}' THEN {v}" for k, v in RANKS.items())} END AS rank FROM documents")
+@query(f"WITH {DEPTH_ROWS} SELECT doc_id, CASE depth {" ".join(f"WHEN '{k}' THEN {v}" for k, v in RANKS.items())} END AS rank FROM dd")
 def depth_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))
-    return T.docs(spark, sf_dir).select("doc_id", F.element_at(ranks, K.depth_label(F.col("text"), DEPTHS)).alias("rank"))
+    return T.docs(spark, sf_dir).select("doc_id", F.element_at(ranks, K.depth_label(F.col("text"), DEPTHS, news=NEWS)).alias("rank"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(['ouren', 'blethe', 'von ein', 'tion'], lambda t: contains(lower(text), t)), ',') AS terms FROM documents")
@@ -132,7 +124,7 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.unionByName(p.select(F.lit("source").alias("kind"), F.col("source_id").alias("name"), F.explode(said).alias("what")))
 
 
-PROFILE = f"""{PASS}, dp AS (SELECT source AS source_id, {DEPTH} AS depth, lang FROM documents), hi AS (SELECT source_id, string_agg(depth || ':' || n, ',' ORDER BY depth) AS depths FROM (SELECT source_id, depth, count(*) AS n FROM dp GROUP BY ALL) GROUP BY 1),
+PROFILE = f"""{PASS}, {DEPTH_ROWS}, dp AS (SELECT source AS source_id, depth, lang FROM dd), hi AS (SELECT source_id, string_agg(depth || ':' || n, ',' ORDER BY depth) AS depths FROM (SELECT source_id, depth, count(*) AS n FROM dp GROUP BY ALL) GROUP BY 1),
 tl AS (SELECT source_id, string_agg(lang || ':' || n, ',' ORDER BY n DESC, lang) AS langs FROM (SELECT source_id, lang, count(*) AS n FROM dp GROUP BY source_id, lang QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY n DESC, lang) <= 3) GROUP BY 1)"""
 
 
@@ -140,7 +132,7 @@ tl AS (SELECT source_id, string_agg(lang || ':' || n, ',' ORDER BY n DESC, lang)
 def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios, readiness, numbers of documents by depth and the three most frequent languages of each source."""
     c, d = F.col, T.docs(spark, sf_dir)
-    depths = d.select("source_id", K.depth_label(c("text"), DEPTHS).alias("name")).groupBy("source_id", "name").count()
+    depths = d.select("source_id", K.depth_label(c("text"), DEPTHS, news=NEWS).alias("name")).groupBy("source_id", "name").count()
     langs = R.top(d.groupBy("source_id", c("lang").alias("name")).count(), 3, [F.desc("count"), c("name")])
     listed = lambda df, out, key: df.groupBy("source_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), "name", "count"))), lambda x: F.concat_ws(":", x["name"], x["count"])), ",").alias(out))
     of = passports(spark, sf_dir).join(listed(depths, "depths", c("name")), "source_id").join(listed(langs, "langs", c("rank")), "source_id")

@@ -142,11 +142,17 @@ def date_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.docs(spark, sf_dir).groupBy("source_id").agg(day(F.min("created_at")).alias("first"), day(F.max("created_at")).alias("last"), F.count_distinct(F.date_format("created_at", "yyyy-MM")).alias("months"), F.count("*").alias("docs"))
 
 
-@query(f"WITH {D} SELECT source_id, abs((year(max(created_at)) * 12 + month(max(created_at))) - (year(min(created_at)) * 12 + month(min(created_at))) + 1 - 23) <= 1 AS holds FROM docs GROUP BY 1")
+#: What is claimed of a source's period.
+CLAIM = "CASE CAST(substr(source_id, 4) AS INT) % 6 WHEN 0 THEN 'Последние 23 месяца' WHEN 1 THEN concat('за последний ', substr(source_id, 4), ' месяц, 2 года') WHEN 2 THEN 'с Сентября' WHEN 3 THEN 'август и июль' WHEN 4 THEN 'в июле' ELSE 'недавно' END"
+
+
+@query(f"""WITH {D}, s AS (SELECT source_id, min(created_at) AS a, max(created_at) AS b FROM docs GROUP BY 1), c AS (SELECT *, lower({CLAIM}) AS q, (year(b) - year(a)) * 12 + month(b) - month(a) + 1 AS months FROM s)
+SELECT source_id, CASE WHEN contains(q, 'сентябр') THEN month(a) = 9 OR month(b) = 9 WHEN contains(q, 'август') THEN month(a) = 8 OR month(b) = 8 WHEN contains(q, 'июл') THEN month(a) = 7 OR month(b) = 7
+ WHEN contains(q, 'последн') AND contains(q, 'месяц') AND regexp_matches(q, '[0-9]') THEN abs(months - regexp_extract(q, '[0-9]+')::INT) <= 1 ELSE true END AS holds FROM c""")
 def period_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a claim of 23 months is right to one month."""
-    months = lambda c: F.year(c) * 12 + F.month(c)
-    return T.docs(spark, sf_dir).groupBy("source_id").agg((F.abs(months(F.max("created_at")) - months(F.min("created_at")) + 1 - 23) <= 1).alias("holds"))
+    """Whether what is claimed of each source's period holds for its documents."""
+    spans = T.docs(spark, sf_dir).groupBy("source_id").agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    return spans.select("source_id", P.period_holds(F.expr(CLAIM), F.col("first"), F.col("last")).alias("holds"))
 
 
 WORDS = "list_distinct(string_split_regex(lower({0}), '[ \\t\\n\\r\\f\\v]+'))"

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
+from ..operators import publishing as P
 from ..operators.comments import latest
 from ..sources import tables as T
+from ..sources.shared import shared_path
+from ..sources.store import Store
 from .registry import query
 
 D, L = T.DOCS_SQL, T.LINKS_SQL
@@ -20,6 +23,18 @@ def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.prune_buckets(T.docs(spark, sf_dir).select("doc_id", "source_id", "created_at"), T.links(spark, sf_dir), CUT)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> Store:
+    """The documents and what hangs on them as tables of a store of their own."""
+    store = Store(spark, shared_path(spark, "store"))
+    store.publish(
+        replace={
+            "documents": T.docs(spark, sf_dir).select("doc_id", "source_id", "created_at"), "comments": T.comments(spark, sf_dir).select("doc_id", "comment_id"), "links": T.links(spark, sf_dir),
+            "labels": T.raw(spark, sf_dir, "labels").select("doc_id"), "vectors": T.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding"),
+        }
+    )
+    return store
+
+
 @query(f"{BUCKET} SELECT doc_id, bucket FROM bk")
 def prune_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets(spark, sf_dir).select("doc_id", "bucket")
@@ -37,14 +52,15 @@ def prune_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT 'comments', conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT 'links', src, dst FROM links WHERE src NOT IN (SELECT doc_id FROM gone) AND dst NOT IN (SELECT doc_id FROM gone)
  UNION ALL SELECT 'labels', doc_id, NULL FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT 'vectors', vec_id, NULL FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM gone)""")
 def prune_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of the documents and of all tables that hang on them, once the old ones are gone."""
-    b = buckets(spark, sf_dir)
-    dependent = {
-        "comments": (T.comments(spark, sf_dir).select("doc_id", F.col("comment_id").alias("other")), ["doc_id"]), "links": (T.links(spark, sf_dir).select(F.col("src").alias("doc_id"), F.col("dst").alias("other")), ["doc_id", "other"]),
-        "labels": (T.raw(spark, sf_dir, "labels").select("doc_id", F.lit(None).cast("long").alias("other")), ["doc_id"]), "vectors": (T.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.lit(None).cast("long").alias("other")), ["doc_id"]),
-    }
-    left = M.cascaded(b.filter("bucket = 'delete'").select("doc_id"), dependent)
-    return b.filter("bucket <> 'delete'").select(F.lit("documents").alias("name"), "doc_id", F.lit(None).cast("long").alias("other")).unionByName(left)
+    """What is left of the documents and of all tables that hang on them, vectors too, when the old ones were taken out of all of them as one version."""
+    store = stored(spark, sf_dir)
+    P.prune(store, CUT)
+    none, out = F.lit(None).cast("long"), None
+    columns = {"documents": ("doc_id", none), "comments": ("doc_id", F.col("comment_id")), "links": ("src", F.col("dst")), "labels": ("doc_id", none), "vectors": ("doc_id", none)}
+    for name, (key, other) in columns.items():
+        one = store.read(name).select(F.lit(name).alias("name"), F.col(key).alias("doc_id"), other.alias("other"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"""{BUCKET}, old AS (SELECT doc_id, source_id, created_at FROM bk WHERE created_at < TIMESTAMP '{CUT}'), cc AS (SELECT source_id, count(*) AS comments FROM conversations JOIN old ON conv_id = doc_id GROUP BY 1), ll AS (SELECT source_id, count(*) AS n_links FROM links JOIN old ON src = doc_id GROUP BY 1)
@@ -88,10 +104,39 @@ def comment_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(c, ["doc_id", "author"], [F.desc("comment_id")])
 
 
-@query("""WITH c AS (SELECT CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE lower(n_name) END AS source_id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000) AS n_docs FROM nation UNION ALL SELECT DISTINCT source, 1 FROM documents)
-SELECT source_id, CASE WHEN source_id IS NULL OR NOT regexp_full_match(source_id, '[a-z][a-z0-9_]*') THEN 'bad id' WHEN source_id IN (SELECT source FROM documents) THEN 'exists' WHEN n_docs = 0 THEN 'empty' ELSE 'added' END AS verdict FROM c""")
+CANDIDATES = """c AS (SELECT n_nationkey AS k, CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN 'nation_1' ELSE lower(replace(n_name, ' ', '_')) END AS source_id, 'ch' || CASE n_nationkey WHEN 8 THEN 7 ELSE n_nationkey END AS channel FROM nation WHERE n_nationkey < 10)"""
+
+
+@query(f"""WITH {CANDIDATES}, o AS (SELECT c_nationkey AS k, count(*) AS n, max(c_custkey) AS mark FROM customer GROUP BY 1),
+v AS (SELECT c.*, n, mark, CASE WHEN NOT regexp_full_match(source_id, '[a-z0-9_]+') THEN 'bad id' WHEN k = 6 THEN 'exists' WHEN k = 8 THEN 'exists' WHEN k = 4 THEN 'failed' ELSE 'added' END AS verdict FROM c JOIN o USING (k))
+SELECT source_id, k, verdict, CASE verdict WHEN 'added' THEN n ELSE 0 END AS documents, CASE verdict WHEN 'added' THEN mark ELSE 0 END AS mark, (SELECT sum(n) FROM v WHERE verdict = 'added')::BIGINT AS stored FROM v""")
 def add_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of candidates (nations, by their customers of high balance, and the sources themselves): only new ones with a fit id and documents are added."""
+    """Ten nations are to be sources, with their customers for documents: some have no fit id, an id or a channel that is taken, or an import that breaks off. What became of each, and how many documents are stored after all."""
+    store, rows = Store(spark, shared_path(spark, "sources")), []
+    customers = T.raw(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_nationkey", F.col("c_name").alias("text"))
+    nations = T.raw(spark, sf_dir, "nation").filter("n_nationkey < 10").select("n_nationkey", "n_name").orderBy("n_nationkey").toLocalIterator()
+    for k, name in nations:
+        source_id = {0: name, 1: "nation_1"}.get(k % 5, name.lower().replace(" ", "_"))
+
+        def imported(k: int = k) -> DataFrame:
+            own = customers.filter(F.col("c_nationkey") == k).drop("c_nationkey")
+            return own.withColumn("text", F.raise_error(F.lit("the file is broken"))) if k == 4 else own
+
+        try:
+            got, verdict = P.add_source(store, source_id, name, f"ch{7 if k == 8 else k}", imported), "added"
+        except P.Refused as e:
+            got, verdict = {}, "bad id" if "is no id" in str(e) else "exists"
+        except Exception:
+            got, verdict = {}, "failed"
+        rows.append((source_id, k, verdict, got.get("documents", 0), got.get("mark", 0)))
+    out = spark.createDataFrame(rows, "source_id string, k long, verdict string, documents long, mark long")
+    return out.crossJoin(store.read("documents").agg(F.count("*").alias("stored")))
+
+
+@query("""WITH c AS (SELECT CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE lower(n_name) END AS source_id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000) AS n_docs FROM nation UNION ALL SELECT DISTINCT source, 1 FROM documents)
+SELECT source_id, CASE WHEN source_id IS NULL OR NOT regexp_full_match(source_id, '[a-z0-9_]+') THEN 'bad id' WHEN source_id IN (SELECT source FROM documents) THEN 'exists' WHEN n_docs = 0 THEN 'empty' ELSE 'added' END AS verdict FROM c""")
+def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would become of candidates (nations, by their customers of high balance, and the sources themselves): only new ones with a fit id and documents can be added."""
     known = T.docs(spark, sf_dir).select("source_id").distinct()
     n = T.raw(spark, sf_dir, "customer").filter("c_acctbal > 9000").groupBy("c_nationkey").agg(F.count("*").alias("n_docs"))
     key = F.col("n_nationkey")

@@ -112,7 +112,7 @@ def matrix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOO = """oth AS (SELECT b.*, (SELECT count(*) FROM best x WHERE x.cell_id = b.cell_id AND x.source_id <> b.source_id) AS n_oth, coalesce((SELECT max(score) FROM best x WHERE x.cell_id = b.cell_id AND x.source_id <> b.source_id), 0) AS best_oth,
- (SELECT count(*) FROM best x WHERE x.cell_id = b.cell_id AND x.source_id <> b.source_id AND x.role = 'primary') AS p_oth, (SELECT count(DISTINCT source_id) FROM best x WHERE x.domain = b.domain AND x.intent = b.intent) AS area FROM best b),
+ (SELECT count(*) FROM best x WHERE x.cell_id = b.cell_id AND x.source_id <> b.source_id AND x.role = 'primary') AS p_oth, (SELECT count(DISTINCT source_id) FROM best x WHERE x.domain = b.domain AND x.intent = b.intent) AS area, (SELECT count(*) FROM best x WHERE x.cell_id = b.cell_id AND x.source_id <> b.source_id AND x.score >= 4.0) AS s_oth FROM best b),
 im AS (SELECT *, CASE WHEN n_oth = 0 THEN 'none' WHEN p_oth >= 2 AND best_oth >= 4.3 THEN 'strong_multi_source' WHEN p_oth >= 1 AND best_oth >= 4.3 THEN 'strong_single_source' WHEN best_oth >= 3.5 THEN 'moderate' ELSE 'thin' END AS cov FROM oth),
 ic AS (SELECT *, CASE WHEN role IN ('weak', 'avoid') OR score < 3.3 THEN 'noise_risk' WHEN round(confidence * 5, 3) < 3 THEN 'needs_probe' WHEN refs = 0 THEN 'needs_probe' WHEN subdomain = '3-MEDIUM' THEN 'taxonomy_extension'
  WHEN n_oth > 0 AND (cov IN ('thin', 'moderate') OR score >= best_oth + 0.25) THEN 'deepens_existing_cell' WHEN n_oth > 0 THEN 'likely_duplicate' WHEN area > 1 AND role = 'primary' AND score >= 4.0 THEN 'adds_adjacent_viewpoint'
@@ -147,19 +147,23 @@ def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(spark, sf_dir)
 
 
-@query(f"WITH {BASE}, {LOO}, {SUMMARY} SELECT source_id, overlap_share, overlap_share >= 0.5 AND (duplicate > 0 OR positive >= 2) AS caveat FROM sm")
+DENSITY = """dc AS (SELECT *, n_oth > 0 OR area > 1 AS ov, class IN ('fills_gap', 'adds_adjacent_viewpoint', 'deepens_existing_cell') AS pos, n_oth > 0 AND (cov = 'strong_multi_source' OR s_oth >= 3 OR n_oth >= 3) OR area > 2 AS dense FROM ic),
+dn AS (SELECT source_id, count(*) FILTER (ov) AS overlap_cells, round(count(*) FILTER (ov) / count(*), 3) AS overlap_share, count(*) FILTER (ov AND pos) AS positive_overlap, count(*) FILTER (ov AND dense) AS dense_overlap,
+ count(*) FILTER (ov AND pos AND dense) AS dense_positive, count(*) FILTER (class = 'fills_gap' AND NOT ov) AS clean_gaps, count(*) FILTER (class = 'likely_duplicate') AS dup FROM dc GROUP BY 1),
+dy AS (SELECT *, overlap_share >= 0.5 AND dense_overlap >= 2 AND (dup > 0 OR positive_overlap >= 2) AS caveat FROM dn)"""
+
+
+@query(f"""WITH {BASE}, {LOO}, {DENSITY} SELECT * EXCLUDE (dup), CASE WHEN caveat THEN 'overlap,dense' || CASE WHEN dup > 0 THEN ',duplicate' ELSE '' END || CASE WHEN positive_overlap >= 2 THEN ',adjacent' ELSE '' END ELSE '' END AS reasons FROM dy""")
 def density_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    return summary(spark, sf_dir).select("source_id", "overlap_share", ((c("overlap_share") >= 0.5) & ((c("duplicate") > 0) | (c("positive") >= 2))).alias("caveat"))
+    return X.density(impacts(spark, sf_dir))
 
 
-@query(f"""WITH {BASE}, {LOO}, {SUMMARY} SELECT source_id, CASE WHEN total = 0 THEN 'insufficient_passport_data' WHEN overlap_share >= 0.5 AND (duplicate > 0 OR positive >= 2) AND positive >= 1 AND noise = 0 THEN 'overlap_heavy_needs_stronger_review'
+@query(f"""WITH {BASE}, {LOO}, {SUMMARY}, {DENSITY} SELECT source_id, CASE WHEN total = 0 THEN 'insufficient_passport_data' WHEN caveat AND positive >= 1 AND noise = 0 THEN 'overlap_heavy_needs_stronger_review'
  WHEN positive >= 2 AND duplicate <= positive AND noise = 0 THEN 'promising_needs_human_review' WHEN positive >= 1 AND (probe > 0 OR taxonomy > 0) THEN 'promising_but_probe_or_taxonomy_review' WHEN duplicate = total THEN 'likely_duplicate_or_low_increment'
- WHEN taxonomy > 0 THEN 'taxonomy_review_needed' WHEN noise > 0 AND positive = 0 THEN 'weak_or_noisy' ELSE 'probe_needed' END AS recommendation FROM sm""")
+ WHEN taxonomy > 0 THEN 'taxonomy_review_needed' WHEN noise > 0 AND positive = 0 THEN 'weak_or_noisy' ELSE 'probe_needed' END AS recommendation FROM sm JOIN dy USING (source_id)""")
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    caveat = (c("overlap_share") >= 0.5) & ((c("duplicate") > 0) | (c("positive") >= 2))
-    return summary(spark, sf_dir).select("source_id", X.recommendation(c("total"), c("positive"), c("duplicate"), c("probe"), c("taxonomy"), c("noise"), caveat).alias("recommendation"))
+    c, caveats = F.col, density_summary(spark, sf_dir).select("source_id", "caveat")
+    return summary(spark, sf_dir).join(caveats, "source_id").select("source_id", X.recommendation(c("total"), c("positive"), c("duplicate"), c("probe"), c("taxonomy"), c("noise"), c("caveat")).alias("recommendation"))
 
 
 @query(f"""WITH {BASE}, own AS (SELECT DISTINCT cell_id, domain, intent FROM best WHERE source_id = 'NATION_3'), ex AS (SELECT b.source_id, b.cell_id, b.domain, b.intent, b.score FROM best b JOIN own USING (cell_id) WHERE b.source_id <> 'NATION_3'),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens, tokens_sql
 from ..operators import retrieval as R
+from ..operators.text_index import followed
 from ..sources import tables as T
 from ..sources.shared import shared_path
 from .registry import query
@@ -52,17 +53,14 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.knn(embedded(spark, sf_dir), target(spark, sf_dir), 150, ["source_id"])
 
 
-#: Indexes that this application has built, by the files of the table.
-INDEXES: dict[tuple, R.Index] = {}
+#: Folders of the indexes that this application keeps, by the table's.
+INDEXES: dict[tuple, str] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> R.Index:
-    """The stored index of the documents, built when it is first asked for and again when the table has other files."""
-    docs = T.dealt(T.docs(spark, sf_dir))
-    key = (spark.sparkContext.applicationId, sf_dir, *sorted(docs.inputFiles()))
-    if key not in INDEXES:
-        INDEXES[key] = R.build_index(docs, shared_path(spark, "index"))
-    return INDEXES[key]
+    """The stored index of the documents, brought up to the table's files: built when it is first asked for, changed by what is new or other in them afterwards."""
+    folder = INDEXES.setdefault((spark.sparkContext.applicationId, sf_dir), shared_path(spark, "index"))
+    return followed(T.dealt(T.docs(spark, sf_dir)), folder).index()
 
 
 def found_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +120,7 @@ def fts_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What is asked for, of each document's own fields, in four forms.
-SAID = ["'title:' || source || ' OR \"' || lang || ' d' || doc_id || '\" OR reth* OR from'", "source || ' AND (d' || doc_id || ' OR reth*)'", "source || '; DROP OR \"of  ' || lang || '\" NOT d' || doc_id", "'a OR ' || source || ' OR ' || upper(source)"]
+SAID = ["'title:' || source || ' OR \"' || lang || ' d' || doc_id || '\" OR reth* OR from'", "source || ' AND (d' || doc_id || ' OR reth*)'", "source || '; DROP OR \"of  ' || lang || '\" NOT d' || doc_id", "'a OR ' || source || ' OR ' || upper(source) || ' don' || chr(39) || 't (x)'"]
 FORM = "CASE doc_id % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} ELSE {3} END"
 
 
@@ -130,7 +128,7 @@ def said(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.raw(spark, sf_dir, "documents").select("doc_id", "source", F.expr(FORM.format(*SAID)).alias("expression"))
 
 
-SAFE = ["source || ' OR \"' || lang || ' d' || doc_id || '\" OR reth* OR from'", "source || ' OR d' || doc_id || ' OR reth*'", "source || ' OR DROP OR \"of ' || lang || '\" OR d' || doc_id", "source"]
+SAFE = ["source || ' OR \"' || lang || ' d' || doc_id || '\" OR reth* OR from'", "source || ' OR d' || doc_id || ' OR reth*'", "source || ' OR DROP OR \"of ' || lang || '\" OR d' || doc_id", "source || ' OR dont'"]
 
 
 @query(f"SELECT doc_id, {FORM.format(*SAFE)} AS sanitized FROM documents")
@@ -150,7 +148,7 @@ def match_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said(spark, sf_dir).select("doc_id", R.per_text(R.is_valid, "boolean")(odd).alias("valid"))
 
 
-@query("""SELECT doc_id, source || ' OR from OR reth OR rethorn OR "of the" OR d' || doc_id AS expression FROM documents""")
+@query("""SELECT doc_id, source || ' OR ' || source || '* OR from OR from* OR reth OR rethorn OR "of the" OR reth* OR d' || doc_id || CASE WHEN doc_id >= 10 THEN ' OR d' || doc_id || '*' ELSE '' END AS expression FROM documents""")
 def match_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     question = F.concat(F.lit("is "), "source", F.lit(" from the reth? d"), "doc_id")
     made = R.per_text(lambda q: R.fallback_match(q, {"is", "the"}, {"reth": ["rethorn", "of the"]}))

@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
 from ..sources import tables as T
-from ..sources.shared import shared_path
+from ..sources.retention import clean_files
+from ..sources.shared import shared_path, written
+from ..sources.store import Files
 from ..streaming import jobs
 from .registry import query
 
 
-def streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """The events as a stream of files, and the folder of the job."""
+def streamed(spark: SparkSession, sf_dir: str, again: bool = False) -> tuple[DataFrame, str]:
+    """The events as a stream of files, and the folder of the job; with ``again`` a third of them twice."""
     folder = shared_path(spark, "stream")
     e = T.raw(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp"), "user_id", "event_type", "value")
     e.write.parquet(f"{folder}/in")
+    if again:
+        e.filter("event_id % 6 = 0").unionByName(e.filter("event_id % 6 IN (0, 1)")).write.mode("append").parquet(f"{folder}/in")
     return jobs.event_stream(spark, f"{folder}/in"), folder
 
 
 @query("SELECT event_id FROM events")
 def idempotent_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, folder = streamed(spark, sf_dir)
+    """Each event once, though a third of them come again, some in the same file and some in a later one."""
+    events, folder = streamed(spark, sf_dir, again=True)
     return jobs.run_once(jobs.once(events.select("event_id", "ts")), "once", folder).select("event_id")
 
 
@@ -56,10 +61,22 @@ def monotone_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.raw(spark, sf_dir, "events").select("event_id", F.max(F.expr(PRIORITY)).over(w).alias("phase"))
 
 
-@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, epoch(max(date_trunc('second', ts))) AS t0 FROM events GROUP BY 1), m AS (SELECT max(t0) AS now FROM d)
+SELECT strftime(day, '%Y-%m-%d') AS day, n FROM d, m WHERE t0 >= now - 10 * 86400 OR extract(day FROM day) % 4 = 3""")
 def ttl_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What isn't strictly older than the cutoff stays."""
-    return T.raw(spark, sf_dir, "events").filter(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")).select("event_id")
+    """Artifacts, one of the events of each day, that are left when those of over ten days went; every fourth is a text file, which the limit on JSON files doesn't concern."""
+    folder = shared_path(spark, "artifacts")
+    e = T.raw(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    days = written(e.groupBy("day").agg(F.count("*").alias("n"), F.max("at").alias("at")), "days")
+    files = Files(spark, folder)
+    now = 0
+    for row in days.toLocalIterator():  # a small file a day
+        kind = "txt" if int(row["day"][-2:]) % 4 == 3 else "json"
+        files.create(path := f"{folder}/{row['day']}.{kind}", f'{{"day": "{row["day"]}", "n": {row["n"]}}}')
+        files.fs.setTimes(files.at(path), row["at"] * 1000, -1)
+        now = max(now, row["at"])
+    clean_files(spark, "events", folder, ttl_days=10, now=now)
+    return spark.read.schema("day string, n long").json(folder)
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE conv_id > (SELECT max(conv_id) - 10 FROM conversations)")

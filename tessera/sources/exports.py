@@ -46,6 +46,25 @@ def write_result(df: DataFrame, folder: str, request_id: str) -> str:
     return path
 
 
+#: Columns of the index of a result's sources, in their order.
+INDEX = (
+    "source_key", "expert_id", "telegram_message_id", "relevance", "created_at", "reason", "evidence_depth", "source_type", "comment_signal", "confidence",
+    "external_links_count", "author_comments_count", "community_comments_count", "linked_context_count", "content_chars",
+)
+
+
+def index_rows(rows: DataFrame, place: str) -> DataFrame:
+    """The cells of the index of ``rows`` (INDEX and ``place``, the order in which sources are listed): each key once, where it is first; tabs and ends of lines are spaces, nulls are empty. Rows without a key go."""
+    first = F.min_by(F.struct(*INDEX), F.col(place)).alias("r")
+    once = rows.filter("source_key IS NOT NULL AND source_key <> ''").groupBy(F.col("source_key").alias("k")).agg(first).select("r.*")
+    return once.select(*(F.coalesce(F.trim(F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]", " ")), F.lit("")).alias(c) for c in INDEX))
+
+
+def write_index(rows: DataFrame, place: str, path: str) -> None:
+    """``index_rows`` as tab-separated files with a line of names; nothing is quoted, since no cell has a tab."""
+    index_rows(rows, place).write.csv(path, sep="\t", header=True, quote="", escapeQuotes=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 SEGMENT = "struct<segment_id:bigint,topic_id:string,title:string>"
 
 

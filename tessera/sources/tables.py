@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Files
+
 AS_OF = "2025-12-31 00:00:00"
 #: SQL of the same logical tables, for the oracles.
 DOCS_SQL = """docs AS (SELECT doc_id, text, lang, source AS source_id, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id * 37 % 700 AS INT)) AS created_at,
@@ -54,3 +56,22 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+def tables_in(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The parquet tables of a folder (files or folders named ``x.parquet``), by name, as they are there now."""
+    names = sorted(n.removesuffix(".parquet") for n in Files(spark, folder).names(folder) if n.endswith(".parquet"))
+    return {n: raw(spark, folder, n) for n in names}
+
+
+def catalogued(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a database of the session's catalog, without temporary views."""
+    return {t.name: spark.table(f"{'.'.join(t.namespace)}.{t.name}") for t in spark.catalog.listTables(database) if not t.isTemporary}
+
+
+def counted(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n of each table: one job, which reads no column."""
+    out = spark.createDataFrame([], "name string, n long")
+    for name, rows in tables.items():
+        out = out.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
+    return out

@@ -68,12 +68,6 @@ def test_normalised_rejects_bad_vectors(spark):
     assert got == [[0.6, 0.8], None, None, None]
 
 
-def test_links_of_text(spark):
-    text = "Read [it](https://a.com/x_(1)), (see https://b.org/p). Again https://b.org/p and https://c.net/q?x=1!"
-    got = [(r.url, r.label) for r in V.links_of(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("pos").collect()]
-    assert got == [("https://a.com/x_(1)", "it"), ("https://b.org/p", ""), ("https://c.net/q?x=1", "")]
-
-
 def test_representatives_prefer_new_areas(spark):
     rows = [("s", 1, 100, ["a"]), ("s", 2, 90, ["a"]), ("s", 3, 10, ["b"]), ("s", 4, 80, ["a"])]
     got = K.representatives(spark.createDataFrame(rows, "source_id string, doc_id long, n int, labels array<string>"), 3).orderBy("pos").collect()
