@@ -120,9 +120,15 @@ def chosen(docs: DataFrame, sample: int = MAX_SAMPLE) -> tuple[DataFrame, list[s
     """text, lang, h, place (from 1 in its language, by the hash of the text) of the sample, and the languages in order."""
     labelled = docs.filter((part(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     marks = cut(labelled.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")), "marks")
-    langs = sorted(r[0] for r in marks.select("lang").distinct().collect())
+    counts = {r["lang"]: r["count"] for r in marks.groupBy("lang").count().collect()}
+    langs = sorted(counts)
+    k = max(1, sample // max(1, len(langs)))
+    # The k smallest hashes of a language are, but for chance, below twice the share that k is of it: only those are put in order.
+    share = F.lit(1.0)
+    for lang in langs:
+        share = F.when(F.col("lang") == lang, min(1.0, (2.0 * k + 100) / counts[lang])).otherwise(share)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    few = cut(marks.withColumn("place", place).filter(F.col("place") <= max(1, sample // max(1, len(langs)))), "sample")
+    few = cut(marks.filter(F.col("h") <= share * 2.0**64 - 2.0**63).withColumn("place", place).filter(F.col("place") <= k), "sample")
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     # An id that is there more than once can have the text twice; the sample is MAX_SAMPLE rows, or one a language.
     found = own.join(F.broadcast(few), ["doc_id", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang", "h", "place")
