@@ -39,7 +39,7 @@ from .storage import bound_batches, cut
 BLOCK = 512
 BATCH = 16_384
 #: White space at the end of a text, as the contract counts it.
-SPACES = " \\t\\n\\u000B\\f\\r"
+SPACES = " \\t\\n\\u000B\\u000C\\r"
 ENDS = (".", "!", "?")
 
 #: States: 0 nothing yet, 1 after s, 2 after u, 3 after a. The role that comes next, and the state after it.
