@@ -121,13 +121,14 @@ def representatives(labelled: DataFrame, k: int = 6) -> DataFrame:
     What is chosen depends on what was chosen before, so a source's candidates are gone through in order; of a source
     only the first document of each set of areas, and its k best, can be chosen, and only those are brought together.
     """
-    order = Window.partitionBy("source_id").orderBy(F.desc("n"), "doc_id")
-    ranked = labelled.withColumn("place", F.row_number().over(order))
-    first = F.row_number().over(Window.partitionBy("source_id", "labels").orderBy("place"))
-    candidates = ranked.withColumn("first", first).filter((F.col("place") <= k) | (F.col("first") == 1))
+    best = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("n"), "doc_id"))  # its limit is taken below the shuffle
+    top = labelled.withColumn("place", best).filter(F.col("place") <= k).select("source_id", "doc_id", "labels", "n")
+    key = F.struct((-F.col("n")).alias("n"), "doc_id")
+    first = labelled.groupBy("source_id", "labels").agg(F.min(key).alias("f")).select("source_id", F.col("f.doc_id").alias("doc_id"), "labels", (-F.col("f.n")).alias("n"))
+    candidates = top.unionByName(first).dropDuplicates(["source_id", "doc_id"])
 
     def choose(own):
-        own = own.sort_values("place")
+        own = own.sort_values(["n", "doc_id"], ascending=[False, True])
         seen, picked = set(), []
         for row in own.itertuples():
             if len(picked) < k and set(row.labels) - seen:
@@ -139,7 +140,7 @@ def representatives(labelled: DataFrame, k: int = 6) -> DataFrame:
         out = own.loc[picked, ["source_id", "doc_id"]]
         return out.assign(pos=range(1, len(out) + 1))
 
-    return candidates.select("source_id", "doc_id", "labels", "place").groupBy("source_id").applyInPandas(choose, "source_id string, doc_id long, pos int")
+    return candidates.select("source_id", "doc_id", "labels", "n").groupBy("source_id").applyInPandas(choose, "source_id string, doc_id long, pos int")
 
 
 def spread(df: DataFrame, k: int, by: str, order: list[Column], bucket: Column) -> DataFrame:

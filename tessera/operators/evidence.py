@@ -141,12 +141,15 @@ def error_class(message: Column, status: Column | None = None) -> Column:
 
 
 def expanded(keys: DataFrame, docs: DataFrame, comments: DataFrame, chars: int, most: int) -> DataFrame:
-    """doc_id, found, content (clipped), cut, comments (the first ids), omitted for each of ``keys`` (doc_id); a key that isn't known is a row too."""
-    wanted = docs.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("k"), clip(F.col("text"), chars).alias("content"), (F.char_length(squeeze(F.col("text"))) > chars).alias("cut"))
-    own = comments.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("comment_id")))
-    listed = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("r") <= most, F.col("comment_id")))).cast("array<string>"), ",").alias("comments"))
-    rows = keys.join(wanted, F.col("doc_id") == F.col("k"), "left").join(listed.withColumnRenamed("doc_id", "c"), F.col("k") == F.col("c"), "left")
-    return rows.select("doc_id", F.col("k").isNotNull().alias("found"), "content", "cut", F.coalesce("comments", F.lit("")).alias("comments"), F.greatest(F.coalesce("n", F.lit(0)) - most, F.lit(0)).alias("omitted"))
+    """doc_id, found, content (clipped), cut, comments (the first ids), omitted, links (url and type of each, in order) for each of ``keys`` (doc_id); a key that isn't known is a row too."""
+    own = docs.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    wanted = own.select(F.col("doc_id").alias("k"), clip(F.col("text"), chars).alias("content"), (F.char_length(squeeze(F.col("text"))) > chars).alias("cut"))
+    said = comments.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("comment_id")))
+    listed = said.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("r") <= most, F.col("comment_id")))).cast("array<string>"), ",").alias("comments"))
+    linked = links_of(own).groupBy(F.col("doc_id").alias("l")).agg(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", "link_type", "url").alias("said")))).alias("found"))
+    rows = keys.join(wanted, F.col("doc_id") == F.col("k"), "left").join(listed.withColumnRenamed("doc_id", "c"), F.col("k") == F.col("c"), "left").join(linked, F.col("k") == F.col("l"), "left")
+    links = F.array_join(F.transform(F.coalesce("found", F.array()), lambda x: x["said"]), ", ")
+    return rows.select("doc_id", F.col("k").isNotNull().alias("found"), "content", "cut", F.coalesce("comments", F.lit("")).alias("comments"), F.greatest(F.coalesce("n", F.lit(0)) - most, F.lit(0)).alias("omitted"), links.alias("links"))
 
 
 def digest_counts(index: DataFrame, comments: DataFrame, links: DataFrame, most_sources: int, most_comments: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -30,27 +31,54 @@ def chunks(docs: DataFrame, size: int = 50) -> DataFrame:
     return rows.withColumn("chunk", F.floor((F.col("__place") - 1) / size).cast("long")).drop("__place")
 
 
-def map_scores(docs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], size: int = 50, tries: int = 2) -> DataFrame:
-    """doc_id, relevance, reason of each document by a model that sees chunks of ``size`` rows of what a task has.
+#: Seconds that a task waits once before it tries its failed chunks again, so that a service's limit by the minute has passed.
+COOLDOWN = 45.0
 
-    A chunk that fails is tried again, ``tries`` times in all; then it gives nulls and an error, and nothing else is lost.
-    """
 
-    def answer(chunk: pd.DataFrame) -> pd.DataFrame:
-        said = ""
-        for _ in range(tries):
-            try:
-                return scorer(chunk).assign(error=None)
-            except Exception as e:  # the model's failure is a result
-                said = str(e)[:200]
-        return pd.DataFrame({"doc_id": chunk["doc_id"], "relevance": None, "reason": None, "error": said})
+def map_scores(docs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], size: int = 50, retries: int = 1, cooldown: float = COOLDOWN, by: list[str] | None = None) -> DataFrame:
+    """doc_id, relevance, reason, error of each document by a model that sees chunks: those that the columns ``by`` tell (as ``chunks`` makes them), or else of ``size`` rows of what a task has.
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Chunks that fail are kept until the task has gone through all others; then it waits ``cooldown`` seconds and tries them again, ``retries`` times.
+    What still fails gives nulls and an error, and nothing else is lost.
+    """
+
+    def chunks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not by:
+            for batch in batches:
+                yield from (batch.iloc[a : a + size] for a in range(0, len(batch), size))
+            return
+        held = None
         for batch in batches:
-            for a in range(0, len(batch), size):
-                yield answer(batch.iloc[a : a + size])[["doc_id", "relevance", "reason", "error"]]
+            held = batch if held is None else pd.concat([held, batch])
+            key = held[by].apply(tuple, axis=1)
+            last = key.iloc[-1]  # may go on in the next batch
+            for _, one in held[key != last].groupby(by, sort=False, dropna=False):
+                yield one
+            held = held[key == last]
+        if held is not None and len(held):
+            yield held
 
-    return docs.mapInPandas(scored, "doc_id long, relevance string, reason string, error string")
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, failed = ["doc_id", "relevance", "reason", "error"], []
+        for chunk in chunks_of(batches):
+            try:
+                yield scorer(chunk).assign(error=None)[names]
+            except Exception as e:  # the model's failure is a result
+                failed.append((chunk, str(e)[:200]))
+        for _ in range(retries):
+            if failed:
+                time.sleep(cooldown)
+            again, failed = failed, []
+            for chunk, _said in again:
+                try:
+                    yield scorer(chunk).assign(error=None)[names]
+                except Exception as e:
+                    failed.append((chunk, str(e)[:200]))
+        for chunk, said in failed:
+            yield pd.DataFrame({"doc_id": chunk["doc_id"], "relevance": None, "reason": None, "error": said})
+
+    dealt = docs.repartition(*by).sortWithinPartitions(*by, "doc_id") if by else docs
+    return dealt.mapInPandas(scored, "doc_id long, relevance string, reason string, error string")
 
 
 def threshold_scorer(batch: pd.DataFrame) -> pd.DataFrame:

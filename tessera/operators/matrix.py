@@ -176,32 +176,11 @@ def closest(best: DataFrame, source: str) -> DataFrame:
     )
 
 
-#: What a cell's weight says of its coverage and of its source.
-COVERAGE_OF = {"signature": "strong", "strong": "strong", "normal": "moderate", "weak": "thin"}
-ROLE_OF = {"signature": "primary", "strong": "primary", "normal": "supporting", "weak": "weak"}
-
-
-def chosen(key: Column, values: dict[str, str], default: str) -> Column:
-    out = F.lit(default)
-    for k, v in values.items():
-        out = F.when(key == k, v).otherwise(out)
-    return out
-
-
 def not_exported(cells: DataFrame, exported: DataFrame) -> DataFrame:
     """Cells (source_id, cell_id, weight, ..) of strong and signature weight that the export (source_id, cell_id) lacks."""
     return cells.filter("weight IN ('strong', 'signature')").join(exported.select("source_id", "cell_id"), ["source_id", "cell_id"], "left_anti")
 
 
-def repaired(cells: DataFrame, exported: DataFrame) -> DataFrame:
-    """source_id, cell_id, derived of all exported cells and of those that were forgotten and have refs, with coverage_level, source_role and depth_level of their weight and depth (null for the others)."""
-    depth = F.when(F.col("depth") >= 4.5, "deep_practitioner").when(F.col("depth") >= 2.5, "practical").when(F.col("depth") > 0, "commentary").otherwise("none")
-    added = not_exported(cells, exported).filter(F.size("refs") > 0).select(
-        "source_id", "cell_id", F.lit(True).alias("derived"), chosen(F.col("weight"), COVERAGE_OF, "none").alias("coverage_level"), chosen(F.col("weight"), ROLE_OF, "avoid").alias("source_role"), depth.alias("depth_level")
-    )
-    return exported.select("source_id", "cell_id", F.lit(False).alias("derived")).unionByName(added, allowMissingColumns=True)
-
-
 def contract(cells: DataFrame, exported: DataFrame, index: DataFrame, required: list[str]) -> DataFrame:
     """source_id, cells, exported, incomplete (cells without a required column), missing_export, unknown_refs (different ones that ``index``, of source_id and ref, lacks), valid."""
     lacking = F.lit(False)

@@ -358,12 +358,15 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXPAND = "trim(regexp_replace(d.text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 
 
-@query(f"""WITH k AS (SELECT vec_id * 3 AS doc_id FROM embeddings), c AS (SELECT conv_id AS doc_id, count(*) AS n, string_agg(turn, ',' ORDER BY turn) FILTER (r <= 3) AS turns FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1)
-SELECT k.doc_id, d.doc_id IS NOT NULL AS found, CASE WHEN length({EXPAND}) > 200 THEN rtrim(left({EXPAND}, 197)) || '...' ELSE {EXPAND} END AS content, length({EXPAND}) > 200 AS cut, coalesce(turns, '') AS comments, greatest(coalesce(n, 0) - 3, 0) AS omitted FROM k LEFT JOIN documents d ON d.doc_id = k.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""")
+@query(f"""WITH sd AS (SELECT doc_id, {SOURCED} AS text FROM documents), nt AS (SELECT doc_id AS page_id, text AS t FROM sd), {LINKS_SQL},
+ls AS (SELECT page_id AS doc_id, string_agg(CASE WHEN starts_with(url, 'https://github.com/') THEN 'github_repo ' ELSE 'web ' END || url, ', ' ORDER BY k, i) AS links FROM (SELECT * FROM cx QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY k, i) = 1) GROUP BY 1),
+k AS (SELECT vec_id * 3 AS doc_id FROM embeddings), c AS (SELECT conv_id AS doc_id, count(*) AS n, string_agg(turn, ',' ORDER BY turn) FILTER (r <= 3) AS turns FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1)
+SELECT k.doc_id, d.doc_id IS NOT NULL AS found, CASE WHEN length({EXPAND}) > 200 THEN rtrim(left({EXPAND}, 197)) || '...' ELSE {EXPAND} END AS content, length({EXPAND}) > 200 AS cut, coalesce(turns, '') AS comments, greatest(coalesce(n, 0) - 3, 0) AS omitted, coalesce(links, '') AS links
+FROM k LEFT JOIN sd d ON d.doc_id = k.doc_id LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN ls ON ls.doc_id = d.doc_id""")
 def expand_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys with their clipped contents, first comments and what is left out; keys that aren't known are told so."""
+    """Keys with their clipped contents, links, first comments and what is left out; keys that aren't known are told so."""
     keys = T.vectors(spark, sf_dir).select((F.col("vec_id") * 3).alias("doc_id"))
-    return V.expanded(keys, T.docs(spark, sf_dir), T.comments(spark, sf_dir), 200, 3)
+    return V.expanded(keys, T.docs(spark, sf_dir).withColumn("text", F.expr(SOURCED)), T.comments(spark, sf_dir), 200, 3)
 
 
 @query(f"""WITH {D}, {T.LINKS_SQL}, s AS (SELECT source_id, doc_id FROM docs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY docs.n DESC, doc_id) <= 10), c AS (SELECT conv_id AS doc_id, count(*) AS k FROM conversations GROUP BY 1), l AS (SELECT src AS doc_id, count(*) AS k FROM links GROUP BY 1), t AS (SELECT source_id, count(*) AS sources FROM docs GROUP BY 1),

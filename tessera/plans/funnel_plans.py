@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import funnel as P
 from ..operators import maintenance as M
+from ..operators.numbering import numbered
 from ..sources import tables as T
 from .registry import query
 
@@ -25,9 +26,23 @@ def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chunks(T.docs(spark, sf_dir)).select("source_id", "doc_id", "chunk")
 
 
-@query(f"{B} SELECT doc_id, relevance, 'length ' || n AS reason FROM rel")
+@query(f"""{B}, p AS (SELECT *, (row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, doc_id) - 1) // 50 AS chunk FROM rel), c AS (SELECT source_id, chunk, bool_or(doc_id % 97 = 5) AS bad FROM p GROUP BY ALL)
+SELECT doc_id, CASE WHEN NOT bad THEN relevance END AS relevance, CASE WHEN NOT bad THEN 'length ' || n END AS reason, CASE WHEN bad THEN 'refused' END AS error FROM p JOIN c USING (source_id, chunk)""")
 def map_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.map_scores(T.docs(spark, sf_dir).select("doc_id", "text"), P.threshold_scorer).select("doc_id", "relevance", "reason")
+    """Chunks of a source's documents, each by one call of a model that fails at some of them once and refuses others for good."""
+    failed: set[int] = set()
+
+    def scorer(chunk):
+        first = int(chunk["doc_id"].min())
+        if first % 3 == 0 and first not in failed:
+            failed.add(first)
+            raise RuntimeError("busy")
+        if (chunk["doc_id"] % 97 == 5).any():
+            raise RuntimeError("refused")
+        return P.threshold_scorer(chunk)
+
+    docs = P.chunks(T.docs(spark, sf_dir)).select("source_id", "chunk", "doc_id", "text")
+    return P.map_scores(docs, scorer, cooldown=0.1, by=["source_id", "chunk"])
 
 
 @query(f"{B} SELECT source_id, doc_id, relevance, row_number() OVER (PARTITION BY source_id ORDER BY {RANK}, doc_id) AS place FROM rel")
@@ -87,8 +102,8 @@ def link_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{B} SELECT doc_id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, {RANK}, doc_id) AS place FROM rel")
 def sort_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("source_id").orderBy(F.desc("created_at"), P.relevance_rank(), "doc_id")
-    return rel(spark, sf_dir).select("doc_id", "source_id", F.row_number().over(order).cast("long").alias("place"))
+    order = [F.desc("created_at"), P.relevance_rank(), F.col("doc_id")]
+    return numbered(rel(spark, sf_dir), "source_id", order, -F.unix_date(F.col("created_at").cast("date")), "place").select("doc_id", "source_id", F.col("place").cast("long").alias("place"))
 
 
 @query(f"{B} SELECT source_id, doc_id, row_number() OVER (PARTITION BY source_id ORDER BY {RANK}, created_at DESC, doc_id) AS place FROM rel QUALIFY place <= 50")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matrix as X
+from ..operators import passports as Z
 from ..sources import tables as T
 from .registry import query
 
@@ -194,9 +195,22 @@ def passport_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.contract(*passport(spark, sf_dir), ["domain", "subdomain", "intent", "score"])
 
 
-@query(f"""WITH {BASE}, {PASSPORT} SELECT source_id, cell_id, NOT exported AS derived, CASE WHEN NOT exported THEN 'strong' END AS coverage_level, CASE WHEN NOT exported THEN 'primary' END AS source_role,
- CASE WHEN exported THEN NULL WHEN depth >= 4.5 THEN 'deep_practitioner' WHEN depth >= 2.5 THEN 'practical' WHEN depth > 0 THEN 'commentary' ELSE 'none' END AS depth_level FROM w WHERE exported OR (weight IN ('strong', 'signature') AND refs > 0)""")
+@query(f"""WITH {BASE}, {PASSPORT}, m AS (SELECT source_id, max(refs) AS m, bool_or(knows) AS knows FROM w GROUP BY 1), h AS (SELECT source_id, unnest(['P2', 'P3', 'C4']) AS id, unnest([m >= 2, m >= 3 AND knows, true]) AS used FROM m)
+SELECT source_id, 'cell' AS kind, cell_id AS id, NOT exported AS derived, CASE WHEN NOT exported THEN 'strong' ELSE '' END AS coverage_level, CASE WHEN NOT exported THEN 'primary' ELSE '' END AS source_role,
+ CASE WHEN exported THEN '' WHEN depth >= 4.5 THEN 'deep_practitioner' WHEN depth >= 2.5 THEN 'practical' WHEN depth > 0 THEN 'commentary' ELSE 'none' END AS depth_level FROM w WHERE exported OR (weight IN ('strong', 'signature') AND refs > 0)
+UNION ALL SELECT source_id, 'ref', id, true, '', '', '' FROM h WHERE used UNION ALL SELECT source_id, 'ref', 'P1', false, '', '', '' FROM m""")
 def passport_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exported cells, and those of strong and signature weight that the export forgot."""
-    cells, exported, _ = passport(spark, sf_dir)
-    return X.repaired(cells, exported)
+    """Passports as nested JSON, with what they lacked: in the export the cells of strong and signature weight, in the index the refs that stand anywhere in them."""
+    cells, exported, index = passport(spark, sf_dir)
+    own = lambda c: F.struct(c("domain").alias("domain_id"), c("subdomain").alias("subdomain_id"), F.array(c("intent")).alias("query_intent_ids"), c("weight").alias("recommended_matrix_weight"), c("depth").alias("depth_score_0_5"), c("refs").alias("evidence_refs"))
+    by = lambda rows, name: rows.groupBy("source_id").agg(F.sort_array(F.collect_list(own(F.col))).alias(name))
+    made = by(cells, "matrix_cells").join(by(exported, "cells"), "source_id", "left")
+    deep = F.lit('{"a": [[{"b": {"c": ["x", "C4", 7, null]}}], "P", "P1x"]}')
+    json = F.to_json(F.struct("matrix_cells", F.struct(F.coalesce("cells", F.array()).alias("cells"), F.lit("v1").alias("version")).alias("matrix_export"), F.parse_json(deep).alias("notes"), F.array(F.struct(F.lit("P1").alias("source_ref"))).alias("source_ref_index_used")))
+    known = index.unionByName(index.select("source_id").distinct().withColumn("ref", F.lit("C4")))
+    out = Z.stored(Z.normalized(made.select("source_id", F.parse_json(json).alias("passport")), known, "^[PC][0-9]$"))
+    v, text = F.col("v"), lambda path: F.coalesce(F.try_variant_get(F.col("v"), path, "string"), F.lit(""))
+    listed = lambda path: out.select("source_id", F.explode(F.try_variant_get("passport", path, "array<variant>")).alias("v"))
+    rows = listed("$.matrix_export.cells").select("source_id", F.lit("cell").alias("kind"), Z.cell_key(v).alias("id"), (text("$.derived_from") != "").alias("derived"), *(text(f"$.{c}").alias(c) for c in ("coverage_level", "source_role", "depth_level")))
+    none = [F.lit("").alias(c) for c in ("coverage_level", "source_role", "depth_level")]
+    return rows.unionByName(listed("$.source_ref_index_used").select("source_id", F.lit("ref").alias("kind"), text("$.source_ref").alias("id"), (text("$.why_used") != "").alias("derived"), *none))

@@ -115,7 +115,7 @@ def exported(spark: SparkSession, sf_dir: str) -> str:
     path = shared_path(spark, "export")
     c = T.raw(spark, sf_dir, "conversations")
     kind = F.when(F.col("role") == "system", "service").otherwise("message")
-    message = F.struct((F.col("turn") + 1).alias("id"), kind.alias("type"), F.lit("2024-01-02T03:04:05").alias("date"), F.col("role").alias("from"), "text", F.when(F.col("turn") > 0, F.col("turn")).alias("reply_to_message_id"))
+    message = F.struct((F.col("turn") + 1).alias("id"), kind.alias("type"), F.concat(F.lit("2024-01-0"), F.col("turn") % 7 + 1, F.lit("T03:04:05")).alias("date"), F.col("role").alias("from"), "text", F.when(F.col("turn") > 0, F.col("turn")).alias("reply_to_message_id"))
     c.groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(message)).alias("messages")).write.mode("overwrite").json(path)
     return path
 
@@ -128,19 +128,17 @@ def src_chat_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.chat_messages(spark, exported(spark, sf_dir)).select("chat_id", "ext_id", "author", "text", "reply_to")
 
 
-@query("""WITH RECURSIVE m AS (SELECT conv_id AS chat_id, turn + 1 AS ext_id, CASE WHEN turn > 0 THEN turn END AS reply_to, role <> 'system' AND text <> '' AS is_text FROM conversations),
+@query("""WITH RECURSIVE m AS (SELECT conv_id AS chat_id, turn + 1 AS ext_id, CASE WHEN turn > 0 THEN turn END AS reply_to, text <> '' AS is_text, role, text FROM conversations WHERE role <> 'system' AND turn % 7 <> 6),
 w AS (SELECT chat_id, ext_id, ext_id AS cur FROM m UNION ALL SELECT w.chat_id, w.ext_id, m.reply_to FROM w JOIN m ON m.chat_id = w.chat_id AND m.ext_id = w.cur JOIN m p ON p.chat_id = m.chat_id AND p.ext_id = m.reply_to),
-e AS (SELECT w.chat_id, w.ext_id, w.cur FROM w JOIN m ON m.chat_id = w.chat_id AND m.ext_id = w.cur WHERE m.reply_to IS NULL AND m.is_text)
-SELECT chat_id, ext_id, coalesce(cur, ext_id) AS root FROM m LEFT JOIN e USING (chat_id, ext_id) WHERE is_text""")
+e AS (SELECT w.chat_id, w.ext_id, w.cur FROM w JOIN m ON m.chat_id = w.chat_id AND m.ext_id = w.cur WHERE m.reply_to IS NULL AND m.is_text),
+r AS (SELECT m.*, coalesce(cur, ext_id) AS root FROM m LEFT JOIN e USING (chat_id, ext_id) WHERE is_text),
+p AS (SELECT chat_id, ext_id, 'P' || lpad(row_number() OVER (PARTITION BY chat_id ORDER BY ext_id)::VARCHAR, 4, '0') AS post_ref FROM r WHERE root = ext_id QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY ext_id) <= 3),
+c AS (SELECT r.chat_id, r.ext_id, post_ref, post_ref || '.C' || lpad(row_number() OVER (PARTITION BY r.chat_id, r.root ORDER BY r.ext_id)::VARCHAR, 4, '0') AS source_ref FROM r JOIN p ON p.chat_id = r.chat_id AND p.ext_id = r.root WHERE r.root <> r.ext_id)
+SELECT chat_id, post_ref AS source_ref, ext_id, post_ref FROM p UNION ALL SELECT chat_id, source_ref, ext_id, post_ref FROM c""")
 def src_packet_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of a chat export with the message that their thread began with."""
-    from ..operators.maintenance import roots
-
-    m = E.chat_entries(spark, exported(spark, sf_dir))
-    key = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("/", "chat_id", c))
-    at = roots(m.select(key("ext_id").alias("id"), key("reply_to").alias("parent"), "is_text"))
-    texts = m.filter("is_text").select(key("ext_id").alias("id"), "chat_id", "ext_id")
-    return texts.join(at, "id").select("chat_id", "ext_id", F.element_at(F.split("root", "/"), 2).cast("long").alias("root"))
+    """The first three posts of each chat export in a period, with the comments on them."""
+    found = E.packet(E.chat_entries(spark, exported(spark, sf_dir)), "2024-01-01", "2024-01-06", 3)
+    return found.select("chat_id", "source_ref", "ext_id", "post_ref")
 
 
 @query("SELECT page_id, lang, CASE WHEN title <> '' THEN title END AS title, length(html)::BIGINT AS size, 1 + (lang <> '')::INT + (title <> '')::INT AS n_fields FROM (SELECT *, regexp_extract(html, '<html lang=\"([^\"]*)', 1) AS lang, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages)")

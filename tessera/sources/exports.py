@@ -8,19 +8,48 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.maintenance import roots
+from ..operators.numbering import numbered
+
 MESSAGE = "struct<id:bigint,type:string,date:string,from:string,text:string,reply_to_message_id:bigint>"
 
 
 def chat_entries(spark: SparkSession, path: str) -> DataFrame:
-    """chat_id, ext_id, sent_at, author, text, reply_to, is_text of all entries of chat exports; service entries and those without text are no texts."""
-    rows = spark.read.schema(f"id bigint, messages array<{MESSAGE}>").json(path).select(F.col("id").alias("chat_id"), F.explode("messages").alias("m"))
-    is_text = F.coalesce((F.col("m.type") == "message") & (F.col("m.text") != ""), F.lit(False))
-    return rows.select("chat_id", F.col("m.id").alias("ext_id"), F.try_to_timestamp("m.date").alias("sent_at"), F.col("m.from").alias("author"), "m.text", F.col("m.reply_to_message_id").alias("reply_to"), is_text.alias("is_text"))
+    """chat_id, pos, ext_id, sent_at, author, text, reply_to, is_message, is_text of all entries of chat exports in their order; service entries are no messages, those without text no texts."""
+    rows = spark.read.schema(f"id bigint, messages array<{MESSAGE}>").json(path).select(F.col("id").alias("chat_id"), F.posexplode("messages").alias("pos", "m"))
+    is_message = F.coalesce(F.col("m.type") == "message", F.lit(False))
+    is_text = is_message & F.coalesce(F.col("m.text") != "", F.lit(False))
+    return rows.select("chat_id", "pos", F.col("m.id").alias("ext_id"), F.try_to_timestamp("m.date").alias("sent_at"), F.col("m.from").alias("author"), "m.text", F.col("m.reply_to_message_id").alias("reply_to"), is_message.alias("is_message"), is_text.alias("is_text"))
 
 
 def chat_messages(spark: SparkSession, path: str) -> DataFrame:
     """``chat_entries`` that are texts."""
-    return chat_entries(spark, path).filter("is_text").drop("is_text")
+    return chat_entries(spark, path).filter("is_text").drop("pos", "is_message", "is_text")
+
+
+def packet(entries: DataFrame, first: str | None = None, last: str | None = None, most: int | None = None, threads: bool = True) -> DataFrame:
+    """chat_id, source_ref, ext_id, post_ref, author, sent_at, text of the messages of ``chat_entries`` from the day ``first`` to the day ``last``.
+
+    With ``threads`` a reply is a comment on the message that its chain of parents begins with, if that is a text and all of the chain is in the period;
+    other texts are posts. Posts are numbered in their order (P0001), ``most`` of a chat at most; comments of each post likewise (P0001.C0001), and go with their post.
+    """
+    day = F.to_date("sent_at")
+    rows = entries.filter("is_message")
+    rows = rows if first is None else rows.filter(day >= F.lit(first).cast("date"))
+    rows = rows if last is None else rows.filter(day <= F.lit(last).cast("date"))
+    key = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("/", "chat_id", c))
+    rows = rows.withColumns({"id": key("ext_id"), "parent": key("reply_to")})
+    texts = rows.filter("is_text")
+    texts = texts.join(roots(rows.select("id", "parent", "is_text")), "id") if threads else texts.withColumn("root", F.col("id"))
+    order = [F.col("pos")]
+    number = lambda letter, c: F.concat(F.lit(letter), F.lpad(F.col(c).cast("string"), F.greatest(F.lit(4), F.length(F.col(c).cast("string"))), F.lit("0")))
+    posts = numbered(texts.filter("root = id"), "chat_id", order, F.floor(F.col("pos") / 10_000), "n")
+    posts = posts if most is None else posts.filter(F.col("n") <= most)
+    posts = posts.withColumn("post_ref", number("P", "n"))
+    said = texts.filter("root <> id").join(posts.select(F.col("id").alias("root"), "post_ref"), "root")
+    said = numbered(said, "root", order, F.floor(F.col("pos") / 10_000), "n").withColumn("source_ref", F.concat("post_ref", F.lit("."), number("C", "n")))
+    names = ("chat_id", "source_ref", "ext_id", "post_ref", "author", "sent_at", "text")
+    return posts.withColumn("source_ref", F.col("post_ref")).select(*names).unionByName(said.select(*names))
 
 
 def accepted(passports: DataFrame, manifest: DataFrame) -> DataFrame:

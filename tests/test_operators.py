@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import re
 
@@ -12,6 +13,7 @@ from tessera.operators import evidence as V
 from tessera.operators import funnel as P
 from tessera.operators import maintenance as M
 from tessera.operators import matrix as X
+from tessera.operators import passports as Z
 from tessera.operators import video as H
 from tessera.operators.numbering import numbered
 from tessera.sources import exports as E
@@ -172,10 +174,40 @@ def test_a_failed_chunk_is_tried_again_and_loses_nothing_else(spark):
             raise ValueError("no answer")
         return P.threshold_scorer(batch)
 
-    got = {r.doc_id: (r.relevance, r.error) for r in P.map_scores(docs, scorer, size=50).collect()}
+    got = {r.doc_id: (r.relevance, r.error) for r in P.map_scores(docs, scorer, size=50, cooldown=0).collect()}
     assert len(got) == 120 and {i for i, (_, e) in got.items() if e} == set(range(50, 100)) and got[0] == ("LOW", None)
 
 
+def test_failed_chunks_wait_until_the_others_are_done(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], i // 20, "t") for i in range(100)], "doc_id long, source_id string, chunk long, text string").coalesce(1)
+    seen = []
+
+    def scorer(batch):
+        (key,) = set(zip(batch["source_id"], batch["chunk"], strict=True))
+        seen.append(key)
+        if key in (("a", 0), ("b", 2)) and (seen.count(key) == 1 or key[0] == "b"):
+            raise ValueError(f"call {len(seen)}")
+        return P.threshold_scorer(batch).assign(reason=f"call {len(seen)}")
+
+    got = P.map_scores(docs.repartition(1), scorer, cooldown=0.01, by=["source_id", "chunk"]).collect()
+    by = {r.doc_id: (r.reason, r.error) for r in got}
+    assert len(got) == len(by) == 100 and {i for i, (_, e) in by.items() if e} == set(range(41, 60, 2))
+    calls = {i: int((r or e).split()[1]) for i, (r, e) in by.items()}
+    assert len({calls[i] for i in range(0, 20, 2)}) == 1
+
+
+@pytest.mark.parametrize("threads", [True, False])
+def test_packets_of_posts_and_comments(spark, threads):
+    rows = [(1, "message", "2024-01-02", "post", None), (2, "message", "2024-01-03", "reply", 1), (3, "service", "2024-01-03", "x", None), (4, "message", "2024-01-03", "to a service", 3), (5, "message", "2023-01-01", "old", None), (6, "message", "2024-01-04", "to an old one", 5), (7, "message", "2024-01-05", "", 2), (8, "message", "2024-01-05", "deep", 7), (9, "message", "2024-01-05", "cut", None), (10, "message", "2024-01-05", "on a cut one", 9)]
+    folder = shared_path(spark, "chat")
+    spark.createDataFrame([(json.dumps({"id": 1, "messages": [{"id": i, "type": k, "date": d + "T01:02:03", "from": "me", "text": t} | ({"reply_to_message_id": r} if r else {}) for i, k, d, t, r in rows]}),)], "v string").write.text(folder)
+    got = {r.ext_id: (r.source_ref, r.post_ref) for r in E.packet(E.chat_entries(spark, folder), "2024-01-01", "2024-01-31", 3, threads).collect()}
+    if threads:
+        assert got == {1: ("P0001", "P0001"), 2: ("P0001.C0001", "P0001"), 4: ("P0002", "P0002"), 6: ("P0003", "P0003"), 8: ("P0001.C0002", "P0001")}
+    else:
+        assert got == {1: ("P0001", "P0001"), 2: ("P0002", "P0002"), 4: ("P0003", "P0003")}
+
+
 def test_results_stay_until_the_new_one_is_there(spark):
     folder = shared_path(spark, "results")
     E.write_result(spark.range(3), folder, "r")
@@ -270,15 +302,35 @@ def test_tiers_keep_all_posts(spark):
     assert got == {2: (1, 1), 3: (1, 2), 1: (1, 3), 4: (2, None), 5: (2, None)}
 
 
-def test_passports_get_what_their_export_forgot(spark):
+def test_the_contract_of_passports(spark):
     cells = spark.createDataFrame([("a", "c1", "strong", 5.0, ["P1"]), ("a", "c2", "signature", 3.0, ["P9"]), ("a", "c3", "strong", 1.0, []), ("a", "c4", "weak", 1.0, ["P1"]), ("b", "c1", "normal", None, None)], "source_id string, cell_id string, weight string, depth double, refs array<string>")
     exported = cells.filter("source_id = 'a' AND cell_id = 'c1'")
     index = spark.createDataFrame([("a", "P1")], "source_id string, ref string")
-    assert {tuple(r) for r in X.repaired(cells, exported).collect()} == {("a", "c1", False, None, None, None), ("a", "c2", True, "strong", "primary", "practical")}
     got = {tuple(r) for r in X.contract(cells, exported, index, ["depth"]).select("source_id", "cells", "incomplete", "exported", "missing_export", "unknown_refs", "valid").collect()}
     assert got == {("a", 4, 0, 1, 2, 1, False), ("b", 1, 1, 0, 0, 0, False)}
-    whole = X.repaired(cells, exported).select("source_id", "cell_id")
-    assert {r.cell_id for r in X.not_exported(cells, whole).collect()} == {"c3"}
+    assert {r.cell_id for r in X.not_exported(cells, exported).collect()} == {"c2", "c3"}
+
+
+def test_passports_of_any_shape_get_what_they_lack(spark):
+    cell = lambda sub, weight, refs, **more: {"domain_id": "d", "subdomain_id": sub, "query_intent_ids": ["i", "j"], "recommended_matrix_weight": weight, "evidence_refs": refs} | more
+    passports = {
+        "a": {
+            "matrix_cells": [cell("s1", "strong", ["P0001"]), cell("s2", " Signature ", ["P0002"], depth_score_0_5=4.6), cell("s2", "strong", ["P0002"]), cell("s3", "strong", []), cell("s4", "weak", ["P0001"]), cell(None, "strong", ["P0001"])],
+            "matrix_export": {"cells": [cell("s1", "strong", ["P0001"])], "version": 7}, "source_ref_index_used": [{"source_ref": "P0001", "kept": True}],
+            "deep": [[[{"x": {"y": ["no P0003", "P0003", {"P0009": "P0004.C0001"}]}}]], "P00011", None, 5],
+        },
+        "b": {"only": "P0001"}, "c": {},
+    }
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in passports.items()], "source_id string, p string").select("source_id", F.parse_json("p").alias("passport"))
+    index = spark.createDataFrame([("a", r, i) for i, r in enumerate(("P0001", "P0002", "P0003", "P0004.C0001", "P0007"))], "source_id string, ref string, post_id long")
+    assert {(r.source_id, r.ref) for r in Z.refs_in(rows).collect()} == {("a", x) for x in ("P0001", "P0002", "P0003", "P0004.C0001")} | {("b", "P0001")}
+    got = {r.source_id: (json.loads(r.p), r.repaired, r.skipped) for r in Z.normalized(rows, index).select("source_id", F.to_json("passport").alias("p"), "repaired", "skipped").collect()}
+    a, repaired, skipped = got["a"]
+    assert [e["source_ref"] for e in a["source_ref_index_used"]] == ["P0001", "P0002", "P0003", "P0004.C0001"] and a["source_ref_index_used"][0] == {"source_ref": "P0001", "kept": True} and a["source_ref_index_used"][3]["post_id"] == 3
+    assert (repaired, skipped) == (["d/s2/i"], ["d/s3/i", "missing_required_identity"]) and a["matrix_export"]["version"] == 7 and a["deep"] == passports["a"]["deep"]
+    new = a["matrix_export"]["cells"][1]
+    assert a["matrix_export"]["cells"][0] == passports["a"]["matrix_export"]["cells"][0] and (new["cell_id"], new["coverage_level"], new["source_role"], new["depth_level"], new["scores"]["depth"]) == ("d/s2/i", "strong", "primary", "deep_practitioner", 4.6)
+    assert got["b"][0]["source_ref_index_used"] == [] and got["c"][1:] == ([], [])
 
 
 def test_only_new_sources_with_documents_are_added(spark):
