@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 1. ``node_counts``: how many different labelled texts of either class hold a word, over all
-   labelled training rows; those of the counting part alone are what is calibrated with. A word's counts also count for its
+   labelled training rows, about ``MAX_TRAINING`` of them at most; those of the counting part alone are what is calibrated with. A word's counts also count for its
    prefixes, so an inflected form that was never seen is scored by its stem.
 2. ``log_odds``: Dirichlet priors along the chain root, 3 to 8 letters, word: each node's
    toxic share has its parent's share as prior, of ``PRIOR`` observations. Only nodes that
@@ -46,6 +46,8 @@ PREFIXES = (3, 4, 5, 6, 8)
 PRIOR = 4.0
 DRIFT = 1.0
 MAX_SAMPLE = 20_000
+#: Labelled training rows that are counted at most, a sample by the hash of their texts beyond: about 8 kept nodes a row, so some 100 MB of nodes in each task.
+MAX_TRAINING = 1_000_000
 #: Labelled rows that are broadcast, of about 30 bytes each; beyond, both sides are shuffled.
 MAX_LABELS = 1_000_000
 SIGNIFICANT = 0.05
@@ -106,6 +108,12 @@ def bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(MAX_LABELS + 1).count() <= MAX_LABELS else rows
 
 
+def at_most(marks: DataFrame, most: int) -> DataFrame:
+    """``marks``, or about ``most`` of them by the hash of the text: what tasks hold of a model grows with them."""
+    n = marks.count()
+    return marks if n <= most else cut(marks.filter(F.pmod(F.xxhash64("h", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * most / n)), "some-marks")
+
+
 def texts_of(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """``marks`` (doc_id, h and others) with the texts."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
@@ -288,9 +296,9 @@ def calibrate(sample: DataFrame, nodes: Nodes) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE) -> Model:
-    """The model of all labelled training rows, calibrated with about ``most`` of them at most, chosen by a hash of the id."""
-    marks = labelled(docs, labels)
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE, training: int = MAX_TRAINING) -> Model:
+    """The model of the labelled training rows, about ``training`` of them at most, calibrated with about ``most`` of them, chosen by a hash of the id."""
+    marks = at_most(labelled(docs, labels), training)
     one = F.max(F.struct((F.col("part") <= 1).alias("counts"), "toxic", "doc_id")).alias("r")
     counts = cut(node_counts(texts_of(docs, cut(marks.groupBy("h").agg(one).select("h", "r.*"), "chosen"))), "words")
     nodes = log_odds(counts)

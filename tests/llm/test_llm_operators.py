@@ -555,6 +555,8 @@ def test_toxic_held_out(spark):
     kept = {r.doc_id for r in toxicity.keep_clean(docs, marks).collect()}
     assert kept == {i for i, s in got.items() if s < 0.3}
     assert toxicity.score(docs, toxicity.train(docs, marks.limit(0))).agg(F.max("score")).first()[0] <= 0.5
+    few, again = (toxicity.train(docs, marks, training=30) for _ in range(2))
+    assert len(few.nodes.keys) and (few.nodes.keys == again.nodes.keys).all() and few.link == again.link
 
 
 def test_rare_toxic_words_stay_among_many_clean_ones(spark):
