@@ -76,7 +76,7 @@ class Reader:
     def scalar(self):
         if self.text[self.at] in QUOTES:
             return self.string()
-        word = self.bare(",:]}\n")
+        word = re.split(r"\s+(?://|#|/\*)", self.bare(",:]}\n"))[0]
         if word in NAMES:
             return NAMES[word]
         if re.fullmatch(r"-?\d+", word):
