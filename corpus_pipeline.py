@@ -5,6 +5,9 @@ columns of ``documents``. In turn: toxic documents go; lines of
 passages that were there before go from a text; one document of each group of
 near-duplicates stays; sources are mixed to their targets, a document being there as often
 as it is taken; what is left is encoded, one row for each taken document.
+
+Defined cases: a null text is empty; rows without an id and repeated rows do no harm; columns beside those
+of ``documents``, whatever their names, are kept by all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,18 +20,22 @@ from tessera.llm.storage import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score below the threshold of toxicity, learnt from the labels of those that are here."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of passages that were there before."""
     return line_dedup.clean(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id."""
     return minhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of each source that its target takes, as often as it does."""
     return mixing.take(docs, share=1.5, max_epochs=2.0)
 
 
