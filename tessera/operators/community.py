@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,33 @@ def expanded(question: Column, acronyms: dict[str, str]) -> Column:
     return F.when(question.rlike(r"\b(AND|OR|NOT)\b"), question).otherwise(F.array_join(F.transform(words, one), " "))
 
 
+def expanded_variants(question: Column, variants: dict[str, list[str]]) -> Column:
+    """The quoted variants of each keyword that a question has, in front of what is left of it; its negative terms (-word) stay at the end, and no keyword is looked for that is one of them.
+
+    Keywords of three letters and less must be words, longer ones any part; the first place of each goes from the question. A question without a keyword stays as it is.
+    """
+    negative = F.regexp_extract_all(question, F.lit(r"(?U)-\w+"), F.lit(0))
+    rest = F.aggregate(negative, question, lambda q, n: F.replace(q, n, F.lit("")))
+    low, start = F.lower(question), F.lower(rest)
+    known = F.array(
+        *(
+            F.struct(
+                F.lit(f"-{k}").alias("not"), F.lit(k).alias("word"), F.lit(len(k) <= 3).alias("short"), F.lit(rf"(?iUs)^(.*?){chr(92) + 'b' if len(k) <= 3 else ''}{re.escape(k)}{chr(92) + 'b' if len(k) <= 3 else ''}").alias("first"),
+                F.lit("(" + " OR ".join(f'"{v}"' for v in vs) + ")").alias("group"),
+            )
+            for k, vs in variants.items()
+        )
+    )
+
+    def step(acc: Column, k: Column) -> Column:
+        hit = ~F.contains(low, k["not"]) & F.when(k["short"], F.regexp_like(acc["rest"], k["first"])).otherwise(F.contains(start, k["word"]))
+        return F.struct(F.when(hit, F.regexp_replace(acc["rest"], k["first"], F.lit("$1"))).otherwise(acc["rest"]).alias("rest"), F.when(hit, F.concat(acc["groups"], F.array(k["group"]))).otherwise(acc["groups"]).alias("groups"))
+
+    done = F.aggregate(known, F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("groups")), step)
+    out = lambda d: F.trim(F.concat(F.array_join(d["groups"], " "), F.lit(" "), F.trim(d["rest"]), F.when(F.size(negative) > 0, F.concat(F.lit(" "), F.array_join(negative, " "))).otherwise("")))
+    return F.element_at(F.transform(F.array(done), lambda d: F.when(F.size(d["groups"]) > 0, out(d)).otherwise(question)), 1)
+
+
 def terms(text: Column, stopwords: list[str], least: int = 3) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
     return F.array_except(F.filter(F.array_distinct(found), lambda t: F.char_length(t) >= least), F.array(*map(F.lit, stopwords)))

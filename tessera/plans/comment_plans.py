@@ -534,6 +534,14 @@ def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.docs(spark, sf_dir).select("doc_id", Q.expanded(question, {"llm": "large language model", "rag": "retrieval augmented generation"}).alias("expression"))
 
 
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '("text to speech" OR "TTS") engines of ' || source WHEN 1 THEN '("containers" OR "docker") ' || source || ' or -kvm' WHEN 2 THEN 'docker -docker ' || source ELSE 'mtts ' || lang END AS expression FROM documents""")
+def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with the variants of their keywords, and their negative terms."""
+    n = F.col("doc_id") % 4
+    question = F.when(n == 0, F.concat(F.lit("Tts engines of "), "source_id")).when(n == 1, F.concat("source_id", F.lit(" or -kvm Docker"))).when(n == 2, F.concat(F.lit("docker -docker "), "source_id")).otherwise(F.concat(F.lit("mtts "), "lang"))
+    return T.docs(spark, sf_dir).select("doc_id", Q.expanded_variants(question, {"tts": ["text to speech", "TTS"], "docker": ["containers", "docker"]}).alias("expression"))
+
+
 @query("SELECT item_id, array_to_string(list_slice(list_filter(list_distinct_in_order, lambda t: length(t) >= 4 AND t NOT IN ('from', 'that')), 1, 3), ' ') AS anchors FROM (SELECT item_id, list_filter(x, lambda t, i: list_position(x, t) = i) AS list_distinct_in_order FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS x FROM benchmark))")
 def anchor_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three terms of a question that tell it from others: of four letters and more, without generic words."""

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.maintenance import roots
 from ..operators.numbering import numbered
+from .store import Store
 
 MESSAGE = "struct<id:bigint,type:string,date:string,from:string,text:string,reply_to_message_id:bigint>"
 
@@ -57,22 +57,17 @@ def accepted(passports: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def write_result(df: DataFrame, folder: str, request_id: str) -> str:
-    """Write a result under its request's id, which must be safe as a file's name: into a folder beside it, which takes its name when all is there. Until then the old result stays."""
+    """Write a result as JSON under its request's id, which must be safe as a file's name, and make it the one that ``read_result`` gives; until then the one before is, without a moment between. The path of its files."""
     if not re.fullmatch(r"[A-Za-z0-9_-]{1,64}", request_id):
         raise ValueError("not a request id")
-    path, new, old = (f"{folder}/{x}" for x in (request_id, f".new-{request_id}-{uuid.uuid4().hex}", f".old-{request_id}-{uuid.uuid4().hex}"))
-    df.write.json(new)
-    spark = df.sparkSession
-    at = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
-    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    had = files.exists(at(path)) and files.rename(at(path), at(old))
-    if not files.rename(at(new), at(path)):
-        if had:
-            files.rename(at(old), at(path))
-        raise OSError(f"{new} could not take the name of {path}")
-    if had:
-        files.delete(at(old), True)
-    return path
+    store = Store(df.sparkSession, f"{folder}/{request_id}", "json")
+    store.publish(replace={"result": df})
+    return store.segments("result")[0]
+
+
+def read_result(spark: SparkSession, folder: str, request_id: str) -> DataFrame:
+    """The last result that was written whole."""
+    return Store(spark, f"{folder}/{request_id}", "json").read("result")
 
 
 #: Columns of the index of a result's sources, in their order.

@@ -69,10 +69,10 @@ def file_version(spark: SparkSession, paths: list[str]) -> list[list]:
 
 
 class Store:
-    """The tables under ``folder``."""
+    """The tables under ``folder``, in files of one format."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.files = spark, folder.rstrip("/"), Files(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, format: str = "parquet"):
+        self.spark, self.folder, self.format, self.files = spark, folder.rstrip("/"), format, Files(spark, folder)
 
     def versions(self) -> list[int]:
         return sorted(int(n.removesuffix(".json")) for n in self.files.names(f"{self.folder}/versions") if n.endswith(".json") and n[0].isdigit())
@@ -88,7 +88,7 @@ class Store:
     def read(self, name: str, version: int | None = None) -> DataFrame:
         entry = self.manifest(version)["tables"][name]
         schema = StructType.fromJson(entry["schema"])
-        return self.spark.read.schema(schema).parquet(*entry["segments"]) if entry["segments"] else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).format(self.format).load(entry["segments"]) if entry["segments"] else self.spark.createDataFrame([], schema)
 
     def segments(self, name: str, version: int | None = None) -> list[str]:
         return self.manifest(version)["tables"].get(name, {"segments": []})["segments"]
@@ -112,8 +112,8 @@ class Store:
         try:
             made = {}
             for name, df in ((replace or {}) | (append or {})).items():
-                df.write.parquet(path := f"{place}/{name}")
-                made[name] = self.spark.read.schema(df.schema).parquet(path)
+                df.write.format(self.format).save(path := f"{place}/{name}")
+                made[name] = self.spark.read.schema(df.schema).format(self.format).load(path)
                 kept = tables.get(name, {"segments": []})["segments"] if name in (append or {}) else []
                 tables[name] = {"segments": [*kept, path], "schema": json.loads(df.schema.json())}
             if verify:

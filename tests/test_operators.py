@@ -214,13 +214,21 @@ def test_results_stay_until_the_new_one_is_there(spark):
     bad = spark.range(3).select(F.raise_error(F.lit("no")).alias("id"))
     with pytest.raises(Exception, match="no"):
         E.write_result(bad, folder, "r")
-    assert spark.read.json(f"{folder}/r").count() == 3
-    E.write_result(spark.range(5), folder, "r")
-    assert spark.read.json(f"{folder}/r").count() == 5
+    assert E.read_result(spark, folder, "r").count() == 3
+    path = E.write_result(spark.range(5), folder, "r")
+    assert E.read_result(spark, folder, "r").count() == spark.read.json(path).count() == 5
     with pytest.raises(ValueError):
         E.write_result(spark.range(1), folder, "../r")
 
 
+def test_questions_with_variants_and_negatives(spark):
+    variants = {"tts": ["text to speech", "TTS"], "k8s": ["kubernetes"], "docker": ["docker", "containers"], "vector": ["embedding"]}
+    asked = ["TTS engines", "best tts tts", "mtts", "Docker and VECTOR docker", "docker -docker k8s", "a -b c -docker", "nothing", "", None]
+    rows = spark.createDataFrame(list(enumerate(asked)), "i int, q string")
+    got = [r.x for r in rows.select("i", Q.expanded_variants(F.col("q"), variants).alias("x")).orderBy("i").collect()]
+    assert got == ['("text to speech" OR "TTS") engines', '("text to speech" OR "TTS") best  tts', "mtts", '("docker" OR "containers") ("embedding") and  docker', '("kubernetes") docker   -docker'.replace("docker   -", "docker -"), "a -b c -docker", "nothing", "", None]
+
+
 def test_ids_of_hashes_are_of_all_bits(spark):
     rows = spark.createDataFrame([("http://x_1",), ("é",), ("",)], "t string").select("t", E.hash_id(F.col("t")).alias("h")).collect()
     assert all(r.h == int(hashlib.md5(r.t.encode()).hexdigest(), 16) % 10**9 for r in rows)
