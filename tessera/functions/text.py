@@ -20,6 +20,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(text), MARKED, PLAIN), NOT_TOKEN), lambda x: x != "")
 
 
+def token_line(text: Column) -> Column:
+    """The tokens in one line, with a space between; no token has one."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), NOT_TOKEN, " "))
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " "))
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import token_line
 from ..sources.shared import written
 from ..sources.store import Store, file_version
 from .retrieval import Index, eligible
@@ -44,11 +44,12 @@ def digested(docs: DataFrame) -> DataFrame:
 
 def places(docs: DataFrame, seg: int) -> DataFrame:
     """POSTING and digest of eligible ``docs``: tokens are made on the JVM, and grouped by term within each document as arrays. A row without a term stands for each document itself, with its digest."""
-    rows = eligible(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "source_id", "created_at", hashed().alias("digest"), tokens(F.col("text")).alias("t"))
+    rows = eligible(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "source_id", "created_at", hashed().alias("digest"), token_line(F.col("text")).alias("t"))
 
     def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t, n = batch.column(4), batch.num_rows
-        lengths = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
+        line, n = batch.column(4), batch.num_rows
+        t = pc.split_pattern(pc.if_else(pc.equal(line, ""), None, line), " ")  # null: a document without tokens
+        lengths = pc.fill_null(pc.list_value_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.dictionary_encode(t.flatten())
         doc = np.repeat(np.arange(n), lengths)
         at = np.arange(len(doc)) - (np.cumsum(lengths) - lengths)[doc]

@@ -15,4 +15,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tessera.sources.shared import clear
+
+    clear(session)
     session.stop()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import publishing as P
 from tessera.operators import retrieval as R
-from tessera.operators.text_index import MOST, TextIndex, followed
+from tessera.operators import text_index
+from tessera.operators.text_index import TextIndex, followed
 from tessera.sources import retention
 from tessera.sources.shared import shared_path
 from tessera.sources.store import Conflict, Files, Store
@@ -80,7 +81,7 @@ SAID = ["the quick brown fox and the lazy dog", "brown bread with quick butter t
 
 
 def docs_of(spark, rows):
-    made = [(i, s, "2025-01-01 00:00:00" if i % 2 else None, t) for i, s, t in rows]
+    made = [(i, s, "2025-01-01 00:00:00" if i and i % 2 else None, t) for i, s, t in rows]
     return spark.createDataFrame(made, "doc_id long, source_id string, created_at string, text string").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
@@ -89,18 +90,19 @@ def scores(docs, index, expression='fox OR "quick brown" OR br*'):
 
 
 def same(docs, index):
-    for expression in ('fox OR "quick brown" OR br*', '"quick and brown"', "qu* OR lazy", "nowhere", '"fox is" OR йод'):
+    for expression in ('fox OR "quick brown" OR br*', 'lazy OR nowhere OR "fox is" OR йод'):
         a, b = scores(docs, None, expression), scores(docs, index, expression)
         assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-12) for k in a), expression
 
 
-def test_index_follows_inserts_updates_and_deletes(spark, store):
+def test_index_follows_inserts_updates_and_deletes(spark, store, monkeypatch):
+    monkeypatch.setattr(text_index, "MOST", 3)
     rng, index = random.Random(1), TextIndex(store)
     rows = {i: ("s", SAID[i % 5] + f" {i}") for i in range(16)}
     now = lambda: docs_of(spark, [(i, s, t) for i, (s, t) in rows.items()])
     assert index.follow(now()) == "built" and index.follow(now()) == "as it was"
     said = []
-    for step in range(MOST):
+    for step in range(4):
         for i in rng.sample(sorted(rows), 3):
             rows[i] = ("s", f"{SAID[(i + step) % 5]} again {step}")
         rows.pop(min(rows))
