@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import stripped
 
-#: A key of a source in an answer, and the marks of an answer that is a raw response.
+#: A key of a source in an answer, and the marks of an answer that is a raw response.
 HANDLE = r"(?i)\b([a-z][a-z0-9_]+:[0-9]+)\b"
 RAW_MARKS = ('"mode": "expert_digest"', '"experts": [')
 #: Terms that the checks count, by check.

@@ -65,7 +65,7 @@ def notes(kind: Column, level: Column, signal: Column, n_links: Column) -> Colum
 
 
 WHITE = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: A link in Markdown with its label and URL (which may hold pairs of parentheses), and a URL by itself.
+#: A link in Markdown with its label and URL (which may hold pairs of parentheses), and a URL by itself.
 MARKDOWN = rf"\[([^\]\n]{{1,200}})\]\((https?://(?:[^{WHITE}()]++|\([^{WHITE}()]*\))+)\)"
 BARE = rf"https?://[^{WHITE}<>\]\"']+"
 AROUND = 110

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
-#: A ref of a source: a post, or a comment on one, by their numbers.
+#: A ref of a source (a post, or a comment on one, by their numbers), weights that are worth an export, and the note on an entry that was added.
 REF = r"^P[0-9]{4}(\.C[0-9]{4})?$"
 WEIGHTS = ("strong", "signature")
 WHY = "Cited elsewhere in passport; hydrated by deterministic post-processor."

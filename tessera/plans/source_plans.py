@@ -292,7 +292,7 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Questions in both languages, with what isn't read, and without a letter.
-ASKED = "CASE doc_id % 7 WHEN 0 THEN 'see #привет now' WHEN 1 THEN concat(doc_id, ' + 1?') WHEN 2 THEN concat('Claude vs RAG — что лучше для ', lang) WHEN 3 THEN concat('@вася https://пример.рф/', doc_id, ' ok') WHEN 4 THEN concat('#', lang, ' http://a.b/c') WHEN 5 THEN '' ELSE text END"
+ASKED = "CASE doc_id % 7 WHEN 0 THEN 'see #привет now' WHEN 1 THEN concat(doc_id, ' + 1?') WHEN 2 THEN concat('agents vs RAG — что лучше для ', lang) WHEN 3 THEN concat('@вася https://пример.рф/', doc_id, ' ok') WHEN 4 THEN concat('#', lang, ' http://a.b/c') WHEN 5 THEN '' ELSE text END"
 
 
 @query(rf"""SELECT doc_id, CASE WHEN regexp_matches(q, '[\x{{400}}-\x{{481}}\x{{48A}}-\x{{4FF}}]') THEN 'ru' WHEN regexp_matches(q, '[A-Za-z]') THEN 'en' ELSE 'ru' END AS language

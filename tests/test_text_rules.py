@@ -54,7 +54,7 @@ def test_slugs(spark):
 
 
 def test_languages(spark):
-    asked = ["12345", "see #привет now", "Claude vs RAG — что лучше", "plain words", "", None, "@вася https://я.рф/x", "日本", "x 日本"]
+    asked = ["12345", "see #привет now", "agents vs RAG — что лучше", "plain words", "", None, "@вася https://я.рф/x", "日本", "x 日本"]
     assert of(spark, asked, X.language) == ["ru", "en", "ru", "en", "ru", "ru", "ru", "ru", "en"]
     assert of(spark, ["why", "зачем"], X.answers_in) == ["English", "Russian"]
 
