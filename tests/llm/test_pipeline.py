@@ -59,7 +59,7 @@ def test_an_empty_table(spark, tmp_path):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
