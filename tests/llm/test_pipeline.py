@@ -1,5 +1,6 @@
 """The pipeline's contract, and its queries against SQL on the smallest tables."""
 
+from numbers import Number
 from pathlib import Path
 
 import duckdb
@@ -69,5 +70,5 @@ def test_query(spark, name):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     got, want = llm.queries()[name](spark, DATA).toPandas(), con.execute(llm.oracle_sql()[name]).df()
     order = list(sorted(want.columns))
-    text = lambda df: sorted(tuple("" if pd.isna(v) else str(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in df[order].itertuples(index=False))
+    text = lambda df: sorted(tuple("" if pd.isna(v) else str(float(v)) if isinstance(v, Number) else str(v) for v in r) for r in df[order].itertuples(index=False))
     assert text(got) == text(want)
