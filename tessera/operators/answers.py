@@ -51,14 +51,27 @@ def fixed(terms: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, terms))
 
 
+def hits_of(low: Column, terms: tuple[str, ...]) -> Column:
+    """``hits`` of terms that are normalised here."""
+    found = F.lit(0)
+    for t in terms:
+        found = found + F.contains(low, F.lit(" ".join(t.split()).lower())).cast("int")
+    return found
+
+
 def checks(answer: Column, scenario: Column, keys: Column, groups: dict[str, str] | None = None) -> Column:
+    """``checks_of`` with the answer, normalised or not, as a variable of a function: it is made once, not for each term."""
+    once = F.transform(F.array(F.struct(answer.alias("answer"), normalized(answer).alias("low"))), lambda a: checks_of(a["answer"], a["low"], scenario, keys, groups))
+    return F.element_at(once, 1)
+
+
+def checks_of(answer: Column, low: Column, scenario: Column, keys: Column, groups: dict[str, str] | None = None) -> Column:
     """The checks of an answer as an array of (name, weight, score from 0 to 1, critical).
 
     ``scenario``: SCENARIO. ``keys``: the source keys of the digest that the answer was to deliver, null or empty if there is none; then only
     the shape of keys and the sources that the scenario names are looked at. ``groups``: another name by which a group may be called.
     """
     s = lambda name, default=None: scenario[name] if default is None else F.coalesce(scenario[name], F.lit(default))
-    low = normalized(answer)
     none = F.array().cast("array<string>")
     list_of = lambda name: F.coalesce(scenario[name], none)
 
@@ -70,7 +83,7 @@ def checks(answer: Column, scenario: Column, keys: Column, groups: dict[str, str
     mode = F.when(s("response_mode", "") == "source_expand", "source_expand").when(s("relay_only", False), "relay").otherwise("")
     per = lambda values: F.when(mode == "source_expand", values("source_expand")).when(mode == "relay", values("relay")).otherwise(values(""))
 
-    passport = F.when(s("response_mode", "") == "source_expand", hits(low, fixed(PASSPORT["source_expand"]))).otherwise(hits(low, fixed(PASSPORT[""])))
+    passport = F.when(s("response_mode", "") == "source_expand", hits_of(low, PASSPORT["source_expand"])).otherwise(hits_of(low, PASSPORT[""]))
     group = scenario["expert_group"]
     other_name = F.lit(None).cast("string")
     for name, called in (groups or {}).items():
@@ -83,7 +96,7 @@ def checks(answer: Column, scenario: Column, keys: Column, groups: dict[str, str
     own = F.filter(cited, lambda k: F.array_contains(list_of("expert_filter"), F.substring_index(k, ":", 1)))
     matched = F.when(F.size(F.coalesce(keys, none)) > 0, F.size(F.array_intersect(cited, F.coalesce(keys, none)))).when(F.size(own) > 0, F.size(own)).otherwise(F.size(cited))
 
-    proof = hits(low, fixed(PROOF)) > 0
+    proof = hits_of(low, PROOF) > 0
     forbidden = list_of("forbidden_terms")
     found = hits(low, forbidden) > 0
     cover = F.coalesce(scenario["must_cover_any"], F.array().cast("array<array<string>>"))
@@ -91,19 +104,19 @@ def checks(answer: Column, scenario: Column, keys: Column, groups: dict[str, str
     delivery = F.coalesce(F.when(F.size(list_of("delivery_terms")) > 0, scenario["delivery_terms"]), per(lambda m: fixed(DELIVERY[m])))
     wanted = F.coalesce(scenario["min_delivery_terms"], per(lambda m: F.lit(NEEDED[m])))
     size, short, long = F.length(answer), s("min_chars", 700), s("max_chars", 7000)
-    fetched = hits(low, fixed(FETCHED)) > 0
+    fetched = hits_of(low, FETCHED) > 0
     raw = stripped(answer).startswith("{") | (F.contains(answer, F.lit(RAW_MARKS[0])) & F.contains(answer, F.lit(RAW_MARKS[1])))
     return F.array(
         one("not_raw_json", 1.5, F.when(raw, 0.0).otherwise(1.0), True),
         one("request_passport", 1.0, F.when(~s("expect_passport", True), 1.0).otherwise(passport / 4)),
         one("scope_fidelity", 1.0, F.when(F.size(names) == 0, 1.0).otherwise(hits(low, names) / needed)),
         one("source_grounding", 1.5, F.when(least <= 0, 1.0).otherwise(matched / least)),
-        one("signal_honesty", 1.25, F.when(proof, 0.0).otherwise(hits(low, fixed(CAUTION)) / 2), proof),
+        one("signal_honesty", 1.25, F.when(proof, 0.0).otherwise(hits_of(low, CAUTION) / 2), proof),
         one("forbidden_terms", F.when(F.size(forbidden) == 0, 0.5).otherwise(s("forbidden_weight", 1.0)), F.when(found, 0.0).otherwise(1.0), found & s("forbidden_critical", False)),
         one("coverage", F.when(F.size(cover) == 0, 1.25).otherwise(1.5), F.when(F.size(cover) == 0, 1.0).otherwise(covered / F.size(cover))),
         one("relay_delivery", 1.0, hits(low, delivery) / F.greatest(wanted, F.lit(1))),
         one("brevity", 0.75, F.when(size > long, long / size).when(size < short, size / short).otherwise(1.0)),
-        one("expand_path", 0.75, F.when(~s("expect_expansion", True), 1.0).otherwise(hits(low, fixed(EXPAND)))),
+        one("expand_path", 0.75, F.when(~s("expect_expansion", True), 1.0).otherwise(hits_of(low, EXPAND))),
         one("external_boundary", 0.75, F.when(fetched, 0.0).otherwise(1.0), fetched),
     )
 
