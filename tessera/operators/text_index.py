@@ -48,9 +48,11 @@ def places(docs: DataFrame, seg: int) -> DataFrame:
 
     def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
         line, n = batch.column(4), batch.num_rows
-        t = pc.split_pattern(pc.if_else(pc.equal(line, ""), None, line), " ")  # null: a document without tokens
-        lengths = pc.fill_null(pc.list_value_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = pc.dictionary_encode(t.flatten())
+        t = pc.split_pattern(line, " ")
+        found = t.flatten()
+        # A document without tokens is one empty string; pyarrow's if_else misreads strings of a slice, so it isn't made null.
+        lengths = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64) - pc.equal(line, "").to_numpy(zero_copy_only=False)
+        coded = pc.dictionary_encode(found.filter(pc.not_equal(found, "")))
         doc = np.repeat(np.arange(n), lengths)
         at = np.arange(len(doc)) - (np.cumsum(lengths) - lengths)[doc]
         key = doc * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)

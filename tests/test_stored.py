@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,16 @@ def test_index_of_repeated_ids_odd_texts_and_nothing(spark, store):
     assert index.follow(docs_of(spark, [])) == "changed" and scores(docs_of(spark, []), index.index()) == {}
 
 
+def test_index_of_more_documents_than_a_task_takes_at_once(spark, store):
+    rows = [(i, "s", "!" * 50 if i % 7 == 0 else f"{SAID[i % 5]} {i}") for i in range(text_index.TOGETHER + 100)]
+    docs = docs_of(spark, rows).coalesce(1)
+    index = TextIndex(store)
+    index.build(docs)
+    same(docs, index.index())
+    words = {w for _, _, t in rows for w in re.findall(r"\w+", t.lower())}
+    assert {r.term for r in index.index().postings.select("term").distinct().collect()} == words
+
+
 # Ingest.
 
 
