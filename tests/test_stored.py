@@ -335,3 +335,20 @@ def test_tables_added_later_are_counted(spark):
     table(spark, []).write.parquet(f"{folder}/b.parquet")
     assert {r.name: r.n for r in counted(spark, tables_in(spark, folder)).collect()} == {"a": 2, "b": 0}
     assert counted(spark, catalogued(spark)).columns == ["name", "n"]
+
+
+def test_a_group_that_nothing_changes_for_costs_one_message():
+    said = []
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        def __getattr__(self, name):
+            return lambda *args: said.append(name)
+
+    queue = W.Queue()
+    queue.init(Handle())
+    rows = [{"seconds": 5.0, "n_comments": 0, "payload": None}, {"seconds": 1.0, "n_comments": 1, "payload": "x"}]
+    assert [tuple(r) for r in queue.handleInputRows((7,), iter(rows), None)] == [(7, 1.0, "checked", 1), (7, 5.0, "no-comments", 0)]
+    assert said == ["get"]
