@@ -10,6 +10,7 @@ from ..operators import retrieval as R
 from ..operators.funnel import IDS
 from ..operators.numbering import numbered
 from ..sources import tables as T
+from ..sources.shared import written
 from .registry import query
 
 D = T.DOCS_SQL
@@ -148,7 +149,7 @@ def early_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.representatives(labelled(spark, sf_dir).filter(F.size("labels") > 0))
+    return K.representatives(written(labelled(spark, sf_dir).filter(F.size("labels") > 0), "labelled"))  # read twice, without the texts
 
 
 @query("""WITH p AS (SELECT doc_id, source AS source_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, greatest(1, count(*) OVER (PARTITION BY source) // 5) AS step FROM documents)
