@@ -16,7 +16,7 @@ from ..operators import video as H
 from ..operators.retrieval import top
 from ..sources import exports as E
 from ..sources import tables as T
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from ..streaming import jobs
 from ..streaming import queue as W
 from .registry import query
@@ -479,6 +479,7 @@ def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.concat_ws(" ", F.lower("title"), F.lower("body"))
     hits = X.n_of(both, ANCHORS)
     rows = precise(spark, sf_dir).select("post_id", "grp", F.round("score", 9).alias("score"), hits.alias("anchor_hits"), hits.alias("title_anchor_hits"), F.contains(F.lower("body"), F.lit("the")).cast("int").alias("compared"))
+    rows = written(rows, "scored")  # each gate reads it twice, and the texts are read once
     of = lambda name, **rules: Q.gated(rows, "grp", 12, **rules).select(F.lit(name).alias("intent"), "grp", "post_id")
     return of("any").unionByName(of("anchored", anchors=True)).unionByName(of("comparison", comparison=True))
 
