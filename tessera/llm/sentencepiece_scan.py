@@ -37,13 +37,13 @@ it; an empty table gives no rows; columns other than doc_id and text don't matte
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bound_batches, cut
@@ -254,6 +254,37 @@ def forward(matrices: list[np.ndarray], sums: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def by_groups(rows: DataFrame, by: list[str], order: Column, f: Callable[[dict[str, np.ndarray]], dict], schema: str) -> DataFrame:
+    """What ``f`` makes of the columns of each group of ``by``, in ``order``: groups come as a stream of sorted rows, many in a frame, since a frame for each costs more than the work on a text."""
+
+    def made(frame: pd.DataFrame, starts: list[int], end: int) -> pd.DataFrame:
+        columns = {c: frame[c].to_numpy() for c in frame}
+        out: dict[str, list] = {}
+        for a, b in zip(starts, [*starts[1:], end], strict=True):
+            for name, values in f({c: v[a:b] for c, v in columns.items()}).items():
+                out.setdefault(name, []).extend(values)
+        return pd.DataFrame(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_group: list[pd.DataFrame] = []  # the last group may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            if open_group and (batch[by].iloc[-1] == open_group[0][by].iloc[0]).all():
+                open_group.append(batch)
+                continue
+            frame = pd.concat([*open_group, batch], ignore_index=True)
+            starts = np.flatnonzero((frame[by] != frame[by].shift()).any(axis=1)).tolist()
+            if len(starts) > 1:
+                yield made(frame, starts[:-1], starts[-1])
+            open_group = [frame.iloc[starts[-1] :].reset_index(drop=True)]
+        if open_group:
+            frame = pd.concat(open_group, ignore_index=True)
+            yield made(frame, [0], len(frame))
+
+    return rows.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, schema)
+
+
 def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, ids of every whole text of ``docs`` (doc_id, text). ``remembered`` bounds a worker's memory and changes no result."""
     with open(model_path, "rb") as f:
@@ -299,27 +330,27 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk:
 
     square = lambda column: [np.asarray(m, float).reshape(longest, longest) for m in column]
 
-    def multiplied(one: pd.DataFrame) -> pd.DataFrame:
-        product, *rest = square(one.sort_values("k")["m"])
+    def multiplied(one: dict) -> dict:
+        product, *rest = square(one["m"])
         for m in rest:
             product = combine(product, m)
-        return pd.DataFrame({"uid": one["uid"].iloc[:1], "g": one["g"].iloc[0], "m": [product.ravel()]})
+        return {"uid": one["uid"][:1], "g": one["g"][:1], "m": [product.ravel()]}
 
-    def up_to_groups(one: pd.DataFrame) -> pd.DataFrame:
-        one = one.sort_values("g")
-        return pd.DataFrame({"uid": one["uid"], "g": one["g"], "sums": forward(square(one["m"]), np.array([0.0] + [LOW] * (longest - 1)))})
+    def up_to_groups(one: dict) -> dict:
+        return {"uid": one["uid"], "g": one["g"], "sums": forward(square(one["m"]), np.array([0.0] + [LOW] * (longest - 1)))}
 
-    def up_to_chunks(one: pd.DataFrame) -> pd.DataFrame:
-        own, one = loaded(model, remembered), one.sort_values("k")
-        sums = forward(square(one["m"]), np.asarray(one["sums"].iloc[0], float))
-        entry = [own.entries(t, n, c, f.tolist()) for t, n, c, f in zip(one["head"], one["size"], one["first"], sums, strict=True)]
-        return pd.DataFrame({"uid": one["uid"], "k": one["k"], "sums": sums, "entry": entry})
+    def up_to_chunks(one: dict) -> dict:
+        own = loaded(model, remembered)
+        sums = forward(square(one["m"]), np.asarray(one["sums"][0], float))
+        entry = [own.entries(t, int(n), int(c), f.tolist()) for t, n, c, f in zip(one["head"], one["size"], one["first"], sums, strict=True)]
+        return {"uid": one["uid"], "k": one["k"], "sums": sums, "entry": entry}
 
-    def left(one: pd.DataFrame) -> pd.DataFrame:
-        one, states = one.sort_values("k", ascending=False), [0]
+    def left(one: dict) -> dict:
+        """From the last chunk on."""
+        states = [0]
         for entry in one["entry"]:
             states.append(int(entry[states[-1]]))
-        return one[["uid", "k", "sums"]].assign(leaving=states[:-1])
+        return {"uid": one["uid"], "k": one["k"], "sums": one["sums"], "leaving": states[:-1]}
 
     width = np.uint16 if max(loaded(model, remembered).bytes + [i for i, _ in loaded(model, remembered).pieces.values()]) < 1 << 16 else np.int32
 
@@ -337,11 +368,11 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = GIANT, chunk:
 
     made = "uid long, k int, size int, g int, first int, head string, m array<double>"
     matrices = cut(chunks.select("uid", "k", "size", "text").mapInPandas(transfers, made), "matrices")
-    products = matrices.select("uid", "g", "k", "m").groupBy("uid", "g").applyInPandas(multiplied, "uid long, g int, m array<double>")
-    starts = cut(products.groupBy("uid").applyInPandas(up_to_groups, "uid long, g int, sums array<double>"), "starts")
-    entered = matrices.join(starts, ["uid", "g"]).groupBy("uid", "g").applyInPandas(up_to_chunks, "uid long, k int, sums array<double>, entry array<int>")
+    products = by_groups(matrices.select("uid", "g", "k", "m"), ["uid", "g"], F.col("k"), multiplied, "uid long, g int, m array<double>")
+    starts = cut(by_groups(products, ["uid"], F.col("g"), up_to_groups, "uid long, g int, sums array<double>"), "starts")
+    entered = by_groups(matrices.join(starts, ["uid", "g"]), ["uid", "g"], F.col("k"), up_to_chunks, "uid long, k int, sums array<double>, entry array<int>")
     # A text's sums and maps are some 200 bytes a chunk, much less than the text, which is one row.
-    ways = cut(entered.groupBy("uid").applyInPandas(left, "uid long, k int, sums array<double>, leaving int"), "ways")
+    ways = cut(by_groups(entered, ["uid"], F.desc("k"), left, "uid long, k int, sums array<double>, leaving int"), "ways")
     few = ways.limit(MAX_WAYS + 1).count() <= MAX_WAYS
     traced = chunks.join(F.broadcast(ways) if few else ways, ["uid", "k"]).mapInPandas(traces, f"uid long, k int, doc_id {kind}, ids binary")
     joined = traced.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("ids"))
