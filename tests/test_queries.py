@@ -7,7 +7,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import catalog
+from tessera.operators import text_index
+from tessera.plans import catalog, retrieval_plans
 
 DATA = Path("/root/testdata/sf0.001")
 SQL = catalog.oracle_sql()
@@ -37,3 +38,20 @@ def test_query(spark, con, name):
     got, want = catalog.queries()[name](spark, str(DATA)).toPandas(), con.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert [tuple(map(lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v, r)) for r in rows(got)] == [tuple(map(lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v, r)) for r in rows(want)]
+
+
+OF_THE_INDEX = ["fts_index", "fts_match_bm25", "fts_rescore", "gravity_rank", "hybrid_search", "overlap_sets", "random_augment", "rrf_merge"]
+
+
+@pytest.fixture(scope="module")
+def in_slices():
+    """Indexes are made anew, of several slices of documents a task, as those of larger tables are."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(text_index, "TOGETHER", 8)
+        patch.setattr(retrieval_plans, "INDEXES", {})
+        yield
+
+
+@pytest.mark.parametrize("name", OF_THE_INDEX)
+def test_query_of_an_index_made_in_slices(spark, con, in_slices, name):
+    test_query(spark, con, name)
