@@ -31,6 +31,8 @@ MOST = 8
 TOGETHER = 500
 POSTING = "term string, doc_id long, source_id string, created_at timestamp_ntz, dl int, at array<int>, seg int"
 ORDER = ("term", "doc_id")
+#: Postings that one task puts in order, and ranges at most: with more, Spark would hold what a task sends in memory.
+TO_ORDER, MOST_RANGES = 1_000_000, 200
 
 
 def hashed() -> Column:
@@ -80,9 +82,14 @@ def documents_of(made: DataFrame) -> DataFrame:
     return by.select("doc_id", "digest", "n", "dl", "seg")
 
 
-def ordered(postings: DataFrame) -> DataFrame:
-    """Ranges of terms in order, so that a search for a term or prefix reads the row groups that can have it; a term of very many documents is several ranges."""
-    return postings.filter("term IS NOT NULL").drop("digest").repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+def ordered(postings: DataFrame, rows: int) -> DataFrame:
+    """Ranges of terms in order, so that a search for a term or prefix reads the row groups that can have it; a term of very many documents is several ranges.
+
+    There are as many ranges as ``rows``, about the number of postings, ask for, whatever the session's number of shuffle partitions: a task's memory doesn't grow with the table.
+    """
+    cores = postings.sparkSession.sparkContext.defaultParallelism
+    n = min(MOST_RANGES, max(1, -(-rows // TO_ORDER), min(cores, rows // (TO_ORDER // 10))))
+    return postings.filter("term IS NOT NULL").drop("digest").repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER)
 
 
 def alive(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
@@ -116,7 +123,7 @@ class TextIndex:
         made = written(places(docs, 0), "places")  # else ranges are found by tokenizing all texts once more
         seen = written(documents_of(made), "seen")
         n, total = seen.agg(F.sum("n"), F.sum("dl")).first()
-        self.store.publish(replace={"postings": ordered(made), "seen": seen}, drop=("dead",), info={"source": source, "seg": 1, "N": n or 0, "tokens": total or 0})
+        self.store.publish(replace={"postings": ordered(made, made.count()), "seen": seen}, drop=("dead",), info={"source": source, "seg": 1, "N": n or 0, "tokens": total or 0})
 
     def follow(self, docs: DataFrame, source: list | None = None) -> str:
         """Bring the index up to ``docs``; 'as it was', 'built', 'changed' or 'merged'. ``source`` is the table's version (``file_version`` of its files); equal versions are not looked into."""
@@ -145,7 +152,7 @@ class TextIndex:
         sums = lambda df: [x or 0 for x in df.agg(F.sum("n"), F.sum("dl")).first()]
         (n1, t1), (n0, t0) = sums(seen), sums(gone)
         dead = gone.select("doc_id", F.lit(seg).alias("until"))
-        self.store.publish(append={"postings": ordered(made), "seen": seen, "dead": dead}, info={"source": source, "seg": seg + 1, "N": info["N"] + n1 - n0, "tokens": info["tokens"] + t1 - t0})
+        self.store.publish(append={"postings": ordered(made, made.count()), "seen": seen, "dead": dead}, info={"source": source, "seg": seg + 1, "N": info["N"] + n1 - n0, "tokens": info["tokens"] + t1 - t0})
 
     def upsert(self, docs: DataFrame) -> None:
         """Documents that were inserted or updated, whole: as a trigger on the table would say it."""
@@ -158,8 +165,9 @@ class TextIndex:
 
     def merge(self) -> str:
         """All live postings in one segment."""
-        postings = alive(self.store.read("postings"), self._dead()).withColumn("seg", F.lit(0))
-        self.store.publish(replace={"postings": ordered(postings), "seen": self.seen().withColumn("seg", F.lit(0))}, drop=("dead",), info={"seg": 1})
+        stored = self.store.read("postings")
+        postings = alive(stored, self._dead()).withColumn("seg", F.lit(0))
+        self.store.publish(replace={"postings": ordered(postings, stored.count()), "seen": self.seen().withColumn("seg", F.lit(0))}, drop=("dead",), info={"seg": 1})
         return "merged"
 
 

@@ -163,6 +163,23 @@ def test_index_of_more_documents_than_a_task_takes_at_once(spark, store):
     assert {r.term for r in index.index().postings.select("term").distinct().collect()} == words
 
 
+def test_the_tasks_of_an_index_are_as_many_as_its_postings_ask_for(spark, store, monkeypatch):
+    monkeypatch.setattr(text_index, "TO_ORDER", 500, raising=False)
+    docs = docs_of(spark, [(i, "s", f"{SAID[i % 5]} word{i}") for i in range(600)])
+    index, before = TextIndex(store), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        index.build(docs)
+        sizes = [r["count"] for r in index.index().postings.groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) >= sum(sizes) // 500 and max(sizes) <= 1000
+        same(docs, index.index())
+        index.merge()
+        assert len(index.index().postings.inputFiles()) >= sum(sizes) // 500
+        same(docs, index.index())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # Ingest.
 
 
